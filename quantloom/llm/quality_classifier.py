@@ -1,10 +1,11 @@
 """Quality classifier by co-training: a text-content view and a page-metadata view teach each other.
 
 A bounded sample of labelled rows and a bounded pool of unlabelled rows (both the smallest by hash of their key;
-the bounds are parameters) are turned into features by the executors. The text view sees which words of a learned
-vocabulary occur, and how far words and 3-word shingles repeat; the metadata view sees source, language, stored length
+the bounds are parameters) are turned into features by the executors. The text view sees which words and word
+beginnings of a learned vocabulary occur, and how far words and 3-word shingles repeat; the metadata view sees source, language, stored length
 and layout (lines, marks, capitals, digits). Each round fits both views, lets each label the pool rows it is sure
-about, and hands these to the other. The views are then calibrated and combined on labelled rows held back, and every
+about, by its probabilities as calibrated on labelled rows held back, and hands these to the other. At the end the
+calibrated views are combined on labelled rows held back, and every
 whole document is scored in Arrow batches.
 
 A document is bad if its quality label is 0 or its toxic label is 1, so that toxic documents are rejected too.
@@ -52,11 +53,17 @@ def _meta(text: str, lang, source, n_chars) -> list[float]:
 _NO_UPPER = dict.fromkeys(range(65, 91))
 
 
+def tokens(words: list[bytes]) -> set[bytes]:
+    """Different words of a text, and their first four and six bytes, for stems that take many endings."""
+    different = set(words)
+    return different | {w[:4] + b"*" for w in different} | {w[:6] + b"*" for w in different}
+
+
 def features(vocabulary: dict[bytes, int], text, lang, source, n_chars) -> tuple[list[int], list[float], list[float]]:
     """(vocabulary words that occur, text statistics, metadata features) of one whole document."""
     text = text or ""
     words = alnum_words(text)
-    return sorted(vocabulary[w] for w in vocabulary.keys() & set(words)), _text_stats(text, words), _meta(text, lang, source, n_chars)
+    return sorted(vocabulary[w] for w in vocabulary.keys() & tokens(words)), _text_stats(text, words), _meta(text, lang, source, n_chars)
 
 
 def text_matrix(present: list[list[int]], stats, n_words: int) -> np.ndarray:
@@ -71,7 +78,7 @@ def text_matrix(present: list[list[int]], stats, n_words: int) -> np.ndarray:
 class Logistic:
     """Ridge logistic regression by Newton steps."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 0.3):
         x = np.column_stack([np.ones(len(x)), x])
         w, weight = np.zeros(x.shape[1]), np.ones(len(x)) if weight is None else weight
         penalty = np.full(x.shape[1], ridge)
@@ -106,15 +113,15 @@ class CoTrained:
         for _ in range(rounds):
             models = [Logistic(np.vstack([x, u[rows]]), np.concatenate([y[fit], marks]), np.concatenate([np.ones(int(fit.sum())), np.full(len(rows), 0.5)]))
                       for (x, u), (rows, marks) in zip(views, given, strict=True)]
+            z = [m.logit(x[held]) for m, x in zip(models, (text_l, meta_l), strict=True)]
+            self.scale = [Logistic(v[:, None], y[held], ridge=0.1).w for v in z]
             if not len(text_u):
                 break
-            said = [sigmoid(m.logit(u)) for m, (_, u) in zip(models, views, strict=True)]
+            said = [sigmoid(s[0] + s[1] * m.logit(u)) for s, m, (_, u) in zip(self.scale, models, views, strict=True)]
             rows = [np.flatnonzero((p >= sure) | (p <= 1 - sure)) for p in said]
             given = [(rows[1], (said[1][rows[1]] > 0.5).astype(float)), (rows[0], (said[0][rows[0]] > 0.5).astype(float))]
             self.taught.append((len(rows[0]), len(rows[1])))
         self.models = models
-        z = [m.logit(x[held]) for m, x in zip(models, (text_l, meta_l), strict=True)]
-        self.scale = [Logistic(v[:, None], y[held], ridge=0.1).w for v in z]
         calibrated = np.column_stack([s[0] + s[1] * v for s, v in zip(self.scale, z, strict=True)])
         self.mix = Logistic(calibrated, y[held], ridge=0.1)
 
@@ -124,7 +131,7 @@ class CoTrained:
         return sigmoid(self.mix.logit(np.column_stack(z))), sigmoid(z[0]), sigmoid(z[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", meta=("lang", "source", "n_chars"), max_labelled=6000, max_pool=6000, max_words=200, min_docs=8, rounds=4, sure=0.98, seed=42) -> CoTrained | None:
+def train(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", meta=("lang", "source", "n_chars"), max_labelled=12000, max_pool=6000, max_words=400, min_docs=5, rounds=4, sure=0.98, seed=42) -> CoTrained | None:
     """Fits the views; only the sample's and the pool's features (bounded) and vocabulary counts reach the driver."""
     known = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key).agg(
         F.max(((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("_bad"))
@@ -140,15 +147,19 @@ def train(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", meta
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in batches:
             for t, b in zip(some["text"], some["_bad"], strict=True):
-                yield pd.DataFrame({"word": sorted(set(alnum_words(t)))}).assign(bad=int(b))
+                yield pd.DataFrame({"word": sorted(tokens(alnum_words(t)))}).assign(bad=int(b))
 
     held = F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(4)) == 0
     found = rows.where(F.col("_bad").isNotNull() & ~held).select("text", "_bad").mapInPandas(words_of, "word binary, bad int")
     n, share = counts[0] + counts[1], counts[1] / (counts[0] + counts[1])
     found = found.groupBy("word").agg(F.count("*").alias("n"), F.sum("bad").alias("b")).where(F.col("n") >= min_docs)
     z = F.abs(F.col("b") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    top = found.orderBy(z.desc(), "word").limit(max_words).collect()
-    vocabulary = {bytes(r["word"]): i for i, r in enumerate(top)}
+    top = found.orderBy(z.desc(), "word").limit(6 * max_words).collect()
+    vocabulary: dict[bytes, int] = {}
+    counted: dict[bytes, tuple[int, int]] = {bytes(r["word"]): (r["n"], r["b"]) for r in top}
+    for word, has in counted.items():  # a word that adds nothing to its beginning is left out
+        if len(vocabulary) < max_words and has not in (counted.get(word[:4] + b"*") if word[4:] != b"*" else None, counted.get(word[:6] + b"*") if word[6:] != b"*" else None):
+            vocabulary[word] = len(vocabulary)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in batches:
@@ -169,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", meta
     return CoTrained(vocabulary, x[has], m[has], y, x[~has], m[~has], held_rows, rounds, sure)
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", meta=("lang", "source", "n_chars"), threshold=0.5, **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", meta=("lang", "source", "n_chars"), threshold=0.6, **options) -> DataFrame:
     """All columns of ``docs`` with score (probability of being good), score_text, score_meta and kept (score >= threshold)."""
     model = train(docs, labels, key=key, text=text, meta=meta, **options)
     if model is None:
