@@ -1 +1,3 @@
+"""Registered queries: each module puts its own into the registry when it is imported."""
 
+from . import bars, rolling  # noqa: F401
