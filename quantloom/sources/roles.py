@@ -100,7 +100,7 @@ SQL = {
     "episodes": "episodes AS (SELECT s.episode, o_orderpriority AS symbol, epoch_ms(o_orderdate) AS t, o_totalprice - s.amount AS gross, s.fees, s.funding, s.n_fills, o_orderstatus AS exit_reason, s.amount FROM orders JOIN (SELECT episode, sum(amount) AS amount, sum(fee) AS fees, sum(funding) AS funding, count(*) AS n_fills FROM fills GROUP BY 1) s ON o_orderkey = s.episode)",
     "grid": "grid AS (SELECT cohort, size, kind, grid, net_pnl, CASE WHEN sd > 0 THEN mean / sd ELSE 0.0 END AS sharpe, episodes FROM (SELECT p_brand AS cohort, p_size::BIGINT AS size, p_type AS kind, l_returnflag AS grid, sum(l_extendedprice * (l_discount - l_tax)) AS net_pnl, avg(l_extendedprice * (l_discount - l_tax)) AS mean, stddev_samp(l_extendedprice * (l_discount - l_tax)) AS sd, count(*) AS episodes FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL))",
     "slices": "slices AS (SELECT o_custkey AS survivor, o_orderkey AS slice, epoch_ms(o_orderdate) AS start, epoch_ms(o_orderdate) + 86400000 AS \"end\", o_totalprice - 150000 AS pnl, o_orderkey % 7 AS n_episodes, o_totalprice / 100000 - 1 AS sharpe FROM orders)",
-    "runs": "runs AS (SELECT user_id AS run, CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS state, epoch_ms(ts) AS t, event_id AS ordinal, value FROM events)",
+    "runs": "runs AS (SELECT user_id AS run, CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS state, epoch_us(ts) // 1000 AS t, event_id AS ordinal, value FROM events)",
 }
 _NEEDS = {"bars": ("ticks",), "episodes": ("fills",)}
 

@@ -88,3 +88,17 @@ def scan_slice_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFra
 def export_ordered(df: DataFrame, path: str, fmt: str, *order) -> None:
     """A small result as one ordered file, for people."""
     df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).format(fmt).save(path)
+
+
+def write_bar_shards(bars: DataFrame, root: str) -> None:
+    """Gzip JSON shards under symbol, interval and month folders, one task for each month of a symbol."""
+    month = F.date_format(F.date_from_unix_date(F.floor(F.col("open_time_ms") / 86_400_000).cast("int")), "yyyy-MM")
+    rows = bars.withColumn("month", month)
+    rows.repartition("symbol", "interval", "month").write.partitionBy("symbol", "interval", "month").option("compression", "gzip").json(f"{root}/klines")
+
+
+def scan_shards(spark: SparkSession, root: str, *, intervals: list[str], start_ms: int, end_ms: int) -> DataFrame:
+    """The folders of ``write_bar_shards``; interval and month prune folders, the time range is exact."""
+    month = lambda ms: F.date_format(F.date_from_unix_date(F.lit(ms // 86_400_000).cast("int")), "yyyy-MM")
+    rows = spark.read.schema(f"{BAR}, symbol string, interval string, month string").json(f"{root}/klines")
+    return rows.where(F.col("interval").isin(intervals) & F.col("month").between(month(start_ms), month(end_ms)) & F.col("open_time_ms").between(start_ms, end_ms))
