@@ -106,6 +106,6 @@ def overlaps(slices: DataFrame, owner: str, name: str, *, max_length: int) -> Da
     """
     a = slices.select(owner, name, "start", "end")
     bins = a.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / max_length), F.floor(F.col("end") / max_length))))
-    b = bins.select(F.col(owner).alias("o"), F.col(name).alias("other"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("bin").alias("bin2"))
-    meet = (F.col(owner) == F.col("o")) & (F.col("bin") == F.col("bin2")) & (F.col(name) != F.col("other")) & (F.col("start") <= F.col("e2")) & (F.col("s2") <= F.col("end"))
-    return bins.join(b, meet).select(owner, name, "other").distinct().groupBy(owner, name).agg(F.count("*").alias("overlaps"))
+    b = bins.select(F.col(owner).alias("_o"), F.col(name).alias("_other"), F.col("start").alias("_s2"), F.col("end").alias("_e2"), F.col("bin").alias("_bin2"))
+    meet = (F.col(owner) == F.col("_o")) & (F.col("bin") == F.col("_bin2")) & (F.col(name) != F.col("_other")) & (F.col("start") <= F.col("_e2")) & (F.col("_s2") <= F.col("end"))
+    return bins.join(b, meet).select(owner, name, "_other").distinct().groupBy(owner, name).agg(F.count("*").alias("overlaps"))
