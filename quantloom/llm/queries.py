@@ -46,7 +46,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
     found = hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), contaminated().alias("contaminated"), "longest_match")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), contaminated().alias("contaminated"))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,5 +81,24 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP6 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT item_id, least(len(w), 13) AS n, array_to_string(w[k:k + least(len(w), 13) - 1], ' ') AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM i),
+p AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n),
+h AS (SELECT doc_id, k, p.n, item_id FROM (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS win FROM p) p JOIN i ON i.win = p.win AND i.n = p.n),
+c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM (SELECT DISTINCT doc_id, k, n FROM h)) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+_OP7 = """WITH s AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS weight FROM documents GROUP BY 1),
+r AS (SELECT source, weight / (SELECT sum(weight) FROM s) * (SELECT sum(n) FROM s) / n AS rate FROM s),
+p AS (SELECT *, greatest(ceil(rate / 16.0), 1)::INT AS parts FROM r),
+q AS (SELECT source, parts, k, exp(-rate / parts) * pow(rate / parts, k) / gamma(k + 1) AS m FROM p, (SELECT unnest(range(0, 81)) AS k)),
+c AS (SELECT source, parts, sum(m) OVER (PARTITION BY source ORDER BY k) AS below FROM q),
+u AS (SELECT d.*, j, (('0x' || substr(md5(doc_id || ':42:' || j), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u FROM (SELECT d.*, unnest(range(0, parts)) AS j FROM documents d JOIN p ON d.source IS NOT DISTINCT FROM p.source) d),
+n AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(*) FILTER (below <= u) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, md5(doc_id || ':' || copy || ':42') AS shuffle_key FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM n WHERE n > 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_benchmark_decontamination": _OP6, "op7_source_mixing": _OP7}
