@@ -1,3 +1,3 @@
 """Registered queries: each module puts its own into the registry when it is imported."""
 
-from . import bars, joins, ledger, recursive, rolling, signals, statistics, streams  # noqa: F401
+from . import bars, joins, ledger, recursive, research, rolling, signals, statistics, streams  # noqa: F401
