@@ -13,7 +13,9 @@ table gives an empty file. Documents without key come first.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -91,36 +93,78 @@ def unpack(words: np.ndarray, raw_at: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
+#: A word of letters that keep their form when normalised, and marks behind it.
+_PLAIN = re.compile(r"([a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+)([!-/:-@\[-`{-~]*)")
+
+
 class Encoder:
-    """Ids of whole texts from a tokenizer that drops white space and never joins across it.
+    """Ids of whole texts.
 
-    A text is cut at ASCII white space; the ids of its chunks, one after the other, are the ids of the text. The ids
-    of short chunks are remembered, up to a fixed number.
+    For a tokenizer that lowers case, drops white space and ends its words with a suffix, a text is cut at ASCII white
+    space, and the ids of its chunks, one after the other, are the ids of the text. The ids of short chunks are
+    remembered, up to a fixed number. Of new chunks, plain words are lowered here and encoded many at a time by the same
+    model without its normaliser, apart from the marks behind them. Any other tokenizer is given whole texts.
     """
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        spec = json.loads(tokenizer_json)
+        suffix = spec["model"].get("end_of_word_suffix")
+        steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.by_chunk = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first.get("invert") is True
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        if self.by_chunk:
+            self.plain = Tokenizer.from_str(tokenizer_json)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_stems(self, stems: list[str]) -> None:
+        """Encodes lower-case words, many to a call; each ends with the one id that has the suffix."""
+        groups = [stems[i : i + 100] for i in range(0, len(stems), 100)]
+        for group, coded in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            data = ids.tobytes()
+            for word, a, b in zip(group, [0, *cuts], cuts, strict=False):
+                self.stems[word] = data[4 * a : 4 * b]
+            if len(cuts) != len(group):
+                self.stems.update(zip(group, self.whole(group), strict=True))
 
     def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        coded = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)
-        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, coded, strict=True)}
+        plain, other = [], []
+        for c in chunks:
+            m = _PLAIN.fullmatch(c.decode("utf-8"))
+            plain.append((c, m[1].lower(), m[2])) if m else other.append(c)
+        self.learn_stems(list({w for _, w, _ in plain if w not in self.stems}))
+        marks = list({p for *_, p in plain if p not in self.marks})
+        self.marks.update(zip(marks, self.whole(marks), strict=True))
+        out = {c: self.stems[w] + self.marks[p] for c, w, p in plain}
+        out.update(zip(other, self.whole([c.decode("utf-8") for c in other]), strict=True))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_chunk:
+            return self.whole([t or "" for t in texts])
+        for cache in (self.known, self.stems, self.marks):
+            if len(cache) > REMEMBERED:
+                cache.clear()
+        self.marks[""] = b""
         cut = [t.encode("utf-8").split() if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set()
-        for chunks in cut:
-            new.update(chunks)
-        new.difference_update(self.known)
-        fresh = self.learn(list(new)) if new else {}
-        self.known.update((c, i) for c, i in fresh.items() if len(c) <= REMEMBERED_BYTES)
         known = self.known
+        fresh = self.learn(list({c for chunks in cut for c in chunks if c not in known}))
+        known.update((c, i) for c, i in fresh.items() if len(c) <= REMEMBERED_BYTES)
         rest = {c: i for c, i in fresh.items() if len(c) > REMEMBERED_BYTES}
         return [b"".join([known[c] if c in known else rest[c] for c in chunks] if rest else map(known.__getitem__, chunks)) for chunks in cut]
 
