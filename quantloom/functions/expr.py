@@ -31,6 +31,11 @@ def rolling(column: Column, width: int, agg: Callable[[Column], Column], *, key=
     return F.when(F.count(column).over(w) >= (width if min_count is None else min_count), agg(column).over(w))
 
 
+def same_time(time: str = "t") -> WindowSpec:
+    """All rows of one time."""
+    return Window.partitionBy(time)
+
+
 def tidy(df: DataFrame, *keys: str, **values: Column) -> DataFrame:
     """Keys, and doubles rounded to six places (without negative zero)."""
     return df.select(*keys, *[(F.round(v.cast("double"), 6) + F.lit(0.0)).alias(n) for n, v in values.items()])

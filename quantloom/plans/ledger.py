@@ -1,5 +1,7 @@
 """Aggregates over ledgers and grids, evidence operators, sources."""
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -239,11 +241,11 @@ def fn_04(s, d):
     return R.read(s, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), (F.round(F.array_max("embedding").cast("double"), 4) + 0.0).alias("hi"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("positive"))
 
 
-@query("fn_05_fill_price", with_roles("fills") + "SELECT episode, level, round(price + 0.02, 9) + 0.0 AS buy_2_ticks, round(price - price * (10.0::DOUBLE / 3 / 10000), 6) + 0.0 AS sell_bps FROM fills")
+@query("fn_05_fill_price", with_roles("fills") + "SELECT episode, level, round(price + 0.02, 9) + 0.0 AS buy_2_ticks, round(price - price * (pi() / 10000), 6) + 0.0 AS sell_bps FROM fills")
 def fn_05(s, d):
     from ..functions.expr import fill_price
 
-    buy, sell = fill_price(C("price"), F.lit(1), ticks=2), fill_price(C("price"), F.lit(-1), bps=10 / 3)
+    buy, sell = fill_price(C("price"), F.lit(1), ticks=2), fill_price(C("price"), F.lit(-1), bps=math.pi)
     return R.fills(s, d).select("episode", "level", (F.round(buy, 9) + 0.0).alias("buy_2_ticks"), (F.round(sell, 6) + 0.0).alias("sell_bps"))
 
 

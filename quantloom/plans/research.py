@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import day_of, month_ordinal, over, tidy
+from ..functions.expr import day_of, month_ordinal, over, same_time, tidy
 from ..operators import bars as B
 from ..operators import models as M
 from ..operators import portfolio as P
@@ -20,7 +20,6 @@ from .recursive import _RSI
 
 C = F.col
 BARS, DAILY = with_roles("bars"), with_roles("daily")
-AT = Window.partitionBy("t")
 RET = ", x AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY t)) AS r FROM bars) "
 
 
@@ -48,7 +47,7 @@ def xs_05(s, d):
     b = R.bars_1h(s, d)
     g = b.groupBy("t").agg((F.max("high") - F.min("low")).alias("w"))
     gate = g.crossJoin(F.broadcast(g.agg(F.percentile("w", 0.5).alias("m")))).select("t", (C("w") <= C("m")).alias("ok"))
-    x = b.withColumns({"u": F.row_number().over(AT.orderBy("close", "symbol")), "v": F.row_number().over(AT.orderBy(C("close").desc(), "symbol"))}).join(gate, "t")
+    x = b.withColumns({"u": F.row_number().over(same_time().orderBy("close", "symbol")), "v": F.row_number().over(same_time().orderBy(C("close").desc(), "symbol"))}).join(gate, "t")
     return x.select("symbol", "t", F.when(~C("ok"), 0).when(C("u") == 1, 1).when(C("v") == 1, -1).otherwise(0).cast("long").alias("side"))
 
 
@@ -100,7 +99,7 @@ def pf_09(s, d):
 
 @query("pf_10_sleeve_blend", BARS + ", l AS (SELECT symbol, t, row_number() OVER (PARTITION BY t ORDER BY close DESC, symbol) AS u, row_number() OVER (PARTITION BY t ORDER BY close, symbol) AS v, row_number() OVER (PARTITION BY t ORDER BY close + volume DESC, symbol) AS w, count(*) OVER (PARTITION BY t) AS n FROM bars) SELECT symbol, t, round(0.4::DOUBLE * (CASE WHEN u = 1 THEN 1.0 WHEN v = 1 THEN -1.0 ELSE 0.0 END) + 0.6 * (CASE WHEN w <= 2 THEN 0.5 ELSE 0.0 END), 6) + 0.0 AS weight FROM l WHERE n > 1")
 def pf_10(s, d):
-    x = P.legs(R.bars_1h(s, d).withColumn("n", F.count("*").over(AT)).where("n > 1"), "close", 1).withColumn("w", F.row_number().over(AT.orderBy((C("close") + C("volume")).desc(), "symbol")))
+    x = P.legs(R.bars_1h(s, d).withColumn("n", F.count("*").over(same_time())).where("n > 1"), "close", 1).withColumn("w", F.row_number().over(same_time().orderBy((C("close") + C("volume")).desc(), "symbol")))
     return tidy(x, "symbol", "t", weight=0.4 * C("side") + 0.6 * F.when(C("w") <= 2, 0.5).otherwise(0.0))
 
 
@@ -121,7 +120,7 @@ def stat_12(s, d):
     """Mean rank correlation with the next return of seeded random products of rank components."""
     b = R.bars_1h(s, d)
     names = ["open", "high", "low", "close", "volume"]
-    x = b.withColumns({"nx": F.lead("close").over(over()) / C("close") - 1, **{f"p{i}": F.percent_rank().over(AT.orderBy(c)) + 0.01 for i, c in enumerate(names)}}).where("nx is not null")
+    x = b.withColumns({"nx": F.lead("close").over(over()) / C("close") - 1, **{f"p{i}": F.percent_rank().over(same_time().orderBy(c)) + 0.01 for i, c in enumerate(names)}}).where("nx is not null")
     formulas = s.range(12).select(C("id").alias("f"), F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(2)) == 0).alias("use"))
     score = sum((F.when(C("use")[i], F.log(f"p{i}")).otherwise(0.0) for i in range(5)), F.lit(0.0))
     y = x.crossJoin(F.broadcast(formulas)).withColumn("score", score)  # twelve formulas

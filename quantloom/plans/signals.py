@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import over, rolling, sigmoid, tidy
+from ..functions.expr import over, rolling, same_time, sigmoid, tidy
 from ..operators import portfolio as P
 from ..operators import rolling as W
 from ..operators.joins import symbol_pairs
@@ -14,7 +14,6 @@ from ..sources.roles import with_roles
 
 C = F.col
 BARS, DAILY = with_roles("bars"), with_roles("daily")
-AT = Window.partitionBy("t")
 RET = ", x AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY t)) AS r FROM bars) "
 
 
@@ -110,7 +109,7 @@ def sig_11(s, d):
 
 @query("sig_12_peer_distance", BARS + ", z AS (SELECT symbol, t, (close - avg(close) OVER a) / nullif(stddev_pop(close) OVER a, 0) AS z FROM bars WINDOW a AS (PARTITION BY t)), p AS (SELECT a.symbol, a.t, a.z, b.z AS zb, abs(a.z - b.z) AS dist FROM z a JOIN z b ON a.t = b.t AND a.symbol <> b.symbol), m AS (SELECT *, quantile_cont(dist, 0.5) OVER (PARTITION BY symbol, t) AS med FROM p) SELECT symbol, t, count(*) FILTER (dist <= 1.25 * med) AS peers, round(max(z) - avg(zb) FILTER (dist <= 1.25 * med), 6) + 0.0 AS score FROM m GROUP BY 1, 2")
 def sig_12(s, d):
-    z = R.bars_1h(s, d).withColumn("z", (C("close") - F.avg("close").over(AT)) / F.nullif(F.stddev_pop("close").over(AT), F.lit(0.0)))
+    z = R.bars_1h(s, d).withColumn("z", (C("close") - F.avg("close").over(same_time())) / F.nullif(F.stddev_pop("close").over(same_time()), F.lit(0.0)))
     a, b = z.select("symbol", "t", "z"), z.select(C("symbol").alias("s2"), "t", C("z").alias("zb"))
     p = a.join(b, "t").where("symbol <> s2").withColumn("dist", F.abs(C("z") - C("zb")))
     m = p.withColumn("med", F.percentile("dist", 0.5).over(Window.partitionBy("symbol", "t")))
@@ -120,7 +119,7 @@ def sig_12(s, d):
 
 @query("sig_13_residual_anomaly", BARS + ", y AS (SELECT symbol, t, close AS y, avg(close) OVER (PARTITION BY t) AS x FROM bars), b AS (SELECT *, CASE WHEN count(x) OVER f >= 20 AND avg(x*x) OVER f - (avg(x) OVER f) * (avg(x) OVER f) > 1e-14 THEN (avg(x*y) OVER f - (avg(x) OVER f) * (avg(y) OVER f)) / (avg(x*x) OVER f - (avg(x) OVER f) * (avg(x) OVER f)) END AS beta FROM y WINDOW f AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING)), e AS (SELECT symbol, t, y - beta * x AS e FROM b) SELECT symbol, t, round(CASE WHEN count(e) OVER g = 24 THEN e / nullif(stddev_pop(e) OVER g, 0) END, 5) + 0.0 AS score FROM e WINDOW g AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)")
 def sig_13(s, d):
-    x = R.bars_1h(s, d).withColumn("x", F.avg("close").over(AT))
+    x = R.bars_1h(s, d).withColumn("x", F.avg("close").over(same_time()))
     x = x.withColumn("beta", W.trailing_beta(C("close"), C("x"), 48, 20)).withColumn("e", C("close") - C("beta") * C("x"))
     score = F.when(F.count("e").over(over().rowsBetween(-23, 0)) == 24, C("e") / F.nullif(F.stddev_pop("e").over(over().rowsBetween(-23, 0)), F.lit(0.0)))
     return x.select("symbol", "t", (F.round(score, 5) + 0.0).alias("score"))
@@ -151,7 +150,7 @@ def sig_16(s, d):
 
 @query("sig_17_sized_score", BARS + RET + ", v AS (SELECT symbol, t, r, CASE WHEN count(r) OVER f = 20 THEN stddev_samp(r) OVER f END AS vol FROM x WINDOW f AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), c AS (SELECT *, quantile_cont(vol, 0.85) OVER (PARTITION BY t) AS cap FROM v WHERE vol > 0) SELECT symbol, t, round(r * least(1, 0.05 / sqrt(vol)) * CASE WHEN vol > cap THEN 0.5 ELSE 1 END, 6) + 0.0 AS score FROM c")
 def sig_17(s, d):
-    x = with_r(s, d).withColumn("vol", rolling(C("r"), 20, F.stddev_samp)).where("vol > 0").withColumn("cap", F.percentile("vol", 0.85).over(AT))
+    x = with_r(s, d).withColumn("vol", rolling(C("r"), 20, F.stddev_samp)).where("vol > 0").withColumn("cap", F.percentile("vol", 0.85).over(same_time()))
     return tidy(x, "symbol", "t", score=C("r") * F.least(F.lit(1.0), 0.05 / F.sqrt("vol")) * F.when(C("vol") > C("cap"), 0.5).otherwise(1.0))
 
 
@@ -165,7 +164,7 @@ def sig_18(s, d):
 
 @query("xs_01_standardise", BARS + ", z AS (SELECT symbol, t, close, avg(close) OVER a AS m, stddev_pop(close) OVER a AS sd, count(*) OVER a AS n FROM bars WINDOW a AS (PARTITION BY t)) SELECT symbol, t, round((close - m) / sd, 6) + 0.0 AS z FROM z WHERE n = 5 AND sd > 0")
 def xs_01(s, d):
-    x = R.bars_1h(s, d).withColumns({"m": F.avg("close").over(AT), "sd": F.stddev_pop("close").over(AT), "n": F.count("*").over(AT)}).where("n = 5 and sd > 0")
+    x = R.bars_1h(s, d).withColumns({"m": F.avg("close").over(same_time()), "sd": F.stddev_pop("close").over(same_time()), "n": F.count("*").over(same_time())}).where("n = 5 and sd > 0")
     return tidy(x, "symbol", "t", z=(C("close") - C("m")) / C("sd"))
 
 
@@ -174,33 +173,33 @@ _RANK = ", k AS (SELECT symbol, t, close, volume, rank() OVER (PARTITION BY t OR
 
 @query("xs_02_average_rank", BARS + _RANK + "SELECT symbol, t, round((rk - 1) / (n - 1), 6) + 0.0 AS pct FROM k WHERE n > 1")
 def xs_02(s, d):
-    x = R.bars_1h(s, d).withColumns({"rk": average_rank(C("volume"), ["t"]), "n": F.count("*").over(AT)}).where("n > 1")
+    x = R.bars_1h(s, d).withColumns({"rk": average_rank(C("volume"), ["t"]), "n": F.count("*").over(same_time())}).where("n > 1")
     return tidy(x, "symbol", "t", pct=(C("rk") - 1) / (C("n") - 1))
 
 
 @query("xs_03_mid_rank", BARS + _RANK + "SELECT symbol, t, round((rk - 0.5) / n, 6) + 0.0 AS pct FROM k")
 def xs_03(s, d):
-    x = R.bars_1h(s, d).withColumns({"rk": average_rank(C("volume"), ["t"]), "n": F.count("*").over(AT)})
+    x = R.bars_1h(s, d).withColumns({"rk": average_rank(C("volume"), ["t"]), "n": F.count("*").over(same_time())})
     return tidy(x, "symbol", "t", pct=(C("rk") - 0.5) / C("n"))
 
 
 @query("xs_04_rank_product_legs", BARS + ", k AS (SELECT symbol, t, close, (percent_rank() OVER (PARTITION BY t ORDER BY close)) * (percent_rank() OVER (PARTITION BY t ORDER BY high)) * (percent_rank() OVER (PARTITION BY t ORDER BY low)) AS p FROM bars) SELECT symbol, t, CASE WHEN row_number() OVER (PARTITION BY t ORDER BY p DESC, close DESC, symbol) = 1 THEN 1 WHEN row_number() OVER (PARTITION BY t ORDER BY p, close, symbol) = 1 THEN -1 ELSE 0 END::BIGINT AS leg FROM k")
 def xs_04(s, d):
-    pr = lambda c: F.percent_rank().over(AT.orderBy(c))
+    pr = lambda c: F.percent_rank().over(same_time().orderBy(c))
     x = R.bars_1h(s, d).withColumn("p", pr("close") * pr("high") * pr("low"))
-    top, low = F.row_number().over(AT.orderBy(C("p").desc(), C("close").desc(), "symbol")), F.row_number().over(AT.orderBy("p", "close", "symbol"))
+    top, low = F.row_number().over(same_time().orderBy(C("p").desc(), C("close").desc(), "symbol")), F.row_number().over(same_time().orderBy("p", "close", "symbol"))
     return x.select("symbol", "t", F.when(top == 1, 1).when(low == 1, -1).otherwise(0).cast("long").alias("leg"))
 
 
 @query("xs_06_quantile_state", BARS + ", k AS (SELECT symbol, t, row_number() OVER (PARTITION BY t ORDER BY close, symbol) AS r, count(*) OVER (PARTITION BY t) AS n FROM bars) SELECT symbol, t, (1 + floor((r - 1) * 2.0 / (n - 1) + 0.5))::BIGINT AS state FROM k WHERE n > 1")
 def xs_06(s, d):
-    x = R.bars_1h(s, d).withColumns({"r": F.row_number().over(AT.orderBy("close", "symbol")), "n": F.count("*").over(AT)}).where("n > 1")
+    x = R.bars_1h(s, d).withColumns({"r": F.row_number().over(same_time().orderBy("close", "symbol")), "n": F.count("*").over(same_time())}).where("n > 1")
     return x.select("symbol", "t", (1 + F.floor((C("r") - 1) * 2.0 / (C("n") - 1) + 0.5)).cast("long").alias("state"))
 
 
 @query("xs_07_characteristic_payoff", BARS + RET + ", z AS (SELECT symbol, t, (close - avg(close) OVER a) / nullif(stddev_pop(close) OVER a, 0) AS z, lead(r) OVER (PARTITION BY symbol ORDER BY t) AS nx FROM x WINDOW a AS (PARTITION BY t)) SELECT t, round(avg(z * nx), 6) + 0.0 AS payoff, round(avg(nx), 6) + 0.0 AS market FROM z GROUP BY 1")
 def xs_07(s, d):
-    x = with_r(s, d).withColumns({"z": (C("close") - F.avg("close").over(AT)) / F.nullif(F.stddev_pop("close").over(AT), F.lit(0.0)), "nx": F.lead("r").over(over())})
+    x = with_r(s, d).withColumns({"z": (C("close") - F.avg("close").over(same_time())) / F.nullif(F.stddev_pop("close").over(same_time()), F.lit(0.0)), "nx": F.lead("r").over(over())})
     return tidy(x.groupBy("t").agg(F.avg(C("z") * C("nx")).alias("payoff"), F.avg("nx").alias("market")), "t", payoff=C("payoff"), market=C("market"))
 
 
@@ -219,7 +218,7 @@ def xs_09(s, d):
 
 @query("xs_10_rank_displacement", BARS + ", k AS (SELECT symbol, t, percent_rank() OVER (PARTITION BY t ORDER BY close) AS a, percent_rank() OVER (PARTITION BY t ORDER BY volume) AS b FROM bars) SELECT symbol, t, round(abs(a - b), 6) + 0.0 AS displacement FROM k")
 def xs_10(s, d):
-    pr = lambda c: F.percent_rank().over(AT.orderBy(c))
+    pr = lambda c: F.percent_rank().over(same_time().orderBy(c))
     x = R.bars_1h(s, d).withColumns({"a": pr("close"), "b": pr("volume")})
     return tidy(x, "symbol", "t", displacement=F.abs(C("a") - C("b")))
 
@@ -227,7 +226,7 @@ def xs_10(s, d):
 @query("xs_12_long_short_series", BARS + ", f AS (SELECT symbol, t, close, lead(close) OVER (PARTITION BY symbol ORDER BY t) / close - 1 AS nx FROM bars), l AS (SELECT t, nx, row_number() OVER (PARTITION BY t ORDER BY close DESC, symbol) AS u, row_number() OVER (PARTITION BY t ORDER BY close, symbol) AS v, count(*) OVER (PARTITION BY t) AS n FROM f) SELECT t, round(0.5 * (avg(nx) FILTER (u <= 2) - avg(nx) FILTER (v <= 2)), 6) + 0.0 AS ls FROM l WHERE n >= 4 GROUP BY 1")
 def xs_12(s, d):
     f = R.bars_1h(s, d).withColumn("nx", F.lead("close").over(over()) / C("close") - 1)
-    x = P.legs(f.withColumn("n", F.count("*").over(AT)).where("n >= 4"), "close", 2).groupBy("t").agg((0.5 * (F.avg(F.when(C("side") == 1, C("nx"))) - F.avg(F.when(C("side") == -1, C("nx"))))).alias("ls"))
+    x = P.legs(f.withColumn("n", F.count("*").over(same_time())).where("n >= 4"), "close", 2).groupBy("t").agg((0.5 * (F.avg(F.when(C("side") == 1, C("nx"))) - F.avg(F.when(C("side") == -1, C("nx"))))).alias("ls"))
     return tidy(x, "t", ls=C("ls"))
 
 
