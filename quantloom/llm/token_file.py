@@ -32,7 +32,7 @@ SELECTORS = ((1, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7
 COUNTS = np.array([n for n, _ in SELECTORS], np.int64)
 BLOCK_IDS = 1 << 16
 #: Chunks that a worker remembers, and the length up to which it does.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 40
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 40
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
