@@ -17,7 +17,7 @@ def autocorrelation(rows: DataFrame, value: str, lags: list[int], *, key: str =
     whole = Window.partitionBy(key)
     x = rows.withColumns({"_x": C(value) - F.avg(value).over(whole), "_v": F.var_pop(value).over(whole), "_n": F.count(value).over(whole)})
     pairs = x.withColumn("_p", F.array(*[F.struct(F.lit(k).cast("long").alias("k"), (C("_x") * F.lag("_x", k).over(over(key))).alias("p")) for k in lags]))
-    return pairs.select(key, "_v", "_n", F.inline("_p")).groupBy(key, "k").agg((F.sum("p") / (F.first("_n") - C("k")) / F.first("_v")).alias("rho"))
+    return pairs.select(key, "_v", "_n", F.inline("_p")).groupBy(key, "k").agg((F.sum("p") / F.nullif(F.first("_n") - C("k"), F.lit(0)) / F.nullif(F.first("_v"), F.lit(0.0))).alias("rho"))
 
 
 def average_rank(column: Column, part: list[str]) -> Column:
@@ -93,7 +93,7 @@ def circular_shift(rows: DataFrame, value: str, shift: int, *, key: str = "symbo
 def variance_ratio(rows: DataFrame, value: str, q: int, *, key: str = "symbol") -> DataFrame:
     w = over(key).rowsBetween(0, q - 1)
     x = rows.withColumn("_s", F.when(F.count(value).over(w) == q, F.sum(value).over(w)))
-    return x.groupBy(key).agg((F.var_pop("_s") / (q * F.var_pop(value))).alias("ratio"))
+    return x.groupBy(key).agg((F.var_pop("_s") / F.nullif(q * F.var_pop(value), F.lit(0.0))).alias("ratio"))
 
 
 def fourier_residues(rows: DataFrame, k: int, m: int, a: float = 1.0, *, key: str = "symbol") -> DataFrame:

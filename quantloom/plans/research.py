@@ -125,8 +125,9 @@ def stat_12(s, d):
     score = sum((F.when(C("use")[i], F.log(f"p{i}")).otherwise(0.0) for i in range(5)), F.lit(0.0))
     y = x.crossJoin(F.broadcast(formulas)).withColumn("score", score)  # twelve formulas
     y = y.withColumns({"a": average_rank(F.round("score", 9), ["t", "f"]), "b": average_rank(C("nx"), ["t", "f"])})
-    ic = y.groupBy("f", "t").agg(F.corr("a", "b").alias("ic"))
-    return ic.where("not isnan(ic)").groupBy("f").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("n"))
+    sd = F.nullif(F.stddev_pop("a") * F.stddev_pop("b"), F.lit(0.0))
+    ic = y.groupBy("f", "t").agg((F.covar_pop("a", "b") / sd).alias("ic"))
+    return ic.where("ic is not null").groupBy("f").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("n"))
 
 
 def _features(s, d):
