@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where unset a new one for local tests."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
@@ -72,3 +72,13 @@ def core_count(spark: SparkSession) -> int:
 def computed_once(column) -> "F.Column":
     """The same values, but as an expression that the optimizer neither repeats at each use nor moves below a filter."""
     return F.when(F.spark_partition_id() >= 0, column)
+
+
+#: Keys up to which a set of rows to leave out is broadcast; a long takes some 30 bytes there.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows whose key isn't in ``gone``. The keys are saved and counted: few are broadcast, so that wide rows stay where they are; more meet them in a shuffle join."""
+    gone = saved(gone.select(key).distinct())
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, key, "left_anti")

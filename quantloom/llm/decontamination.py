@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words
+from .common import alnum_words, without
 
 #: Characters of benchmark text in a block; what one pass gives each worker.
 BLOCK_CHARS = 8_000_000
@@ -191,5 +191,5 @@ def contaminated() -> F.Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose key has no contaminated text; all columns stay."""
-    bad = hits(docs, benchmark, key=key, text=text, **options).where(contaminated()).select(key).distinct()
-    return docs.join(bad, key, "left_anti")
+    bad = hits(docs, benchmark, key=key, text=text, **options).where(contaminated())
+    return without(docs, bad, key)

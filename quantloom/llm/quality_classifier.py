@@ -68,7 +68,7 @@ def features(vocabulary: dict[bytes, int], text, lang, source, n_chars) -> tuple
 
 def text_matrix(present: list[list[int]], stats, n_words: int) -> np.ndarray:
     stats = np.asarray(stats, np.float64).reshape(len(present), -1)
-    out = np.zeros((len(present), n_words + stats.shape[1]))
+    out = np.zeros((len(present), n_words + stats.shape[1]), np.float32)
     for i, p in enumerate(present):
         out[i, p] = 1.0
     out[:, n_words:] = stats
@@ -76,19 +76,22 @@ def text_matrix(present: list[list[int]], stats, n_words: int) -> np.ndarray:
 
 
 class Logistic:
-    """Ridge logistic regression by Newton steps."""
+    """Ridge logistic regression by Newton steps over (rows, marks, weight) parts, a block of rows at a time."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 0.3):
-        x = np.column_stack([np.ones(len(x)), x])
-        w, weight = np.zeros(x.shape[1]), np.ones(len(x)) if weight is None else weight
-        penalty = np.full(x.shape[1], ridge)
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, float]], ridge: float = 0.3, block: int = 1024):
+        n = parts[0][0].shape[1] + 1
+        w, penalty = np.zeros(n), np.full(n, ridge)
         penalty[0] = 1e-6
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            gradient = x.T @ (weight * (p - y)) + penalty * w
-            curve = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
+            gradient, curve = penalty * w, np.diag(penalty)
+            for x, y, weight in parts:
+                for at in range(0, len(x), block):
+                    some = np.column_stack([np.ones(len(x[at : at + block])), x[at : at + block]])
+                    p = sigmoid(np.clip(some @ w, -30, 30))
+                    gradient += some.T @ (weight * (p - y[at : at + block]))
+                    curve += (some * (weight * p * (1 - p) + 1e-9)[:, None]).T @ some
             step = np.linalg.solve(curve, gradient)
-            w -= step
+            w = w - step
             if np.abs(step).max() < 1e-6:
                 break
         self.w = w
@@ -111,10 +114,9 @@ class CoTrained:
         given: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0))] * 2
         self.taught = []
         for _ in range(rounds):
-            models = [Logistic(np.vstack([x, u[rows]]), np.concatenate([y[fit], marks]), np.concatenate([np.ones(int(fit.sum())), np.full(len(rows), 0.5)]))
-                      for (x, u), (rows, marks) in zip(views, given, strict=True)]
+            models = [Logistic([(x, y[fit], 1.0), (u[rows], marks, 0.5)]) for (x, u), (rows, marks) in zip(views, given, strict=True)]
             z = [m.logit(x[held]) for m, x in zip(models, (text_l, meta_l), strict=True)]
-            self.scale = [Logistic(v[:, None], y[held], ridge=0.1).w for v in z]
+            self.scale = [Logistic([(v[:, None], y[held], 1.0)], ridge=0.1).w for v in z]
             if not len(text_u):
                 break
             said = [sigmoid(s[0] + s[1] * m.logit(u)) for s, m, (_, u) in zip(self.scale, models, views, strict=True)]
@@ -123,7 +125,7 @@ class CoTrained:
             self.taught.append((len(rows[0]), len(rows[1])))
         self.models = models
         calibrated = np.column_stack([s[0] + s[1] * v for s, v in zip(self.scale, z, strict=True)])
-        self.mix = Logistic(calibrated, y[held], ridge=0.1)
+        self.mix = Logistic([(calibrated, y[held], 1.0)], ridge=0.1)
 
     def bad(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(combined, text view, metadata view) probabilities of being bad."""
@@ -169,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", meta
 
     got = rows.withColumn("_held", held).mapInPandas(featured, "key string, bad double, held boolean, p array<int>, s array<double>, m array<double>").toPandas().sort_values("key", kind="stable")
     x = text_matrix(got["p"].tolist(), got["s"].tolist(), len(vocabulary))
-    m = np.array(got["m"].tolist())
+    m = np.array(got["m"].tolist(), np.float32)
     has = got["bad"].notna().to_numpy()
     y, held_rows = got["bad"].to_numpy()[has], got["held"].to_numpy(bool)[has]
     if min(len(set(y[held_rows])), len(set(y[~held_rows]))) < 2:

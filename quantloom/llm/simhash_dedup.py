@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, saved
+from .common import LOWER_BYTES, saved, without
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42, chunk: int = 1 << 16) -> int:
@@ -208,11 +208,11 @@ def simhash_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
 def near_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that lead their component: those with its smallest key; of repeated keys one row stays.
 
-    All columns of ``docs`` stay. Texts are read again rather than shuffled; only the keys that go are shuffled.
+    All columns of ``docs`` stay. Texts are read again rather than shuffled, as long as the keys that go are few enough to be broadcast.
     """
     found = simhash_components(docs, key=key, text=text, **options)
     gone = found.where(F.col(key) != F.col("component_id")).select(key)
-    stay = docs.join(gone, key, "left_anti")
+    stay = without(docs, gone, key)
     twice = docs.groupBy(key).count().where("count > 1").select(key)
     if twice.isEmpty():
         return stay
