@@ -1,12 +1,14 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into leaf blocks in page order. Each leaf has a vector: hashed tags, classes and ids on its path from the
-root, hashed words of its text, and its share of links, length and place. A bidirectional LSTM in numpy reads the
+root, hashed words of its whole text (a bucket counts by the logarithm of its different words), and its share of links, length and place. A bidirectional LSTM in numpy reads the
 sequence of all leaves of the page, so every block is labelled with the whole document as context.
 
-The labeller is trained here, from a bounded sample of the pages at hand: leaves whose path has semantic markup give
-labels (inside an article or main element and in no menu, header, footer, aside, form, advert, notice or comment),
-and each page is also rebuilt with other containers for the article, and with known unwanted blocks put in and around it.
+The labeller is trained here, on a bounded number of whole pages of those at hand, taken whatever their length: leaves
+whose path has semantic markup give labels (inside an article or main element and in no menu, header, footer, aside, form,
+advert, notice or comment). Pages without an article or main element give no labels, as nothing says which blocks are
+wanted. The texts of all pages taken also fill rebuilt pages, with other containers for the article and with known unwanted blocks put
+in and around it.
 
 Defined results: null and empty pages, and pages without main text, give an empty text and 0 characters. Open
 tags at the end of a page are dropped, open comments and scripts run to its end. Repeated rows each get their own result.
@@ -138,8 +140,8 @@ def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
                 h = hashed[name] = zlib.crc32(name.encode("utf-8", "replace")) % PATH_DIM
             out[i, h] = 1.0
         words = text.split()
-        for w in set(words[:64]):
-            out[i, PATH_DIM + zlib.crc32(w.encode("utf-8", "replace")) % WORD_DIM] += 1.0 / 8
+        buckets = [zlib.crc32(w.encode("utf-8", "replace")) % WORD_DIM for w in set(words)]
+        out[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.log2(1 + np.bincount(buckets, minlength=WORD_DIM)) / 8
         n = len(text)
         out[i, PATH_DIM + WORD_DIM :] = (min(1.0, linked / n), min(2.0, n / 400), min(2.0, len(words) / 40), (i + 1) / len(page), 1.0 / (i + 1), float(text[-1] in ".!?"))
     return out
@@ -216,9 +218,8 @@ class BlockLabeller:
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
         square = {k: np.zeros_like(v) for k, v in self.p.items()}
         for epoch in range(epochs):
-            order = rng.permutation(len(pages))
-            for at in range(0, len(order), batch):
-                x, mask, y = padded([pages[i] for i in order[at : at + batch]], [labels[i] for i in order[at : at + batch]])
+            for some in batches_by_length(pages, rng.permutation(len(pages)).tolist(), batch, rng):
+                x, mask, y = padded([pages[i] for i in some], [labels[i] for i in some])
                 step += 1
                 for k, g in self.gradients(x, mask, y).items():
                     g = np.clip(g, -1, 1) + 1e-5 * self.p[k]
@@ -231,13 +232,7 @@ class BlockLabeller:
     def label(self, pages: list[np.ndarray], batch: int = 32) -> list[np.ndarray]:
         """True for the main blocks of each page."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: len(pages[i]))
-        at = 0
-        while at < len(order):
-            some = [order[at]]  # pages of like length, and not too many leaves at once
-            while len(some) < batch and at + len(some) < len(order) and len(pages[order[at + len(some)]]) * (len(some) + 1) <= 8192:
-                some.append(order[at + len(some)])
-            at += len(some)
+        for some in batches_by_length(pages, [i for i, p in enumerate(pages) if len(p)], batch):
             x, mask, _ = padded([pages[i] for i in some])
             p = self.probabilities(x, mask)
             for row, i in enumerate(some):
@@ -245,6 +240,18 @@ class BlockLabeller:
         return out
 
 
+def batches_by_length(pages: list[np.ndarray], which: list[int], batch: int, rng: np.random.Generator | None = None) -> list[list[int]]:
+    """Batches of whole pages of like length, with not too many leaves at once; in random order if there is a generator."""
+    order, out, at = sorted(which, key=lambda i: len(pages[i])), [], 0
+    while at < len(order):
+        some = [order[at]]
+        while len(some) < batch and at + len(some) < len(order) and len(pages[order[at + len(some)]]) * (len(some) + 1) <= 8192:
+            some.append(order[at + len(some)])
+        at += len(some)
+        out.append(some)
+    return out if rng is None else [out[i] for i in rng.permutation(len(out))]
+
+
 def padded(pages: list[np.ndarray], labels: list[np.ndarray] | None = None):
     steps = max(len(p) for p in pages)
     x, mask, y = np.zeros((len(pages), steps, DIM), np.float32), np.zeros((len(pages), steps), bool), np.zeros((len(pages), steps))
@@ -290,19 +297,29 @@ def rebuilt(rng: random.Random, texts: list[str]) -> tuple[list, np.ndarray]:
     return [(p, t.replace(mark, ""), n) for p, t, n in got], np.array([mark in t for _, t, _ in got], float)
 
 
-def train(pages: DataFrame, *, key: str = "page_id", html: str = "html", max_pages: int = 160, max_chars: int = 20_000, n_rebuilt: int = 700, max_leaves: int = 60, seed: int = 42) -> BlockLabeller | None:
-    """Trains on at most ``max_pages`` pages of at most ``max_chars`` characters, and on pages rebuilt from their texts."""
-    fits = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).where(F.length("html").between(1, max_chars))
-    ids = saved(fits.select("key").where("key is not null").orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(max_pages).distinct())
-    sample = [r["html"] for r in fits.join(F.broadcast(ids), "key").groupBy("key").agg(F.min("html").alias("html")).orderBy("key").collect()]
-    cut = [leaves(p) for p in sample]
-    texts = sorted({t for p in cut for _, t, _ in p})
+def marked_by_markup(page: list[tuple[tuple[str, ...], str, int]]) -> bool:
+    """Whether a page says which of its leaves are wanted: any is inside an article or main element."""
+    return any(not WANTED.isdisjoint(path) for path, _, _ in page)
+
+
+def examples(pages: list[list[tuple[tuple[str, ...], str, int]]], n_rebuilt: int, seed: int = 42) -> list[tuple[list, np.ndarray]]:
+    """Leaves and labels to train on: rebuilt pages, and all leaves of each page with semantic markup."""
+    texts = sorted({t for p in pages for _, t, _ in p})
     if not texts:
-        return None
+        return []
     rng = random.Random(seed)
-    made = [rebuilt(rng, texts) for _ in range(n_rebuilt)] + [(p, np.array([float(wanted_by_markup(path)) for path, _, _ in p])) for p in cut]
-    made = [(p, y) for p, y in made if p]
-    return BlockLabeller(seed=seed).fit([vectors(p)[:max_leaves] for p, _ in made], [y[:max_leaves] for _, y in made])
+    made = [rebuilt(rng, texts) for _ in range(n_rebuilt)]
+    made += [(p, np.array([float(wanted_by_markup(path)) for path, _, _ in p])) for p in pages if marked_by_markup(p)]
+    return [(p, y) for p, y in made if p]
+
+
+def train(pages: DataFrame, *, key: str = "page_id", html: str = "html", max_pages: int = 160, n_rebuilt: int = 700, seed: int = 42) -> BlockLabeller | None:
+    """Trains on at most ``max_pages`` whole pages of any length, and on pages rebuilt from their texts."""
+    filled = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).where("html <> ''")
+    ids = saved(filled.select("key").where("key is not null").orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(max_pages).distinct())
+    sample = [r["html"] for r in filled.join(F.broadcast(ids), "key").groupBy("key").agg(F.min("html").alias("html")).orderBy("key").collect()]
+    made = examples([leaves(p) for p in sample], n_rebuilt, seed)
+    return BlockLabeller(seed=seed).fit([vectors(p) for p, _ in made], [y for _, y in made]) if made else None
 
 
 def extract(pages: DataFrame, *, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",), model: BlockLabeller | None = None, **options) -> DataFrame:

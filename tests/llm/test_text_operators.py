@@ -308,6 +308,23 @@ def test_html(spark):
     assert extract(frame.where("false")).count() == 0
 
 
+def test_html_reads_and_learns_whole_pages(spark):
+    from quantloom.llm.html_text import PATH_DIM, WORD_DIM, examples, extract, leaves, vectors
+
+    words = [f"w{i}" for i in range(400)]
+    one, other = (vectors([(("p",), " ".join([*words, last]), 0)])[0] for last in ("end0", "end1"))
+    assert not np.array_equal(one[PATH_DIM : PATH_DIM + WORD_DIM], other[PATH_DIM : PATH_DIM + WORD_DIM])  # words after the 64th count
+    plain = leaves("<body><div class='content'><p>The article.</p></div></body>")
+    long = leaves("<body><article>" + "<p>Some text.</p>" * 90 + "</article><div class='zzz'><p>tail</p></div></body>")
+    made = examples([plain, long], 0)
+    assert len(made) == 1 and len(made[0][0]) == 91 and made[0][1][89] == 1 and made[0][1][90] == 0
+    body = "".join(f"<p>Words of a long article, part {i}. {'more ' * 60}</p>" for i in range(80))
+    page = f"<html><body><nav>Home</nav><article><h1>Title</h1>{body}</article><section class='zzz'><p>First!</p><p>me too</p></section></body></html>"
+    assert len(page) > 20_000
+    got = extract(spark.createDataFrame([(i, "u", page) for i in range(40)], "page_id long, url string, html string")).first()
+    assert got.text.startswith("Title\nWords") and got.text.count("\n") == 80 and "me too" not in got.text
+
+
 def test_language(spark, empty):
     from quantloom.llm.language_id import identify
 
