@@ -78,7 +78,18 @@ def computed_once(column) -> "F.Column":
 BROADCAST_KEYS = 1_000_000
 
 
-def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """rows whose key isn't in ``gone``. The keys are saved and counted: few are broadcast, so that wide rows stay where they are; more meet them in a shuffle join."""
-    gone = saved(gone.select(key).distinct())
-    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, key, "left_anti")
+def row_mark(*columns: str) -> "F.Column":
+    """A hash of the values of the columns that tells null from everything else; what rows with equal values share."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
+def without(rows: DataFrame, gone: DataFrame, *keys: str, how: str = "left_anti") -> DataFrame:
+    """rows whose keys aren't in ``gone``, or those that are with ``how`` left_semi; null is a key like any other.
+
+    The keys are saved and counted: few are broadcast, so that wide rows stay where they are; more meet them in a shuffle join.
+    """
+    gone = saved(gone.select(*[F.col(k).alias(f"_gone_{k}") for k in keys]).distinct())
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_gone_{k}"))
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, same, how)

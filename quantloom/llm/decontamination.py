@@ -11,7 +11,7 @@ passes are chained in one stage and hand on what was hit.
 
 Defined results: null and empty texts have no words and no hits; an empty benchmark hits nothing. Items without words
 have no windows; items with the same text all count. Item ids are compared as strings; a repeated item_id counts once.
-Repeated documents each get their own row. Input columns named _hit or _items are not carried.
+Repeated documents each get their own row. Input columns named _hit, _items or _row are not carried.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, without
+from .common import alnum_words, row_mark, without
 
 #: Characters of benchmark text in a block; what one pass gives each worker.
 BLOCK_CHARS = 8_000_000
@@ -190,6 +190,10 @@ def contaminated() -> F.Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose key has no contaminated text; all columns stay."""
-    bad = hits(docs, benchmark, key=key, text=text, **options).where(contaminated())
-    return without(docs, bad, key)
+    """The rows of ``docs`` that aren't contaminated themselves; all columns stay.
+
+    A row goes by its own text, found again by a hash of its key and text, so rows with a null key, and other texts of the same key, are decided on alone.
+    """
+    rows = docs.withColumn("_row", row_mark(key, text))
+    bad = hits(rows, benchmark, key="_row", text=text, **options).where(contaminated())
+    return without(rows, bad, "_row").drop("_row")

@@ -12,7 +12,8 @@ bit counts exclude; this is the price of exact comparison without candidates.
 
 Defined results: null and empty texts, and texts of white space, have fingerprint 0 and are linked like any other;
 a text of one or two words is one shingle. Repeated doc_ids keep their rows; each row has the component of its own
-fingerprint. An empty table gives an empty result.
+fingerprint. Rows without doc_id are linked like any other; they lead a component only where no row of it has one.
+An empty table gives an empty result. Input columns named _row are not carried.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, saved, without
+from .common import LOWER_BYTES, row_mark, saved, without
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42, chunk: int = 1 << 16) -> int:
@@ -194,28 +195,42 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def simhash_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = 2, width: int = 3, seed: int = 42, tile_rows: int = 8192) -> DataFrame:
-    """(key, fp, fingerprint, component_id) for each row; component_id is the smallest key of its component."""
-    marked = saved(with_fingerprint(docs.select(key, text), text, "fp", width, seed).select(key, "fp"))
-    nodes = saved(marked.groupBy("fp").agg(F.min(key).alias("_least")))
+def _components(docs: DataFrame, key: str, text: str, mark: str | None = None, *, radius: int = 2, width: int = 3, seed: int = 42, tile_rows: int = 8192) -> DataFrame:
+    """(key, fp, component_id) for each row; with a column ``mark`` also mark and leads, true for the rows of the component's smallest (key, mark), nulls last."""
+    extra = [mark] if mark else []
+    marked = saved(with_fingerprint(docs.select(key, text, *extra), text, "fp", width, seed).select(key, "fp", *extra))
+    first = [F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(mark).alias("mark"))).alias("_first")] if mark else []
+    nodes = saved(marked.groupBy("fp").agg(F.min(key).alias("_least"), *first))
     roots = connected(fingerprint_links(nodes, radius, tile_rows))
-    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp", "left").select(key, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    kept = [c for c in nodes.columns if c != "fp"]
+    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", *kept, F.coalesce("root", "fp").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("_least").alias("component_id"), *([F.min("_first").alias("_leader")] if mark else []))
+    named = grouped.select("fp", "root").join(least, "root").drop("root")
+    out = marked.join(named, "fp", "left")
+    if not mark:
+        return out.select(key, "fp", "component_id")
+    leads = F.col(key).eqNullSafe(F.col("_leader.key")) & (F.col(mark) == F.col("_leader.mark"))
+    return out.select(key, "fp", "component_id", mark, leads.alias("leads"))
+
+
+def simhash_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(key, fp, fingerprint, component_id) for each row; component_id is the smallest key of its component, null where no row of it has a key."""
+    found = _components(docs, key, text, **options)
+    return found.select(key, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that lead their component: those with its smallest key; of repeated keys one row stays.
+    """One row of each component: that with its smallest key, rows without key last; among rows of that key, the smallest hash of the whole row.
 
-    All columns of ``docs`` stay. Texts are read again rather than shuffled, as long as the keys that go are few enough to be broadcast.
+    Rows are decided on one by one: a key that is repeated with other texts stays once in each component that it leads,
+    and a component without any key keeps one of its rows. All columns of ``docs`` stay. Texts are read again rather
+    than shuffled, as long as the rows that go are few enough for their keys and hashes to be broadcast.
     """
-    found = simhash_components(docs, key=key, text=text, **options)
-    gone = found.where(F.col(key) != F.col("component_id")).select(key)
-    stay = without(docs, gone, key)
-    twice = docs.groupBy(key).count().where("count > 1").select(key)
-    if twice.isEmpty():
-        return stay
-    order = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns), *[F.col(c) for c in docs.columns])
-    several = stay.join(twice, key, "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return stay.join(twice, key, "left_anti").unionByName(several)
+    rows = docs.withColumn("_row", row_mark(*docs.columns))
+    found = saved(_components(rows, key, text, "_row", **options))
+    stay = without(rows, found.where("not leads"), key, "_row")
+    twice = found.where("leads").groupBy(key, "_row").count().where("count > 1")
+    if not twice.isEmpty():  # rows that are equal in every column
+        several = without(stay, twice, key, "_row", how="left_semi").dropDuplicates(docs.columns)
+        stay = without(stay, twice, key, "_row").unionByName(several)
+    return stay.drop("_row")

@@ -187,6 +187,22 @@ def test_fingerprints_and_components(spark, docs, empty):
     assert simhash_components(empty).count() == 0
 
 
+def test_stages_decide_by_row(spark):
+    from quantloom.llm.decontamination import decontaminate
+    from quantloom.llm.simhash_dedup import near_dedup
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "s"), (5, a, "s"), (5, b, "s"), (None, b, "s"), (None, c, "s"), (None, c, "s"), (None, c, None), (7, None, "s"), (7, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = near_dedup(d).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, a), (5, b), (0, c), (7, "")])
+    other = spark.createDataFrame([(5, a), (5, b), (5, b)], "doc_id long, text string")
+    assert sorted(r.text for r in near_dedup(other).collect()) == [a, b]  # both lead a component of their own
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    left = decontaminate(spark.createDataFrame([(1, a), (1, b), (None, a), (None, c), (2, None)], "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == sorted([(1, b), (0, c), (2, "")])
+
+
 def test_tiles_lose_no_link(spark):
     from quantloom.llm.simhash_dedup import connected, fingerprint_links
 
