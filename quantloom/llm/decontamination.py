@@ -11,6 +11,8 @@ passes are chained in one stage and hand on what was hit.
 
 Defined results: null and empty texts have no words and no hits; an empty benchmark hits nothing. Items without words
 have no windows; items with the same text all count. Item ids are compared as strings; a repeated item_id counts once.
+Windows of items without id hit like any other: all such items together count once in n_items, and aren't in the list
+of items.
 Repeated documents each get their own row. Input columns named _hit, _items or _row are not carried.
 """
 
@@ -34,10 +36,10 @@ SHARD_WORDS = 1_000_000
 class Windows:
     """The different windows of a block of items: word numbers, lengths, items of each."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int = 13):
+    def __init__(self, items: list[tuple[str | None, str]], width: int = 13):
         self.word_ids: dict[bytes, int] = {}
         where: dict[tuple[int, ...], int] = {}
-        self.items: list[set[str]] = []
+        self.items: list[set[str | None]] = []
         follows: set[tuple[int, int]] = set()
         for item, text in items:
             ids = [self.word_ids.setdefault(w, len(self.word_ids) + 1) for w in alnum_words(text)]
@@ -93,7 +95,7 @@ def places(words: np.ndarray, order: np.ndarray, wanted: Windows, some: slice) -
     return search(False), search(True)
 
 
-def shard_hits(docs: list[list[bytes]], wanted: Windows) -> dict[int, tuple[list[tuple[int, int]], set[str], int]]:
+def shard_hits(docs: list[list[bytes]], wanted: Windows) -> dict[int, tuple[list[tuple[int, int]], set[str | None], int]]:
     """For each document of a shard with a match: covered word ranges, items, and the longest match in words."""
     get = wanted.word_ids.get
     ids = np.fromiter((get(w, 0) for d in docs for w in (*d, b"")), np.int64, sum(map(len, docs)) + len(docs))
@@ -124,7 +126,7 @@ def shard_hits(docs: list[list[bytes]], wanted: Windows) -> dict[int, tuple[list
     doc_start = np.cumsum([0] + [len(d) + 1 for d in docs])
     doc = np.searchsorted(doc_start, start, side="right") - 1
     runs_on = np.concatenate([[False], (start[1:] == start[:-1] + 1) & np.isin(kind[:-1] * len(wanted.length) + kind[1:], wanted.follows)])
-    out: dict[int, tuple[list[tuple[int, int]], set[str], int]] = {}
+    out: dict[int, tuple[list[tuple[int, int]], set[str | None], int]] = {}
     run_begin = 0
     for s, e, k, d, on in zip(start.tolist(), stop.tolist(), kind.tolist(), doc.tolist(), runs_on.tolist(), strict=True):
         ranges, items, longest = out.get(d, ([], set(), 0))
@@ -152,11 +154,11 @@ def merged(old, new: list[tuple[int, int]]) -> list[dict]:
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 13) -> DataFrame:
     """(key, n_words, n_hit, n_items, items, ranges, longest_match) of each row; ranges are the covered words [a, b)."""
-    tests = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    tests = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, text string, n_words long, ranges array<struct<a:int,b:int>>, items array<string>, longest_match int"
-    rows = docs.select(key, F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<a:int,b:int>>").alias("ranges"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("longest_match"))
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, text string, n_words long, ranges array<struct<a:int,b:int>>, items array<string>, unnamed boolean, longest_match int"
+    rows = docs.select(key, F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<a:int,b:int>>").alias("ranges"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("unnamed"), F.lit(0).alias("longest_match"))
     for b in range(blocks):
         block = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).distinct()
         wanted = Windows([tuple(r) for r in block.orderBy("item", "text").toLocalIterator()], width)
@@ -170,7 +172,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: st
                         found = shard_hits(words, wanted) if len(wanted.length) else {}
                         part["n_words"] = [len(w) for w in words]
                         part["ranges"] = [merged(r, found[j][0]) if j in found else r for j, r in enumerate(part["ranges"])]
-                        part["items"] = [sorted({*x, *found[j][1]}) if j in found else x for j, x in enumerate(part["items"])]
+                        part["items"] = [sorted({*x, *found[j][1]} - {None}) if j in found else x for j, x in enumerate(part["items"])]
+                        part["unnamed"] = [x or j in found and None in found[j][1] for j, x in enumerate(part["unnamed"])]
                         part["longest_match"] = [max(x, found[j][2]) if j in found else x for j, x in enumerate(part["longest_match"])]
                         if last:
                             part["text"] = None
@@ -182,7 +185,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: st
 
         rows = rows.mapInPandas(scan, schema)
     n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + (r.b - r.a))
-    return rows.select(key, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"), "ranges", "longest_match")
+    return rows.select(key, "n_words", n_hit.alias("n_hit"), (F.size("items") + F.col("unnamed").cast("int")).cast("long").alias("n_items"), F.array_sort("items").alias("items"), "ranges", "longest_match")
 
 
 def contaminated() -> F.Column:

@@ -269,6 +269,19 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert 100 not in left and 102 not in left and 101 in left
 
 
+def test_items_without_id_count(spark, monkeypatch):
+    from quantloom.llm import decontamination as D
+
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, a), (None, b), (1, b), (None, None)], "item_id long, text string")
+    d = spark.createDataFrame([(1, a), (2, b + " tail"), (3, a + " " + b), (4, "clean words")], "doc_id long, text string")
+    for chars in (D.BLOCK_CHARS, 60):
+        monkeypatch.setattr(D, "BLOCK_CHARS", chars)
+        got = {r.doc_id: (r.n_hit, r.n_items, r["items"]) for r in D.hits(d, bench).collect()}
+        assert got == {1: (20, 1, []), 2: (20, 2, ["1"]), 3: (40, 2, ["1"]), 4: (0, 0, [])}  # as in the SQL twin
+    assert [r.doc_id for r in D.decontaminate(d, bench).collect()] == [4]
+
+
 def test_mixing(spark, docs, empty):
     from quantloom.llm.source_mixing import replicate
 
