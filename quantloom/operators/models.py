@@ -68,6 +68,11 @@ def _boosted(seed: int):
     return GBTRegressor(featuresCol="features", labelCol="label", maxIter=10, maxDepth=3, seed=seed)
 
 
+def folds_to_end(first: int, last: int, train: int, step: int, *, expanding: bool = False) -> list[tuple[int, int, int]]:
+    """Folds (from, test_from, test_to) whose tests cover every month from ``first + train`` to ``last``; the last test may be shorter."""
+    return [(first if expanding else k, k + train, min(k + train + step, last + 1)) for k in range(first, last - train + 1, step)]
+
+
 def walk_forward(rows: DataFrame, features: list[str], label: str, folds: list[tuple[int, int, int]], name: str, *, time: str = "month", seed: int = 42) -> DataFrame:
     """Rows of the test months with predictions of models fitted on the months before; folds are (from, test_from, test_to).
 

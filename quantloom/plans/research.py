@@ -137,21 +137,25 @@ def _features(s, d):
     return x.select("symbol", "t", "month", "f0", "f1", "f2", "crash", "next_r").dropna()
 
 
+def _expanding(x, train, step):
+    a, b = x.agg(F.min("month"), F.max("month")).first()
+    return [] if a is None else M.folds_to_end(a, b, train, step, expanding=True)
+
+
 @query("ml_06_crash_scores")
 def ml_06(s, d):
     from ..operators.statistics import auroc
 
     x = _features(s, d)
-    a = x.agg(F.min("month")).first()[0]
-    got = M.walk_forward(x, ["f0", "f1", "f2"], "crash", [(a, a + 60, a + 66)], "forest")
+    got = M.walk_forward(x, ["f0", "f1", "f2"], "crash", _expanding(x, 60, 6), "forest")
     return auroc(got.select(C("label").cast("int").alias("y"), C("prediction").alias("p")), "y", "p")
 
 
 @query("ml_07_cross_symbol_transfer")
 def ml_07(s, d):
-    """Fit on one symbol, predict the others: hit rate by (from, to)."""
+    """Fit on each symbol in turn, predict all others: hit rate by (from, to)."""
     x, out = _features(s, d).withColumn("up", (C("next_r") > 0).cast("int")), None
-    for name in ("1-URGENT", "2-HIGH"):
+    for name in sorted(r[0] for r in x.select("symbol").distinct().collect()):
         rows = x.withColumn("fold_month", F.when(C("symbol") == name, 0).otherwise(1))
         got = M.walk_forward(rows, ["f0", "f1", "f2"], "up", [(0, 1, 2)], "logit", time="fold_month").groupBy(F.lit(name).alias("from_symbol"), C("symbol").alias("to_symbol")).agg(F.avg((C("prediction") == C("label")).cast("double")).alias("hit_rate"))
         out = got if out is None else out.unionByName(got)
@@ -160,13 +164,17 @@ def ml_07(s, d):
 
 @query("ml_08_two_stage_error")
 def ml_08(s, d):
-    """A second model predicts the absolute error of the first from the same features; its floor is the 10th percentile of matured errors."""
+    """A second model predicts the absolute error of the first from the same features; its floor is the 10th percentile of the errors before each fold.
+
+    Both walk forward over all months: the first from month 36 on, the second, on the first's errors, from month 48 on.
+    """
     x = _features(s, d)
-    a = x.agg(F.min("month")).first()[0]
-    first = M.walk_forward(x, ["f0", "f1", "f2"], "next_r", [(a, a + 36, a + 60)], "boosted").withColumn("err", F.abs(C("prediction") - C("label"))).drop("prediction", "label", "fold")
-    second = M.walk_forward(first, ["f0", "f1", "f2"], "err", [(a + 36, a + 48, a + 60)], "boosted")
-    floor = first.where(C("month") < a + 48).agg(F.percentile("err", 0.1).alias("floor"))
-    return second.crossJoin(F.broadcast(floor)).groupBy("symbol").agg(F.count("*").alias("n"), F.avg(F.greatest("prediction", "floor")).alias("expected_error"), F.avg("label").alias("error"))
+    first = M.walk_forward(x, ["f0", "f1", "f2"], "next_r", _expanding(x, 36, 12), "boosted").withColumn("err", F.abs(C("prediction") - C("label"))).drop("prediction", "label", "fold").persist()
+    folds = _expanding(first, 12, 12)
+    second = M.walk_forward(first, ["f0", "f1", "f2"], "err", folds, "boosted")
+    starts = s.createDataFrame([(k, f[1]) for k, f in enumerate(folds)], "fold long, test_from int")
+    floor = first.join(F.broadcast(starts), C("month") < C("test_from")).groupBy("fold").agg(F.percentile("err", 0.1).alias("floor"))
+    return second.join(F.broadcast(floor), "fold").groupBy("symbol").agg(F.count("*").alias("n"), F.avg(F.greatest("prediction", "floor")).alias("expected_error"), F.avg("label").alias("error"))
 
 
 @query("udf_01_fitter_registry", "SELECT symbol, count(*) AS n FROM (SELECT o_orderpriority AS symbol, epoch_ms(o_orderdate) AS t FROM orders GROUP BY 1, 2) GROUP BY 1")

@@ -157,7 +157,7 @@ def _features(s, d):
 
 def _folds(x):
     a, b = x.agg(F.min("month"), F.max("month")).first()
-    return [(k, k + 48, k + 60) for k in range(a, b - 58, 12)][:2]
+    return [] if a is None else M.folds_to_end(a, b, 48, 12)
 
 
 @query("ml_02_walk_forward_logit")
@@ -169,13 +169,13 @@ def ml_02(s, d):
 @query("ml_03_walk_forward_forest")
 def ml_03(s, d):
     x = _features(s, d)
-    return M.walk_forward(x, ["f0", "f1", "f2"], "up", _folds(x)[:1], "forest").groupBy("fold").agg(F.count("*").alias("n"), F.avg((C("prediction") == C("label")).cast("double")).alias("accuracy"))
+    return M.walk_forward(x, ["f0", "f1", "f2"], "up", _folds(x), "forest").groupBy("fold").agg(F.count("*").alias("n"), F.avg((C("prediction") == C("label")).cast("double")).alias("accuracy"))
 
 
 @query("ml_04_walk_forward_boosted")
 def ml_04(s, d):
     x = _features(s, d)
-    return M.walk_forward(x, ["f0", "f1", "f2"], "next_r", _folds(x)[:1], "boosted").groupBy("fold").agg(F.count("*").alias("n"), F.corr("prediction", "label").alias("ic"))
+    return M.walk_forward(x, ["f0", "f1", "f2"], "next_r", _folds(x), "boosted").groupBy("fold").agg(F.count("*").alias("n"), F.corr("prediction", "label").alias("ic"))
 
 
 @query("ml_05_expanding_ridge", DAILY + ", x AS (SELECT symbol, t, ln(close / lag(close) OVER w) AS r FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY t)), p AS (SELECT symbol, t, r, lag(r) OVER (PARTITION BY symbol ORDER BY t) AS f FROM x), g AS (SELECT symbol, t, r, sum(f * r) OVER q AS fy, sum(f * f) OVER q AS ff, count(f) OVER q AS n FROM p WHERE f IS NOT NULL WINDOW q AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT symbol, t, round(CASE WHEN n >= 60 THEN fy / (ff + 1.0) * r END, 6) + 0.0 AS forecast FROM g")

@@ -121,3 +121,23 @@ def test_tampered_ledger_is_reported(spark):
     f = spark.createDataFrame([(1, 1.0), (2, 2.5), (3, 9.0)], "episode long, fee double")
     got = {r.symbol: (r.differ, r.orphans) for r in reconcile(e, f).collect()}
     assert got == {"x": (1, 0), None: (0, 1)}
+
+
+def test_folds_cover_all_months(spark):
+    from quantloom.operators.models import folds_to_end
+    from quantloom.plans.statistics import _folds
+
+    for n in (48, 60, 61, 80, 200):
+        tested = [m for a, b, c in folds_to_end(5, 4 + n, 48, 12) for m in range(b, c)]
+        assert tested == list(range(53, 5 + n))
+    assert folds_to_end(0, 71, 60, 6, expanding=True) == [(0, 60, 66), (0, 66, 72)]
+    months = spark.range(80).select(F.col("id").cast("int").alias("month"))
+    assert _folds(months) == [(0, 48, 60), (12, 60, 72), (24, 72, 80)] and _folds(months.where("false")) == []
+
+
+def test_transfer_reads_every_symbol(spark, sf):
+    from quantloom import registry
+
+    got = registry.queries()["ml_07_cross_symbol_transfer"](spark, sf).collect()
+    names = {r.to_symbol for r in got}
+    assert len(names) == 5 and {(r.from_symbol, r.to_symbol) for r in got} == {(a, b) for a in names for b in names if a != b}
