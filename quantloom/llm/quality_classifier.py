@@ -11,7 +11,7 @@ whole document is scored in Arrow batches.
 A document is bad if its quality label is 0 or its toxic label is 1, so that toxic documents are rejected too.
 
 Defined results: null and empty texts have no words and are scored on what is left, usually as the prior; rows with
-null metadata use a value of its own. Without labels of both classes every row has score 1 and is kept. Repeated rows
+null metadata use a value of its own. A toxic label of 1 counts without a quality label. Without labels of both classes every row has score 1 and is kept. Repeated rows
 get equal scores. Of repeated labels of a key the worst counts.
 """
 
@@ -135,7 +135,7 @@ class CoTrained:
 
 def train(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", meta=("lang", "source", "n_chars"), max_labelled=12000, max_pool=6000, max_words=400, min_docs=5, rounds=4, sure=0.98, seed=42) -> CoTrained | None:
     """Fits the views; only the sample's and the pool's features (bounded) and vocabulary counts reach the driver."""
-    known = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key).agg(
+    known = labels.where(F.col(key).isNotNull() & (F.col("quality").isNotNull() | (F.col("toxic") == 1))).groupBy(key).agg(
         F.max(((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("_bad"))
     order = [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
     marked = saved(known.orderBy(*order).limit(max_labelled))

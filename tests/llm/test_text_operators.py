@@ -126,6 +126,18 @@ def test_classifier(spark, docs, empty, labels):
     assert sum(r.kept == (r.doc_id % 4 != 0) for r in got) >= 0.97 * len(got)
 
 
+def test_toxic_labels_without_quality_are_learned(spark):
+    from quantloom.llm.quality_classifier import classify
+
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randint(0, 300)}"
+    rows = [(i, " ".join([word() for _ in range(60)] + (["nasty", "nastier"] if i % 4 == 0 else [])), "en", "s", 300) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame([(i, None, 1) if i % 4 == 0 else (i, 1, None) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = classify(d, known).where("doc_id >= 300").collect()
+    assert sum(r.kept == (r.doc_id % 4 != 0) for r in got) >= 0.9 * len(got)  # 75 of 100 where these labels are dropped and all is kept
+
+
 def test_simple8b_round_trip():
     from quantloom.llm.token_file import pack, unpack
 
