@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +32,10 @@ from .common import process_store, scratch_path
 SELECTORS = ((1, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 COUNTS = np.array([n for n, _ in SELECTORS], np.int64)
 BLOCK_IDS = 1 << 16
-#: Chunks that a worker remembers, and the length up to which it does.
-REMEMBERED, REMEMBERED_BYTES = 1_000_000, 40
+#: Strings in a generation that a worker remembers, and ids in it.
+REMEMBERED, REMEMBERED_IDS = 600_000, 8_000_000
+#: Bytes of text that are encoded at once; a longer text is taken whole.
+BATCH_BYTES = 16_000_000
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,16 +97,78 @@ def unpack(words: np.ndarray, raw_at: np.ndarray, n: int) -> np.ndarray:
 
 
 #: A word of letters that keep their form when normalised, and marks behind it.
-_PLAIN = re.compile(r"([a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+)([!-/:-@\[-`{-~]*)")
+_PLAIN = r"^(?P<word>[a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
+
+
+def ragged(ids: np.ndarray, at: np.ndarray, size: np.ndarray, part: int = 1 << 18) -> np.ndarray:
+    """ids[at[i] : at[i] + size[i]] for all i, one after the other."""
+    out, done = np.empty(int(size.sum(dtype=np.int64)), ids.dtype), 0
+    for k in range(0, len(at), part):
+        a, n = at[k : k + part].astype(np.int64), size[k : k + part].astype(np.int64)
+        ends = np.cumsum(n)
+        total = int(ends[-1])
+        out[done : done + total] = ids[np.repeat(a - ends + n, n) + np.arange(total)]
+        done += total
+    return out
+
+
+class Remembered:
+    """Id sequences of strings, found by number; what is used stays for this generation and the next.
+
+    ``learn`` gives (ids, first, number of ids) of strings that aren't known.
+    """
+
+    def __init__(self, learn):
+        self.learn = learn
+        self.old: tuple = ({}, *self._none())
+        self._fresh()
+
+    @staticmethod
+    def _none() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _fresh(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids, self.at, self.size = self._none()
+
+    def _add(self, ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        self.at = np.concatenate([self.at, at + len(self.ids)])
+        self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size.astype(np.int32)])
+
+    def numbers(self, strings: pa.Array) -> np.ndarray:
+        """Places in ``at`` and ``size`` of different strings; they hold until the next call."""
+        if len(self.index) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
+            self.old = self.index, self.ids, self.at, self.size
+            self._fresh()
+        names, index, before = strings.to_numpy(zero_copy_only=False).tolist(), self.index, self.old[0]
+        found = np.fromiter(map(index.get, names, repeat(-1)), np.int64, len(names))
+        unknown = np.flatnonzero(found < 0)
+        if before and len(unknown):
+            was = np.array([before.get(names[i], -1) for i in unknown.tolist()], np.int64)
+            again, was = unknown[was >= 0], was[was >= 0]
+            unknown = unknown[found[unknown] < 0] if not len(again) else np.setdiff1d(unknown, again, assume_unique=True)
+            size = self.old[3][was]
+            self._number(found, again, names)
+            self._add(ragged(self.old[1], self.old[2][was], size), np.cumsum(size, dtype=np.int64) - size, size)
+        if len(unknown):
+            self._number(found, unknown, names)
+            self._add(*self.learn(strings.take(pa.array(unknown))))
+        return found
+
+    def _number(self, found: np.ndarray, which: np.ndarray, names: list[str]) -> None:
+        first = len(self.at)
+        found[which] = np.arange(first, first + len(which))
+        self.index.update(zip([names[i] for i in which.tolist()], range(first, first + len(which)), strict=True))
 
 
 class Encoder:
     """Ids of whole texts.
 
     For a tokenizer that lowers case, drops white space and ends its words with a suffix, a text is cut at ASCII white
-    space, and the ids of its chunks, one after the other, are the ids of the text. The ids of short chunks are
-    remembered, up to a fixed number. Of new chunks, plain words are lowered here and encoded many at a time by the same
-    model without its normaliser, apart from the marks behind them. Any other tokenizer is given whole texts.
+    space, and the ids of its chunks, one after the other, are the ids of the text. Texts are cut and their different
+    chunks found in Arrow; the ids of chunks are remembered for a while, up to a fixed number. Of new chunks, plain words
+    are lowered here and encoded many at a time by the same model without its normaliser, apart from the marks behind
+    them. Any other tokenizer is given whole texts.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -116,99 +181,125 @@ class Encoder:
         steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.by_chunk = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first.get("invert") is True
-        self.known: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
         if self.by_chunk:
             self.plain = Tokenizer.from_str(tokenizer_json)
             self.plain.normalizer = None
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
             self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn_stems(self, stems: list[str]) -> None:
-        """Encodes lower-case words, many to a call; each ends with the one id that has the suffix."""
-        groups = [stems[i : i + 100] for i in range(0, len(stems), 100)]
-        for group, coded in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(coded.ids, "<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            data = ids.tobytes()
-            for word, a, b in zip(group, [0, *cuts], cuts, strict=False):
-                self.stems[word] = data[4 * a : 4 * b]
-            if len(cuts) != len(group):
-                self.stems.update(zip(group, self.whole(group), strict=True))
-
-    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        plain, other = [], []
-        for c in chunks:
-            m = _PLAIN.fullmatch(c.decode("utf-8"))
-            plain.append((c, m[1].lower(), m[2])) if m else other.append(c)
-        self.learn_stems(list({w for _, w, _ in plain if w not in self.stems}))
-        marks = list({p for *_, p in plain if p not in self.marks})
-        self.marks.update(zip(marks, self.whole(marks), strict=True))
-        out = {c: self.stems[w] + self.marks[p] for c, w, p in plain}
-        out.update(zip(other, self.whole([c.decode("utf-8") for c in other]), strict=True))
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+            self.chunks, self.words, self.marks = Remembered(self._learn_chunks), Remembered(self._learn_words), Remembered(self._whole)
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, number of ids) of texts given to the tokenizer as they are."""
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(chain.from_iterable(coded), np.uint32, int(size.sum())), np.cumsum(size) - size, size
+
+    def _learn_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-case words, many to a call; each ends with the one id that has the suffix."""
+        names = words.to_numpy(zero_copy_only=False).tolist()
+        coded = self.plain.encode_batch_fast([" ".join(names[i : i + 500]) for i in range(0, len(names), 500)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in coded])
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) != len(names):
+            return self._whole(words)
+        first = np.concatenate([[0], stop[:-1]])
+        return ids, first, stop - first
+
+    def _learn_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cut = pc.extract_regex(chunks, _PLAIN)
+        plain = cut.is_valid().to_numpy(zero_copy_only=False)
+        at, size, ids = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), []
+        if plain.any():
+            known, places = cut.filter(cut.is_valid()), []
+            for store, strings in ((self.words, pc.utf8_lower(known.field("word"))), (self.marks, known.field("marks"))):
+                coded = strings.dictionary_encode()
+                number = store.numbers(coded.dictionary)[coded.indices.to_numpy()]
+                places.append((store.at[number], store.size[number]))
+            (word_at, word_size), (mark_at, mark_size) = places
+            both = np.column_stack([word_size, mark_size])
+            ids.append(ragged(np.concatenate([self.words.ids, self.marks.ids]), np.column_stack([word_at, mark_at + len(self.words.ids)]).ravel(), both.ravel()))
+            size[plain] = both.sum(axis=1)
+            at[plain] = np.cumsum(size[plain]) - size[plain]
+        if not plain.all():
+            more, first, n = self._whole(chunks.filter(pa.array(~plain)))
+            at[~plain], size[~plain] = first + sum(map(len, ids)), n
+            ids.append(more)
+        return np.concatenate(ids), at, size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each); null is an empty text."""
+        texts = texts.fill_null("")
         if not self.by_chunk:
-            return self.whole([t or "" for t in texts])
-        for cache in (self.known, self.stems, self.marks):
-            if len(cache) > REMEMBERED:
-                cache.clear()
-        self.marks[""] = b""
-        cut = [t.encode("utf-8").split() if t else [] for t in texts]
-        known = self.known
-        fresh = self.learn(list({c for chunks in cut for c in chunks if c not in known}))
-        known.update((c, i) for c, i in fresh.items() if len(c) <= REMEMBERED_BYTES)
-        rest = {c: i for c, i in fresh.items() if len(c) > REMEMBERED_BYTES}
-        return [b"".join([known[c] if c in known else rest[c] for c in chunks] if rest else map(known.__getitem__, chunks)) for chunks in cut]
+            ids, _, size = self._whole(texts)
+            return ids, size
+        cut = pc.ascii_split_whitespace(texts)
+        coded = cut.flatten().dictionary_encode()
+        number = self.chunks.numbers(coded.dictionary)[coded.indices.to_numpy()]
+        size = self.chunks.size[number]
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.cumsum(np.concatenate([[0], cut.value_lengths().to_numpy()]))]
+        return ragged(self.chunks.ids, self.chunks.at[number], size), np.diff(ends)
+
+
+def in_batches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of some bytes together, or of one longer text."""
+    size, first, held = pc.binary_length(texts).fill_null(0).to_pylist(), 0, 0
+    for i, n in enumerate(size):
+        if held and held + n > BATCH_BYTES:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(size):
+        yield first, len(size)
 
 
 BLOCK_SCHEMA = "shard int, block int, id_start long, word_start long, n_ids long, keys array<long>, id_counts array<int>, raw_at binary, words binary"
 
+BLOCK_ARROW = pa.schema([
+    ("shard", pa.int32()), ("block", pa.int32()), ("id_start", pa.int64()), ("word_start", pa.int64()), ("n_ids", pa.int64()),
+    ("keys", pa.list_(pa.int64())), ("id_counts", pa.list_(pa.int32())), ("raw_at", pa.binary()), ("words", pa.binary()),
+])
+
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = 2, block_ids: int = BLOCK_IDS) -> None:
     """Writes the ids of all texts, in ascending key order, as blocks under ``path``."""
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(spec)
-    end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
+    end = np.array([] if end_id is None else [end_id], np.uint32)
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         store = process_store("encoders")
         mark = (len(shared.value), hash(shared.value))
         encoder = store[mark] if mark in store else store.setdefault(mark, Encoder(shared.value))
         shard, block, ids_before, words_before = TaskContext.get().partitionId(), 0, 0, 0
-        keys: list[int] = []
-        held: list[bytes] = []
+        keys: list[int | None] = []
+        counts: list[int] = []
+        held: list[np.ndarray] = []
         size = 0
 
-        def close() -> pd.DataFrame:
-            nonlocal block, ids_before, words_before, keys, held, size
-            ids = np.frombuffer(b"".join(held), "<u4")
-            words, raw = pack(ids)
-            row = pd.DataFrame({
-                "shard": [shard], "block": [block], "id_start": [ids_before], "word_start": [words_before], "n_ids": [len(ids)],
-                "keys": [keys], "id_counts": [[len(h) // 4 for h in held]], "raw_at": [raw.astype("<i4").tobytes()], "words": [words.astype("<u8").tobytes()],
-            })
-            block, ids_before, words_before = block + 1, ids_before + len(ids), words_before + len(words)
-            keys, held, size = [], [], 0
-            return row
+        def close() -> pa.RecordBatch:
+            nonlocal block, ids_before, words_before, keys, counts, held, size
+            words, raw = pack(np.concatenate(held))
+            row = {
+                "shard": shard, "block": block, "id_start": ids_before, "word_start": words_before, "n_ids": size,
+                "keys": keys, "id_counts": counts, "raw_at": raw.astype("<i4").tobytes(), "words": words.astype("<u8").tobytes(),
+            }
+            block, ids_before, words_before = block + 1, ids_before + size, words_before + len(words)
+            keys, counts, held, size = [], [], [], 0
+            return pa.RecordBatch.from_pylist([row], BLOCK_ARROW)
 
         for some in batches:
-            for at in range(0, len(some), 128):
-                part = some.iloc[at : at + 128]
-                for k, ids in zip(part["key"].tolist(), encoder.encode(part["text"].tolist()), strict=True):
-                    keys.append(None if k != k else k)
-                    held.append(ids + end)
-                    size += len(held[-1]) // 4
+            for first, stop in in_batches(some.column("text")):
+                ids, sizes = encoder.encode(some.column("text").slice(first, stop - first))
+                at = 0
+                for k, n in zip(some.column("key").slice(first, stop - first).to_pylist(), sizes.tolist(), strict=True):
+                    keys.append(k)
+                    counts.append(n + len(end))
+                    held += [ids[at : at + n], end]
+                    at, size = at + n, size + counts[-1]
                     if size >= block_ids:
                         yield close()
         if keys:
@@ -216,7 +307,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, key: str =
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
-    rows.mapInPandas(blocks, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, *, ids: bool = False, key: str = "doc_id") -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,8 +170,26 @@ def test_token_file(spark, docs, empty):
     assert token_digest(empty, path).count() == 0
     odd = ["a\x1cb c", "éé ́x", "it's 's'tfoo I'LL dogs'", "<|endoftext|> x<|startoftext|>y", " x y\u0085z", "ΑΣ ΑΣΑ İ µ", "日本語 テスト१२", "x" * 5000, "Ünïcode, Über!!", "don't.)"]
     encoder = Encoder(open(path, encoding="utf-8").read())
+    want = [e.ids for e in whole.encode_batch(odd, add_special_tokens=False)]
     for _ in range(2):  # the second time from memory
-        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(odd)] == [e.ids for e in whole.encode_batch(odd, add_special_tokens=False)]
+        ids, sizes = encoder.encode(pa.array([*odd, None]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [*want, []]
+
+
+def test_ids_from_all_generations_of_memory(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quantloom.llm import token_file as T
+
+    monkeypatch.setattr(T, "REMEMBERED", 40)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, encoder, rng = Tokenizer.from_file(path), T.Encoder(open(path, encoding="utf-8").read()), random.Random(12)
+    for _ in range(30):
+        some = [" ".join(rng.choice(("Word{}", "die{}.", "é{}", "{}x", "...")).format(chr(97 + rng.randint(0, 25))) for _ in range(rng.randint(0, 30))) for _ in range(4)]
+        ids, sizes = encoder.encode(pa.array(some))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in whole.encode_batch(some, add_special_tokens=False)]
+    assert len(encoder.chunks.index) <= 40 + 120
 
 
 def test_fingerprints_and_components(spark, docs, empty):
