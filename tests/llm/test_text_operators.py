@@ -349,11 +349,47 @@ def test_chat_round_trip(spark):
             said = "".join(f"{r}\n{t}\n" for _, r, t in turns)
             assert got[c].n_turns == len(turns) and got[c].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
             assert (got[c].loss_chars, got[c].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
-    later = format_windows(frame, budget=60, history=20).where("window > 0 and conv_id % 2 = 1").collect()
+    later = format_windows(frame, budget=60, history=20).where("window > 1 and conv_id % 2 = 1").collect()
     assert later and all(w.formatted.startswith("<|im_start|>system\n") and not w.turns[0].own for w in later)
     assert format_windows(frame.where("false")).count() == 0
 
 
+def test_chat_windows_keep_the_budget(spark, monkeypatch):
+    import quantloom.llm.chat_format as C
+
+    rng = random.Random(15)
+    rows = []
+    for c in range(14):
+        for t in range(rng.choice((2, 9, 70))):
+            role = "system" if t == 0 and c % 2 else "assistant" if t % 2 else "user"
+            rows.append((c, t, role, " ".join(f"c{c}t{t}w{i}" for i in range(rng.choice((1, 5, 20, 60))))))
+    rows += [(50, None, "user", f"no turn {i}") for i in range(40)] + [(50, 3, "assistant", f"same turn {i % 30}") for i in range(60)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    tokens = lambda w: sum(len(w.formatted[t.start : t.start + t.length].split()) + 4 for t in w.turns)
+    for budget, history, block in ((128, 32, 1024), (90, 40, 16), (300, 0, 16), (1000, 200, 8)):
+        monkeypatch.setattr(C, "BLOCK", block)
+        windows = C.format_windows(frame, budget=budget, history=history).collect()
+        assert len(windows) > 15
+        by_conv = {}
+        for w in sorted(windows, key=lambda w: (w.conv_id, w.part, w.window)):
+            own, repeated = [t for t in w.turns if t.own], [t for t in w.turns if not t.own]
+            text = lambda t, w=w: w.formatted[t.start : t.start + t.length]
+            assert tokens(w) <= budget or len([t for t in own if not w.formatted[: t.start].endswith("system\n")]) == 1 and len(repeated) <= 1
+            assert own and [t.own for t in w.turns] == sorted(t.own for t in w.turns) and not any(t.loss for t in repeated)
+            before = by_conv.setdefault(w.conv_id, [])
+            opening = next((r for r in rows if r[0] == w.conv_id and r[1] == 0 and r[2] == "system"), None)
+            if opening and before:  # the system turn first, then what ends the window before
+                assert text(w.turns[0]) == opening[3] and repeated[0] == w.turns[0]
+                repeated = repeated[1:]
+            assert sum(len(text(t).split()) + 4 for t in repeated) <= history
+            assert not repeated or before[-len(repeated) :] == [text(t) for t in repeated]
+            before += [text(t) for t in own]
+        for c, said in by_conv.items():
+            want = [r[3] for r in rows if r[0] == c]
+            assert said == want if c < 50 else sorted(said) == sorted(want)
+        assert history == 0 or any(not t.own and "system" not in w.formatted[: t.start].rsplit("<|im_start|>", 1)[1] for w in windows for t in w.turns)
+
+
 def test_html(spark):
     from quantloom.llm.html_text import extract, leaves
 
