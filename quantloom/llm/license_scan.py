@@ -1,9 +1,12 @@
 """License scans with a generalised suffix automaton of licence words.
 
 All templates (notices, header lines and the base phrases) go into one automaton of words. Each whole text is streamed
-through it, which gives at every word the length of the longest stretch ending there that occurs in some template (the
-matching statistics). Only stretches of words that templates have are streamed, for all others end matches. Maximal
-matches of some length are chained by template, in the order of both text and template, into covered spans.
+through it, which gives at every word the longest stretch ending there that occurs in some template (the
+matching statistics); the states above it give the longest such stretch of each template. Only stretches of words that
+templates have are streamed, for all others end matches. Every place of a stretch in a template counts. Of each template,
+matches that go on neither in text nor template are chained, in the order of both, so that the words covered are
+most; a chain becomes a span if it covers enough of the template, and each deciding phrase of the
+template (its version, its conditions) lies whole in one match. So another version of a licence is no near miss of it.
 The automaton is a few thousand words at most and goes to the tasks in their closure; documents are not shuffled.
 
 Defined results: null and empty texts have no words, no labels and score 0. Repeated rows each get their own result.
@@ -11,6 +14,7 @@ Defined results: null and empty texts have no words, no labels and score 0. Repe
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -24,40 +28,44 @@ from .common import alnum_words
 
 #: Phrases and the label each gives wherever its words stand one after the other.
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Fixed values: (label, words) of licence lines and notices.
+_FREE_TERMS = "is free software you can redistribute it and or modify it under the terms of the {name} as published by the free software foundation either version {version} of the license or at your option any later version"
+_NO_WARRANTY = "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the {name} for more details"
+#: Fixed values: (label, name, version as words) of the licences of the Free Software Foundation.
+_FREE = (("gpl-2", "gnu general public license", "2"), ("gpl-3", "gnu general public license", "3"), ("lgpl-2.1", "gnu lesser general public license", "2 1"), ("lgpl-3", "gnu lesser general public license", "3"), ("agpl-3", "gnu affero general public license", "3"))
+#: Fixed values: (label, short form, long form) of the Creative Commons licences.
+_COMMONS = (("cc-by", "by", "attribution"), ("cc-by-sa", "by sa", "attribution sharealike"), ("cc-by-nd", "by nd", "attribution noderivatives"), ("cc-by-nc", "by nc", "attribution noncommercial"), ("cc-by-nc-sa", "by nc sa", "attribution noncommercial sharealike"), ("cc-by-nc-nd", "by nc nd", "attribution noncommercial noderivatives"))
+#: Fixed values: (label, words, deciding phrases) of licence lines and notices; the words of a deciding phrase must all match together.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl-2", "licensed under the gnu general public license version 2"),
-    ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mit", "released under the mit license", ("the mit license",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("granted free of charge", "sublicense and or sell copies")),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee is hereby granted",)),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("source and binary forms",)),
+    ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("apache license version 2 0",)),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("mozilla public license v 2 0",)),
+    ("mpl-2", "licensed under the mozilla public license version 2 0", ("mozilla public license version 2 0",)),
+    *((label, f"licensed under the {name} version {version}", (f"{name} version {version}",)) for label, name, version in _FREE),
+    *((label, f"this program {_FREE_TERMS} this program {_NO_WARRANTY}".format(name=name, version=version), (f"the {name} as published", f"version {version} of the license")) for label, name, version in _FREE),
+    *((label, f"it under the terms of the {name} as published by the free software foundation either version {version} of the license or at your option any later version", (f"the {name} as published", f"version {version} of the license")) for label, name, version in _FREE),
+    *((label, f"licensed under cc {short} 4 0", (f"cc {short} 4 0",)) for label, short, _ in _COMMONS),
+    *((label, f"licensed under a creative commons {long} 4 0 international license", (f"commons {long} 4 0",)) for label, _, long in _COMMONS),
 )
 
 
 @dataclass
 class Automaton:
-    """Generalised suffix automaton of word sequences; for each state where it first ends in each template."""
+    """Generalised suffix automaton of word sequences; for each state all places where it ends in each template."""
 
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
     step: list[dict[int, int]] = field(default_factory=lambda: [{}])
-    ends: list[dict[int, int]] = field(default_factory=lambda: [{}])
+    ends: list[set[tuple[int, int]]] = field(default_factory=lambda: [set()])
 
     def _state(self, length: int, step: dict[int, int]) -> int:
         self.link.append(0)
         self.length.append(length)
         self.step.append(step)
-        self.ends.append({})
+        self.ends.append(set())
         return len(self.link) - 1
 
     def _split(self, p: int, word: int, q: int) -> int:
@@ -83,14 +91,22 @@ class Automaton:
                     p = self.link[p]
                 self.link[new] = self._split(p, word, self.step[p][word]) if p >= 0 else 0
                 last = new
-            self.ends[last].setdefault(template, at + 1)
+            self.ends[last].add((template, at + 1))
 
     def close(self) -> None:
         """Hands the ends of each state on to the states of its suffixes."""
         for s in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            for template, end in self.ends[s].items():
-                above = self.ends[self.link[s]]
-                above[template] = min(end, above.get(template, end))
+            self.ends[self.link[s]] |= self.ends[s]
+
+    def places(self, state: int, length: int, shortest: int) -> Iterator[tuple[int, int, int]]:
+        """(template, end in it, words) of all stretches of some length that end with a match and aren't longer there."""
+        seen: set[tuple[int, int]] = set()
+        while state and length >= shortest:
+            for place in self.ends[state] - seen:
+                yield *place, length
+            seen |= self.ends[state]
+            state = self.link[state]
+            length = self.length[state]
 
     def statistics(self, words: list[int]) -> list[tuple[int, int]]:
         """(state, length) of the longest match that ends at each word."""
@@ -110,62 +126,89 @@ class Scanner:
 
     def __init__(self, templates=TEMPLATES, phrases=BASE_PHRASES, min_match: int = 3, max_gap: int = 8, min_cover: float = 0.8):
         self.word_ids: dict[bytes, int] = {}
-        self.labels = [label for _, label in phrases] + [label for label, _ in templates]
+        self.labels = [label for _, label in phrases] + [label for label, *_ in templates]
         self.n_phrases = len(phrases)
-        sequences = [[self.word_ids.setdefault(w, len(self.word_ids) + 1) for w in alnum_words(t)] for t in [*(p for p, _ in phrases), *(t for _, t in templates)]]
-        self.sizes = [len(s) for s in sequences]
+        self.words = [self._numbers(t) for t in [*(p for p, _ in phrases), *(t for _, t, _ in templates)]]
+        self.sizes = [len(s) for s in self.words]
         self.automaton = Automaton()
-        for i, s in enumerate(sequences):
+        for i, s in enumerate(self.words):
             self.automaton.add(s, i)
         # phrases that end with the strings of a state: its own and those of its suffixes
-        self.done = [[i for i in range(self.n_phrases) if e.get(i) == self.sizes[i]] for e in self.automaton.ends]
+        self.done = [[t for t, end in e if t < self.n_phrases and end == self.sizes[t]] for e in self.automaton.ends]
         for state in sorted(range(1, len(self.done)), key=self.automaton.length.__getitem__):
             self.done[state] = sorted({*self.done[state], *self.done[self.automaton.link[state]]})
         self.automaton.close()
+        self.deciding = [[] for _ in phrases] + [self._where(p, t + self.n_phrases) for t, (*_, p) in enumerate(templates)]
         self.min_match, self.max_gap, self.min_cover = min_match, max_gap, min_cover
         self.shortest = min(self.sizes[: self.n_phrases] + [min_match])
 
+    def _numbers(self, text: str) -> list[int]:
+        return [self.word_ids.setdefault(w, len(self.word_ids) + 1) for w in alnum_words(text)]
+
+    def _where(self, phrases: tuple[str, ...], template: int) -> list[tuple[int, int]]:
+        """First place [start, end) of each deciding phrase in its template."""
+        words, out = self.words[template], []
+        for p in map(self._numbers, phrases):
+            at = next(i for i in range(len(words)) if words[i : i + len(p)] == p)
+            out.append((at, at + len(p)))
+        return out
+
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[tuple[str, int, int, float]]]:
         """(words, (start, phrase) of base phrases, (label, first word, end, share of the template) of covered spans)."""
         words = alnum_words(text)
         ids = np.fromiter(map(self.word_ids.get, words, repeat(0)), np.int32, len(words))
         edge = np.flatnonzero(np.diff(np.concatenate([[False], ids > 0, [False]]).astype(np.int8)))
-        base, matches = [], []
+        base: list[tuple[int, int]] = []
+        matches: dict[int, list[tuple[int, int, int]]] = {}  # by template: first word, end, end in the template
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             if b - a < self.shortest:
                 continue
-            got = self.automaton.statistics(ids[a:b].tolist())
-            for i, (state, length) in enumerate(got):
-                if length >= self.shortest:
-                    base += [(a + i + 1 - self.sizes[p], p) for p in self.done[state] if length >= self.sizes[p]]
-                    if length >= self.min_match and (i + 1 == len(got) or got[i + 1][1] <= length):
-                        matches.append((a + i + 1 - length, a + i + 1, state))
-        return len(words), sorted(base), self.chain(matches)
-
-    def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Spans of templates covered by chained matches to at least ``min_cover``."""
-        open_: dict[int, list[int]] = {}  # by template: first word, end, end in the template, words covered
-        out = []
-
-        def close(t: int) -> None:
-            first, end, _, covered = open_.pop(t)
-            if covered >= self.min_cover * self.sizes[t]:
-                out.append((self.labels[t], first, end, covered / self.sizes[t]))
-
-        for a, b, state in matches:
-            for t, end in self.automaton.ends[state].items():
-                if t < self.n_phrases:
+            known = [*ids[a:b].tolist(), 0]
+            for i, (state, length) in enumerate(self.automaton.statistics(known[:-1])):
+                if length < self.shortest:
                     continue
-                if t in open_:
-                    first, last, at, covered = open_[t]
-                    if a - last <= self.max_gap and end > at:
-                        open_[t] = [first, b, end, covered + min(b - max(a, last), end - at)]
-                        continue
-                    close(t)
-                open_[t] = [a, b, end, b - a]
-        for t in list(open_):
-            close(t)
-        return sorted(out)
+                base += [(a + i + 1 - self.sizes[p], p) for p in self.done[state] if length >= self.sizes[p]]
+                for t, end, n in self.automaton.places(state, length, self.min_match):
+                    if t >= self.n_phrases and (end == self.sizes[t] or known[i + 1] != self.words[t][end]):
+                        matches.setdefault(t, []).append((a + i + 1 - n, a + i + 1, end))
+        return len(words), sorted(base), sorted(s for t, m in matches.items() for s in self.chain(t, m))
+
+    def chain(self, t: int, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+        """Spans of one template: chains that cover most words first, none over another.
+
+        A match follows another if it begins and ends later in both text and template and begins at most ``max_gap`` words
+        after it in the text; only such neighbours are looked at.
+        """
+        matches = sorted(matches, key=lambda m: (m[1], m[0], m[2]))
+        best, before, near = [], [], 0
+        for j, (a, b, end) in enumerate(matches):
+            best.append(b - a)
+            before.append(-1)
+            while matches[near][1] < a - self.max_gap:
+                near += 1
+            for i in range(near, j):
+                a_, b_, end_ = matches[i]
+                gain = min(b - max(a, b_), end - max(end - (b - a), end_))
+                if a_ < a and b_ < b and end_ - (b_ - a_) < end - (b - a) and gain > 0 and best[i] + gain > best[j]:
+                    best[j], before[j] = best[i] + gain, i
+        out: list[tuple[str, int, int, float]] = []
+        starts: list[int] = []  # of the spans taken, which don't overlap, with their ends
+        stops: list[int] = []
+        for j in sorted(range(len(matches)), key=lambda j: (-best[j], j)):
+            if best[j] < self.min_cover * self.sizes[t]:
+                break
+            links, k = [], j
+            while k >= 0:
+                links.append(matches[k])
+                k = before[k]
+            first, stop = links[-1][0], matches[j][1]
+            decided = all(any(end - (b - a) <= p and q <= end for a, b, end in links) for p, q in self.deciding[t])
+            at = bisect(starts, first)
+            if decided and (at == 0 or stops[at - 1] <= first) and (at == len(starts) or stop <= starts[at]):
+                starts.insert(at, first)
+                stops.insert(at, stop)
+                out.append((self.labels[t], first, stop, best[j] / self.sizes[t]))
+        return out
 
 
 def license_scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", scanner: Scanner | None = None) -> DataFrame:

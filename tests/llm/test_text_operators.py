@@ -106,11 +106,83 @@ def test_matching_statistics_equal_brute_force():
         assert [n for _, n in a.statistics(text)] == want
 
 
-def test_template_span_is_found(spark):
+def test_all_matches_of_a_template_are_found():
+    from quantloom.llm.license_scan import Automaton
+
+    rng = random.Random(11)
+    for _ in range(40):
+        templates = [[rng.randint(1, 3) for _ in range(rng.randint(1, 9))] for _ in range(3)]
+        a = Automaton()
+        for i, t in enumerate(templates):
+            a.add(t, i)
+        a.close()
+        text = [rng.randint(1, 4) for _ in range(20)]
+        got = {(i + 1, *p) for i, (s, n) in enumerate(a.statistics(text)) for p in a.places(s, n, 1)}
+        want = set()
+        for i in range(1, len(text) + 1):
+            for k, t in enumerate(templates):
+                for end in range(1, len(t) + 1):
+                    n = next(n for n in range(min(i, end) + 1) if n == min(i, end) or text[i - n - 1] != t[end - n - 1])
+                    want |= {(i, k, end, n)} if n else set()
+        assert got == want
+
+
+def test_chains_cover_most():
     from quantloom.llm.license_scan import Scanner
 
-    n, base, spans = Scanner().scan("words before. This work is licensed under the GNU General Public License, version 3. after")
-    assert base == [] and [s[0] for s in spans][:1] == ["gpl-3"] and spans[0][1] == 2
+    rng = random.Random(13)
+    for _ in range(150):
+        words = " ".join(rng.choice("abcd") for _ in range(rng.randint(4, 10)))
+        scanner = Scanner((("t", words, ()),), (("zz yy xx", "z"),), min_match=2, max_gap=3, min_cover=0.5)
+        text, t = [rng.choice("abcdx") for _ in range(14)], words.split()
+
+        def longest(matches):
+            order = sorted(matches, key=lambda m: (m[1], m[0], m[2]))
+
+            def follow(m, covered):
+                best = covered
+                for x in order:
+                    gain = min(x[1] - max(x[0], m[1]), x[2] - max(x[2] - (x[1] - x[0]), m[2]))
+                    if m[0] < x[0] <= m[1] + 3 and x[1] > m[1] and x[2] - (x[1] - x[0]) > m[2] - (m[1] - m[0]) and gain > 0:
+                        best = max(best, follow(x, covered + gain))
+                return best
+
+            return max((follow(m, m[1] - m[0]) for m in order), default=0)
+
+        matches = [(i, i + n, k + n) for i in range(14) for k in range(len(t)) for n in range(2, 11) if text[i : i + n] == t[k : k + n] and i + n <= 14 and k + n <= len(t)
+                   and (i == 0 or k == 0 or text[i - 1] != t[k - 1]) and (i + n == 14 or k + n == len(t) or text[i + n] != t[k + n])]
+        spans = scanner.scan(" ".join(text))[2]
+        most = longest(matches)
+        assert (max((round(share * len(t)) for *_, share in spans), default=0) == most) if most >= 0.5 * len(t) else spans == []
+
+
+#: (text, labels): lines of several licences and versions, and texts of none.
+LICENSED = (
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"), ("This work is licensed under the GNU General Public License version 2", "gpl-2"),
+    ("licensed under the GNU General Public License version 1", ""), ("Licensed under the GNU Lesser General Public License version 2.1", "lgpl-2.1"),
+    ("Licensed under the GNU Lesser General Public License version 3", "lgpl-3"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1. If a copy", ""),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at x", "mpl-2"),
+    ("licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "cc-by-nc-nd"), ("licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"), ("Licensed under CC BY-SA 4.0", "cc-by-sa"), ("Licensed under the Apache License, Version 1.1", ""),
+    ("Licensed under the Apache License, Version 2.0", "apache-2"), ("Released under the MIT License.", "mit"), ("the version of the license that we use is not known to us", ""),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", "gpl-2"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "agpl-3"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
+)
+
+
+def test_labels_of_licences_and_versions():
+    from quantloom.llm.license_scan import BASE_PHRASES, Scanner
+
+    scanner = Scanner()
+    for text, want in LICENSED:
+        for around in ("{}", "words before. {} after it " + "more " * 30, "{0} | {0}"):
+            _, base, spans = scanner.scan(around.format(text))
+            assert ",".join(sorted({BASE_PHRASES[p][1] for _, p in base} | {s[0] for s in spans})) == want, text
+    n, base, spans = scanner.scan("words before. This work is licensed under the GNU General Public License, version 3. after")
+    assert n == 15 and base == [] and spans == [("gpl-3", 5, 14, 1.0)]
+    long = "licensed under the gnu general public license version 3 " * 20_000
+    assert len(scanner.scan(long)[2]) == 20_000
 
 
 def test_classifier(spark, docs, empty, labels):
