@@ -372,6 +372,58 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert 100 not in left and 102 not in left and 101 in left
 
 
+def test_ranges_and_longest_matches(spark, monkeypatch):
+    from quantloom.llm import decontamination as D
+
+    rng = random.Random(16)
+    base = [f"b{rng.randint(0, 9)}" for _ in range(300)]
+    items = [(1, " ".join(base[:30])), (2, " ".join(base[10:13])), (3, " ".join(base[5:25])), (4, " ".join(base[18:60])), (5, " ".join(base[2:15])), (6, " ".join(base[3:16])), (7, "b1 b2"), (8, " ".join(base[:30]))]
+    rows = []
+    for i in range(60):
+        words = []
+        for _ in range(rng.randint(1, 5)):
+            a = rng.randint(0, 60)
+            words += base[a : a + rng.randint(1, 40)] + rng.choice(([], ["zz"], ["b0"]))
+        rows.append((i, " ".join(words)))
+    texts_ = [t.split() for _, t in items]
+
+    def brute(w):
+        hit, longest = set(), 0
+        for t in texts_:
+            for a in range(len(w)):
+                for q in range(len(t)):
+                    n = 0
+                    while a + n < len(w) and q + n < len(t) and w[a + n] == t[q + n]:
+                        n += 1
+                    if n >= min(13, len(t)):
+                        hit |= set(range(a, a + n))
+                        longest = max(longest, n)
+        return sorted(hit), longest
+
+    bench, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    for chars, shard in ((D.BLOCK_CHARS, D.SHARD_WORDS), (300, 50)):
+        monkeypatch.setattr(D, "BLOCK_CHARS", chars)
+        monkeypatch.setattr(D, "SHARD_WORDS", shard)
+        for r in D.hits(d, bench).collect():
+            assert ([x for a, b in r.ranges for x in range(a, b)], r.longest_match) == brute(rows[r.doc_id][1].split())
+
+
+def test_large_benchmark_blocks_are_small():
+    import tracemalloc
+
+    from quantloom.llm.decontamination import Windows, shard_hits
+
+    rng = np.random.default_rng(17)
+    texts_ = [(" ".join(f"w{k}" for k in rng.integers(0, 50_000, 200)), [str(i)], False) for i in range(2000)]  # 2.6 million characters
+    tracemalloc.start()
+    wanted = Windows(texts_)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6 and len(wanted.length) == 2000 * 188
+    found = shard_hits([t.encode().split() for t in (texts_[7][0], "nothing here", "w1 " + texts_[9][0][: len(texts_[9][0]) // 2])], wanted)
+    assert found[0] == ([(0, 200)], {"7"}, 200) and 1 not in found and found[2][1] == {"9"}
+
+
 def test_items_without_id_count(spark, monkeypatch):
     from quantloom.llm import decontamination as D
 
