@@ -1,8 +1,10 @@
 """Quality classifier by co-training: a text-content view and a page-metadata view teach each other.
 
 A bounded sample of labelled rows and a bounded pool of unlabelled rows (both the smallest by hash of their key;
-the bounds are parameters) are turned into features by the executors. The text view sees which words and word
-beginnings of a learned vocabulary occur, and how far words and 3-word shingles repeat; the metadata view sees source, language, stored length
+the bounds are parameters) are turned into features by the executors. The text view sees how often words and word
+beginnings of a learned vocabulary occur, and how far words and 3-word shingles repeat. The vocabulary has the tokens
+that tell most of a toxic label and those that tell most of a quality label, found apart from each other so that neither
+crowds out the other; it is looked up in whole texts by one Aho-Corasick pass; the metadata view sees source, language, stored length
 and layout (lines, marks, capitals, digits). Each round fits both views, lets each label the pool rows it is sure
 about, by its probabilities as calibrated on labelled rows held back, and hands these to the other. At the end the
 calibrated views are combined on labelled rows held back, and every
@@ -18,14 +20,17 @@ get equal scores. Of repeated labels of a key the worst counts.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from math import log1p
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, saved
+from .common import alnum_words, process_store, saved
 
 N_SOURCE, N_LANG = 32, 8
 
@@ -53,24 +58,56 @@ def _meta(text: str, lang, source, n_chars) -> list[float]:
 _NO_UPPER = dict.fromkeys(range(65, 91))
 
 
+#: Bytes of the word beginnings that count as tokens, for stems that take many endings.
+BEGINNINGS = (4, 5, 6, 7)
+
+
 def tokens(words: list[bytes]) -> set[bytes]:
-    """Different words of a text, and their first four and six bytes, for stems that take many endings."""
+    """Different words of a text, and their beginnings."""
     different = set(words)
-    return different | {w[:4] + b"*" for w in different} | {w[:6] + b"*" for w in different}
+    return different.union(*({w[:k] + b"*" for w in different if len(w) >= k} for k in BEGINNINGS))
+
+
+class Vocabulary:
+    """Finds which tokens occur in a text; a word stands between blanks, a beginning after one."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
 
+    def __len__(self) -> int:
+        return len(self.words)
 
-def features(vocabulary: dict[bytes, int], text, lang, source, n_chars) -> tuple[list[int], list[float], list[float]]:
-    """(vocabulary words that occur, text statistics, metadata features) of one whole document."""
+    def _automaton(self):
+        import ahocorasick
+
+        store, mark = process_store("vocabularies"), hash(tuple(self.words))
+        if mark not in store:
+            a = ahocorasick.Automaton()
+            for i, w in enumerate(self.words):
+                a.add_word((b" " + w[:-1] if w.endswith(b"*") else b" " + w + b" ").decode("latin-1"), i)
+            a.make_automaton()
+            store[mark] = a
+        return store[mark]
+
+    def counts(self, words: list[bytes]) -> dict[int, int]:
+        """How often each token that occurs does."""
+        if not self.words or not words:
+            return {}
+        return Counter(i for _, i in self._automaton().iter((b" " + b" ".join(words) + b" ").decode("latin-1")))
+
+
+def features(vocabulary: Vocabulary, text, lang, source, n_chars) -> tuple[dict[int, float], list[float], list[float]]:
+    """(logarithmic counts of vocabulary tokens, text statistics, metadata features) of one whole document."""
     text = text or ""
     words = alnum_words(text)
-    return sorted(vocabulary[w] for w in vocabulary.keys() & tokens(words)), _text_stats(text, words), _meta(text, lang, source, n_chars)
+    return {i: log1p(n) for i, n in vocabulary.counts(words).items()}, _text_stats(text, words), _meta(text, lang, source, n_chars)
 
 
-def text_matrix(present: list[list[int]], stats, n_words: int) -> np.ndarray:
-    stats = np.asarray(stats, np.float64).reshape(len(present), -1)
-    out = np.zeros((len(present), n_words + stats.shape[1]), np.float32)
-    for i, p in enumerate(present):
-        out[i, p] = 1.0
+def text_matrix(counts: list[dict[int, float]], stats, n_words: int) -> np.ndarray:
+    stats = np.asarray(stats, np.float64).reshape(len(counts), -1)
+    out = np.zeros((len(counts), n_words + stats.shape[1]), np.float32)
+    for i, some in enumerate(counts):
+        out[i, list(some)] = list(some.values())
     out[:, n_words:] = stats
     return out
 
@@ -133,14 +170,17 @@ class CoTrained:
         return sigmoid(self.mix.logit(np.column_stack(z))), sigmoid(z[0]), sigmoid(z[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", meta=("lang", "source", "n_chars"), max_labelled=12000, max_pool=6000, max_words=400, min_docs=5, rounds=4, sure=0.98, seed=42) -> CoTrained | None:
-    """Fits the views; only the sample's and the pool's features (bounded) and vocabulary counts reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", meta=("lang", "source", "n_chars"), max_labelled=12000, max_pool=6000, max_words=200, min_docs=4, rounds=4, sure=0.98, seed=42) -> CoTrained | None:
+    """Fits the views; only the sample's and the pool's features (bounded) and vocabulary counts reach the driver.
+
+    ``max_words`` bounds the tokens chosen for each of the two labels, of those in ``min_docs`` sampled documents at least.
+    """
     known = labels.where(F.col(key).isNotNull() & (F.col("quality").isNotNull() | (F.col("toxic") == 1))).groupBy(key).agg(
-        F.max(((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("_bad"))
+        F.max(((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("_bad"), F.max("toxic").alias("_toxic"), F.min("quality").alias("_quality"))
     order = [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
     marked = saved(known.orderBy(*order).limit(max_labelled))
     pool = docs.select(key).where(F.col(key).isNotNull()).join(marked, key, "left_anti").orderBy(*order).limit(max_pool).distinct()
-    chosen = saved(marked.unionByName(pool.withColumn("_bad", F.lit(None).cast("int"))))
+    chosen = saved(marked.unionByName(pool, allowMissingColumns=True))
     rows = saved(docs.select(key, F.col(text).alias("text"), *[F.col(c).alias(f"m{i}") for i, c in enumerate(meta)]).join(F.broadcast(chosen), key))
     counts = {r["_bad"]: r["n"] for r in rows.where("_bad is not null").groupBy("_bad").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
@@ -148,32 +188,45 @@ def train(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", meta
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in batches:
-            for t, b in zip(some["text"], some["_bad"], strict=True):
-                yield pd.DataFrame({"word": sorted(tokens(alnum_words(t)))}).assign(bad=int(b))
+            for t, toxic, quality in zip(some["text"], some["_toxic"], some["_quality"], strict=True):
+                yield pd.DataFrame({"word": sorted(tokens(alnum_words(t)))}).assign(toxic=toxic == 1, poor=quality == 0, said=quality == quality and quality is not None)
 
     held = F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(4)) == 0
-    found = rows.where(F.col("_bad").isNotNull() & ~held).select("text", "_bad").mapInPandas(words_of, "word binary, bad int")
-    n, share = counts[0] + counts[1], counts[1] / (counts[0] + counts[1])
-    found = found.groupBy("word").agg(F.count("*").alias("n"), F.sum("bad").alias("b")).where(F.col("n") >= min_docs)
-    z = F.abs(F.col("b") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    top = found.orderBy(z.desc(), "word").limit(6 * max_words).collect()
-    vocabulary: dict[bytes, int] = {}
-    counted: dict[bytes, tuple[int, int]] = {bytes(r["word"]): (r["n"], r["b"]) for r in top}
-    for word, has in counted.items():  # a word that adds nothing to its beginning is left out
-        if len(vocabulary) < max_words and has not in (counted.get(word[:4] + b"*") if word[4:] != b"*" else None, counted.get(word[:6] + b"*") if word[6:] != b"*" else None):
-            vocabulary[word] = len(vocabulary)
+    fitted = rows.where(F.col("_bad").isNotNull() & ~held)
+    one = lambda c: F.sum(F.col(c).cast("long"))
+    found = fitted.select("text", "_toxic", "_quality").mapInPandas(words_of, "word binary, toxic boolean, poor boolean, said boolean")
+    found = saved(found.groupBy("word").agg(F.count("*").alias("n"), one("toxic").alias("toxic"), one("poor").alias("poor"), one("said").alias("said")).where(F.col("n") >= min_docs))
+    total = fitted.agg(F.count("*").alias("n"), F.sum((F.coalesce("_toxic", F.lit(0)) == 1).cast("int")).alias("toxic"), F.count("_quality").alias("said"), F.sum((F.col("_quality") == 0).cast("int")).alias("poor")).first()
+    chosen_words: dict[bytes, None] = {}
+    for label, of in (("toxic", "n"), ("poor", "said")):
+        share = (total[label] or 0) / max(1, total[of])
+        if not 0 < share < 1:
+            continue
+        z = F.abs(F.col(label) - F.col(of) * share) / F.sqrt((F.col(of) + 1) * share * (1 - share))
+        counted = {bytes(r["word"]): (r[of], r[label]) for r in found.orderBy(z.desc(), F.length("word"), "word").limit(6 * max_words).collect()}
+        some: list[bytes] = []
+        for word, has in counted.items():  # a token that adds nothing to its beginnings is left out
+            stem = word[:-1] if word.endswith(b"*") else word
+            if len(some) < max_words and not any(counted.get(stem[:k] + b"*") == has for k in BEGINNINGS if stem[:k] + b"*" != word and len(stem) >= k):
+                some.append(word)
+        chosen_words |= dict.fromkeys(some)
+    vocabulary = Vocabulary(list(chosen_words))
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in batches:
             got = [features(vocabulary, *r) for r in zip(some["text"], some["m0"], some["m1"], some["m2"], strict=True)]
-            yield pd.DataFrame({"key": some[key].astype(str), "bad": some["_bad"].astype("float64"), "held": some["_held"],
-                                "p": [g[0] for g in got], "s": [g[1] for g in got], "m": [g[2] for g in got]})
-
-    got = rows.withColumn("_held", held).mapInPandas(featured, "key string, bad double, held boolean, p array<int>, s array<double>, m array<double>").toPandas().sort_values("key", kind="stable")
-    x = text_matrix(got["p"].tolist(), got["s"].tolist(), len(vocabulary))
-    m = np.array(got["m"].tolist(), np.float32)
-    has = got["bad"].notna().to_numpy()
-    y, held_rows = got["bad"].to_numpy()[has], got["held"].to_numpy(bool)[has]
+            yield pd.DataFrame({"key": some[key].astype(str), "bad": some["_bad"].astype("float64").astype("Float64"), "held": some["_held"],
+                                "p": [list(g[0]) for g in got], "c": [list(g[0].values()) for g in got], "s": [g[1] for g in got], "m": [g[2] for g in got]})
+
+    got = rows.withColumn("_held", held).mapInPandas(featured, "key string, bad double, held boolean, p array<int>, c array<double>, s array<double>, m array<double>").toArrow().sort_by("key").combine_chunks()
+    flat = lambda name: got[name].combine_chunks().flatten().to_numpy()
+    stats, m = flat("s").reshape(len(got), -1), flat("m").reshape(len(got), -1).astype(np.float32)
+    x = np.zeros((len(got), len(vocabulary) + stats.shape[1]), np.float32)
+    x[np.repeat(np.arange(len(got)), pc.list_value_length(got["p"]).to_numpy()), flat("p")] = flat("c")
+    x[:, len(vocabulary) :] = stats
+    has = got["bad"].is_valid().to_numpy()
+    y, held_rows = got["bad"].to_numpy()[has], got["held"].to_numpy()[has].copy()
+    del got, stats
     if min(len(set(y[held_rows])), len(set(y[~held_rows]))) < 2:
         held_rows = np.zeros(len(y), bool)
         held_rows[::4] = True
