@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -63,12 +65,6 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(ALNUM_BYTES).split() if text else []
 
 
-def core_count(spark: SparkSession) -> int:
-    return max(2, spark.sparkContext.defaultParallelism)
-
-
-
-
 def computed_once(column) -> "F.Column":
     """The same values, but as an expression that the optimizer neither repeats at each use nor moves below a filter."""
     return F.when(F.spark_partition_id() >= 0, column)

@@ -7,6 +7,10 @@ emits a spanning forest of its links, never all of them, which keeps every conne
 found by alternating star contraction over those links. Copies with one fingerprint are one node throughout, so
 groups of copies of any size cost one row.
 
+With a second seed each text has a second, independent fingerprint, and a link has both within the radius. That takes
+wide radii, which catch copies with several changed words: on one fingerprint such a radius also meets unrelated texts, on
+two it hardly ever does.
+
 The work on pairs of tiles grows with the square of the number of different fingerprints, divided by what the
 bit counts exclude; this is the price of exact comparison without candidates.
 
@@ -22,7 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, row_mark, saved, without
@@ -89,10 +94,27 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.array(used, np.int64)
 
 
-def links_of_tiles(left: np.ndarray, right: np.ndarray | None, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links between fingerprints at most ``radius`` bits apart, within one tile (right None) or between two."""
+def fewer(a: np.ndarray, b: np.ndarray, rows: int, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links row-column (a, b), in order of rows, as (row, column) and (row, row) links that connect the same: each column
+    keeps its first row, and each row meets the first rows of its columns."""
+    first = np.full(columns, -1, np.int64)
+    first[b[::-1]] = a[::-1]
+    meets = np.zeros((rows, rows), bool)
+    meets[a, first[b]] = True
+    np.fill_diagonal(meets, False)
+    has = np.flatnonzero(first >= 0)
+    return first[has], has, *np.nonzero(meets)
+
+
+def links_of_tiles(left: np.ndarray, right: np.ndarray | None, radius: int, seconds: tuple[np.ndarray, np.ndarray] | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between fingerprints at most ``radius`` bits apart, within one tile (right None) or between two.
+
+    Fingerprints are named by their place, those of the right tile from the size of the left one on. ``seconds`` are
+    second fingerprints of both tiles that must lie within the radius too.
+    """
     same = right is None
     right = left if same else right
+    shift = 0 if same else len(left)
     boxes = [bit_counts(left), bit_counts(right)]
     found_a, found_b = [], []
     for at in range(0, len(left), block):
@@ -104,47 +126,66 @@ def links_of_tiles(left: np.ndarray, right: np.ndarray | None, radius: int, bloc
             continue
         apart = np.bitwise_count(left[at : at + block, None] ^ right[near][None, :])
         a, b = np.nonzero(apart <= radius)
-        a, b = a + at, near[b]
+        if seconds:
+            close = np.bitwise_count(seconds[0][at + a] ^ seconds[1][near[b]]) <= radius
+            a, b = a[close], b[close]
         if same:
-            a, b = a[a < b], b[a < b]
-        found_a.append(a)
-        found_b.append(b)
+            after = a + at < near[b]
+            a, b = a[after], b[after]
+        a, b, c, d = fewer(a, b, len(box), len(near))
+        found_a += [a + at, c + at]
+        found_b += [near[b] + shift, d + at]
     if not found_a:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = np.concatenate(found_a), np.concatenate(found_b)
-    keep = forest(a, b if same else b + len(left), len(left) + (0 if same else len(right)))
-    return left[a[keep]], right[b[keep]]
+    keep = forest(a, b, len(left) + (0 if same else len(right)))
+    return a[keep], b[keep]
 
 
 def tiles(fps: DataFrame, tile_rows: int) -> DataFrame:
-    """(tile, low, high, box, words) from a column fp of different fingerprints, sorted by bit counts."""
-    n = fps.count()
-    ordered = fps.select("fp", F.bit_count("fp").alias("_bits"), F.bit_count(F.shiftrightunsigned("fp", 32)).alias("_half"))
-    ordered = ordered.repartitionByRange(max(1, -(-n // tile_rows)), "_bits", "_half", "fp").sortWithinPartitions("_bits", "_half", "fp")
+    """(tile, low, high, box, words) from different (fp, second, node), sorted by bit counts.
+
+    Pieces of sorted partitions are put together until they have ``tile_rows`` rows (less than twice as many at most), so
+    that tiles are no smaller where there are many partitions. Only the sizes of pieces are summed in one task.
+    """
+    n, kinds = fps.count(), ("fp", "second", "node")
+    ordered = fps.select(*kinds, F.bit_count("fp").alias("_bits"), F.bit_count(F.shiftrightunsigned("fp", 32)).alias("_half"))
+    ordered = ordered.repartitionByRange(max(1, -(-n // tile_rows)), "_bits", "_half", "fp", "second").sortWithinPartitions("_bits", "_half", "fp", "second")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in batches:
             for at in range(0, len(some), tile_rows):
-                fp = some["fp"].to_numpy(np.int64)[at : at + tile_rows].view(np.uint64)
-                counts = bit_counts(fp)
+                part = some.iloc[at : at + tile_rows]
+                yield pd.DataFrame({"rows": [len(part)], **{c: [part[c].to_numpy(np.int64).tobytes()] for c in kinds}})
+
+    pieces = saved(ordered.mapInPandas(cut, "rows int, fp binary, second binary, node binary").withColumn("piece", F.monotonically_increasing_id()))
+    before = F.sum("rows").over(Window.orderBy("piece")) - F.col("rows")
+    placed = pieces.select("piece", "rows").withColumn("tile", F.floor(before / tile_rows)).drop("rows")
+    joined = pieces.join(placed, "piece").groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("piece", *kinds))).alias("xs"))
+
+    def boxed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            for row in some.itertuples():
+                whole = {c: b"".join(x[c] for x in row.xs) for c in kinds}
+                counts = bit_counts(np.frombuffer(whole["fp"], np.uint64))
                 yield pd.DataFrame({
-                    "first": [int(fp.view(np.int64)[0])], "low": [int(counts[:, 4].min())], "high": [int(counts[:, 4].max())],
-                    "box_min": [counts.min(axis=0).tolist()], "box_max": [counts.max(axis=0).tolist()], "fps": [fp.tobytes()],
+                    "tile": [row.tile], "low": [int(counts[:, 4].min())], "high": [int(counts[:, 4].max())],
+                    "box_min": [counts.min(axis=0).tolist()], "box_max": [counts.max(axis=0).tolist()], **{c: [whole[c]] for c in kinds},
                 })
 
-    return ordered.mapInPandas(cut, "first long, low int, high int, box_min array<int>, box_max array<int>, fps binary").withColumn(
-        "tile", F.monotonically_increasing_id()
-    )
+    return joined.mapInPandas(boxed, "tile long, low int, high int, box_min array<int>, box_max array<int>, fp binary, second binary, node binary")
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 2, tile_rows: int = 8192) -> DataFrame:
-    """Links (a, b) that connect all different fingerprints of column fp lying at most ``radius`` bits apart.
+def fingerprint_links(fps: DataFrame, radius: int = 2, tile_rows: int = 8192, two: bool = False) -> DataFrame:
+    """Links (a, b) of nodes that connect all rows of different fp lying at most ``radius`` bits apart, in ``second`` too with ``two``.
 
     Tile pairs are found by an equi-join on total bit counts over the tiles' ranges and then held against the boxes of
-    the quarters; only tile numbers and boxes take part in that join.
+    the quarters; only tile numbers and boxes take part in that join. Loaded pairs are dealt out evenly, a few to a task.
     """
+    if "node" not in fps.columns:
+        fps = fps.select("fp", F.lit(0).cast("long").alias("second"), F.col("fp").alias("node"))
     tiled = saved(tiles(fps, tile_rows))
-    about = tiled.drop("fps", "first")
+    about = tiled.select("tile", "low", "high", "box_min", "box_max")
     home = about.select(*[F.col(c).alias(f"l_{c}") for c in about.columns], F.explode(F.sequence("low", "high")).alias("_at"))
     near = about.select(
         *[F.col(c).alias(f"r_{c}") for c in about.columns],
@@ -154,21 +195,21 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, tile_rows: int = 8192) ->
         F.arrays_zip(F.col("l_box_min").alias("a"), F.col("l_box_max").alias("b"), F.col("r_box_min").alias("c"), F.col("r_box_max").alias("d")),
         lambda x: (x["a"] <= x["d"] + radius) & (x["c"] <= x["b"] + radius),
     )
-    pairs = home.join(near, "_at").where((F.col("l_tile") <= F.col("r_tile")) & meets).select("l_tile", "r_tile").distinct()
-    payload = tiled.select("tile", "fps")
-    loaded = pairs.join(payload.withColumnsRenamed({"tile": "l_tile", "fps": "l_fps"}), "l_tile").join(
-        payload.withColumnsRenamed({"tile": "r_tile", "fps": "r_fps"}), "r_tile"
-    )
+    pairs = saved(home.join(near, "_at").where((F.col("l_tile") <= F.col("r_tile")) & meets).select("l_tile", "r_tile").distinct())
+    payload = tiled.select("tile", F.struct("fp", "second", "node").alias("x"))
+    loaded = pairs.join(payload.withColumnsRenamed({"tile": "l_tile", "x": "l"}), "l_tile").join(payload.withColumnsRenamed({"tile": "r_tile", "x": "r"}), "r_tile")
+    loaded = loaded.repartition(max(1, -(-pairs.count() // 2)))
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
-            for row in some.itertuples():
-                left = np.frombuffer(row.l_fps, np.uint64)
-                right = None if row.l_tile == row.r_tile else np.frombuffer(row.r_fps, np.uint64)
-                a, b = links_of_tiles(left, right, radius)
-                yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+            for row in some.to_pylist():
+                same = row["l_tile"] == row["r_tile"]
+                left, right = ({c: np.frombuffer(row[side][c], np.uint64) for c in ("fp", "second", "node")} for side in "lr")
+                a, b = links_of_tiles(left["fp"], None if same else right["fp"], radius, (left["second"], right["second"]) if two else None)
+                node = (left["node"] if same else np.concatenate([left["node"], right["node"]])).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    return loaded.mapInPandas(compare, "a long, b long")
+    return loaded.mapInArrow(compare, "a long, b long")
 
 
 def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -195,18 +236,20 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def _components(docs: DataFrame, key: str, text: str, mark: str | None = None, *, radius: int = 2, width: int = 3, seed: int = 42, tile_rows: int = 8192) -> DataFrame:
+def _components(docs: DataFrame, key: str, text: str, mark: str | None = None, *, radius: int = 2, width: int = 3, seed: int = 42, second_seed: int | None = None, tile_rows: int = 8192) -> DataFrame:
     """(key, fp, component_id) for each row; with a column ``mark`` also mark and leads, true for the rows of the component's smallest (key, mark), nulls last."""
-    extra = [mark] if mark else []
-    marked = saved(with_fingerprint(docs.select(key, text, *extra), text, "fp", width, seed).select(key, "fp", *extra))
+    extra, two = [mark] if mark else [], second_seed is not None
+    marked = with_fingerprint(docs.select(key, text, *extra), text, "fp", width, seed)
+    marked = with_fingerprint(marked, text, "second", width, second_seed) if two else marked.withColumn("second", F.lit(0).cast("long"))
+    marked = saved(marked.select(key, "fp", (F.xxhash64("fp", "second") if two else F.col("fp")).alias("node"), "second", *extra))
     first = [F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(mark).alias("mark"))).alias("_first")] if mark else []
-    nodes = saved(marked.groupBy("fp").agg(F.min(key).alias("_least"), *first))
-    roots = connected(fingerprint_links(nodes, radius, tile_rows))
-    kept = [c for c in nodes.columns if c != "fp"]
-    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", *kept, F.coalesce("root", "fp").alias("root"))
+    nodes = saved(marked.groupBy("fp", "second", "node").agg(F.min(key).alias("_least"), *first))
+    roots = connected(fingerprint_links(nodes.select("fp", "second", "node"), radius, tile_rows, two)).withColumnRenamed("node", "_node")
+    kept = ["_least", *(["_first"] if mark else [])]
+    grouped = nodes.join(roots, nodes.node == roots._node, "left").select("node", *kept, F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("_least").alias("component_id"), *([F.min("_first").alias("_leader")] if mark else []))
-    named = grouped.select("fp", "root").join(least, "root").drop("root")
-    out = marked.join(named, "fp", "left")
+    named = grouped.select("node", "root").join(least, "root").drop("root")
+    out = marked.join(named, "node", "left")
     if not mark:
         return out.select(key, "fp", "component_id")
     leads = F.col(key).eqNullSafe(F.col("_leader.key")) & (F.col(mark) == F.col("_leader.mark"))

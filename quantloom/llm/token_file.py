@@ -261,8 +261,8 @@ BLOCK_ARROW = pa.schema([
 ])
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = 2, block_ids: int = BLOCK_IDS) -> None:
-    """Writes the ids of all texts, in ascending key order, as blocks under ``path``."""
+def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = 2, block_ids: int = BLOCK_IDS, in_order: bool = False) -> None:
+    """Writes the ids of all texts, in ascending key order, as blocks under ``path``; with ``in_order`` as the rows come, without a shuffle."""
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(spec)
@@ -306,7 +306,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, key: str =
             yield close()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    if not in_order:
+        rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
     rows.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
@@ -337,8 +338,8 @@ def read_tokens(spark: SparkSession, path: str, *, ids: bool = False, key: str =
     return blocks.mapInPandas(documents, f"`{key}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
-def token_digest(docs: DataFrame, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = 2, path: str | None = None) -> DataFrame:
+def token_digest(docs: DataFrame, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = 2, path: str | None = None, in_order: bool = False) -> DataFrame:
     """Writes docs as a token file (in the shared folder unless ``path`` is given) and reads it back."""
     path = path or scratch_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer_file, key=key, text=text, end_id=end_id)
+    write_tokens(docs, path, tokenizer_file, key=key, text=text, end_id=end_id, in_order=in_order)
     return read_tokens(docs.sparkSession, path, key=key)

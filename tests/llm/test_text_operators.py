@@ -199,6 +199,20 @@ def test_classifier(spark, docs, empty, labels):
     assert sum(r.kept == (r.doc_id % 4 != 0) for r in got) >= 0.97 * len(got)
 
 
+def test_vocabulary_lookup_equals_sets():
+    from quantloom.llm.common import alnum_words
+    from quantloom.llm.quality_classifier import Vocabulary, tokens
+
+    rng = random.Random(20)
+    some = [" ".join(rng.choice(("abcd", "abcde", "abc", "éa", "éabcd", "x")) + rng.choice(("", "e", "fg", "é")) for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    everything = sorted({t for x in some for t in tokens(alnum_words(x))})
+    vocabulary = Vocabulary(rng.sample(everything, len(everything) // 2))
+    for x in [*some, None, ""]:
+        got = vocabulary.counts(alnum_words(x))
+        assert sorted(got) == [i for i, w in enumerate(vocabulary.words) if w in tokens(alnum_words(x))]
+        assert all(n == sum(w == vocabulary.words[i] or vocabulary.words[i].endswith(b"*") and w.startswith(vocabulary.words[i][:-1]) for w in alnum_words(x)) for i, n in got.items())
+
+
 def test_toxic_labels_without_quality_are_learned(spark):
     from quantloom.llm.quality_classifier import classify
 
@@ -336,6 +350,28 @@ def test_tiles_lose_no_link(spark):
     assert {x: roots.get(x, x) for x in fps} == {x: root(x) for x in fps}
 
 
+def test_dense_tiles_and_second_fingerprints(spark):
+    from quantloom.llm.simhash_dedup import connected, fingerprint_links, links_of_tiles, near_dedup
+
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    fps = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 63, 500, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 500, dtype=np.uint64)) for b in base]))
+    second = rng.integers(0, 2, len(fps)).astype(np.uint64) * np.uint64(0xFFFFFF)  # two groups far apart within each base
+    a, b = links_of_tiles(fps, None, 5, (second, second))
+    assert len(a) < len(fps)  # a forest
+    rows = spark.createDataFrame([(int(f), int(s), i) for i, (f, s) in enumerate(zip(fps, second))], "fp long, second long, node long")
+    roots = {r.node: r.root for r in connected(fingerprint_links(rows, 5, tile_rows=700, two=True)).collect()}
+    parent = list(range(len(fps)))
+    close = (np.bitwise_count(fps[:, None] ^ fps) <= 5) & (second[:, None] == second)
+    for _ in range(12):
+        parent = [min(parent[j] for j in np.flatnonzero(close[i])) for i in range(len(fps))]
+    assert [roots.get(i, i) for i in range(len(fps))] == parent
+    words = [f"w{k}" for k in rng.integers(0, 5000, 200)]
+    changed = [*words[:50], "x", *words[51:120], "y", *words[121:], "z"]
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(f"v{k}" for k in range(150)))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup(d, radius=14, second_seed=43).collect()) == [1, 3]
+
+
 def test_decontamination(spark, docs, empty, monkeypatch):
     from quantloom.llm import decontamination as D
 
@@ -626,3 +662,66 @@ def test_pipeline_stages_on_small_tables(spark, sf):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and stage(spark, docs.where("false"), sf).count() == 0, name
     assert P.run(spark, sf).count() > 0
+
+
+def test_pipeline_stages_against_brute_force(spark, sf, tmp_path):
+    import public_tokenizers
+    import xxhash
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [r for r in docs.collect() if r.text and len(r.text) < 3000]
+    docs = spark.createDataFrame(rows, docs.schema)
+    stages = dict(P.STAGES)
+
+    def prints(t, seed):
+        w = words_space(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        h = np.array([xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), seed) for i in range(max(1, len(w) - 2))] if w else [], np.uint64)
+        return sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
+
+    f = [np.array([prints(r.text, seed) for r in rows], np.uint64) for seed in (42, 43)]
+    close = (np.bitwise_count(f[0][:, None] ^ f[0]) <= 14) & (np.bitwise_count(f[1][:, None] ^ f[1]) <= 14)
+    ids = [r.doc_id for r in rows]
+    root = list(ids)
+    for _ in range(20):
+        root = [min(root[j] for j in np.flatnonzero(close[i])) for i in range(len(ids))]
+    assert sorted(r.doc_id for r in stages["simhash_near_dedup"](spark, docs, sf).collect()) == sorted(set(root)) and len(set(root)) < len(ids)
+    windows = set()
+    for b in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words_alnum(b.text)
+        windows |= {tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12) if w else 0)}
+    clean = []
+    for r in rows:
+        w, hit = words_alnum(r.text), set()
+        for n in {len(x) for x in windows}:
+            hit |= {k for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for k in range(i, i + n)}
+        if not (hit and 20 * len(hit) >= len(w)):
+            clean.append(r.doc_id)
+    assert sorted(r.doc_id for r in stages["decontamination"](spark, docs, sf).collect()) == sorted(clean) and len(clean) < len(ids)
+    mixed = stages["source_mixing"](spark, docs, sf)
+    path = str(tmp_path / "mixed")
+    mixed.write.parquet(path)
+    back = spark.read.parquet(path)
+    order, tokenizer = [r.doc_id for r in back.collect()], Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert order != sorted(order)
+    got = sorted(stages["token_output"](spark, back, sf).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == order
+    text, at = {r.doc_id: r.text for r in rows}, 0
+    for r in got:
+        ids_ = tokenizer.encode(text[r.doc_id], add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids_), zlib.crc32(np.array(ids_, "<u4").tobytes()))
+        at += len(ids_)
+
+
+def test_classifier_on_held_out_labels(spark):
+    from quantloom.llm.quality_classifier import classify
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 0
+    got = classify(docs, labels.where(~held)).join(labels.where(held), "doc_id").collect()
+    good = [r.kept for r in got if r.quality == 1 and r.toxic == 0]
+    poor, toxic = [r.kept for r in got if r.quality == 0], [r.kept for r in got if r.toxic == 1]
+    assert sum(good) >= 0.96 * len(good) and sum(poor) <= 0.05 * len(poor) and sum(toxic) <= 0.15 * len(toxic)
