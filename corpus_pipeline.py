@@ -20,7 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from quantloom.llm.simhash_dedup import near_dedup
 
-    return near_dedup(docs).select(*docs.columns)
+    # two independent fingerprints, so that a radius which catches copies with several changed words meets no others
+    return near_dedup(docs, radius=14, second_seed=43, tile_rows=16384).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,8 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     from quantloom.llm.token_file import token_digest
 
-    return token_digest(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # the rows come in the mixed order, which the file keeps
+    return token_digest(docs, public_tokenizers.path("word_bpe_49k.json"), in_order=True)
 
 
 STAGES = [
