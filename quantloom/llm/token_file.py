@@ -33,9 +33,9 @@ SELECTORS = ((1, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7
 COUNTS = np.array([n for n, _ in SELECTORS], np.int64)
 BLOCK_IDS = 1 << 16
 #: Strings in a generation that a worker remembers, and ids in it.
-REMEMBERED, REMEMBERED_IDS = 600_000, 8_000_000
+REMEMBERED, REMEMBERED_IDS = 300_000, 4_000_000
 #: Bytes of text that are encoded at once; a longer text is taken whole.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 8_000_000
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
