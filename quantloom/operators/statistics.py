@@ -44,43 +44,61 @@ def ks_distance(rows: DataFrame, group: str, value: str) -> DataFrame:
     by = rows.groupBy(C(value).alias("v")).agg(F.count_if(C(group) == 1).alias("p"), F.count_if(C(group) == 0).alias("q"))
     w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     run = by.withColumns({"cp": F.sum("p").over(w), "cq": F.sum("q").over(w)})
-    return run.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"), F.collect_list(F.struct("cp", "cq")).alias("steps")).select(
-        "np", "nq", F.array_max(F.transform("steps", lambda s: F.abs(s["cp"] / C("np") - s["cq"] / C("nq")))).alias("ks"))
+    totals = by.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))  # one row
+    gap = F.max(F.abs(C("cp") / C("np") - C("cq") / C("nq")))
+    return run.crossJoin(F.broadcast(totals)).agg(F.max("np").alias("np"), F.max("nq").alias("nq"), gap.alias("ks"))
 
 
 def mcnemar(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """n01, n10, chi-square with continuity correction and whether it passes the 5 % point 3.841459; p by a normal tail series is left to the caller."""
+    """n01, n10, chi-square with continuity correction, whether it passes the 5 % point 3.841459, and its p to six places."""
     n01, n10 = F.count_if(~C(a) & C(b)), F.count_if(C(a) & ~C(b))
     got = rows.agg(n01.alias("n01"), n10.alias("n10"))
     chi = F.when(C("n01") + C("n10") > 0, (F.abs(C("n01") - C("n10")) - 1) ** 2 / (C("n01") + C("n10")))
-    return got.withColumn("chi2", chi).withColumn("reject", C("chi2") > 3.841459)
-
-
-def pick(draw: Column, position: Column, seed: int, n: Column) -> Column:
-    """A repeatable row number in [0, n) for each draw and position."""
-    return F.pmod(F.xxhash64(F.lit(seed), draw, position), n)
-
-
-def bootstrap_means(rows: DataFrame, value: str, draws: int, seed: int = 42) -> DataFrame:
-    """(draw, mean) of resamples as large as the data: each (draw, position) picks a row by hash and joins it."""
-    spark = rows.sparkSession
-    numbered = rows.select((F.row_number().over(Window.orderBy(value)) - 1).cast("long").alias("i"), C(value).alias("v"))
-    n = rows.count()
-    asked = spark.range(draws).withColumnRenamed("id", "draw").withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    asked = asked.withColumn("i", pick(C("draw"), C("pos"), seed, F.lit(n).cast("long")))
-    return asked.join(numbered, "i").groupBy("draw").agg(F.avg("v").alias("mean"))
-
-
-def block_bootstrap_means(rows: DataFrame, value: str, draws: int, mean_block: float = 21.0, seed: int = 42) -> DataFrame:
-    """Stationary bootstrap: blocks restart with chance 1/mean_block, run on circularly; (draw, mean)."""
-    spark, n = rows.sparkSession, rows.count()
-    numbered = rows.select((F.row_number().over(Window.orderBy("t")) - 1).cast("long").alias("i"), C(value).alias("v"))
-    asked = spark.range(draws).withColumnRenamed("id", "draw").withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    restart = (C("pos") == 0) | (F.pmod(F.xxhash64(F.lit(seed), "draw", "pos"), F.lit(1_000_000)) < int(1_000_000 / mean_block))
-    start = F.when(restart, F.struct(pick(C("draw"), C("pos"), seed + 1, F.lit(n).cast("long")).alias("s"), C("pos").alias("p")))
-    w = Window.partitionBy("draw").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    asked = asked.withColumn("b", F.last(start, ignorenulls=True).over(w)).withColumn("i", F.pmod(C("b.s") + C("pos") - C("b.p"), F.lit(n).cast("long")))
-    return asked.join(numbered, "i").groupBy("draw").agg(F.avg("v").alias("mean"))
+    return got.withColumn("chi2", chi).withColumns({"reject": C("chi2") > 3.841459, "p": erfc(F.sqrt(C("chi2") / 2))})
+
+
+def erfc(x: Column) -> Column:
+    """The complementary error function of x >= 0 by a rational approximation, right to 1.5e-7."""
+    k = 1 / (1 + 0.3275911 * x)
+    series = F.lit(1.061405429)
+    for c in (-1.453152027, 1.421413741, -0.284496736, 0.254829592):  # fixed values of the approximation, highest power first
+        series = series * k + c
+    return series * k * F.exp(-x * x)
+
+
+def uniform(*parts) -> Column:
+    """A repeatable number in (0, 1) from the MD5 of the parts, which any engine can compute."""
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+#: Distribution function of the Poisson distribution of mean 1 from 0 to 7.
+POISSON_ONE = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(8))
+
+
+def bootstrap_means(rows: DataFrame, key: str, time: str, value: str, draws: int, seed: int = 42) -> DataFrame:
+    """(key, draw, mean) of resamples: each row counts in each draw as often as a Poisson number of mean 1, made by hash of row and draw.
+
+    Rows are neither numbered nor joined; sums are taken on the map side, so the shuffle has one row for each key, draw and task.
+    """
+    drawn = rows.select(key, time, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    drawn = drawn.withColumn("_u", uniform(F.lit(seed), C(key), C(time), C("draw")))
+    weight = sum(((C("_u") >= below).cast("int") for below in POISSON_ONE), F.lit(0))
+    return drawn.groupBy(key, "draw").agg((F.sum(weight * C(value)) / F.nullif(F.sum(weight), F.lit(0))).alias("mean"))
+
+
+def block_bootstrap_means(rows: DataFrame, key: str, time: str, value: str, draws: int, mean_block: float = 21.0, seed: int = 42) -> DataFrame:
+    """(key, draw, mean) of a stationary bootstrap: blocks restart with chance 1/mean_block and run on circularly.
+
+    Work is split by key and draw; a draw of one key is one sorted run of its positions.
+    """
+    numbered = rows.select(key, C(value).alias("v"), (F.row_number().over(over(key, time)) - 1).cast("long").alias("i"), F.count("*").over(Window.partitionBy(key)).alias("n"))
+    asked = numbered.select(key, "n", C("i").alias("pos"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    at = lambda k: uniform(F.lit(seed + k), C(key), C("draw"), C("pos"))
+    shift = F.when((C("pos") == 0) | (at(0) < 1 / mean_block), F.floor(at(1) * C("n")) - C("pos"))
+    asked = asked.withColumn("shift", F.last(shift, ignorenulls=True).over(over([key, "draw"], "pos").rowsBetween(Window.unboundedPreceding, 0)))
+    picked = asked.select(key, "draw", F.pmod(C("pos") + C("shift"), C("n")).alias("i"))
+    return picked.join(numbered.select(key, "i", "v"), [key, "i"]).groupBy(key, "draw").agg(F.avg("v").alias("mean"))
 
 
 def circular_shift(rows: DataFrame, value: str, shift: int, *, key: str = "symbol") -> DataFrame:

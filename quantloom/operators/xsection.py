@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 C = F.col
 
 
-def graph_features(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Edges, triangles and mean degree of the graph of pairs (a < b) with |rho| at or above a threshold."""
+def graph_features(pairs: DataFrame, nodes: DataFrame, threshold: float, *, node: str = "symbol") -> DataFrame:
+    """Edges, triangles, mean degree, density and mean clustering of the graph of pairs (a < b) with |rho| at or above a threshold.
+
+    The clustering of a node is the share of the pairs of its neighbours that are linked, 0 with fewer than two neighbours.
+    """
     e = pairs.where(F.abs("rho") >= threshold).select("a", "b")
     two = e.join(e.select(C("a").alias("b"), C("b").alias("c")), "b")
-    closed = two.join(e.select("a", C("b").alias("c")), ["a", "c"]).agg(F.count("*").alias("triangles"))
-    counts = e.agg(F.count("*").alias("edges")).crossJoin(closed).crossJoin(nodes.agg(F.count("*").alias("n")))
-    return counts.withColumn("mean_degree", 2 * C("edges") / C("n"))
+    closed = two.join(e.select("a", C("b").alias("c")), ["a", "c"])
+    corner = closed.select(F.explode(F.array("a", "b", "c")).alias(node)).groupBy(node).agg(F.count("*").alias("k"))
+    degree = e.select(F.explode(F.array("a", "b")).alias(node)).groupBy(node).agg(F.count("*").alias("g"))
+    share = F.when(C("g") >= 2, 2 * F.coalesce("k", F.lit(0)) / (C("g") * (C("g") - 1))).otherwise(0.0)
+    by_node = nodes.join(degree, node, "left").join(corner, node, "left")
+    got = by_node.agg(F.count("*").alias("n"), (F.coalesce(F.sum("g"), F.lit(0)) / 2).cast("long").alias("edges"), (F.coalesce(F.sum("k"), F.lit(0)) / 3).cast("long").alias("triangles"), F.avg(share).alias("clustering"))
+    return got.withColumns({"mean_degree": 2 * C("edges") / C("n"), "density": 2 * C("edges") / F.nullif(C("n") * (C("n") - 1), F.lit(0))})

@@ -232,10 +232,12 @@ def dq_13(s, d):
     return R.settlements(s, d).groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("st") % HOUR_MS != 0).alias("off_open"), F.count_if(F.col("mark") <= 0).alias("bad_mark"))
 
 
-@query("dq_14_scenario_noop", with_roles("grid") + "SELECT cohort, round(sum(net_pnl) FILTER (grid = 'A') - sum(net_pnl) FILTER (grid = 'N'), 6) + 0.0 AS a_less_n, round(sum(net_pnl) FILTER (grid = 'A') - sum(net_pnl) FILTER (grid = 'R'), 6) + 0.0 AS a_less_r FROM grid GROUP BY 1")
+@query("dq_14_scenario_noop", with_roles("grid") + "SELECT cohort, round(sum(net_pnl) FILTER (grid = 'A') - sum(net_pnl) FILTER (grid = 'N'), 6) + 0.0 AS a_less_n, round(sum(net_pnl) FILTER (grid = 'A') - sum(net_pnl) FILTER (grid = 'R'), 6) + 0.0 AS a_less_r, CASE WHEN sum(episodes) > 0 THEN sum(net_pnl) FILTER (grid = 'A') IS NOT DISTINCT FROM sum(net_pnl) FILTER (grid = 'N') OR sum(net_pnl) FILTER (grid = 'A') IS NOT DISTINCT FROM sum(net_pnl) FILTER (grid = 'R') END AS no_op FROM grid GROUP BY 1")
 def dq_14(s, d):
-    wide = R.grid(s, d).groupBy("cohort").pivot("grid", ["A", "N", "R"]).agg(F.sum("net_pnl"))
-    return wide.select("cohort", (F.round(F.col("A") - F.col("N"), 6) + 0.0).alias("a_less_n"), (F.round(F.col("A") - F.col("R"), 6) + 0.0).alias("a_less_r"))
+    one = lambda g: F.sum(F.when(F.col("grid") == g, F.col("net_pnl"))).alias(g)
+    wide = R.grid(s, d).groupBy("cohort").agg(one("A"), one("N"), one("R"), F.sum("episodes").alias("traded"))
+    same = F.col("A").eqNullSafe(F.col("N")) | F.col("A").eqNullSafe(F.col("R"))  # a scenario that moves nothing; not evaluated when nothing traded
+    return wide.select("cohort", F.when(F.col("traded") > 0, same).alias("no_op"), (F.round(F.col("A") - F.col("N"), 6) + 0.0).alias("a_less_n"), (F.round(F.col("A") - F.col("R"), 6) + 0.0).alias("a_less_r"))
 
 
 @query("dq_15_identity_check", with_roles("fills", "episodes") + "SELECT count(*) FILTER (e.n_fills <> coalesce(f.n, 0)) AS count_differs, count(*) AS n FROM episodes e LEFT JOIN (SELECT episode, count(*) AS n FROM fills GROUP BY 1) f USING (episode)")

@@ -146,13 +146,15 @@ def top_02(s, d):
     return x.select("cohort", F.concat_ws(",", faults).alias("reasons"))
 
 
-@query("top_03_leaderboard", with_roles("slices") + ", a AS (SELECT survivor, count(*) AS slices, sum(pnl) AS pnl, min(sharpe) AS worst FROM slices GROUP BY 1), j AS (SELECT c_custkey AS survivor, slices, pnl, worst FROM customer LEFT JOIN a ON c_custkey = survivor) SELECT survivor, row_number() OVER (ORDER BY (slices IS NOT NULL) DESC, pnl DESC NULLS LAST, worst DESC NULLS LAST, survivor) AS place FROM j QUALIFY place <= 10")
+@query("top_03_leaderboard", with_roles("slices") + ", a AS (SELECT survivor, count(*) AS slices, sum(pnl) AS pnl, min(sharpe) AS worst, sum(n_episodes)::BIGINT AS episodes, sum(sharpe * n_episodes) / nullif(sum(n_episodes), 0) AS sharpe, max(sharpe) - min(sharpe) AS spread FROM slices GROUP BY 1), j AS (SELECT c_custkey AS survivor, slices, pnl, worst, episodes, sharpe, spread FROM customer LEFT JOIN a ON c_custkey = survivor) SELECT survivor, row_number() OVER (ORDER BY (slices IS NOT NULL) DESC, round(pnl, 4) DESC NULLS LAST, round(sharpe, 6) DESC NULLS LAST, worst DESC NULLS LAST, episodes DESC NULLS LAST, slices DESC NULLS LAST, abs(spread) ASC NULLS LAST, survivor) AS place, place = 1 AND slices IS NOT NULL AS champion FROM j QUALIFY place <= 10")
 def top_03(s, d):
-    a = R.slices(s, d).groupBy("survivor").agg(F.count("*").alias("slices"), F.sum("pnl").alias("pnl"), F.min("sharpe").alias("worst"))
+    """Those with forward slices first, then six keys, nulls last, then the id; the best ten, the first of them the champion."""
+    a = R.slices(s, d).groupBy("survivor").agg(F.count("*").alias("slices"), F.sum("pnl").alias("pnl"), F.min("sharpe").alias("worst"), F.sum("n_episodes").alias("episodes"), (F.sum(C("sharpe") * C("n_episodes")) / F.nullif(F.sum("n_episodes"), F.lit(0))).alias("sharpe"), (F.max("sharpe") - F.min("sharpe")).alias("spread"))
     j = R.read(s, d, "customer").select(C("c_custkey").alias("survivor")).join(a, "survivor", "left")
-    order = [C("slices").isNotNull().desc(), C("pnl").desc_nulls_last(), C("worst").desc_nulls_last(), C("survivor")]
-    top = j.orderBy(*order).limit(10)  # a top-k report
-    return top.select("survivor", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    keys = [F.round("pnl", 4), F.round("sharpe", 6), C("worst"), C("episodes"), C("slices")]
+    order = [C("slices").isNotNull().desc(), *[k.desc_nulls_last() for k in keys], F.abs("spread").asc_nulls_last(), C("survivor")]
+    top = j.orderBy(*order).limit(10).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # a top-k report
+    return top.select("survivor", "place", ((C("place") == 1) & C("slices").isNotNull()).alias("champion"))
 
 
 @query("top_04_newest_attempt", with_roles("runs") + "SELECT run, arg_max(state, ordinal) AS state, max(ordinal) AS ordinal, max(t) AS t FROM (SELECT *, max(t) OVER (PARTITION BY run) AS mt FROM runs) WHERE t = mt GROUP BY 1")

@@ -54,13 +54,17 @@ def agg_04(s, d):
     return tidy(g, "symbol", total=C("q") - 1, cagr=F.pow("q", 365.0 / C("days")) - 1)
 
 
-@query("agg_05_tail_risk", DAILY + _RET + ", k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY r, t) AS n, row_number() OVER (PARTITION BY symbol ORDER BY r DESC, t) AS m, count(*) OVER (PARTITION BY symbol) AS c FROM x WHERE r IS NOT NULL) SELECT symbol, round(avg(r) FILTER (n <= ceil(0.05 * c)), 6) + 0.0 AS cvar, round(-(avg(r) FILTER (m <= ceil(0.05 * c))) / (avg(r) FILTER (n <= ceil(0.05 * c))), 6) + 0.0 AS rachev, round(avg(r) / sqrt(avg(least(r, 0) * least(r, 0))), 6) + 0.0 AS sortino FROM k GROUP BY 1")
+_TAIL = "avg(r) FILTER ({k} <= ceil({p} * c))"
+
+
+@query("agg_05_tail_risk", DAILY + _RET + ", k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY r, t) AS n, row_number() OVER (PARTITION BY symbol ORDER BY r DESC, t) AS m, count(*) OVER (PARTITION BY symbol) AS c FROM x WHERE r IS NOT NULL), " + f"g AS (SELECT symbol, avg(r) AS mean, stddev_samp(r) FILTER (r < 0) AS down, {_TAIL.format(k='n', p=0.05)} AS low5, {_TAIL.format(k='m', p=0.05)} AS top5, {_TAIL.format(k='n', p=0.01)} AS low1, {_TAIL.format(k='m', p=0.01)} AS top1 FROM k GROUP BY 1) SELECT symbol, round(low5, 6) + 0.0 AS cvar_95, round(low1, 6) + 0.0 AS cvar_99, round(-top5 / low5, 6) + 0.0 AS rachev_95, round(-top1 / low1, 6) + 0.0 AS rachev_99, round(mean / abs(low5), 6) + 0.0 AS starr, round(mean / down * sqrt(365), 6) + 0.0 AS sortino FROM g")
 def agg_05(s, d):
+    """Means of the worst and best ceil(share * n) returns, their ratios, mean over CVaR, and the annualised Sortino ratio over the deviation of negative returns."""
     w = Window.partitionBy("symbol")
     x = rets(s, d).where("r is not null").withColumns({"n": F.row_number().over(w.orderBy("r", "t")), "m": F.row_number().over(w.orderBy(C("r").desc(), "t")), "c": F.count("*").over(w)})
-    low, top = F.avg(F.when(C("n") <= F.ceil(0.05 * C("c")), C("r"))), F.avg(F.when(C("m") <= F.ceil(0.05 * C("c")), C("r")))
-    g = x.groupBy("symbol").agg(low.alias("cvar"), (-top / low).alias("rachev"), (F.avg("r") / F.sqrt(F.avg(F.least("r", F.lit(0.0)) ** 2))).alias("sortino"))
-    return tidy(g, "symbol", cvar=C("cvar"), rachev=C("rachev"), sortino=C("sortino"))
+    tail = lambda k, p: F.avg(F.when(C(k) <= F.ceil(p * C("c")), C("r")))
+    g = x.groupBy("symbol").agg(F.avg("r").alias("mean"), F.stddev_samp(F.when(C("r") < 0, C("r"))).alias("down"), tail("n", 0.05).alias("low5"), tail("m", 0.05).alias("top5"), tail("n", 0.01).alias("low1"), tail("m", 0.01).alias("top1"))
+    return tidy(g, "symbol", cvar_95=C("low5"), cvar_99=C("low1"), rachev_95=-C("top5") / C("low5"), rachev_99=-C("top1") / C("low1"), starr=C("mean") / F.abs("low5"), sortino=C("mean") / C("down") * F.sqrt(F.lit(365.0)))
 
 
 @query("agg_06_hill_index", DAILY + _RET + ", k AS (SELECT symbol, -r AS l, row_number() OVER (PARTITION BY symbol ORDER BY r, t) AS n, count(*) OVER (PARTITION BY symbol) AS c FROM x WHERE r < 0) SELECT symbol, max(floor(sqrt(c)))::BIGINT AS k, round(1 / (avg(ln(l)) FILTER (n <= floor(sqrt(c))) - max(ln(l)) FILTER (n = floor(sqrt(c)) + 1)), 6) + 0.0 AS hill FROM k GROUP BY 1")
@@ -71,14 +75,20 @@ def agg_06(s, d):
     return tidy(g, "symbol", "k", hill=C("hill"))
 
 
-@query("agg_07_hedge_half_life", with_roles("bars") + ", p AS (SELECT a.symbol AS a, b.symbol AS b, a.t, a.close AS y, b.close AS x FROM bars a JOIN bars b ON a.t = b.t AND a.symbol < b.symbol), h AS (SELECT a, b, regr_slope(y, x) AS beta, regr_intercept(y, x) AS alpha FROM p GROUP BY 1, 2), e AS (SELECT a, b, t, y - alpha - beta * x AS e FROM p JOIN h USING (a, b)), l AS (SELECT a, b, e, lag(e) OVER (PARTITION BY a, b ORDER BY t) AS e1 FROM e), q AS (SELECT a, b, regr_slope(e - e1, e1) AS phi FROM l GROUP BY 1, 2) SELECT a, b, round(beta, 6) + 0.0 AS beta, round(phi, 6) + 0.0 AS phi FROM h JOIN q USING (a, b)")
+@query("agg_07_hedge_half_life", with_roles("bars") + ", p AS (SELECT a.symbol AS a, b.symbol AS b, a.t, ln(a.close) AS y, ln(b.close) AS x FROM bars a JOIN bars b ON a.t = b.t AND a.symbol < b.symbol WHERE a.close > 0 AND b.close > 0), h AS (SELECT a, b, regr_slope(y, x) AS beta, regr_intercept(y, x) AS alpha FROM p GROUP BY 1, 2), e AS (SELECT a, b, t, y - alpha - beta * x AS e FROM p JOIN h USING (a, b)), l AS (SELECT a, b, e - lag(e) OVER w AS de, lag(e) OVER w AS e1 FROM e WINDOW w AS (PARTITION BY a, b ORDER BY t)), q AS (SELECT a, b, regr_slope(de, e1) AS phi, count(de) AS n, sum(de * pow(e1, 3)) / sum(pow(e1, 6)) AS c, sum(de * de) AS dd, sum(de * pow(e1, 3)) AS du, sum(pow(e1, 6)) AS uu FROM l GROUP BY 1, 2) SELECT a, b, round(beta, 6) + 0.0 AS beta, round(phi, 6) + 0.0 AS phi, round(CASE WHEN phi > -1 AND phi < 0 THEN -ln(2) / ln(1 + phi) END, 4) + 0.0 AS half_life, round(CASE WHEN n > 1 AND dd - c * du > 0 THEN c / sqrt((dd - c * du) / (n - 1) / uu) END, 4) + 0.0 AS cubic_t FROM h JOIN q USING (a, b)")
 def agg_07(s, d):
+    """Hedge ratio of log prices, half-life of the residual's AR(1), and the t of its change on its cubed level (a cubic unit-root test)."""
     from ..operators.joins import symbol_pairs
 
-    p = symbol_pairs(R.bars_1h(s, d), "close")
+    p = symbol_pairs(R.bars_1h(s, d).where("close > 0").withColumn("close", F.log("close")), "close")
     h = p.groupBy("a", "b").agg(F.regr_slope("ra", "rb").alias("beta"), F.regr_intercept("ra", "rb").alias("alpha"))
     e = p.join(h, ["a", "b"]).withColumn("e", C("ra") - C("alpha") - C("beta") * C("rb")).withColumn("e1", F.lag("e").over(over(["a", "b"])))
-    return tidy(e.groupBy("a", "b").agg(F.first("beta").alias("beta"), F.regr_slope(C("e") - C("e1"), C("e1")).alias("phi")), "a", "b", beta=C("beta"), phi=C("phi"))
+    e = e.withColumns({"de": C("e") - C("e1"), "u": F.pow("e1", F.lit(3.0))})
+    q = e.groupBy("a", "b").agg(F.first("beta").alias("beta"), F.regr_slope("de", "e1").alias("phi"), F.count("de").alias("n"), F.sum(C("de") ** 2).alias("dd"), F.sum(C("de") * C("u")).alias("du"), F.sum(C("u") ** 2).alias("uu"))
+    q = q.withColumn("c", C("du") / C("uu")).withColumn("rest", C("dd") - C("c") * C("du"))
+    half = F.when((C("phi") > -1) & (C("phi") < 0), -math.log(2) / F.log(1 + C("phi")))
+    cubic = F.when((C("n") > 1) & (C("rest") > 0), C("c") / F.sqrt(C("rest") / (C("n") - 1) / C("uu")))
+    return tidy(q, "a", "b", beta=C("beta"), phi=C("phi"), half_life=F.round(half, 4), cubic_t=F.round(cubic, 4))
 
 
 @query("agg_08_grouped_regression", DAILY + ", x AS (SELECT symbol, close AS y, open AS x FROM daily) SELECT symbol, count(*) AS n, round(regr_slope(y, x), 6) + 0.0 AS slope FROM x GROUP BY 1")
@@ -110,10 +120,14 @@ def agg_10(s, d):
 _Q = "(year(make_timestamp(t * 1000)) * 4 + quarter(make_timestamp(t * 1000)) - 1)::BIGINT"
 
 
-@query("agg_11_stress_quarters", DAILY + _RET + f", g AS (SELECT t, avg(r) AS r FROM x WHERE r IS NOT NULL GROUP BY 1) SELECT {_Q} AS quarter, round(sum(r), 6) + 0.0 AS ret FROM g GROUP BY 1 ORDER BY sum(r), 1 LIMIT 4")
+@query("agg_11_stress_quarters", DAILY + _RET + f", g AS (SELECT t, avg(r) AS r FROM x WHERE r IS NOT NULL GROUP BY 1), q AS (SELECT {_Q} AS quarter, t, r, exp(sum(ln(1 + r)) OVER (PARTITION BY {_Q} ORDER BY t)) AS level FROM g WHERE r > -1), k AS (SELECT quarter, r, level / greatest(1.0, max(level) OVER (PARTITION BY quarter ORDER BY t)) - 1 AS dd FROM q) SELECT quarter, round(sum(r), 6) + 0.0 AS ret, round(min(least(dd, 0)), 6) + 0.0 AS max_dd FROM k GROUP BY 1 ORDER BY sum(r), 1 LIMIT 4")
 def agg_11(s, d):
-    g = rets(s, d).where("r is not null").groupBy("t").agg(F.avg("r").alias("r")).groupBy(quarter_ordinal(C("t")).alias("quarter")).agg(F.sum("r").alias("x"))
-    return tidy(g.orderBy("x", "quarter").limit(4), "quarter", ret=C("x"))
+    """The four worst calendar quarters of the market's mean return (a top-k report), each with the deepest drawdown inside it."""
+    g = rets(s, d).where("r is not null").groupBy("t").agg(F.avg("r").alias("r")).where("r > -1").withColumn("quarter", quarter_ordinal(C("t")))
+    g = g.withColumn("level", F.exp(F.sum(F.log(1 + C("r"))).over(past("quarter"))))
+    g = g.withColumn("dd", C("level") / F.greatest(F.lit(1.0), F.max("level").over(past("quarter"))) - 1)
+    g = g.groupBy("quarter").agg(F.sum("r").alias("x"), F.min(F.least("dd", F.lit(0.0))).alias("dd"))
+    return tidy(g.orderBy("x", "quarter").limit(4), "quarter", ret=C("x"), max_dd=C("dd"))
 
 
 @query("agg_12_funnel_counts", "SELECT count(*) AS registered, count(*) FILTER (n > 0) AS evaluated, sum(n)::BIGINT AS evaluations FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)")

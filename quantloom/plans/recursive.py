@@ -50,6 +50,16 @@ def rec_04(s, d):
     return tidy(S.rsi(R.bars_1h(s, d), 14, "rsi"), "symbol", "t", rsi=C("rsi"))
 
 
+@query("rec_04_simple_rsi", with_roles("bars") + ", x AS (SELECT symbol, t, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY t)) AS r FROM bars), g AS (SELECT symbol, t, CASE WHEN count(r) OVER w = 14 THEN avg(greatest(r, 0)) OVER w END AS up, CASE WHEN count(r) OVER w = 14 THEN avg(greatest(-r, 0)) OVER w END AS down FROM x WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) SELECT symbol, t, round(CASE WHEN up IS NULL THEN NULL WHEN up < 1e-15 AND down < 1e-15 THEN 50 WHEN down < 1e-15 THEN 100 ELSE 100 - 100 / (1 + up / down) END, 6) + 0.0 AS rsi FROM g")
+def rec_04_simple(s, d):
+    """RSI by simple means of log returns."""
+    x = R.bars_1h(s, d).withColumn("r", F.log(C("close") / F.lag("close").over(over())))
+    x = x.withColumns({"up": rolling(F.when(C("r").isNotNull(), F.greatest("r", F.lit(0.0))), 14, F.avg), "down": rolling(F.when(C("r").isNotNull(), F.greatest(-C("r"), F.lit(0.0))), 14, F.avg)})
+    none = lambda c: C(c) < 1e-15
+    rsi = F.when(none("up") & none("down"), 50.0).when(none("down"), 100.0).otherwise(100 - 100 / (1 + C("up") / C("down")))
+    return tidy(x, "symbol", "t", rsi=F.when(C("up").isNotNull(), rsi))
+
+
 @query("rec_05_stochastic_rsi", _RSI + """, k AS (SELECT *, CASE WHEN count(rsi) OVER f = 14 THEN CASE WHEN max(rsi) OVER f = min(rsi) OVER f THEN 0.5 ELSE (rsi - min(rsi) OVER f) / (max(rsi) OVER f - min(rsi) OVER f) END END AS raw FROM q WINDOW f AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
  k3 AS (SELECT *, CASE WHEN count(raw) OVER g = 3 THEN avg(raw) OVER g END AS k FROM k WINDOW g AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) SELECT symbol, t, round(k, 6) + 0.0 AS k, round(CASE WHEN count(k) OVER g = 3 THEN avg(k) OVER g END, 6) + 0.0 AS d FROM k3 WINDOW g AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
 def rec_05(s, d):

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import day_of, month_ordinal, over, same_time, tidy
+from ..functions.expr import before, day_of, month_ordinal, over, same_time, tidy
 from ..operators import bars as B
 from ..operators import models as M
 from ..operators import portfolio as P
@@ -42,11 +42,12 @@ def sig_04(s, d):
     return x.select("symbol", "t", F.when((C("rsi") < 45) & (C("z") > 0.5), 1).when((C("rsi") > 55) & (C("z") > 0.5), -1).otherwise(0).cast("long").alias("side"))
 
 
-@query("xs_05_gated_legs", BARS + ", g AS (SELECT t, max(high) - min(low) AS w FROM bars GROUP BY 1), gate AS (SELECT t, w <= (SELECT quantile_cont(w, 0.5) FROM g) AS ok FROM g), l AS (SELECT symbol, t, row_number() OVER (PARTITION BY t ORDER BY close, symbol) AS u, row_number() OVER (PARTITION BY t ORDER BY close DESC, symbol) AS v FROM bars) SELECT symbol, t, CASE WHEN NOT ok THEN 0 WHEN u = 1 THEN 1 WHEN v = 1 THEN -1 ELSE 0 END::BIGINT AS side FROM l JOIN gate USING (t)")
+@query("xs_05_gated_legs", BARS + ", g AS (SELECT t, max(high) - min(low) AS w FROM bars GROUP BY 1), gate AS (SELECT t, coalesce(w <= quantile_cont(w, 0.5) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ok FROM g), l AS (SELECT symbol, t, row_number() OVER (PARTITION BY t ORDER BY close, symbol) AS u, row_number() OVER (PARTITION BY t ORDER BY close DESC, symbol) AS v FROM bars) SELECT symbol, t, CASE WHEN NOT ok THEN 0 WHEN u = 1 THEN 1 WHEN v = 1 THEN -1 ELSE 0 END::BIGINT AS side FROM l JOIN gate USING (t)")
 def xs_05(s, d):
+    """Legs of a time are open where its range is at most the median of the ranges of earlier times; the first time is closed."""
     b = R.bars_1h(s, d)
-    g = b.groupBy("t").agg((F.max("high") - F.min("low")).alias("w"))
-    gate = g.crossJoin(F.broadcast(g.agg(F.percentile("w", 0.5).alias("m")))).select("t", (C("w") <= C("m")).alias("ok"))
+    g = b.groupBy("t").agg((F.max("high") - F.min("low")).alias("w")).withColumn("market", F.lit(1))  # one row for each time
+    gate = g.select("t", F.coalesce(C("w") <= F.percentile("w", 0.5).over(before("market")), F.lit(False)).alias("ok"))
     x = b.withColumns({"u": F.row_number().over(same_time().orderBy("close", "symbol")), "v": F.row_number().over(same_time().orderBy(C("close").desc(), "symbol"))}).join(gate, "t")
     return x.select("symbol", "t", F.when(~C("ok"), 0).when(C("u") == 1, 1).when(C("v") == 1, -1).otherwise(0).cast("long").alias("side"))
 
@@ -85,7 +86,7 @@ def pf_07(s, d):
 _MIX = ", e AS (SELECT symbol, t, close / first(close) OVER (PARTITION BY symbol ORDER BY t) AS eq FROM daily), mix AS (SELECT * FROM (VALUES ('all_urgent', '1-URGENT', 1.0), ('half_half', '1-URGENT', 0.5), ('half_half', '2-HIGH', 0.5)) v(mix, symbol, w)), l AS (SELECT mix, t, sum(w * eq) AS level, sum(w) AS tw FROM e JOIN mix USING (symbol) GROUP BY 1, 2 HAVING sum(w) = 1), r AS (SELECT mix, t, level, level / lag(level) OVER (PARTITION BY mix ORDER BY t) - 1 AS r, level / max(level) OVER (PARTITION BY mix ORDER BY t) - 1 AS dd FROM l) "
 
 
-@query("pf_09_benchmark_table", DAILY + _MIX + "SELECT mix, count(*) AS days, round(last(level ORDER BY t) / first(level ORDER BY t) - 1, 6) + 0.0 AS total, round(min(dd), 6) + 0.0 AS max_dd, round(avg(r) / stddev_samp(r) * sqrt(365), 6) + 0.0 AS sharpe FROM r GROUP BY 1")
+@query("pf_09_benchmark_table", DAILY + _MIX + "SELECT mix, count(*) AS days, round(last(level ORDER BY t) / first(level ORDER BY t) - 1, 6) + 0.0 AS total, round(pow(last(level ORDER BY t) / first(level ORDER BY t), 365.0 / ((max(t) - min(t)) / 86400000)) - 1, 6) + 0.0 AS cagr, round(min(dd), 6) + 0.0 AS max_dd, round(avg(r) / stddev_samp(r) * sqrt(365), 6) + 0.0 AS sharpe FROM r GROUP BY 1")
 def pf_09(s, d):
     e = R.bars_1d(s, d).withColumn("eq", C("close") / F.first("close").over(over()))
     mix = s.createDataFrame([("all_urgent", "1-URGENT", 1.0), ("half_half", "1-URGENT", 0.5), ("half_half", "2-HIGH", 0.5)], "mix string, symbol string, w double")
@@ -93,8 +94,8 @@ def pf_09(s, d):
     w = over("mix")
     x = lv.withColumns({"r": C("level") / F.lag("level").over(w) - 1, "dd": W.drawdown(C("level"), "mix")})
     by = F.struct("t", "level")
-    g = x.groupBy("mix").agg(F.count("*").alias("days"), (F.max(by)["level"] / F.min(by)["level"] - 1).alias("total"), F.min("dd").alias("max_dd"), (F.avg("r") / F.stddev_samp("r") * F.sqrt(F.lit(365.0))).alias("sharpe"))
-    return tidy(g, "mix", "days", total=C("total"), max_dd=C("max_dd"), sharpe=C("sharpe"))
+    g = x.groupBy("mix").agg(F.count("*").alias("days"), (F.max(by)["level"] / F.min(by)["level"]).alias("q"), ((F.max("t") - F.min("t")) / DAY_MS).alias("span"), F.min("dd").alias("max_dd"), (F.avg("r") / F.stddev_samp("r") * F.sqrt(F.lit(365.0))).alias("sharpe"))
+    return tidy(g, "mix", "days", total=C("q") - 1, cagr=F.pow("q", 365.0 / C("span")) - 1, max_dd=C("max_dd"), sharpe=C("sharpe"))
 
 
 @query("pf_10_sleeve_blend", BARS + ", l AS (SELECT symbol, t, row_number() OVER (PARTITION BY t ORDER BY close DESC, symbol) AS u, row_number() OVER (PARTITION BY t ORDER BY close, symbol) AS v, row_number() OVER (PARTITION BY t ORDER BY close + volume DESC, symbol) AS w, count(*) OVER (PARTITION BY t) AS n FROM bars) SELECT symbol, t, round(0.4::DOUBLE * (CASE WHEN u = 1 THEN 1.0 WHEN v = 1 THEN -1.0 ELSE 0.0 END) + 0.6 * (CASE WHEN w <= 2 THEN 0.5 ELSE 0.0 END), 6) + 0.0 AS weight FROM l WHERE n > 1")

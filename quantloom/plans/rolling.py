@@ -170,9 +170,9 @@ def win_23(s, d):
     return tidy(x, "symbol", "t", ret20=F.log(C("close") / F.lag("close", 20).over(over())), vol5=rolling(C("r"), 5, F.stddev_pop), downside20=down, dd60=C("close") / F.max("close").over(frame(-59, 0)) - 1)
 
 
-@query("win_24_lagged_vector", BARS + RET + "SELECT symbol, t, " + ", ".join(_r(f"lag(r, {k}) OVER w", f"r{k}") for k in range(6)) + " FROM x" + _W)
+@query("win_24_lagged_vector", BARS + RET + "SELECT symbol, t, " + ", ".join(_r(f"lag(r, {k}) OVER w", f"r{k}") for k in range(24)) + " FROM x" + _W)
 def win_24(s, d):
-    return tidy(W.with_log_return(R.bars_1h(s, d)), "symbol", "t", **{f"r{k}": F.lag("r", k).over(over()) for k in range(6)})
+    return tidy(W.with_log_return(R.bars_1h(s, d)), "symbol", "t", **{f"r{k}": F.lag("r", k).over(over()) for k in range(24)})
 
 
 @query("win_25_moment_bundle", BARS + RET + f", p AS (SELECT a.symbol AS a, b.symbol AS b, a.t, a.r AS ra, b.r AS rb FROM x a JOIN x b ON a.t = b.t AND a.symbol < b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL) SELECT a, b, t, count(*) OVER f AS n, {_r('sum(ra) OVER f', 'sa')}, {_r('sum(rb) OVER f', 'sb')}, {_r('sum(ra*ra) OVER f', 'saa')}, {_r('sum(ra*rb) OVER f', 'sab')} FROM p WINDOW f AS (PARTITION BY a, b ORDER BY t ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)")

@@ -87,12 +87,13 @@ def sig_08(s, d):
     return _states(s, d).drop("d")
 
 
-@query("sig_09_markov_row", BARS + _STATE + ", k AS (SELECT symbol, t, state, lag(state) OVER w AS p1, lead(state) OVER w AS nx FROM sv WINDOW w AS (PARTITION BY symbol ORDER BY t)), c AS (SELECT symbol, t, state, p1, count(*) FILTER (nx >= 6) OVER g AS up, count(nx) OVER g AS n FROM k WINDOW g AS (PARTITION BY symbol, state, p1 ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT symbol, t, n, round(CASE WHEN n >= 5 THEN up * 1.0 / n END, 6) + 0.0 AS p_up FROM c")
+@query("sig_09_markov_row", BARS + _STATE + ", k AS (SELECT symbol, t, state, lag(state) OVER w AS p1, lead(state) OVER w AS nx FROM sv WINDOW w AS (PARTITION BY symbol ORDER BY t)), c AS (SELECT symbol, t, state, p1, count(*) FILTER (nx >= 6) OVER g AS up, count(nx) OVER g AS n FROM k WINDOW g AS (PARTITION BY symbol, state, p1 ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT symbol, t, n, round(CASE WHEN n >= 5 THEN up * 1.0 / n END, 6) + 0.0 AS p_up, (CASE WHEN n < 5 THEN 0 WHEN 2 * up > n THEN 1 WHEN 2 * up < n THEN -1 ELSE 0 END)::BIGINT AS side FROM c")
 def sig_09(s, d):
     x = _states(s, d).withColumns({"p1": F.lag("state").over(over()), "nx": F.lead("state").over(over())})
     g = over(["symbol", "state", "p1"]).rowsBetween(Window.unboundedPreceding, -1)  # outcomes of earlier rows are known by now
     x = x.withColumns({"n": F.count("nx").over(g), "up": F.coalesce(F.sum((C("nx") >= 6).cast("int")).over(g), F.lit(0))})
-    return tidy(x, "symbol", "t", "n", p_up=F.when(C("n") >= 5, C("up") / C("n")))
+    side = F.when(C("n") < 5, 0).when(2 * C("up") > C("n"), 1).when(2 * C("up") < C("n"), -1).otherwise(0)
+    return tidy(x.withColumn("side", side.cast("long")), "symbol", "t", "n", "side", p_up=F.when(C("n") >= 5, C("up") / C("n")))
 
 
 @query("sig_10_transition_matrix", BARS + _STATE + ", k AS (SELECT symbol, state AS a, lead(state) OVER (PARTITION BY symbol ORDER BY t) AS b FROM sv) SELECT a, b, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY a), 6) + 0.0 AS p FROM k WHERE b IS NOT NULL GROUP BY 1, 2")
@@ -250,11 +251,12 @@ def xs_14(s, d):
     return tidy(pair_matrix(s, d), "a", "b", "n", rho=C("rho"), cov=C("cov"), angle=F.acos("rho") / F.pi())
 
 
-@query("xs_15_graph_features", BARS + RET + _PAIR + ", e AS (SELECT a, b FROM m WHERE abs(rho) >= 0.02), v AS (SELECT DISTINCT symbol FROM bars), tri AS (SELECT count(*) AS k FROM e x1 JOIN e x2 ON x1.b = x2.a JOIN e x3 ON x3.a = x1.a AND x3.b = x2.b) SELECT (SELECT count(*) FROM e) AS edges, (SELECT k FROM tri) AS triangles, round((SELECT count(*) FROM e) * 2.0 / (SELECT count(*) FROM v), 6) + 0.0 AS mean_degree")
+@query("xs_15_graph_features", BARS + RET + _PAIR + ", e AS (SELECT a, b FROM m WHERE abs(rho) >= 0.02), v AS (SELECT DISTINCT symbol FROM bars), tri AS (SELECT x1.a AS x, x1.b AS y, x2.b AS z FROM e x1 JOIN e x2 ON x1.b = x2.a JOIN e x3 ON x3.a = x1.a AND x3.b = x2.b), ti AS (SELECT s, count(*) AS k FROM (SELECT unnest([x, y, z]) AS s FROM tri) GROUP BY 1), de AS (SELECT s, count(*) AS g FROM (SELECT unnest([a, b]) AS s FROM e) GROUP BY 1), cl AS (SELECT v.symbol, CASE WHEN g >= 2 THEN 2.0 * coalesce(k, 0) / (g * (g - 1)) ELSE 0.0 END AS c FROM v LEFT JOIN de ON v.symbol = de.s LEFT JOIN ti ON v.symbol = ti.s) SELECT (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM tri) AS triangles, round((SELECT count(*) FROM e) * 2.0 / (SELECT count(*) FROM v), 6) + 0.0 AS mean_degree, round((SELECT count(*) FROM e) * 2.0 / (SELECT nullif(count(*) * (count(*) - 1), 0) FROM v), 6) + 0.0 AS density, round((SELECT avg(c) FROM cl), 6) + 0.0 AS clustering")
 def xs_15(s, d):
     from ..operators.xsection import graph_features
 
-    return tidy(graph_features(pair_matrix(s, d), R.bars_1h(s, d).select("symbol").distinct(), 0.02), "edges", "triangles", mean_degree=C("mean_degree"))
+    g = graph_features(pair_matrix(s, d), R.bars_1h(s, d).select("symbol").distinct(), 0.02)
+    return tidy(g, "edges", "triangles", mean_degree=C("mean_degree"), density=C("density"), clustering=C("clustering"))
 
 
 @query("xs_16_effective_rank", BARS + RET + _PAIR + "SELECT round((SELECT count(DISTINCT symbol) FROM bars) ^ 2 / ((SELECT count(DISTINCT symbol) FROM bars) + 2 * sum(rho * rho)), 6) + 0.0 AS effective_rank, round(avg(abs(rho)), 6) + 0.0 AS mean_abs_rho FROM m")
@@ -264,10 +266,13 @@ def xs_16(s, d):
     return tidy(g, effective_rank=C("k") ** 2 / (C("k") + 2 * C("q")), mean_abs_rho=C("m"))
 
 
-@query("xs_18_shrinkage", BARS + RET + _PAIR + "SELECT round(least(greatest(avg((1 - rho * rho) * (1 - rho * rho) / n) / avg(rho * rho), 0), 1), 6) + 0.0 AS intensity FROM m")
+@query("xs_18_shrinkage", BARS + RET + _PAIR + ", i AS (SELECT least(greatest(avg((1 - rho * rho) * (1 - rho * rho) / n) / avg(rho * rho), 0), 1) AS k FROM m) SELECT a, b, round((1 - k) * rho, 6) + 0.0 AS rho, round(k, 6) + 0.0 AS intensity FROM m, i")
 def xs_18(s, d):
-    g = pair_matrix(s, d).agg((F.avg((1 - C("rho") ** 2) ** 2 / C("n")) / F.avg(C("rho") ** 2)).alias("i"))
-    return tidy(g, intensity=F.least(F.greatest("i", F.lit(0.0)), F.lit(1.0)))
+    """Correlations drawn towards zero, that is the matrix towards identity, by one intensity."""
+    m = pair_matrix(s, d)
+    g = m.agg((F.avg((1 - C("rho") ** 2) ** 2 / C("n")) / F.avg(C("rho") ** 2)).alias("i"))  # one row
+    k = F.least(F.greatest("i", F.lit(0.0)), F.lit(1.0))
+    return tidy(m.crossJoin(F.broadcast(g)), "a", "b", rho=(1 - k) * C("rho"), intensity=k)
 
 
 @query("xs_19_top_bottom_legs", BARS + ", l AS (SELECT symbol, t, row_number() OVER (PARTITION BY t ORDER BY close DESC, symbol) AS u, row_number() OVER (PARTITION BY t ORDER BY close, symbol) AS v, greatest(1, least(2, count(*) OVER (PARTITION BY t) // 2)) AS k FROM bars) SELECT symbol, t, CASE WHEN u <= k THEN 1 WHEN v <= k THEN -1 ELSE 0 END::BIGINT AS side FROM l")

@@ -23,18 +23,22 @@ def with_r(s, d):
 _SIGN = ", g AS (SELECT symbol, t, r, lag(r) OVER w AS p1, lag(r, 24) OVER w AS p24 FROM x WINDOW w AS (PARTITION BY symbol ORDER BY t)) "
 
 
-@query("stat_01_directional_accuracy", BARS + RET + _SIGN + "SELECT symbol, count(*) AS n, round(avg(CASE WHEN sign(r) = sign(p1) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy FROM g WHERE r <> 0 AND p1 IS NOT NULL GROUP BY 1")
+@query("stat_01_directional_accuracy", BARS + RET + ", g AS (SELECT symbol, r, lag(r) OVER w AS p1, lag(r, 2) OVER w AS p2 FROM x WINDOW w AS (PARTITION BY symbol ORDER BY t)) SELECT symbol, count(*) AS n, round(avg(CASE WHEN sign(r) = sign(p1) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy, round(avg(CASE WHEN p2 IS NULL THEN NULL WHEN sign(r) = sign(p2) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS delayed FROM g WHERE r <> 0 AND p1 IS NOT NULL GROUP BY 1")
 def stat_01(s, d):
-    x = with_r(s, d).withColumn("p1", F.lag("r").over(over())).where("r <> 0 and p1 is not null")
-    g = x.groupBy("symbol").agg(F.count("*").alias("n"), F.avg(F.when(F.signum("r") == F.signum("p1"), 1.0).otherwise(0.0)).alias("a"))
-    return tidy(g, "symbol", "n", accuracy=C("a"))
+    """Share of right signs of the last return as a forecast, entered at once and one bar later."""
+    x = with_r(s, d).withColumns({"p1": F.lag("r").over(over()), "p2": F.lag("r", 2).over(over())}).where("r <> 0 and p1 is not null")
+    right = lambda p: F.avg(F.when(C(p).isNotNull(), (F.signum("r") == F.signum(p)).cast("double")))
+    return tidy(x.groupBy("symbol").agg(F.count("*").alias("n"), right("p1").alias("a"), right("p2").alias("b")), "symbol", "n", accuracy=C("a"), delayed=C("b"))
 
 
-@query("stat_02_mcnemar", BARS + RET + _SIGN + ", h AS (SELECT sign(r) = -sign(p1) AS a, sign(r) = sign(p24) AS b FROM g WHERE p24 IS NOT NULL), k AS (SELECT count(*) FILTER (NOT a AND b) AS n01, count(*) FILTER (a AND NOT b) AS n10 FROM h) SELECT n01, n10, round((abs(n01 - n10) - 1) * (abs(n01 - n10) - 1) * 1.0 / (n01 + n10), 6) + 0.0 AS chi2, (abs(n01 - n10) - 1) * (abs(n01 - n10) - 1) * 1.0 / (n01 + n10) > 3.841459 AS reject FROM k")
+_ERFC = "(CASE WHEN {x} IS NULL THEN NULL ELSE ((((1.061405429 / (1 + 0.3275911 * {x}) - 1.453152027) / (1 + 0.3275911 * {x}) + 1.421413741) / (1 + 0.3275911 * {x}) - 0.284496736) / (1 + 0.3275911 * {x}) + 0.254829592) / (1 + 0.3275911 * {x}) * exp(-{x} * {x}) END)"
+
+
+@query("stat_02_mcnemar", BARS + RET + _SIGN + ", h AS (SELECT sign(r) = -sign(p1) AS a, sign(r) = sign(p24) AS b FROM g WHERE p24 IS NOT NULL), k AS (SELECT count(*) FILTER (NOT a AND b) AS n01, count(*) FILTER (a AND NOT b) AS n10 FROM h), c AS (SELECT n01, n10, (abs(n01 - n10) - 1) * (abs(n01 - n10) - 1) * 1.0::DOUBLE / (n01 + n10) AS chi FROM k) SELECT n01, n10, round(chi, 6) + 0.0 AS chi2, chi > 3.841459 AS reject, round(" + _ERFC.format(x="sqrt(chi / 2)") + ", 6) + 0.0 AS p FROM c")
 def stat_02(s, d):
     x = with_r(s, d).withColumns({"p1": F.lag("r").over(over()), "p24": F.lag("r", 24).over(over())}).where("p24 is not null")
     m = T.mcnemar(x.select((F.signum("r") == -F.signum("p1")).alias("a"), (F.signum("r") == F.signum("p24")).alias("b")), "a", "b")
-    return tidy(m, "n01", "n10", "reject", chi2=C("chi2"))
+    return tidy(m, "n01", "n10", "reject", chi2=C("chi2"), p=C("p"))
 
 
 @query("stat_03_auroc", "WITH x AS (SELECT l.quality AS y, d.n_chars AS s FROM labels l JOIN documents d USING (doc_id) WHERE l.quality IS NOT NULL), k AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM x) SELECT sum(y)::BIGINT AS n_pos, sum(1 - y)::BIGINT AS n_neg, round((sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) + 0.0 AS auroc FROM k")
@@ -49,19 +53,31 @@ def stat_04(s, d):
     return tidy(T.ks_distance(x, "quality", "n_chars"), "np", "nq", ks=C("ks"))
 
 
-@query("stat_05_bootstrap")
+_U = "(('0x' || substr(md5({x}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496"
+_POISSON = "(CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 WHEN u < 0.9999167588507119 THEN 6 WHEN u < 0.9999897508033253 THEN 7 ELSE 8 END)"
+_PAIRED = ", y AS (SELECT symbol, t, close / lag(close) OVER (PARTITION BY symbol ORDER BY t) - 1 AS r FROM daily), z AS (SELECT symbol, t, r - avg(r) OVER (PARTITION BY t) AS diff FROM y WHERE r IS NOT NULL) "
+
+
+def paired_with_market(s, d):
+    """(symbol, t, diff): daily returns less the mean return of all symbols on the day."""
+    x = R.bars_1d(s, d).withColumn("r", C("close") / F.lag("close").over(over()) - 1).where("r is not null")
+    return x.select("symbol", "t", (C("r") - F.avg("r").over(Window.partitionBy("t"))).alias("diff"))
+
+
+@query("stat_05_bootstrap", with_roles("daily") + _PAIRED + ", k AS (SELECT symbol, draw, diff, " + _U.format(x="'42:' || symbol || ':' || t || ':' || draw") + " AS u FROM z, (SELECT unnest(range(0, 200)) AS draw)), m AS (SELECT symbol, draw, sum(" + _POISSON + " * diff) / nullif(sum(" + _POISSON + "), 0) AS mean FROM k GROUP BY 1, 2) SELECT symbol, count(*) AS draws, round(avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS p_value, round(quantile_cont(mean, 0.05), 6) + 0.0 AS low, round(quantile_cont(mean, 0.95), 6) + 0.0 AS high FROM m GROUP BY 1")
 def stat_05(s, d):
-    """Bounds of resampled means of daily returns; the random source is a hash, so there is no SQL twin."""
-    x = R.bars_1d(s, d).where("symbol = '1-URGENT'").withColumn("r", C("close") / F.lag("close").over(over()) - 1).where("r is not null")
-    b = T.bootstrap_means(x, "r", 200)
-    return b.agg(F.count("*").alias("draws"), F.avg((C("mean") <= 0).cast("double")).alias("p_value"), F.percentile("mean", 0.05).alias("low"), F.percentile("mean", 0.95).alias("high"))
+    """Resampled mean differences between each symbol and the market: the share of draws at or below zero, and their bounds."""
+    b = T.bootstrap_means(paired_with_market(s, d), "symbol", "t", "diff", 200)
+    g = b.groupBy("symbol").agg(F.count("*").alias("draws"), F.avg((C("mean") <= 0).cast("double")).alias("p"), F.percentile("mean", 0.05).alias("low"), F.percentile("mean", 0.95).alias("high"))
+    return tidy(g, "symbol", "draws", p_value=C("p"), low=C("low"), high=C("high"))
 
 
-@query("stat_06_block_bootstrap")
+@query("stat_06_block_bootstrap", with_roles("daily") + _PAIRED + ", n AS (SELECT symbol, diff, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM z), a AS (SELECT symbol, n, i AS pos, draw, " + _U.format(x="'42:' || symbol || ':' || draw || ':' || i") + " AS u, " + _U.format(x="'43:' || symbol || ':' || draw || ':' || i") + " AS v FROM n, (SELECT unnest(range(0, 100)) AS draw)), b AS (SELECT symbol, n, pos, draw, last_value(CASE WHEN pos = 0 OR u < 1.0 / 21 THEN floor(v * n)::BIGINT - pos END IGNORE NULLS) OVER (PARTITION BY symbol, draw ORDER BY pos) AS shift FROM a), m AS (SELECT b.symbol, b.draw, avg(n.diff) AS mean FROM b JOIN n ON b.symbol = n.symbol AND n.i = ((b.pos + b.shift) % b.n + b.n) % b.n GROUP BY 1, 2) SELECT symbol, count(*) AS draws, round(avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS p_value, round(quantile_cont(mean, 0.05), 6) + 0.0 AS low, round(quantile_cont(mean, 0.95), 6) + 0.0 AS high FROM m GROUP BY 1")
 def stat_06(s, d):
-    x = R.bars_1d(s, d).where("symbol = '1-URGENT'").withColumn("r", C("close") / F.lag("close").over(over()) - 1).where("r is not null")
-    b = T.block_bootstrap_means(x, "r", 200)
-    return b.agg(F.count("*").alias("draws"), F.percentile("mean", 0.05).alias("low"), F.percentile("mean", 0.95).alias("high"))
+    """The same by geometric blocks of 21 days on average that run on circularly; 100 draws a symbol (a parameter)."""
+    b = T.block_bootstrap_means(paired_with_market(s, d), "symbol", "t", "diff", 100)
+    g = b.groupBy("symbol").agg(F.count("*").alias("draws"), F.avg((C("mean") <= 0).cast("double")).alias("p"), F.percentile("mean", 0.05).alias("low"), F.percentile("mean", 0.95).alias("high"))
+    return tidy(g, "symbol", "draws", p_value=C("p"), low=C("low"), high=C("high"))
 
 
 @query("stat_07_circular_shift", BARS + ", n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars) SELECT a.symbol, a.t, round(b.close, 6) + 0.0 AS placebo FROM n a JOIN n b ON a.symbol = b.symbol AND a.i = (b.i + 37) % b.n")
