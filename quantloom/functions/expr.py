@@ -63,11 +63,6 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("long")
 
 
-def finite(x: Column) -> Column:
-    """x, or null where it is NaN or infinite."""
-    return F.when(F.abs(x) < float("inf"), x)
-
-
 def fill_price(price: Column, side: Column, *, ticks: float = 0.0, tick_size: float = 0.01, bps: float = 0.0) -> Column:
     """What a fill costs: price moved against the side by ticks or basis points; side is 1 to buy, -1 to sell."""
     return price + side * (ticks * tick_size) + side * price * (bps / 10_000)

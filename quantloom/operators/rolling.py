@@ -187,10 +187,10 @@ def liquidity(rows: DataFrame, w: int, key="symbol") -> DataFrame:
 def momentum_set(rows: DataFrame, key="symbol") -> DataFrame:
     lagged = lambda n: F.lag("close", n).over(over(key))
     rows = with_log_return(rows, key)
-    f20 = frame(-19, 0, key)
+    vol = lambda n: F.when(F.count("r").over(frame(1 - n, 0, key)) == n, F.stddev_samp("r").over(frame(1 - n, 0, key)) * math.sqrt(365))
     return rows.withColumns({
         "mom21": F.log(C("close") / lagged(21)), "mom63": F.log(C("close") / lagged(63)), "mom252": F.log(C("close") / lagged(252)), "mom12_1": F.log(lagged(21) / lagged(252)),
-        "reversal": -F.log(C("close") / lagged(5)), "vol20": F.when(F.count("r").over(f20) == 20, F.stddev_samp("r").over(f20) * math.sqrt(365)),
+        "reversal": -F.log(C("close") / lagged(5)), "vol20": vol(20), "vol60": vol(60),
     }).drop("r")
 
 

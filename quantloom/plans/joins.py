@@ -157,10 +157,12 @@ def top_03(s, d):
     return top.select("survivor", "place", ((C("place") == 1) & C("slices").isNotNull()).alias("champion"))
 
 
-@query("top_04_newest_attempt", with_roles("runs") + "SELECT run, arg_max(state, ordinal) AS state, max(ordinal) AS ordinal, max(t) AS t FROM (SELECT *, max(t) OVER (PARTITION BY run) AS mt FROM runs) WHERE t = mt GROUP BY 1")
+@query("top_04_newest_attempt", with_roles("runs") + ", k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY t DESC, ordinal DESC, state DESC) AS n, count(*) OVER (PARTITION BY run, t, ordinal) AS same FROM runs) SELECT run, CASE WHEN same = 1 THEN state END AS state, ordinal, t, same > 1 AS refused FROM k WHERE n = 1")
 def top_04(s, d):
-    x = R.run_events(s, d).groupBy("run").agg(F.max(F.struct("t", "ordinal", "state")).alias("x"))
-    return x.select("run", "x.state", "x.ordinal", "x.t")
+    """The newest attempt by time, then ordinal; where several share both it is refused and has no state."""
+    x = R.run_events(s, d).groupBy("run", "t", "ordinal").agg(F.count("*").alias("same"), F.max("state").alias("state"))
+    x = x.groupBy("run").agg(F.max(F.struct("t", "ordinal", "state", "same")).alias("x"))
+    return x.select("run", F.when(C("x.same") == 1, C("x.state")).alias("state"), "x.ordinal", "x.t", (C("x.same") > 1).alias("refused"))
 
 
 @query("top_05_first_per_family", with_roles("runs") + ", f AS (SELECT run, t, ordinal FROM runs WHERE state = 'done' QUALIFY row_number() OVER (PARTITION BY run ORDER BY t, ordinal) = 1) SELECT run, t, ordinal, row_number() OVER (ORDER BY t DESC, ordinal DESC) = 1 AS newest FROM f")

@@ -136,10 +136,14 @@ def agg_12(s, d):
     return R.read(s, d, "customer").join(o, "c_custkey", "left").agg(F.count("*").alias("registered"), F.count_if(C("n") > 0).alias("evaluated"), F.sum("n").alias("evaluations"))
 
 
-@query("agg_13_slice_aggregation", SL + "SELECT survivor, count(*) AS slices, sum(n_episodes)::BIGINT AS episodes, round(sum(pnl), 4) + 0.0 AS pnl, round(sum(sharpe * n_episodes) / nullif(sum(n_episodes), 0), 6) + 0.0 AS sharpe, min(start) AS first_start, max(\"end\") AS last_end FROM slices GROUP BY 1")
+@query("agg_13_slice_aggregation", SL + ", c AS (SELECT *, sum(pnl) OVER w AS level FROM slices WINDOW w AS (PARTITION BY survivor ORDER BY start, slice)), k AS (SELECT *, level - greatest(0.0, max(level) OVER (PARTITION BY survivor ORDER BY start, slice)) AS dd FROM c) SELECT survivor, count(*) AS slices, sum(n_episodes)::BIGINT AS episodes, round(sum(pnl), 4) + 0.0 AS pnl, round(sum(sharpe * n_episodes) / nullif(sum(n_episodes), 0), 6) + 0.0 AS sharpe, round(min(dd), 4) + 0.0 AS min_drawdown, min(start) AS first_start, max(\"end\") AS last_end FROM k GROUP BY 1")
 def agg_13(s, d):
-    g = R.slices(s, d).groupBy("survivor").agg(F.count("*").alias("slices"), F.sum("n_episodes").alias("episodes"), r4(F.sum("pnl")).alias("pnl"), (F.sum(C("sharpe") * C("n_episodes")) / F.nullif(F.sum("n_episodes"), F.lit(0))).alias("sh"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
-    return g.select("survivor", "slices", "episodes", "pnl", "first_start", "last_end", (F.round("sh", 6) + 0.0).alias("sharpe"))
+    """Sums over a survivor's slices, the episode-weighted Sharpe, and the deepest fall of the summed PnL below its peak or zero."""
+    along = past("survivor", ["start", "slice"])
+    x = R.slices(s, d).withColumn("level", F.sum("pnl").over(along))
+    x = x.withColumn("dd", C("level") - F.greatest(F.lit(0.0), F.max("level").over(along)))
+    g = x.groupBy("survivor").agg(F.count("*").alias("slices"), F.sum("n_episodes").alias("episodes"), r4(F.sum("pnl")).alias("pnl"), (F.sum(C("sharpe") * C("n_episodes")) / F.nullif(F.sum("n_episodes"), F.lit(0))).alias("sh"), r4(F.min("dd")).alias("min_drawdown"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
+    return g.select("survivor", "slices", "episodes", "pnl", "min_drawdown", "first_start", "last_end", (F.round("sh", 6) + 0.0).alias("sharpe"))
 
 
 @query("agg_14_stress_floor", GRID + ", g AS (SELECT cohort, grid, sum(net_pnl) AS net FROM grid GROUP BY 1, 2) SELECT cohort, grid AS floor_grid, round(net, 4) + 0.0 AS floor_net FROM g QUALIFY row_number() OVER (PARTITION BY cohort ORDER BY net, grid) = 1")
@@ -190,11 +194,13 @@ def ev_01(s, d):
     return reconcile(R.episodes(s, d), R.fills(s, d))
 
 
-@query("ev_02_identity", GRID + "SELECT cohort, size, kind, grid, 'sv-' || substr(sha256('{\"cohort\":\"' || cohort || '\",\"grid\":\"' || grid || '\",\"kind\":\"' || kind || '\",\"size\":' || size || '}'), 1, 16) AS id FROM grid")
+@query("ev_02_identity", GRID + ", i AS (SELECT cohort, size, kind, grid, 'sv-' || substr(sha256('{\"cohort\":\"' || cohort || '\",\"grid\":\"' || grid || '\",\"kind\":\"' || kind || '\",\"size\":' || size || '}'), 1, 16) AS id FROM grid) SELECT *, count(*) OVER (PARTITION BY id) > 1 AS refused FROM i")
 def ev_02(s, d):
+    """Ids from canonical JSON; all rows of an id that repeats are refused."""
     from ..operators.evidence import identity
 
-    return R.grid(s, d).select("cohort", "size", "kind", "grid", identity("cohort", "grid", "kind", "size").alias("id"))
+    x = R.grid(s, d).select("cohort", "size", "kind", "grid", identity("cohort", "grid", "kind", "size").alias("id"))
+    return x.withColumn("refused", F.count("*").over(Window.partitionBy("id")) > 1)
 
 
 @query("ev_04_evidence_state", SL + ", a AS (SELECT survivor, sum(n_episodes) AS n, sum(pnl) AS pnl FROM slices GROUP BY 1) SELECT c_custkey AS survivor, CASE WHEN n IS NULL THEN 'FROZEN_ONLY' WHEN n < 30 THEN 'ACCUMULATING' WHEN pnl > 0 THEN 'FORWARD_POSITIVE' ELSE 'FORWARD_DEGRADED' END AS state FROM customer LEFT JOIN a ON c_custkey = survivor")
@@ -263,23 +269,21 @@ def fn_05(s, d):
     return R.fills(s, d).select("episode", "level", (F.round(buy, 9) + 0.0).alias("buy_2_ticks"), (F.round(sell, 6) + 0.0).alias("sell_bps"))
 
 
-def _round_trip(name, sql):
-    return query(name, sql)
-
-
-@_round_trip("src_01_bar_shards", with_roles("bars") + "SELECT symbol, count(*) AS n, min(t) AS first_t, round(sum(close), 4) + 0.0 AS closes FROM bars GROUP BY 1")
+@query("src_01_bar_shards", with_roles("bars") + "SELECT symbol, count(*) AS n, min(t) AS first_t, round(sum(close), 4) + 0.0 AS closes FROM bars WHERE t BETWEEN 1704844800000 AND 1705708799999 GROUP BY 1")
 def src_01(s, d):
-    """Bars written as gzip JSON shards by symbol and month, then scanned back with name pruning."""
+    """Hourly and daily bars written as gzip JSON shards by symbol, interval and month; ten days of hourly bars scanned back, other intervals and months pruned by name."""
     from ..sources import stores as St
 
-    b = R.bars_1h(s, d).select("symbol", C("t").alias("open_time_ms"), (C("t") + 3_599_999).alias("close_time_ms"), "open", "high", "low", "close", "volume")
+    shape = [C("t").alias("open_time_ms"), "open", "high", "low", "close", "volume"]
+    hours = R.bars_1h(s, d).select("symbol", *shape, (C("t") + 3_599_999).alias("close_time_ms"), F.lit("1h").alias("interval"))
+    days = R.bars_1d(s, d).select("symbol", *shape, (C("t") + 86_399_999).alias("close_time_ms"), F.lit("1d").alias("interval"))
     root = St.scratch(s, "shards")
-    St.write_bar_shards(b.withColumn("interval", F.lit("1h")), root)
-    x = St.scan_shards(s, root, intervals=["1h"], start_ms=0, end_ms=1 << 45)
+    St.write_bar_shards(hours.unionByName(days), root)
+    x = St.scan_shards(s, root, intervals=["1h"], start_ms=1_704_844_800_000, end_ms=1_705_708_799_999)
     return x.groupBy("symbol").agg(F.count("*").alias("n"), F.min("open_time_ms").alias("first_t"), r4(F.sum("close")).alias("closes"))
 
 
-@_round_trip("src_02_settlement_scan", with_roles("settlements") + "SELECT status, count(*) AS n FROM settlements GROUP BY 1")
+@query("src_02_settlement_scan", with_roles("settlements") + "SELECT status, count(*) AS n FROM settlements GROUP BY 1")
 def src_02(s, d):
     from ..sources import stores as St
 
@@ -289,7 +293,7 @@ def src_02(s, d):
     return good.groupBy(C("truth_status").alias("status")).agg(F.count("*").alias("n")).unionByName(refused.where("refused is not null").select(C("truth_status").alias("status"), C("count").alias("n")))
 
 
-@_round_trip("src_05_grid_sink", GRID + "SELECT grid, count(*) AS n, round(sum(net_pnl), 4) + 0.0 AS net FROM grid GROUP BY 1")
+@query("src_05_grid_sink", GRID + "SELECT grid, count(*) AS n, round(sum(net_pnl), 4) + 0.0 AS net FROM grid GROUP BY 1")
 def src_05(s, d):
     from ..sources import stores as St
 
@@ -298,7 +302,7 @@ def src_05(s, d):
     return s.read.parquet(path).groupBy("grid").agg(F.count("*").alias("n"), (F.round(F.sum("net_pnl"), 4) + 0.0).alias("net"))
 
 
-@_round_trip("src_06_grid_csv_scan", GRID + "SELECT grid, count(*) AS n, sum(episodes)::BIGINT AS episodes FROM grid GROUP BY 1")
+@query("src_06_grid_csv_scan", GRID + "SELECT grid, count(*) AS n, sum(episodes)::BIGINT AS episodes FROM grid GROUP BY 1")
 def src_06(s, d):
     from ..sources import stores as St
 
@@ -308,12 +312,12 @@ def src_06(s, d):
     return x.groupBy("grid").agg(F.count("*").alias("n"), F.sum("episodes").alias("episodes"))
 
 
-@_round_trip("src_11_universe_legality", "SELECT p_brand AS symbol, count(*) AS parts, bool_and(p_retailprice IS NOT NULL) AND count(*) > 5 AS legal FROM part GROUP BY 1")
+@query("src_11_universe_legality", "SELECT p_brand AS symbol, count(*) AS parts, bool_and(p_retailprice IS NOT NULL) AND count(*) > 5 AS legal FROM part GROUP BY 1")
 def src_11(s, d):
     return R.read(s, d, "part").groupBy(C("p_brand").alias("symbol")).agg(F.count("*").alias("parts"), (F.bool_and(C("p_retailprice").isNotNull()) & (F.count("*") > 5)).alias("legal"))
 
 
-@_round_trip("src_09_dataset_inventory", with_roles("bars") + "SELECT symbol, count(*) AS n, min(t) AS first_t, max(t) AS last_t, symbol IN ('click', 'view', 'purchase') AS required FROM bars GROUP BY 1")
+@query("src_09_dataset_inventory", with_roles("bars") + "SELECT symbol, count(*) AS n, min(t) AS first_t, max(t) AS last_t, symbol IN ('click', 'view', 'purchase') AS required FROM bars GROUP BY 1")
 def src_09(s, d):
     g = R.bars_1h(s, d).groupBy("symbol").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
     return g.withColumn("required", C("symbol").isin("click", "view", "purchase"))

@@ -157,10 +157,10 @@ def win_21(s, d):
     return tidy(x, "symbol", "t", "zero_volume", adv=C("adv"), amihud=C("amihud"), dv_ratio=C("dv_ratio"))
 
 
-@query("win_22_momentum_set", DAILY + DRET + f"SELECT symbol, t, {_r('ln(close / lag(close, 21) OVER w)', 'mom21')}, {_r('ln(close / lag(close, 63) OVER w)', 'mom63')}, {_r('ln(close / lag(close, 252) OVER w)', 'mom252')}, {_r('ln(lag(close, 21) OVER w / lag(close, 252) OVER w)', 'mom12_1')}, {_r('-ln(close / lag(close, 5) OVER w)', 'reversal')}, {_r(f'CASE WHEN count(r) OVER {_f(19)} = 20 THEN stddev_samp(r) OVER {_f(19)} * sqrt(365) END', 'vol20')} FROM x" + _W)
+@query("win_22_momentum_set", DAILY + DRET + f"SELECT symbol, t, {_r('ln(close / lag(close, 21) OVER w)', 'mom21')}, {_r('ln(close / lag(close, 63) OVER w)', 'mom63')}, {_r('ln(close / lag(close, 252) OVER w)', 'mom252')}, {_r('ln(lag(close, 21) OVER w / lag(close, 252) OVER w)', 'mom12_1')}, {_r('-ln(close / lag(close, 5) OVER w)', 'reversal')}, {_r(f'CASE WHEN count(r) OVER {_f(19)} = 20 THEN stddev_samp(r) OVER {_f(19)} * sqrt(365) END', 'vol20')}, {_r(f'CASE WHEN count(r) OVER {_f(59)} = 60 THEN stddev_samp(r) OVER {_f(59)} * sqrt(365) END', 'vol60')} FROM x" + _W)
 def win_22(s, d):
     x = W.momentum_set(R.bars_1d(s, d))
-    return tidy(x, "symbol", "t", **{c: C(c) for c in ("mom21", "mom63", "mom252", "mom12_1", "reversal", "vol20")})
+    return tidy(x, "symbol", "t", **{c: C(c) for c in ("mom21", "mom63", "mom252", "mom12_1", "reversal", "vol20", "vol60")})
 
 
 @query("win_23_panel_features", DAILY + DRET + f"SELECT symbol, t, {_r('ln(close / lag(close, 20) OVER w)', 'ret20')}, {_r(f'CASE WHEN count(r) OVER {_f(4)} = 5 THEN stddev_pop(r) OVER {_f(4)} END', 'vol5')}, {_r(f'CASE WHEN count(r) OVER {_f(19)} = 20 THEN stddev_pop(CASE WHEN r < 0 THEN r END) OVER {_f(19)} END', 'downside20')}, {_r(f'close / max(close) OVER {_f(59)} - 1', 'dd60')} FROM x" + _W)

@@ -108,14 +108,23 @@ def sig_11(s, d):
     return x.select("symbol", "t", F.when(C("p") < 0.1, 0.0).when(C("p") < 0.3, 0.3).when(C("p") < 0.6, 0.6).when(C("p") < 0.9, 0.9).when(C("p").isNotNull(), 1.2).alias("exposure"))
 
 
-@query("sig_12_peer_distance", BARS + ", z AS (SELECT symbol, t, (close - avg(close) OVER a) / nullif(stddev_pop(close) OVER a, 0) AS z FROM bars WINDOW a AS (PARTITION BY t)), p AS (SELECT a.symbol, a.t, a.z, b.z AS zb, abs(a.z - b.z) AS dist FROM z a JOIN z b ON a.t = b.t AND a.symbol <> b.symbol), m AS (SELECT *, quantile_cont(dist, 0.5) OVER (PARTITION BY symbol, t) AS med FROM p) SELECT symbol, t, count(*) FILTER (dist <= 1.25 * med) AS peers, round(max(z) - avg(zb) FILTER (dist <= 1.25 * med), 6) + 0.0 AS score FROM m GROUP BY 1, 2")
+_LAGS = ("", "1", "2")
+
+
+@query("sig_12_peer_distance", BARS + ", l AS (SELECT symbol, t, close AS c, lag(close) OVER w AS c1, lag(close, 2) OVER w AS c2 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)), z AS (SELECT symbol, t, " + ", ".join(f"(c{k} - avg(c{k}) OVER a) / nullif(stddev_pop(c{k}) OVER a, 0) AS z{k}" for k in _LAGS) + " FROM l WHERE c2 IS NOT NULL WINDOW a AS (PARTITION BY t)), p AS (SELECT a.symbol, a.t, a.z, a.z1, a.z2, b.z AS b, b.z1 AS b1, b.z2 AS b2, round(sqrt((a.z - b.z) * (a.z - b.z) + (a.z1 - b.z1) * (a.z1 - b.z1) + (a.z2 - b.z2) * (a.z2 - b.z2)), 9) AS dist FROM z a JOIN z b ON a.t = b.t AND a.symbol <> b.symbol), m AS (SELECT *, dist <= 1.25 * quantile_cont(dist, 0.5) OVER (PARTITION BY symbol, t) OR dist = min(dist) OVER (PARTITION BY symbol, t) AS near FROM p WHERE dist IS NOT NULL), g AS (SELECT symbol, t, count(*) FILTER (near) AS peers, max(z) AS z, max(z1) AS z1, max(z2) AS z2, avg(b) FILTER (near) AS b, avg(b1) FILTER (near) AS b1, avg(b2) FILTER (near) AS b2 FROM m GROUP BY 1, 2) SELECT symbol, t, peers, round(sign(round(z - b, 9)) * sqrt((z - b) * (z - b) + (z1 - b1) * (z1 - b1) + (z2 - b2) * (z2 - b2)), 6) + 0.0 AS score FROM g")
 def sig_12(s, d):
-    z = R.bars_1h(s, d).withColumn("z", (C("close") - F.avg("close").over(same_time())) / F.nullif(F.stddev_pop("close").over(same_time()), F.lit(0.0)))
-    a, b = z.select("symbol", "t", "z"), z.select(C("symbol").alias("s2"), "t", C("z").alias("zb"))
-    p = a.join(b, "t").where("symbol <> s2").withColumn("dist", F.abs(C("z") - C("zb")))
-    m = p.withColumn("med", F.percentile("dist", 0.5).over(Window.partitionBy("symbol", "t")))
-    near = C("dist") <= 1.25 * C("med")
-    return tidy(m.groupBy("symbol", "t").agg(F.count_if(near).alias("peers"), (F.max("z") - F.avg(F.when(near, C("zb")))).alias("score")), "symbol", "t", "peers", score=C("score"))
+    """Signed distance of a symbol's standardised last three closes to the mean of its peers: those within 1.25 times the median distance, else the nearest."""
+    zs = [f"z{k}" for k in _LAGS]
+    x = R.bars_1h(s, d).select("symbol", "t", *[F.lag("close", n).over(over()).alias(f"c{k}") for n, k in enumerate(_LAGS)]).where("c2 is not null")
+    w = same_time()
+    z = x.select("symbol", "t", *[((C(f"c{k}") - F.avg(f"c{k}").over(w)) / F.nullif(F.stddev_pop(f"c{k}").over(w), F.lit(0.0))).alias(f"z{k}") for k in _LAGS])
+    b = z.select(C("symbol").alias("s2"), "t", *[C(c).alias(f"b{c}") for c in zs])
+    apart = lambda a, b: F.sqrt(sum(((C(f"{a}{c}") - C(f"{b}{c}")) ** 2 for c in zs), F.lit(0.0)))
+    p = z.join(b, "t").where("symbol <> s2").withColumn("dist", F.round(apart("", "b"), 9)).where("dist is not null")
+    each = Window.partitionBy("symbol", "t")
+    p = p.withColumn("near", (C("dist") <= 1.25 * F.percentile("dist", 0.5).over(each)) | (C("dist") == F.min("dist").over(each)))
+    g = p.groupBy("symbol", "t").agg(F.count_if("near").alias("peers"), *[F.max(c).alias(c) for c in zs], *[F.avg(F.when(C("near"), C(f"b{c}"))).alias(f"m{c}") for c in zs])
+    return tidy(g, "symbol", "t", "peers", score=F.signum(F.round(C("z") - C("mz"), 9)) * apart("", "m"))
 
 
 @query("sig_13_residual_anomaly", BARS + ", y AS (SELECT symbol, t, close AS y, avg(close) OVER (PARTITION BY t) AS x FROM bars), b AS (SELECT *, CASE WHEN count(x) OVER f >= 20 AND avg(x*x) OVER f - (avg(x) OVER f) * (avg(x) OVER f) > 1e-14 THEN (avg(x*y) OVER f - (avg(x) OVER f) * (avg(y) OVER f)) / (avg(x*x) OVER f - (avg(x) OVER f) * (avg(x) OVER f)) END AS beta FROM y WINDOW f AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING)), e AS (SELECT symbol, t, y - beta * x AS e FROM b) SELECT symbol, t, round(CASE WHEN count(e) OVER g = 24 THEN e / nullif(stddev_pop(e) OVER g, 0) END, 5) + 0.0 AS score FROM e WINDOW g AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)")
@@ -134,12 +143,15 @@ def sig_14(s, d):
     return tidy(x, "symbol", "t", exposure=F.when(F.abs("r") > C("q"), clamp(C("r") * 20, -1.2, 1.2)).otherwise(0.0))
 
 
-@query("sig_15_network_momentum", BARS + RET + ", p AS (SELECT a.symbol AS i, b.symbol AS j, a.t, 1 / ((a.close - b.close) * (a.close - b.close) + 1) AS w, b.r AS rj FROM x a JOIN x b ON a.t = b.t AND a.symbol <> b.symbol WHERE b.r IS NOT NULL) SELECT i AS symbol, t, round(sum(w * rj) / sum(w), 6) + 0.0 AS score FROM p GROUP BY 1, 2")
+@query("sig_15_network_momentum", BARS + RET + ", v AS (SELECT symbol, t, r, lag(r) OVER w AS r1, lag(r, 2) OVER w AS r2 FROM x WINDOW w AS (PARTITION BY symbol ORDER BY t)), p AS (SELECT a.symbol, a.t, b.r, 1 / (pow((a.r - b.r) * (a.r - b.r) + (a.r1 - b.r1) * (a.r1 - b.r1) + (a.r2 - b.r2) * (a.r2 - b.r2), 2) + 1) AS w FROM v a JOIN v b ON a.t = b.t AND a.symbol <> b.symbol WHERE a.r2 IS NOT NULL AND b.r2 IS NOT NULL), s AS (SELECT symbol, t, sum(w * r) / sum(w) AS q FROM p GROUP BY 1, 2) SELECT symbol, t, round(exp(0.5) * q * exp(-q * q / 2), 6) + 0.0 AS score, sign(round(q, 9))::BIGINT AS state FROM s")
 def sig_15(s, d):
-    x = with_r(s, d)
-    a, b = x.select("symbol", "t", C("close").alias("ci")), x.where("r is not null").select(C("symbol").alias("j"), "t", C("close").alias("cj"), "r")
-    p = a.join(b, "t").where("symbol <> j").withColumn("w", 1 / ((C("ci") - C("cj")) ** 2 + 1))
-    return tidy(p.groupBy("symbol", "t").agg((F.sum(C("w") * C("r")) / F.sum("w")).alias("score")), "symbol", "t", score=C("score"))
+    """Returns of the others, weighted by 1 / (W^2 + 1) with W the squared distance of the last three returns, rows summing to 1; the response falls off for large values."""
+    v = with_r(s, d).select("symbol", "t", "r", F.lag("r").over(over()).alias("r1"), F.lag("r", 2).over(over()).alias("r2")).where("r2 is not null")
+    b = v.select(C("symbol").alias("j"), "t", *[C(c).alias(f"b{c}") for c in ("r", "r1", "r2")])
+    far = sum(((C(c) - C(f"b{c}")) ** 2 for c in ("r", "r1", "r2")), F.lit(0.0))
+    p = v.join(b, "t").where("symbol <> j").withColumn("w", 1 / (far**2 + 1))
+    q = p.groupBy("symbol", "t").agg((F.sum(C("w") * C("br")) / F.sum("w")).alias("q")).withColumn("state", F.signum(F.round("q", 9)).cast("long"))
+    return tidy(q, "symbol", "t", "state", score=F.exp(F.lit(0.5)) * C("q") * F.exp(-C("q") * C("q") / 2))
 
 
 @query("sig_16_health_gate", BARS + ", h AS (SELECT t, avg(close) AS m, coalesce(stddev_pop(close), 0) AS dis FROM bars GROUP BY 1), z AS (SELECT t, CASE WHEN count(*) OVER p >= 30 AND stddev_pop(m) OVER p > 0 THEN (m - avg(m) OVER p) / stddev_pop(m) OVER p END AS zm, CASE WHEN count(*) OVER p >= 30 AND stddev_pop(dis) OVER p > 0 THEN (dis - avg(dis) OVER p) / stddev_pop(dis) OVER p END AS zd FROM h WINDOW p AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT t, round(1 / (1 + exp(-(zm - 0.3 * zd))), 6) + 0.0 AS gate FROM z")
