@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import alnum_words, process_store, saved
 
 N_SOURCE, N_LANG = 32, 8
+#: Rows whose features are held at once as Python objects.
+ROWS = 512
 
 
 def _text_stats(text: str, words: list[bytes]) -> list[float]:
@@ -213,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", meta
     vocabulary = Vocabulary(list(chosen_words))
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in batches:
+        for some in (whole.iloc[at : at + ROWS] for whole in batches for at in range(0, len(whole), ROWS)):
             got = [features(vocabulary, *r) for r in zip(some["text"], some["m0"], some["m1"], some["m2"], strict=True)]
             yield pd.DataFrame({"key": some[key].astype(str), "bad": some["_bad"].astype("float64").astype("Float64"), "held": some["_held"],
                                 "p": [list(g[0]) for g in got], "c": [list(g[0].values()) for g in got], "s": [g[1] for g in got], "m": [g[2] for g in got]})
@@ -244,9 +246,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", m
     @F.pandas_udf("score double, score_text double, score_meta double")
     def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for some in parts:
-            got = [features(model.vocabulary, *r) for r in zip(*some, strict=True)]
-            p, t, m = model.bad(text_matrix([g[0] for g in got], [g[1] for g in got], len(model.vocabulary)), np.array([g[2] for g in got]).reshape(len(got), -1)) if got else (np.zeros(0),) * 3
-            yield pd.DataFrame({"score": 1 - p, "score_text": 1 - t, "score_meta": 1 - m})
+            bad = np.ones((len(some[0]), 3))
+            for at in range(0, len(bad), ROWS):
+                got = [features(model.vocabulary, *r) for r in zip(*[c.iloc[at : at + ROWS] for c in some], strict=True)]
+                x = text_matrix([g[0] for g in got], [g[1] for g in got], len(model.vocabulary))
+                bad[at : at + ROWS] = np.column_stack(model.bad(x, np.array([g[2] for g in got])))
+            yield pd.DataFrame(1 - bad, columns=["score", "score_text", "score_meta"])
 
     out = docs.drop("score", "score_text", "score_meta", "kept").withColumn("_s", score(F.col(text), *[F.col(c) for c in meta]))
     return out.select(*[c for c in out.columns if c != "_s"], "_s.*").withColumn("kept", F.col("score") >= threshold)

@@ -33,23 +33,27 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, row_mark, saved, without
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42, chunk: int = 1 << 16) -> int:
-    """Majority bits of the XXH64 of all word shingles of a text; 0 without words."""
+def fingerprints(text: str | None, seeds: tuple[int, ...], width: int = 3, chunk: int = 1 << 16) -> list[int]:
+    """For each seed the majority bits of the XXH64 of all word shingles of a text; 0 without words."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split() if text else []
     if not words:
-        return 0
-    if len(words) < width:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+        return [0] * len(seeds)
     digest = xxhash.xxh64_intdigest
-    total, ones = len(words) - width + 1, np.zeros(64, np.int64)
+    if len(words) < width:
+        return [digest(b" ".join(words), seed) for seed in seeds]
+    total, ones = len(words) - width + 1, np.zeros((len(seeds), 64), np.int64)
     for at in range(0, total, chunk):
         some = words[at : at + chunk + width - 1]
-        shingles = map(b" ".join, zip(*(some[k:] for k in range(width)), strict=False))
-        hashes = np.fromiter((digest(x, seed) for x in shingles), np.uint64)
-        ones += bit_sums(hashes)
-    return int(sum(1 << i for i in range(64) if 2 * int(ones[i]) > total))
+        shingles = [b" ".join(x) for x in zip(*(some[k:] for k in range(width)), strict=False)]
+        for row, seed in zip(ones, seeds, strict=True):
+            row += bit_sums(np.fromiter((digest(x, seed) for x in shingles), np.uint64, len(shingles)))
+    return [sum(1 << i for i in range(64) if 2 * n[i] > total) for n in ones.tolist()]
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42, chunk: int = 1 << 16) -> int:
+    return fingerprints(text, (seed,), width, chunk)[0]
 
 
 def bit_sums(hashes: np.ndarray) -> np.ndarray:
@@ -58,15 +62,17 @@ def bit_sums(hashes: np.ndarray) -> np.ndarray:
     return np.add.reduce(bits, axis=0, dtype=np.int64)
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", width: int = 3, seed: int = 42) -> DataFrame:
-    """Adds the fingerprint of each whole text as a signed long."""
+def with_fingerprints(docs: DataFrame, text: str, seeds: dict[str, int], width: int = 3) -> DataFrame:
+    """Adds a fingerprint of each whole text for every seed, by name, as signed longs; texts reach Python once for all."""
 
-    @F.pandas_udf("long")
-    def marks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(", ".join(f"{name} long" for name in seeds))
+    def marks(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for some in texts:
-            yield pd.Series(np.array([fingerprint(t, width, seed) for t in some], np.uint64).view(np.int64))
+            got = np.array([fingerprints(t, tuple(seeds.values()), width) for t in some], np.uint64).reshape(-1, len(seeds))
+            yield pd.DataFrame(got.view(np.int64), columns=list(seeds))
 
-    return docs.withColumn(out, marks(text))
+    marked = docs.withColumn("_marks", marks(text))
+    return marked.select(*docs.columns, "_marks.*")
 
 
 def bit_counts(fp: np.ndarray) -> np.ndarray:
@@ -106,11 +112,12 @@ def fewer(a: np.ndarray, b: np.ndarray, rows: int, columns: int) -> tuple[np.nda
     return first[has], has, *np.nonzero(meets)
 
 
-def links_of_tiles(left: np.ndarray, right: np.ndarray | None, radius: int, seconds: tuple[np.ndarray, np.ndarray] | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def links_of_tiles(left: np.ndarray, right: np.ndarray | None, radius: int, seconds: tuple[np.ndarray, np.ndarray] | None = None, block: int = 256, columns: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links between fingerprints at most ``radius`` bits apart, within one tile (right None) or between two.
 
     Fingerprints are named by their place, those of the right tile from the size of the left one on. ``seconds`` are
-    second fingerprints of both tiles that must lie within the radius too.
+    second fingerprints of both tiles that must lie within the radius too. ``block`` rows meet ``columns`` at a time,
+    so that a group in which all are linked takes no more memory than any other.
     """
     same = right is None
     right = left if same else right
@@ -124,17 +131,20 @@ def links_of_tiles(left: np.ndarray, right: np.ndarray | None, radius: int, seco
             near = near[near > at]
         if not len(near):
             continue
-        apart = np.bitwise_count(left[at : at + block, None] ^ right[near][None, :])
-        a, b = np.nonzero(apart <= radius)
-        if seconds:
-            close = np.bitwise_count(seconds[0][at + a] ^ seconds[1][near[b]]) <= radius
-            a, b = a[close], b[close]
-        if same:
-            after = a + at < near[b]
-            a, b = a[after], b[after]
-        a, b, c, d = fewer(a, b, len(box), len(near))
-        found_a += [a + at, c + at]
-        found_b += [near[b] + shift, d + at]
+        for some in (near[k : k + columns] for k in range(0, len(near), columns)):
+            apart = np.bitwise_count(left[at : at + block, None] ^ right[some][None, :])
+            a, b = np.nonzero(apart <= radius)
+            if seconds:
+                close = np.bitwise_count(seconds[0][at + a] ^ seconds[1][some[b]]) <= radius
+                a, b = a[close], b[close]
+            if same:
+                after = a + at < some[b]
+                a, b = a[after], b[after]
+            if not len(a):
+                continue
+            a, b, c, d = fewer(a, b, len(box), len(some))
+            found_a += [a + at, c + at]
+            found_b += [some[b] + shift, d + at]
     if not found_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = np.concatenate(found_a), np.concatenate(found_b)
@@ -239,8 +249,8 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 def _components(docs: DataFrame, key: str, text: str, mark: str | None = None, *, radius: int = 2, width: int = 3, seed: int = 42, second_seed: int | None = None, tile_rows: int = 8192) -> DataFrame:
     """(key, fp, component_id) for each row; with a column ``mark`` also mark and leads, true for the rows of the component's smallest (key, mark), nulls last."""
     extra, two = [mark] if mark else [], second_seed is not None
-    marked = with_fingerprint(docs.select(key, text, *extra), text, "fp", width, seed)
-    marked = with_fingerprint(marked, text, "second", width, second_seed) if two else marked.withColumn("second", F.lit(0).cast("long"))
+    marked = with_fingerprints(docs.select(key, text, *extra), text, {"fp": seed} | ({"second": second_seed} if two else {}), width)
+    marked = marked if two else marked.withColumn("second", F.lit(0).cast("long"))
     marked = saved(marked.select(key, "fp", (F.xxhash64("fp", "second") if two else F.col("fp")).alias("node"), "second", *extra))
     first = [F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(mark).alias("mark"))).alias("_first")] if mark else []
     nodes = saved(marked.groupBy("fp", "second", "node").agg(F.min(key).alias("_least"), *first))
