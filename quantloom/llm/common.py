@@ -46,6 +46,17 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Rows of whole texts that go to a Python worker at once.
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets Arrow batches of ARROW_ROWS rows for the session, unless it has a limit of its own; the default of 10,000 long texts fills a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def words_by_space(text) -> "F.Column":
     """Words [^\\x20\\x09-\\x0D]+ of a text column as an array; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, process_store, row_mark, saved, without
+from .common import alnum_words, process_store, row_mark, saved, small_batches, without
 
 #: Characters of benchmark text in a block; what one pass gives each worker.
 BLOCK_CHARS = 24_000_000
@@ -196,6 +196,7 @@ def merged(old, new: list[tuple[int, int]]) -> list[dict]:
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 13) -> DataFrame:
     """(key, n_words, n_hit, n_items, items, ranges, longest_match) of each row; ranges are the covered words [a, b)."""
+    small_batches(docs.sparkSession)
     tests = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     tests = saved(tests.groupBy("text").agg(F.collect_set("item").alias("items"), F.bool_or(F.col("item").isNull()).alias("unnamed")))
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0

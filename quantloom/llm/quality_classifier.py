@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, process_store, saved
+from .common import alnum_words, process_store, saved, small_batches
 
 N_SOURCE, N_LANG = 32, 8
 #: Rows whose features are held at once as Python objects.
@@ -239,6 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", meta
 
 def classify(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", meta=("lang", "source", "n_chars"), threshold=0.6, **options) -> DataFrame:
     """All columns of ``docs`` with score (probability of being good), score_text, score_meta and kept (score >= threshold)."""
+    small_batches(docs.sparkSession)
     model = train(docs, labels, key=key, text=text, meta=meta, **options)
     if model is None:
         return docs.withColumns({"score": F.lit(1.0), "score_text": F.lit(1.0), "score_meta": F.lit(1.0), "kept": F.lit(True)})

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, row_mark, saved, without
+from .common import LOWER_BYTES, row_mark, saved, small_batches, without
 
 
 def fingerprints(text: str | None, seeds: tuple[int, ...], width: int = 3, chunk: int = 1 << 16) -> list[int]:
@@ -248,6 +248,7 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def _components(docs: DataFrame, key: str, text: str, mark: str | None = None, *, radius: int = 2, width: int = 3, seed: int = 42, second_seed: int | None = None, tile_rows: int = 8192) -> DataFrame:
     """(key, fp, component_id) for each row; with a column ``mark`` also mark and leads, true for the rows of the component's smallest (key, mark), nulls last."""
+    small_batches(docs.sparkSession)
     extra, two = [mark] if mark else [], second_seed is not None
     marked = with_fingerprints(docs.select(key, text, *extra), text, {"fp": seed} | ({"second": second_seed} if two else {}), width)
     marked = marked if two else marked.withColumn("second", F.lit(0).cast("long"))

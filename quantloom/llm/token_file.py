@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import process_store, scratch_path
+from .common import process_store, scratch_path, small_batches
 
 #: Fixed values of the format: (ids, bits of each) by selector; selector 0 is the escape.
 SELECTORS = ((1, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -263,6 +263,7 @@ BLOCK_ARROW = pa.schema([
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = 2, block_ids: int = BLOCK_IDS, in_order: bool = False) -> None:
     """Writes the ids of all texts, in ascending key order, as blocks under ``path``; with ``in_order`` as the rows come, without a shuffle."""
+    small_batches(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(spec)
