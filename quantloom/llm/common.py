@@ -46,15 +46,21 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-#: Rows of whole texts that go to a Python worker at once.
-ARROW_ROWS = 2000
+#: Rows and bytes of whole texts that go to a Python worker at once, whichever comes first; one longer text goes alone.
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets Arrow batches of ARROW_ROWS rows for the session, unless it has a limit of its own; the default of 10,000 long texts fills a worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(ARROW_ROWS))
+    """Bounds the session's Arrow batches by rows and bytes, unless it has limits of its own; all operators that send whole texts to Python call it.
+
+    Spark reads both settings when a plan runs, so they stay set. No result depends on them.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(ARROW_ROWS))
+    given = spark.conf.get(size, None)
+    if given is None or given.upper() in ("64MB", "64M", "67108864", "67108864B", "2147483647", "2147483647B", "-1", "0"):  # Spark's own defaults
+        spark.conf.set(size, str(ARROW_BYTES))
 
 
 def words_by_space(text) -> "F.Column":

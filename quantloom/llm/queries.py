@@ -1,4 +1,4 @@
-"""Queries op1 to op10 and the pipeline over the given tables, with SQL where SQL can express them."""
+"""Queries op1 to op13 over the given tables, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -77,6 +77,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"), share_heads=True)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents")).drop("first")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -100,5 +118,29 @@ n AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(*) FILTER (bel
 SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, md5(doc_id || ':' || copy || ':42') AS shuffle_key FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM n WHERE n > 0)"""
 
 
+_OP11 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents),
+g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY n) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM g"""
+# the innermost list_reduce is crc32, bit by bit
+_OP12 = r"""WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(sha256(length(r) || ':' || r || x) ORDER BY turn NULLS FIRST) AS ds, list(length(x) ORDER BY turn NULLS FIRST) AS ls FROM t GROUP BY 1),
+h AS (SELECT c, ds, ls, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i::INT, 1))::BIGINT)), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 6 AS h FROM o),
+b AS (SELECT a.c, list_concat(coalesce(g.ds, [])[1:a.h], a.ds[a.h + 1:]) AS ds, list_concat(coalesce(g.ls, [])[1:a.h], a.ls[a.h + 1:]) AS ls FROM h a LEFT JOIN o g ON g.c = a.c - a.c % 100),
+p AS (SELECT c, d, CASE d WHEN 0 THEN '' ELSE sha256(array_to_string(ds[1:d], ',')) END AS k, ls[d] AS l, d = len(ds) AS whole, CASE d WHEN 0 THEN NULL WHEN 1 THEN '' ELSE sha256(array_to_string(ds[1:d - 1], ',')) END AS up FROM (SELECT c, ds, ls, unnest(range(0, len(ds) + 1)) AS d FROM b)),
+n AS (SELECT d, k, min(c) AS c, count(*) AS n, any_value(up) AS up, any_value(l) AS l, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (whole), '') AS e FROM p GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(m.children, 0) AS children FROM n LEFT JOIN (SELECT d - 1 AS d, up AS k, count(*) AS children FROM n WHERE d > 0 GROUP BY 1, 2) m USING (d, k)),
+s AS (SELECT p.d, p.k, sum((f.n - 1) * coalesce(f.l, 0)) AS saved, count(*) FILTER (f.children = 0) AS leaves FROM f JOIN p ON p.c = f.c AND p.d <= f.d GROUP BY 1, 2)
+SELECT f.c AS conv_id, f.d AS depth, u.c AS parent_conv_id, f.n AS n_convs, f.children AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(f.e) AS ends_sha256 FROM f JOIN s USING (d, k) LEFT JOIN f u ON u.d = f.d - 1 AND u.k = f.up"""
+_OP13 = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY 1),
+g AS (SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k) GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE words > 1),
+u AS (SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f::HUGEINT + r.f))::BIGINT AS score FROM (SELECT *, unnest(range(1, words)) AS k FROM c) c JOIN g l ON l.lang = c.lang AND l.words = k AND l.phrase = array_to_string(w[1:k], ' ') JOIN g r ON r.lang = c.lang AND r.words = c.words - k AND r.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS held FROM (SELECT *, unnest(range(1, words - m + 2)) AS i FROM (SELECT *, unnest(range(2, words)) AS m FROM c WHERE words > 2)) GROUP BY 1, 2),
+k AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE NOT coalesce(100::HUGEINT * held >= 80::HUGEINT * a, false))
+SELECT k.lang, rank, phrase, a, l, r, n, score FROM k JOIN t ON t.lang = k.lang WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": _OP6, "op7_source_mixing": _OP7}
+    return {"op6_benchmark_decontamination": _OP6, "op7_source_mixing": _OP7, "op11_exact_dedup": _OP11, "op12_prefix_trie": _OP12, "op13_collocations": _OP13}
