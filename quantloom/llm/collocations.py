@@ -2,13 +2,14 @@
 
 Every n-gram of a text is hashed by Rabin-Karp fingerprints: prefix polynomials over the bytes of the canonical text (words
 with one space between) modulo two primes, in numpy, so that the fingerprint of any run of words is a difference of two
-prefixes times an inverse power. Tasks count fingerprints, and a shuffle adds the counts up. A phrase can't be frequent
+prefixes times an inverse power. Tasks count fingerprints and send them as packed ascending blocks, one for each range of
+fingerprints; the ranges add them up. A phrase can't be frequent
 unless its parts are, so words are counted first, then pairs of frequent words, then runs of three and four whose pairs are
 frequent; what is frequent so far is known to the tasks as a table of bits of fixed size (it may take a rare
 fingerprint for a frequent one, which costs a row, and never the other way round). Counts of fingerprints are upper
-bounds: texts that collide add up. A last pass therefore takes the text at an occurrence pointer of each frequent
-fingerprint of a task, compares every occurrence of it there byte for byte, and counts texts, not fingerprints; only texts of frequent
-fingerprints are ever materialised. Scores, cuts and containments are joins and sums over the frequent phrases.
+bounds: texts that collide add up. A last pass therefore sends the frequent fingerprints with occurrence
+pointers and the text found there; tasks and ranges compare every occurrence with the first one byte for byte and count texts, not
+fingerprints. Only texts of frequent fingerprints are ever materialised. Scores, cuts and containments are joins and sums over the frequent phrases.
 
 Texts are hashed in stretches of about STRETCH bytes that end at a word, with the next three words for the runs that begin before the end, so
 memory depends neither on the length of a text nor on the size of a partition, but for single words of many megabytes.
@@ -20,7 +21,6 @@ table gives an empty result. Other columns than text, language and key aren't re
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +33,13 @@ from .common import saved, scratch_path, small_batches
 C = F.col
 #: A-Z in lower case, tab as space, what splits pieces as a line feed; all other bytes stay.
 CANON = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
-STRETCH = 1 << 20
+STRETCH = 1 << 19
 #: Two primes below 2^31 and bases for them.
 FIELDS = ((2_147_483_647, 1_000_003), (2_147_483_629, 770_999))
 #: Different fingerprints that a task holds before it sends them on.
 HELD = 1 << 21
+#: Word occurrences for each range of fingerprints; a task of a range adds up its different fingerprints.
+RANGE_WORDS = 1 << 23
 #: The table of frequent fingerprints has 2^TABLE_BITS bits (32 MB), whatever is frequent.
 TABLE_BITS = 28
 LOOKAHEAD = re.compile(rb"(?:[ \n]*[^ \n]+){0,3}")
@@ -185,39 +187,68 @@ def _stretches_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tupl
         yield parts, langs, keys
 
 
-def _merged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """Different fingerprints with added counts and the pointer (key, word) of the first occurrence."""
-    f, n, key, word = (np.concatenate(x) for x in zip(*held, strict=True))
-    different, first, inverse = np.unique(f, return_index=True, return_inverse=True)
-    return different, np.bincount(inverse, weights=n, minlength=len(different)).astype(np.int64), key[first], word[first]
+def pack(*arrays: np.ndarray) -> bytes:
+    """Whole numbers as zstd over their bytes by significance; the first array ascends and goes as differences."""
+    codec, parts = pa.Codec("zstd"), []
+    for i, x in enumerate(arrays):
+        x = np.diff(x, prepend=x.dtype.type(0)) if i == 0 else x
+        planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+        parts.append(codec.compress(planes.tobytes(), asbytes=True))
+    return b"".join([len(arrays[0]).to_bytes(4, "little"), *[y for z in parts for y in (len(z).to_bytes(4, "little"), z)]])
 
 
-def counted_fingerprints(rows: DataFrame, sizes: tuple[int, ...], known: dict, least: int, size: int) -> DataFrame:
-    """(_f, n, pointer) of the runs of these sizes that occur ``least`` times or more, by fingerprint, whose parts are known as frequent; pointer is (key, word) of an occurrence."""
+def unpack(block: bytes, *types) -> list[np.ndarray]:
+    codec, n, at, out = pa.Codec("zstd"), int.from_bytes(block[:4], "little"), 4, []
+    for i, t in enumerate(types):
+        size, item = int.from_bytes(block[at : at + 4], "little"), np.dtype(t).itemsize
+        planes = np.frombuffer(codec.decompress(block[at + 4 : at + 4 + size], n * item, asbytes=True), np.uint8)
+        x = np.ascontiguousarray(planes.reshape(item, n).T).reshape(-1).view(t)
+        out.append(np.cumsum(x, dtype=t) if i == 0 else x)
+        at += 4 + size
+    return out
+
+
+def ranges_of(f: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each of the even ranges of fingerprints begins among ascending ones."""
+    limits = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(f, limits), [len(f)]]).astype(np.int64)
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different fingerprints, ascending, with added counts."""
+    f, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(f, kind="stable")
+    f, n = f[order], n[order]
+    first = np.flatnonzero(np.append(True, f[1:] != f[:-1])) if len(f) else np.zeros(0, np.int64)
+    return f[first], np.add.reduceat(n, first) if len(f) else n
+
+
+def counted_fingerprints(rows: DataFrame, sizes: tuple[int, ...], known: dict, least: int, size: int, ranges: int) -> DataFrame:
+    """(_f, n) of the runs of these sizes that occur ``least`` times or more, by fingerprint, whose parts are known as frequent.
+
+    A task sends one block of ascending fingerprints with counts to each range of fingerprints; a range adds them up.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, held, total = Powers(), [], 0
         tables = {n: Table(t.value) for n, t in known.items()}
 
         def out():
-            f, n, key, word = _merged(held)
-            for at in range(0, len(f), 100_000):
-                cut = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(f[cut]), pa.array(n[cut]), pa.array(key[cut]), pa.array(word[cut].astype(np.int32))], ["_f", "_n", "_key", "_word"])
+            f, n = _added(held)
+            cuts = ranges_of(f, ranges)
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
+                cut = slice(cuts[r], cuts[r + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([pack(f[cut], n[cut].astype(np.uint32))], pa.binary())], ["_r", "_b"])
 
-        for parts, _, keys in _stretches_of(batches, size):
+        for parts, _, _ in _stretches_of(batches, size):
             made = Stretch(parts, powers)
-            names = np.array([-1 if k is None else k for k in keys], np.int64)
             for n in sizes:
                 at = made.frequent(n, tables)
-                at = at[made.own[at]]
-                if not len(at):
-                    continue
-                f, first, counts = np.unique(made.fingerprints(n, at), return_index=True, return_counts=True)
-                held.append((f, counts, names[made.row[at[first]]], made.number[at[first]]))
+                f, counts = np.unique(made.fingerprints(n, at[made.own[at]]).view(np.uint64), return_counts=True)
+                held.append((f, counts))
                 total += len(f)
             if total > HELD:
-                held = [_merged(held)]
+                held = [_added(held)]
                 total = len(held[0][0])
                 if total > HELD // 2:
                     yield from out()
@@ -225,87 +256,172 @@ def counted_fingerprints(rows: DataFrame, sizes: tuple[int, ...], known: dict, l
         if held:
             yield from out()
 
-    got = rows.mapInArrow(count, "_f long, _n long, _key long, _word int")
-    pointer = F.min(F.struct(C("_key").alias("key"), C("_word").alias("word")))
-    return saved(got.groupBy("_f").agg(F.sum("_n").alias("n"), pointer.alias("pointer")).where(C("n") >= least))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            for block in batch.column(1).to_pylist():
+                f, n = unpack(block, np.uint64, np.uint32)
+                held.append((f, n.astype(np.int64)))
+                total += len(f)
+                if total > 2 * HELD:
+                    held = [_added(held)]
+                    total = 0  # what is left is different, and as much as the range has
+        if held:
+            f, n = _added(held)
+            f, n = f[n >= least].view(np.int64), n[n >= least]
+            for at in range(0, len(f), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(f[at : at + 100_000]), pa.array(n[at : at + 100_000])], ["_f", "n"])
+
+    blocks = rows.mapInArrow(count, "_r int, _b binary")
+    return saved(blocks.repartitionById(ranges, "_r").mapInArrow(add, "_f long, n long"))
+
+
+class Texts:
+    """Fingerprints with counts, pointers (key, word) and the text at the pointer: language, line feed, phrase."""
+
+    def __init__(self, f, n, key, word, length, text: bytes):
+        self.f, self.n, self.key, self.word, self.length, self.text = f, n, key, word, length, text
+        self.start = np.cumsum(length) - length
 
+    @classmethod
+    def joined(cls, some: list[Texts]) -> Texts:
+        return cls(*[np.concatenate([getattr(x, c) for x in some]) for c in ("f", "n", "key", "word", "length")], b"".join(x.text for x in some))
 
-def counted_texts(rows: DataFrame, known: dict, size: int) -> DataFrame:
-    """(lang, phrase, words, n, key, word) of the runs of up to four words whose fingerprint is known, by text: whatever collides is told apart here."""
+    def taken(self, at: np.ndarray, n: np.ndarray) -> Texts:
+        size = self.length[at]
+        begin = np.cumsum(size) - size
+        raw = np.frombuffer(self.text, np.uint8)[np.repeat(self.start[at] - begin, size) + np.arange(int(size.sum()))]
+        return Texts(self.f[at], n, self.key[at], self.word[at], size, raw.tobytes())
+
+    def added(self) -> Texts:
+        """One row for each different text: rows of one fingerprint are compared with its first one byte for byte, and those that differ among themselves."""
+        order, counts, out = np.argsort(self.f, kind="stable"), self.n.copy(), []
+        while len(order):
+            f = self.f[order]
+            head = np.append(True, f[1:] != f[:-1])
+            first = order[head]
+            same = equal_texts(self.text, self.start, self.length, order, first[np.cumsum(head) - 1])
+            sums = np.add.reduceat(np.where(same, counts[order], 0), np.flatnonzero(head))
+            out.append((first, sums))
+            order = order[~same]
+        return self.taken(*[np.concatenate(x) for x in zip(*out, strict=True)]).sorted() if len(out) > 1 else self.taken(*out[0]) if out else self
+
+    def sorted(self) -> Texts:
+        order = np.argsort(self.f, kind="stable")
+        return self.taken(order, self.n[order])
+
+    def cut(self, a: int, b: int) -> bytes:
+        text = self.text[self.start[a] : self.start[b - 1] + self.length[b - 1]]
+        numbers = pack(self.f[a:b], self.n[a:b].astype(np.int64), self.key[a:b], self.word[a:b].astype(np.int32), self.length[a:b].astype(np.int32))
+        return len(numbers).to_bytes(4, "little") + len(text).to_bytes(4, "little") + numbers + pa.Codec("zstd").compress(text, asbytes=True)
+
+    @classmethod
+    def of(cls, block: bytes) -> Texts:
+        numbers, size = int.from_bytes(block[:4], "little"), int.from_bytes(block[4:8], "little")
+        f, n, key, word, length = unpack(block[8 : 8 + numbers], np.uint64, np.int64, np.int64, np.int32, np.int32)
+        return cls(f, n, key, word, length.astype(np.int64), pa.Codec("zstd").decompress(block[8 + numbers :], size, asbytes=True))
+
+
+def equal_texts(text: bytes, start: np.ndarray, length: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Whether the texts a[i] and b[i] are equal, byte by byte."""
+    raw = np.frombuffer(text, np.uint8)
+    same = length[a] == length[b]
+    same &= (a == b) | (length[a] > 0)
+    for k in range(0, len(a), step):
+        some = np.flatnonzero(same[k : k + step] & (a != b)[k : k + step]) + k
+        if len(some):
+            size = length[a[some]]
+            begin = np.cumsum(size) - size
+            within = np.arange(int(size.sum())) - np.repeat(begin, size)
+            equal = raw[np.repeat(start[a[some]], size) + within] == raw[np.repeat(start[b[some]], size) + within]
+            same[some] = np.logical_and.reduceat(equal, begin)
+    return same
+
+
+def texts_of(made: Stretch, n: int, at: np.ndarray, f: np.ndarray, langs: list[str], keys: np.ndarray) -> Texts:
+    """The runs of n words that begin at the words ``at``, one row each different text."""
+    start, length = made.starts[at], made.ends[at + n - 1] - made.starts[at]
+    every = Texts(f, np.ones(len(at), np.int64), keys[made.row[at]], made.number[at], length, made.text)
+    every.start = start
+    one = every.added()
+    names = [name.encode("utf-8", "surrogatepass") + b"\n" for name in langs]
+    row = dict(zip((_code(x) for x in langs), range(len(langs)), strict=True))
+    # a fingerprint is mixed with the language, so rows of one text in two languages stay apart
+    where = np.searchsorted(f, one.f, sorter=(order := np.argsort(f, kind="stable")))
+    codes = made.lang[at[order[where]]].tolist()
+    pieces = [names[row[c]] + one.text[s : s + m] for c, s, m in zip(codes, one.start.tolist(), one.length.tolist(), strict=True)]
+    return Texts(one.f, one.n, one.key, one.word, np.array([len(x) for x in pieces], np.int64), b"".join(pieces))
+
+
+def counted_texts(rows: DataFrame, known: dict, least: int, size: int, ranges: int) -> DataFrame:
+    """(lang, phrase, words, n, first) of the runs of up to four words whose fingerprint is known and that occur ``least`` times, by text: whatever collides is told apart here."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, tables = Powers(), {n: Table(t.value) for n, t in known.items()}
-        held: dict[tuple, list] = {}
+        powers, tables, held, total = Powers(), {n: Table(t.value) for n, t in known.items()}, [], 0
 
-        def out():
-            rows = [(lang, phrase, n, *x) for (lang, n, phrase), x in held.items()]
-            held.clear()
-            for at in range(0, len(rows), 100_000):
-                lang, phrase, n, many, key, word = zip(*rows[at : at + 100_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n, pa.int32()), pa.array(many, pa.int64()), pa.array(key, pa.int64()), pa.array(word, pa.int32())], ["lang", "phrase", "words", "n", "key", "word"])
+        def out(all_: Texts):
+            cuts = ranges_of(all_.f, ranges)
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([all_.cut(cuts[r], cuts[r + 1])], pa.binary())], ["_r", "_b"])
 
         for parts, langs, keys in _stretches_of(batches, size):
             made = Stretch(parts, powers)
+            names = np.array([-1 if k is None else k for k in keys], np.int64)
             for n in (1, 2, 3, 4):
                 at = made.frequent(n, tables)
                 at = at[made.own[at]]
                 f = made.fingerprints(n, at)
                 good = tables[min(n, 3)].has(f)
-                at, f = at[good], f[good]
-                for lang, phrase, many, where in verified(made, n, at, f):
-                    x = held.setdefault((langs[made.row[where]] if lang is None else lang, n, phrase), [0, keys[made.row[where]], int(made.number[where])])
-                    x[0] += many
-            if len(held) > HELD // 8:
-                yield from out()
-        yield from out()
-
-    got = rows.mapInArrow(count, "lang string, phrase string, words int, n long, key long, word int")
-    return got.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"), F.min(F.struct("key", "word")).alias("first"))
-
-
-def verified(made: Stretch, n: int, at: np.ndarray, f: np.ndarray) -> Iterator[tuple[None, bytes, int, int]]:
-    """(None, text, how often, a word where it begins) of runs, by text and language: each occurrence is compared with the one its fingerprint points to, and those that differ are counted on their own."""
-    if not len(at):
-        return
-    _, first, inverse, counts = np.unique(f, return_index=True, return_inverse=True, return_counts=True)
-    pointer = at[first][inverse]
-    s, t = made.starts[at], made.starts[pointer]
-    length = made.ends[at + n - 1] - s
-    same = (length == made.ends[pointer + n - 1] - t) & (made.lang[at] == made.lang[pointer])
-    text = np.frombuffer(made.text, np.uint8)
-    for k in range(0, len(at), 1 << 16):
-        cut = slice(k, k + (1 << 16))
-        some, size = np.flatnonzero(same[cut]) + k, length[cut][same[cut]]
-        if len(some) == 0:
-            continue
-        begin = np.cumsum(size) - size
-        step = np.arange(int(size.sum())) - np.repeat(begin, size)
-        equal = text[np.repeat(s[some], size) + step] == text[np.repeat(t[some], size) + step]
-        same[some] = np.logical_and.reduceat(equal, begin)
-    own = np.bincount(inverse[same], minlength=len(first))
-    for where, many in zip(at[first].tolist(), own.tolist(), strict=True):
-        yield None, made.text[made.starts[where] : made.ends[where + n - 1]], many, where
-    others = Counter()
-    place = {}
-    for where in at[~same].tolist():
-        name = (made.lang[where], made.text[made.starts[where] : made.ends[where + n - 1]])
-        others[name] += 1
-        place.setdefault(name, where)
-    for name, many in others.items():
-        yield None, name[1], many, place[name]
+                if good.any():
+                    held.append(texts_of(made, n, at[good], f[good].view(np.uint64), list(dict.fromkeys(langs)), names))
+                    total += len(held[-1].f)
+            if total > HELD // 2:
+                held = [Texts.joined(held).added()]
+                total = len(held[0].f)
+                if total > HELD // 4:
+                    yield from out(held[0])
+                    held, total = [], 0
+        if held:
+            yield from out(Texts.joined(held).added())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            for block in batch.column(1).to_pylist():
+                held.append(Texts.of(block))
+                total += len(held[-1].f)
+                if total > HELD:
+                    held = [Texts.joined(held).added()]
+                    total = 0
+        if not held:
+            return
+        got = Texts.joined(held).added()
+        at = np.flatnonzero(got.n >= least)
+        for k in range(0, len(at), 100_000):
+            some = at[k : k + 100_000]
+            named = [got.text[s : s + m].rsplit(b"\n", 1) for s, m in zip(got.start[some].tolist(), got.length[some].tolist(), strict=True)]
+            phrases = [x[1] for x in named]
+            columns = [pa.array([x[0] for x in named], pa.binary()).cast(pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array([x.count(b" ") + 1 for x in phrases], pa.int32()), pa.array(got.n[some])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(got.key[some]), pa.array(got.word[some].astype(np.int32))], ["lang", "phrase", "words", "n", "key", "word"])
+
+    blocks = rows.mapInArrow(count, "_r int, _b binary")
+    got = blocks.repartitionById(ranges, "_r").mapInArrow(add, "lang string, phrase string, words int, n long, key long, word int")
+    return got.select("lang", "phrase", "words", "n", F.struct("key", "word").alias("first"))
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, least: int = 30, size: int = STRETCH) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, n, first) of all phrases of one to four words that occur ``least`` times in a language, and (lang, total words); both read back from the shared folder."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    rows = _rows(docs, text, lang, key)
+    rows, totals = _rows(docs, text, lang, key), saved(word_totals(_rows(docs, text, lang, key)))
+    total = totals.agg(F.sum("total")).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_WORDS))
     known = {}
     for level, sizes in ((1, (1,)), (2, (2,)), (3, (3, 4))):
-        known[level] = frequent_table(counted_fingerprints(rows, sizes, known, least, size))
+        known[level] = frequent_table(counted_fingerprints(rows, sizes, known, least, size, ranges))
     path = scratch_path(spark, "phrases")
-    counted_texts(rows, known, size).where(C("n") >= least).write.parquet(path)
-    return spark.read.parquet(path), word_totals(rows)
+    counted_texts(rows, known, least, size, ranges).write.parquet(path)
+    return spark.read.parquet(path), totals
 
 
 def word_totals(rows: DataFrame) -> DataFrame:

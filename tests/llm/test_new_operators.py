@@ -213,17 +213,29 @@ def test_collocation_pointers_name_a_place_of_the_phrase(spark):
         assert " ".join(words[r["first"]["word"] : r["first"]["word"] + n]) == r["phrase"]
 
 
-def test_fingerprints_that_collide_are_told_apart_by_text(monkeypatch):
+def test_fingerprints_that_collide_are_told_apart_by_text():
     from quantloom.llm import collocations as K
 
-    parts = [(b"a b\na c\na b a c", 16, 1, 0, 0)]
-    made = K.Stretch([(p[0], len(p[0]), *p[2:]) for p in parts], K.Powers())
+    raw = b"a b\na c\na b a c"
+    made = K.Stretch([(raw, len(raw), K._code("en"), 0, 0)], K.Powers())
     at = np.flatnonzero(made.runs[2])
-    same = np.zeros(len(at), np.int64)  # all pairs have one fingerprint
-    got = collections.Counter()
-    for _, text, many, _ in K.verified(made, 2, at, same):
-        got[text] += many
-    assert got == {b"a b": 2, b"a c": 2, b"b a": 1}
+    same = np.zeros(len(at), np.uint64)  # all pairs have one fingerprint
+    got = K.texts_of(made, 2, at, same, ["en"], np.array([7]))
+    twice = K.Texts.joined([K.Texts.of(got.cut(0, len(got.f))), got]).added()
+    texts = [twice.text[s : s + m] for s, m in zip(twice.start, twice.length, strict=True)]
+    assert dict(zip(texts, twice.n.tolist(), strict=True)) == {b"en\na b": 4, b"en\na c": 4, b"en\nb a": 2}
+
+
+def test_packed_numbers_come_back():
+    from quantloom.llm import collocations as K
+
+    rng = np.random.default_rng(1)
+    f = np.unique(rng.integers(0, 1 << 64, 3000, np.uint64))
+    n = rng.integers(1, 1 << 31, len(f)).astype(np.uint32)
+    cuts = K.ranges_of(f, 7)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        x, y = K.unpack(K.pack(f[a:b], n[a:b]), np.uint64, np.uint32)
+        assert (x == f[a:b]).all() and (y == n[a:b]).all()
 
 
 def test_collocations_without_words(spark):
