@@ -25,11 +25,12 @@ def grouped_ols(rows: DataFrame, key: str, y: str, xs: list[str], *, ridge: floa
 
     def solve(batches):
         for some in batches:
-            coef = []
-            for r in some.itertuples():
-                g = np.array([[getattr(r, f"g{min(i, j)}_{max(i, j)}") for j in range(k)] for i in range(k)])
-                g += np.diag([0.0] + [ridge] * (k - 1))
-                coef.append(np.linalg.solve(g, [getattr(r, f"b{i}") for i in range(k)]).tolist() if r.n >= min_rows and np.linalg.matrix_rank(g) == k else None)
+            g = np.array([[some[f"g{min(i, j)}_{max(i, j)}"].to_numpy(float) for j in range(k)] for i in range(k)]).transpose(2, 0, 1) + np.diag([0.0] + [ridge] * (k - 1))
+            right = np.array([some[f"b{i}"].to_numpy(float) for i in range(k)]).T
+            good = (some["n"].to_numpy() >= min_rows) & (np.linalg.matrix_rank(g) == k) if len(some) else np.zeros(0, bool)
+            coef = [None] * len(some)
+            for i, x in zip(np.flatnonzero(good), np.linalg.solve(g[good], right[good][:, :, None])[:, :, 0].tolist(), strict=True):
+                coef[i] = x
             yield pd.DataFrame({key: some[key], "n": some["n"], "coef": coef})
 
     return grams.mapInPandas(solve, f"`{key}` {rows.schema[key].dataType.simpleString()}, n long, coef array<double>")
@@ -73,19 +74,42 @@ def folds_to_end(first: int, last: int, train: int, step: int, *, expanding: boo
     return [(first if expanding else k, k + train, min(k + train + step, last + 1)) for k in range(first, last - train + 1, step)]
 
 
-def walk_forward(rows: DataFrame, features: list[str], label: str, folds: list[tuple[int, int, int]], name: str, *, time: str = "month", seed: int = 42) -> DataFrame:
-    """Rows of the test months with predictions of models fitted on the months before; folds are (from, test_from, test_to).
+def walk_forward(rows: DataFrame, features: list[str], label: str, folds: list[tuple[int, int, int]], name: str, *, known: str = "known_t", month: str = "month", purge_ms: int = 0, embargo_ms: int = 0, seed: int = 42, spread: bool = False, at_once: int = 4) -> DataFrame:
+    """Rows of the test months with predictions of models that learned only from labels known before (see :mod:`pointintime`); folds are (from, test_from, test_to).
 
-    The fold loop runs on the driver, over a handful of folds; fits and predictions run on the executors.
+    Trees can't be fitted for several folds in one pass, so the driver asks for one fit a fold, a few at a time; fits and predictions
+    run on the executors. Classifiers give the probability of class 1 as ``score``. With ``spread`` predictions come with
+    ``spread``, the standard deviation of the model's predictions of its own training rows.
     """
+    from multiprocessing.pool import ThreadPool
+
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from .pointintime import trained, with_folds
+
+    whole = with_folds(rows.withColumn("label", C(label).cast("double")), folds, known=known, month=month, purge_ms=purge_ms, embargo_ms=embargo_ms)
+    ready = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(whole).persist()
 
-    ready = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows.withColumn("label", C(label).cast("double")).dropna(subset=["label"]))
-    out = None
-    for k, (a, b, c) in enumerate(folds):
-        train, test = ready.where((C(time) >= a) & (C(time) < b)), ready.where((C(time) >= b) & (C(time) < c))
+    def one(k: int) -> DataFrame | None:
+        train, test = ready.where(trained() & (C("_first") <= k) & (k <= C("_last")) & C("label").isNotNull()), ready.where(C("_test") == k)
         if train.select("label").distinct().limit(2).count() < 2:
-            continue  # a fold without both classes isn't fitted
-        got = FITTERS[name](seed).fit(train).transform(test).drop("features", "rawPrediction", "probability").withColumn("fold", F.lit(k).cast("long"))
-        out = got if out is None else out.unionByName(got)
-    return ready.drop("features").withColumns({"prediction": F.lit(None).cast("double"), "fold": F.lit(None).cast("long")}).limit(0) if out is None else out
+            return None  # a fold with one label only isn't fitted
+        model = FITTERS[name](seed).fit(train)
+        got = model.transform(test)
+        got = got.withColumn("score", vector_to_array("probability")[1] if "probability" in got.columns else C("prediction"))
+        got = got.drop("features", "rawPrediction", "probability").withColumn("fold", F.lit(k).cast("long"))
+        if spread:
+            sd = model.transform(train).agg(F.stddev_pop("prediction")).first()[0]
+            got = got.withColumn("spread", F.lit(float(sd or 0.0)))
+        return got
+
+    with ThreadPool(at_once) as pool:
+        found = [x for x in pool.map(one, range(len(folds))) if x is not None]
+    if not found:
+        extra = {"prediction": "double", "score": "double", "fold": "long"} | ({"spread": "double"} if spread else {})
+        return ready.drop("features").withColumns({n: F.lit(None).cast(t) for n, t in extra.items()}).limit(0)
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out

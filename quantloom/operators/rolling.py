@@ -93,21 +93,6 @@ def rank_in_rows(column: Column, w: int, key="symbol") -> Column:
     return F.when(F.count(column).over(f) == w, F.size(F.filter(values, lambda v: v <= column)) / F.lit(float(w)))
 
 
-def expanding_rank(rows: DataFrame, value: str, key="symbol", block: int = 512) -> DataFrame:
-    """Share of the history, the row itself included, at or below each row's value, as column expanding_rank.
-
-    Rows are numbered and cut into blocks of bounded size, so no list of a whole history is kept: a row meets the
-    sorted values of each earlier block, and the rows of its own block up to itself. Work grows as rows squared over
-    the block size, in pieces that are spread over all tasks.
-    """
-    rows = rows.withColumn("_n", F.row_number().over(over(key))).withColumn("_b", F.floor((C("_n") - 1) / block))
-    blocks = rows.groupBy(C(key).alias("_k"), C("_b").alias("_hb")).agg(F.array_sort(F.collect_list(F.struct("_n", C(value).alias("v")))).alias("_vs"))
-    ask = rows.select(key, "_n", "_b", C(value).alias("_v")).repartition(key, "_b")
-    met = ask.join(blocks, (C(key) == C("_k")) & (C("_hb") <= C("_b")))
-    known = met.groupBy(key, "_n").agg(F.sum(F.size(F.filter("_vs", lambda x: (x["_n"] <= C("_n")) & (x["v"] <= C("_v"))))).alias("_le"))
-    return rows.join(known, [key, "_n"]).withColumn("expanding_rank", C("_le") / C("_n")).drop("_n", "_b", "_le")
-
-
 def rolling_quantile(column: Column, w: int, q: float, key="symbol", *, shift: int = 0) -> Column:
     f = frame(-w + 1 - shift, -shift, key)
     return F.when(F.count(column).over(f) == w, F.percentile(column, q).over(f))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import over
+from .orderstats import running_sums
 
 C = F.col
 
@@ -29,23 +30,21 @@ def average_rank(column: Column, part: list[str]) -> Column:
 def auroc(rows: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve by tied rank sums; null when a class is absent.
 
-    Scores are counted by value first, so the ordered window runs over different values only.
+    Scores are counted by value, and the counts below each value come from running sums over ranges of values.
     """
-    by = rows.groupBy(C(score).alias("s")).agg(F.sum(C(label).cast("long")).alias("p"), F.sum((1 - C(label)).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.withColumn("b", below).agg(
+    by = rows.where(C(score).isNotNull()).groupBy(C(score).alias("s")).agg(F.sum(C(label).cast("long")).alias("p"), F.sum((1 - C(label)).cast("long")).alias("q"))
+    return running_sums(by, [], ["s"], {"b": "q"}).agg(
         F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"),
         F.when((F.sum("p") > 0) & (F.sum("q") > 0), F.sum(C("p") * (C("b") + C("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auroc"),
     )
 
 
 def ks_distance(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Largest gap of the two empirical distributions, ties taken together."""
-    by = rows.groupBy(C(value).alias("v")).agg(F.count_if(C(group) == 1).alias("p"), F.count_if(C(group) == 0).alias("q"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = by.withColumns({"cp": F.sum("p").over(w), "cq": F.sum("q").over(w)})
+    """Largest gap of the two empirical distributions, ties taken together; running sums over ranges of values."""
+    by = rows.where(C(value).isNotNull()).groupBy(C(value).alias("v")).agg(F.count_if(C(group) == 1).alias("p"), F.count_if(C(group) == 0).alias("q"))
+    run = running_sums(by, [], ["v"], {"bp": "p", "bq": "q"})
     totals = by.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))  # one row
-    gap = F.max(F.abs(C("cp") / C("np") - C("cq") / C("nq")))
+    gap = F.max(F.abs((C("bp") + C("p")) / C("np") - (C("bq") + C("q")) / C("nq")))
     return run.crossJoin(F.broadcast(totals)).agg(F.max("np").alias("np"), F.max("nq").alias("nq"), gap.alias("ks"))
 
 
@@ -88,17 +87,60 @@ def bootstrap_means(rows: DataFrame, key: str, time: str, value: str, draws: int
 
 
 def block_bootstrap_means(rows: DataFrame, key: str, time: str, value: str, draws: int, mean_block: float = 21.0, seed: int = 42) -> DataFrame:
-    """(key, draw, mean) of a stationary bootstrap: blocks restart with chance 1/mean_block and run on circularly.
+    """(key, draw, mean) of a stationary bootstrap: blocks of geometric length with that mean start anywhere and run on circularly until a draw has as many rows as the key.
 
-    Work is split by key and draw; a draw of one key is one sorted run of its positions.
+    The sum of a block is a difference of two prefix sums, so a draw looks up two or three numbers for each of its n / mean_block blocks
+    and touches no row. Block j of a draw takes its length and its start from the two halves of one MD5; 2 n / mean_block + 64 blocks
+    are at hand, and the last of them runs on to the end.
     """
-    numbered = rows.select(key, C(value).alias("v"), (F.row_number().over(over(key, time)) - 1).cast("long").alias("i"), F.count("*").over(Window.partitionBy(key)).alias("n"))
-    asked = numbered.select(key, "n", C("i").alias("pos"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    at = lambda k: uniform(F.lit(seed + k), C(key), C("draw"), C("pos"))
-    shift = F.when((C("pos") == 0) | (at(0) < 1 / mean_block), F.floor(at(1) * C("n")) - C("pos"))
-    asked = asked.withColumn("shift", F.last(shift, ignorenulls=True).over(over([key, "draw"], "pos").rowsBetween(Window.unboundedPreceding, 0)))
-    picked = asked.select(key, "draw", F.pmod(C("pos") + C("shift"), C("n")).alias("i"))
-    return picked.join(numbered.select(key, "i", "v"), [key, "i"]).groupBy(key, "draw").agg(F.avg("v").alias("mean"))
+    x = rows.select(C(key).alias("_key"), C(time).alias("_t"), C(value).cast("double").alias("_v"))
+    numbered = running_sums(x.withColumn("_one", F.lit(1).cast("long")), ["_key"], ["_t"], {"_i": "_one"})
+    # prefix sums of a key by blocks of positions: short runs of rows, then the runs
+    block = 4096
+    w = Window.partitionBy("_key", "_b")
+    cut = numbered.withColumn("_b", F.floor(C("_i") / block))
+    runs = cut.groupBy("_key", "_b").agg(F.sum("_v").alias("_s"), F.count("*").alias("_c"))
+    runs = runs.select("_key", "_b", F.coalesce(F.sum("_s").over(Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    prefix = cut.withColumn("_own", F.sum("_v").over(w.orderBy("_i"))).join(runs, ["_key", "_b"]).select("_key", (C("_i") + 1).alias("_at"), (C("_before") + C("_own")).alias("_sum"))
+    sizes = numbered.groupBy("_key").agg(F.count("*").alias("_n"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def blocks(batches):
+        import hashlib
+
+        import numpy as np
+        import pandas as pd
+
+        scale, shrink, numbers = float(1 << 52), math.log(1 - 1 / mean_block), []
+
+        def tails(n):
+            numbers.extend(b"%d" % j for j in range(len(numbers), n))
+            return numbers[:n]
+
+        for some in batches:
+            out = [pd.DataFrame({"_key": [], "draw": [], "_at": [], "_sign": []})]
+            for k, n, draw in zip(some["_key"], some["_n"], some["draw"], strict=True):
+                most = 2 * -(-n // int(mean_block)) + 64
+                name = f"{seed}:{k}:{draw}:".encode()
+                digests = b"".join([hashlib.md5(name + tail).digest() for tail in tails(most)])
+                u, v = ((np.frombuffer(digests, ">u8").reshape(-1, 2) >> 12) + 0.5).T / scale
+                length = 1 + np.floor(np.log(u) / shrink).astype(np.int64)
+                end = np.cumsum(length)
+                end[-1] = max(end[-1], n)
+                length = np.minimum(end, n) - np.minimum(np.concatenate([[0], end[:-1]]), n)
+                start = np.floor(v * n).astype(np.int64)[length > 0]
+                length = length[length > 0]
+                over_ = start + length - n
+                at = np.concatenate([np.minimum(start + length, n), start, over_[over_ > 0]])
+                sign = np.concatenate([np.ones(len(start)), -np.ones(len(start)), np.ones((over_ > 0).sum())])
+                out.append(pd.DataFrame({"_key": k, "draw": draw, "_at": at[at > 0], "_sign": sign[at > 0]}))
+            yield pd.concat(out[1:] or out)
+
+    spread = sizes.select("_key", "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    # a number of its own, as few small rows make much work and would be put into one task
+    spread = spread.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_key", "draw")
+    asked = spread.mapInPandas(blocks, f"_key {kind}, draw int, _at long, _sign double")
+    return asked.join(prefix, ["_key", "_at"]).groupBy("_key", "draw").agg(F.sum(C("_sign") * C("_sum")).alias("_total")).join(sizes, "_key").select(C("_key").alias(key), "draw", (C("_total") / C("_n")).alias("mean"))
 
 
 def circular_shift(rows: DataFrame, value: str, shift: int, *, key: str = "symbol") -> DataFrame:

@@ -89,20 +89,20 @@ def bar_10(s, d):
     return B.cycles(R.bars_1h(s, d), 120, 48, HOUR_MS).groupBy("symbol", "cycle", "part").agg(F.count("*").alias("n_bars"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
-@query("bar_11_walk_forward_folds", with_roles("daily") + f""", m AS (SELECT symbol, t, {_MONTH} AS month FROM daily), s AS (SELECT symbol, min(month) AS a, max(month) AS b FROM m GROUP BY 1),
+@query("bar_11_walk_forward_folds", with_roles("daily") + f""", m AS (SELECT symbol, t, {_MONTH} AS month, lead(t, 2) OVER (PARTITION BY symbol ORDER BY t) AS known FROM daily), s AS (SELECT symbol, min(month) AS a, max(month) AS b FROM m GROUP BY 1),
     f AS (SELECT symbol, i AS fold, a + 3 * i AS train_from, a + 3 * i + 12 AS test_from, a + 3 * i + 15 AS test_to FROM s, (SELECT unnest(range(0, 100)) AS i) WHERE a + 3 * i + 15 <= b + 1)
-    SELECT f.symbol, fold, train_from, test_from, test_to, count(*) FILTER (month < test_from) AS n_train, count(*) FILTER (month >= test_from) AS n_test, greatest(count(*) FILTER (month < test_from) - 2, 0) AS n_train_purged, count(*) FILTER (month >= test_from AND t >= epoch_ms(make_date(test_from // 12, test_from % 12 + 1, 1)) + 5 * 86400000) AS n_test_embargoed FROM f JOIN m ON f.symbol = m.symbol AND month >= train_from AND month < test_to GROUP BY ALL""")
+    SELECT f.symbol, fold, train_from, test_from, test_to, count(*) FILTER (month < test_from) AS n_train, count(*) FILTER (month >= test_from) AS n_test, count(*) FILTER (month < test_from AND known < epoch_ms(make_date(test_from // 12, test_from % 12 + 1, 1))) AS n_train_purged, count(*) FILTER (month >= test_from AND t >= epoch_ms(make_date(test_from // 12, test_from % 12 + 1, 1)) + 5 * 86400000) AS n_test_embargoed FROM f JOIN m ON f.symbol = m.symbol AND month >= train_from AND month < test_to GROUP BY ALL""")
 def bar_11(s, d):
-    m = R.bars_1d(s, d).select("symbol", "t", month_ordinal(F.col("t")).alias("month"))
+    m = R.bars_1d(s, d).select("symbol", "t", month_ordinal(F.col("t")).alias("month"), F.lead("t", 2).over(over()).alias("known"))
     span = m.groupBy("symbol").agg(F.min("month").alias("a"), F.max("month").alias("b"))
     table = span.select("symbol", F.inline(B.folds(F.col("a"), F.col("b"), 12, 3, 3)))
     by_month = table.withColumn("month", F.explode(F.sequence("train_from", F.col("test_to") - 1)))  # an equi-join in place of a range join
     got = by_month.join(m, ["symbol", "month"])
     train, test = F.col("month") < F.col("test_from"), F.col("month") >= F.col("test_from")
     opens = F.unix_date(F.make_date(F.floor(F.col("test_from") / 12).cast("int"), (F.col("test_from") % 12 + 1).cast("int"), F.lit(1))) * F.lit(86_400_000).cast("long")
-    # the last two bars before the test months are purged, the first five days of the test months are under embargo
+    # rows whose label, two bars ahead, isn't known before the test months are purged; the first five days of the test months are under embargo
     return got.groupBy("symbol", "fold", "train_from", "test_from", "test_to").agg(
-        F.count_if(train).alias("n_train"), F.count_if(test).alias("n_test"), F.greatest(F.count_if(train) - 2, F.lit(0)).cast("long").alias("n_train_purged"),
+        F.count_if(train).alias("n_train"), F.count_if(test).alias("n_test"), F.count_if(train & (F.col("known") < opens)).alias("n_train_purged"),
         F.count_if(test & (F.col("t") >= opens + 5 * 86_400_000)).alias("n_test_embargoed"),
     )
 

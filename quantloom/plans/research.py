@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import before, day_of, month_ordinal, over, same_time, tidy
+from ..functions.expr import day_of, month_ordinal, over, same_time, tidy
 from ..operators import bars as B
 from ..operators import models as M
 from ..operators import portfolio as P
@@ -45,18 +45,22 @@ def sig_04(s, d):
 @query("xs_05_gated_legs", BARS + ", g AS (SELECT t, max(high) - min(low) AS w FROM bars GROUP BY 1), gate AS (SELECT t, coalesce(w <= quantile_cont(w, 0.5) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ok FROM g), l AS (SELECT symbol, t, row_number() OVER (PARTITION BY t ORDER BY close, symbol) AS u, row_number() OVER (PARTITION BY t ORDER BY close DESC, symbol) AS v FROM bars) SELECT symbol, t, CASE WHEN NOT ok THEN 0 WHEN u = 1 THEN 1 WHEN v = 1 THEN -1 ELSE 0 END::BIGINT AS side FROM l JOIN gate USING (t)")
 def xs_05(s, d):
     """Legs of a time are open where its range is at most the median of the ranges of earlier times; the first time is closed."""
+    from ..operators.orderstats import expanding_quantile
+
     b = R.bars_1h(s, d)
     g = b.groupBy("t").agg((F.max("high") - F.min("low")).alias("w")).withColumn("market", F.lit(1))  # one row for each time
-    gate = g.select("t", F.coalesce(C("w") <= F.percentile("w", 0.5).over(before("market")), F.lit(False)).alias("ok"))
+    gate = expanding_quantile(g, "w", 0.5, "usual", "market", shift=1).select("t", F.coalesce(C("w") <= C("usual"), F.lit(False)).alias("ok"))
     x = b.withColumns({"u": F.row_number().over(same_time().orderBy("close", "symbol")), "v": F.row_number().over(same_time().orderBy(C("close").desc(), "symbol"))}).join(gate, "t")
     return x.select("symbol", "t", F.when(~C("ok"), 0).when(C("u") == 1, 1).when(C("v") == 1, -1).otherwise(0).cast("long").alias("side"))
 
 
 @query("xs_11_pooled_rank_correlation", DAILY + f", k AS (SELECT rank() OVER (ORDER BY close) + (count(*) OVER (PARTITION BY close) - 1) / 2.0 AS a, rank() OVER (ORDER BY volume) + (count(*) OVER (PARTITION BY volume) - 1) / 2.0 AS b, rank() OVER (ORDER BY high) + (count(*) OVER (PARTITION BY high) - 1) / 2.0 AS c FROM daily) SELECT round(corr(a, b), 6) + 0.0 AS with_volume, round(corr(a, c), 6) + 0.0 AS with_high FROM k")
 def xs_11(s, d):
-    x = R.bars_1d(s, d)
-    k = x.select(average_rank(C("close"), []).alias("a"), average_rank(C("volume"), []).alias("b"), average_rank(C("high"), []).alias("c"))
-    return tidy(k.agg(F.corr("a", "b").alias("v"), F.corr("a", "c").alias("h")), with_volume=C("v"), with_high=C("h"))
+    """Spearman over all rows of the panel; ranks come from counts by value in ranges, not from one sorted task."""
+    from ..operators.orderstats import average_ranks
+
+    k = average_ranks(R.bars_1d(s, d).select("close", "volume", "high"), ["close", "volume", "high"])
+    return tidy(k.agg(F.corr("rank_close", "rank_volume").alias("v"), F.corr("rank_close", "rank_high").alias("h")), with_volume=C("v"), with_high=C("h"))
 
 
 @query("xs_17_correlation_spike", BARS + RET + ", p AS (SELECT a.symbol AS a, b.symbol AS b, a.t, a.r AS ra, b.r AS rb FROM x a JOIN x b ON a.t = b.t AND a.symbol < b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL), c AS (SELECT t, CASE WHEN count(*) OVER f = 24 AND stddev_pop(ra) OVER f > 1e-12 AND stddev_pop(rb) OVER f > 1e-12 THEN (avg(ra * rb) OVER f - (avg(ra) OVER f) * (avg(rb) OVER f)) / ((stddev_pop(ra) OVER f) * (stddev_pop(rb) OVER f)) END AS rho FROM p WINDOW f AS (PARTITION BY a, b ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) SELECT t, count(rho) AS pairs, round(avg(abs(rho)), 6) + 0.0 AS mean_abs FROM c WHERE rho IS NOT NULL GROUP BY 1")
@@ -132,10 +136,11 @@ def stat_12(s, d):
 
 
 def _features(s, d):
+    """Daily features; ``crash`` and its time of knowledge look 5 bars ahead, ``next_r`` one."""
     x = R.bars_1d(s, d).withColumn("r", F.log(C("close") / F.lag("close").over(over())))
     end, fall = W.forward_path(5)
-    x = x.withColumns({"f0": C("r"), "f1": F.lag("r").over(over()), "f2": F.stddev_samp("r").over(over().rowsBetween(-9, 0)), "crash": (fall < -0.5).cast("int"), "next_r": F.lead("r").over(over()), "month": month_ordinal(C("t"))})
-    return x.select("symbol", "t", "month", "f0", "f1", "f2", "crash", "next_r").dropna()
+    x = x.withColumns({"f0": C("r"), "f1": F.lag("r").over(over()), "f2": F.stddev_samp("r").over(over().rowsBetween(-9, 0)), "crash": (fall < -0.5).cast("int"), "next_r": F.lead("r").over(over()), "month": month_ordinal(C("t")), "known_t": F.lead("t").over(over()), "crash_t": F.lead("t", 5).over(over())})
+    return x.select("symbol", "t", "month", "f0", "f1", "f2", "crash", "next_r", "known_t", "crash_t").dropna(subset=["f0", "f1", "f2"])
 
 
 def _expanding(x, train, step):
@@ -145,36 +150,48 @@ def _expanding(x, train, step):
 
 @query("ml_06_crash_scores")
 def ml_06(s, d):
+    """Crash probabilities of forests that learn resolved labels only, as shares of the scores so far (by symbol), and their AUROC."""
+    from ..operators.orderstats import expanding_rank
     from ..operators.statistics import auroc
 
     x = _features(s, d)
-    got = M.walk_forward(x, ["f0", "f1", "f2"], "crash", _expanding(x, 60, 6), "forest")
-    return auroc(got.select(C("label").cast("int").alias("y"), C("prediction").alias("p")), "y", "p")
+    got = M.walk_forward(x, ["f0", "f1", "f2"], "crash", _expanding(x, 60, 6), "forest", known="crash_t").dropna(subset=["label"])
+    ranked = expanding_rank(got.select("symbol", "t", C("label").cast("int").alias("y"), "score"), "score")
+    return auroc(ranked.select("y", C("expanding_rank").alias("p")), "y", "p")
 
 
 @query("ml_07_cross_symbol_transfer")
 def ml_07(s, d):
-    """Fit on each symbol in turn, predict all others: hit rate by (from, to)."""
-    x, out = _features(s, d).withColumn("up", (C("next_r") > 0).cast("int")), None
-    for name in sorted(r[0] for r in x.select("symbol").distinct().collect()):
-        rows = x.withColumn("fold_month", F.when(C("symbol") == name, 0).otherwise(1))
-        got = M.walk_forward(rows, ["f0", "f1", "f2"], "up", [(0, 1, 2)], "logit", time="fold_month").groupBy(F.lit(name).alias("from_symbol"), C("symbol").alias("to_symbol")).agg(F.avg((C("prediction") == C("label")).cast("double")).alias("hit_rate"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    """Fit on the first months of each symbol (labels known before the cut), predict the later ones of all others: |Spearman| and hit rate by (from, to).
+
+    All fits come from one aggregation. The result has a row for each pair of symbols, and so has the work.
+    """
+    x = _features(s, d).where("next_r is not null")
+    span = x.agg(F.min("month").alias("a"), F.max("month").alias("b"))
+    x = x.crossJoin(F.broadcast(span.select((C("a") + F.floor((C("b") - C("a") + 1) * 0.6)).cast("long").alias("cut"))))  # one row
+    first = F.unix_date(F.make_date(F.floor(C("cut") / 12).cast("int"), (C("cut") % 12 + 1).cast("int"), F.lit(1))) * F.lit(DAY_MS).cast("long")
+    fits = M.grouped_ols(x.where(C("known_t") < first).select("symbol", "f0", "f1", "f2", "next_r"), "symbol", "next_r", ["f0", "f1", "f2"]).where("coef is not null").select(C("symbol").alias("from_symbol"), "coef")
+    test = x.where(C("month") >= C("cut")).withColumn("ry", average_rank(C("next_r"), ["symbol"]))
+    pairs = test.join(fits, C("symbol") != C("from_symbol"))
+    predicted = C("coef")[0] + C("coef")[1] * C("f0") + C("coef")[2] * C("f1") + C("coef")[3] * C("f2")
+    pairs = pairs.withColumn("p", F.round(predicted, 12)).withColumn("rp", average_rank(C("p"), ["from_symbol", "symbol"]))
+    return pairs.groupBy("from_symbol", C("symbol").alias("to_symbol")).agg(F.count("*").alias("n"), F.abs(F.corr("rp", "ry")).alias("rank_ic"), F.avg((F.signum("p") == F.signum("next_r")).cast("double")).alias("hit_rate"))
 
 
 @query("ml_08_two_stage_error")
 def ml_08(s, d):
-    """A second model predicts the absolute error of the first from the same features; its floor is the 10th percentile of the errors before each fold.
+    """A second model predicts the absolute error of the first from the same features; its floor is the 10th percentile of the errors that matured in the 12 months before each fold.
 
-    Both walk forward over all months: the first from month 36 on, the second, on the first's errors, from month 48 on.
+    Both walk forward over all months: the first from month 36 on, the second, on the first's errors, from month 48 on; an error is known when its label is.
     """
+    from ..operators.pointintime import month_start
+
     x = _features(s, d)
-    first = M.walk_forward(x, ["f0", "f1", "f2"], "next_r", _expanding(x, 36, 12), "boosted").withColumn("err", F.abs(C("prediction") - C("label"))).drop("prediction", "label", "fold").persist()
+    first = M.walk_forward(x, ["f0", "f1", "f2"], "next_r", _expanding(x, 36, 12), "boosted").dropna(subset=["label"]).withColumn("err", F.abs(C("prediction") - C("label"))).select("symbol", "t", "month", "f0", "f1", "f2", "err", "known_t").persist()
     folds = _expanding(first, 12, 12)
     second = M.walk_forward(first, ["f0", "f1", "f2"], "err", folds, "boosted")
-    starts = s.createDataFrame([(k, f[1]) for k, f in enumerate(folds)], "fold long, test_from int")
-    floor = first.join(F.broadcast(starts), C("month") < C("test_from")).groupBy("fold").agg(F.percentile("err", 0.1).alias("floor"))
+    starts = s.createDataFrame([(k, month_start(f[1] - 12), month_start(f[1])) for k, f in enumerate(folds)], "fold long, since long, start long")
+    floor = first.join(F.broadcast(starts), (C("known_t") >= C("since")) & (C("known_t") < C("start"))).groupBy("fold").agg(F.percentile("err", 0.1).alias("floor"))
     return second.join(F.broadcast(floor), "fold").groupBy("symbol").agg(F.count("*").alias("n"), F.avg(F.greatest("prediction", "floor")).alias("expected_error"), F.avg("label").alias("error"))
 
 

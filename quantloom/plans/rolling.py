@@ -93,9 +93,11 @@ def win_12(s, d):
     return tidy(R.bars_1h(s, d), "symbol", "t", pct=W.rank_in_rows(C("close"), 24))
 
 
-@query("win_13_expanding_rank", BARS + "SELECT a.symbol, a.t, round(count(*) FILTER (b.close <= a.close) * 1.0 / count(*), 6) + 0.0 AS pct FROM bars a JOIN bars b ON a.symbol = b.symbol AND b.t <= a.t GROUP BY a.symbol, a.t")
+@query("win_13_expanding_rank", BARS + "SELECT a.symbol, a.t, round(count(*) FILTER (b.close <= a.close) * 1.0 / count(*), 6) + 0.0 AS pct, round((count(*) FILTER (b.close < a.close) + count(*) FILTER (b.close = a.close) / 2.0) / count(*), 6) + 0.0 AS mid FROM bars a JOIN bars b ON a.symbol = b.symbol AND b.t <= a.t GROUP BY a.symbol, a.t")
 def win_13(s, d):
-    return tidy(W.expanding_rank(R.bars_1h(s, d), "close"), "symbol", "t", pct=C("expanding_rank"))
+    from ..operators.orderstats import expanding_rank
+
+    return tidy(expanding_rank(R.bars_1h(s, d), "close"), "symbol", "t", pct=C("expanding_rank"), mid=C("expanding_mid_rank"))
 
 
 @query("win_14_rolling_quantile", BARS + RET + f"SELECT symbol, t, {_r(f'CASE WHEN count(abs(r)) OVER {_f(20, -1)} = 20 THEN quantile_cont(abs(r), 0.75) OVER {_f(20, -1)} END', 'half_width')} FROM x")

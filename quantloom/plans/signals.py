@@ -135,12 +135,18 @@ def sig_13(s, d):
     return x.select("symbol", "t", (F.round(score, 5) + 0.0).alias("score"))
 
 
-@query("sig_14_quantile_gate", BARS + RET + ", q AS (SELECT *, quantile_cont(abs(r), 0.8) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS q FROM x) SELECT symbol, t, round(CASE WHEN abs(r) > q THEN least(greatest(r * 20, -1.2), 1.2) ELSE 0.0 END, 6) + 0.0 AS exposure FROM q WHERE r IS NOT NULL")
+@query("sig_14_quantile_gate", BARS + RET + ", z AS (SELECT symbol, t, r * (1 - 0.5 * coalesce(stddev_pop(r) OVER w / nullif(max(abs(r)) OVER w, 0), 0)) AS sg FROM x WHERE r IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), q AS (SELECT *, quantile_cont(abs(sg), 0.8) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS q, avg(abs(sg)) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS m FROM z) SELECT symbol, t, round(CASE WHEN abs(sg) > q AND m > 0 THEN least(greatest(sg * 0.5 / m, -1.2), 1.2) ELSE 0.0 END, 6) + 0.0 AS exposure FROM q")
 def sig_14(s, d):
-    from ..functions.expr import clamp, past
-
-    x = with_r(s, d).withColumn("q", F.percentile(F.abs("r"), 0.8).over(past())).where("r is not null")
-    return tidy(x, "symbol", "t", exposure=F.when(F.abs("r") > C("q"), clamp(C("r") * 20, -1.2, 1.2)).otherwise(0.0))
+    """The signal r is damped by 1 - kappa p (kappa 0.5, p the dispersion of the last 20 returns over their largest move), is zero unless it passes the
+    80 % point of its own history, and is scaled so that the mean exposure so far would be 0.5, capped at 1.2."""
+    from ..functions.expr import clamp, frame, past
+    from ..operators.orderstats import expanding_quantile
+
+    w = frame(-19, 0)
+    p = F.coalesce(F.stddev_pop("r").over(w) / F.nullif(F.max(F.abs("r")).over(w), F.lit(0.0)), F.lit(0.0))
+    x = with_r(s, d).where("r is not null").withColumn("sg", C("r") * (1 - 0.5 * p)).withColumn("size", F.abs("sg"))
+    x = expanding_quantile(x.withColumn("m", F.avg("size").over(past())), "size", 0.8, "q")
+    return tidy(x, "symbol", "t", exposure=F.when((C("size") > C("q")) & (C("m") > 0), clamp(C("sg") * 0.5 / C("m"), -1.2, 1.2)).otherwise(0.0))
 
 
 @query("sig_15_network_momentum", BARS + RET + ", v AS (SELECT symbol, t, r, lag(r) OVER w AS r1, lag(r, 2) OVER w AS r2 FROM x WINDOW w AS (PARTITION BY symbol ORDER BY t)), p AS (SELECT a.symbol, a.t, b.r, 1 / (pow((a.r - b.r) * (a.r - b.r) + (a.r1 - b.r1) * (a.r1 - b.r1) + (a.r2 - b.r2) * (a.r2 - b.r2), 2) + 1) AS w FROM v a JOIN v b ON a.t = b.t AND a.symbol <> b.symbol WHERE a.r2 IS NOT NULL AND b.r2 IS NOT NULL), s AS (SELECT symbol, t, sum(w * r) / sum(w) AS q FROM p GROUP BY 1, 2) SELECT symbol, t, round(exp(0.5) * q * exp(-q * q / 2), 6) + 0.0 AS score, sign(round(q, 9))::BIGINT AS state FROM s")

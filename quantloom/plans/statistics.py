@@ -72,10 +72,15 @@ def stat_05(s, d):
     return tidy(g, "symbol", "draws", p_value=C("p"), low=C("low"), high=C("high"))
 
 
-@query("stat_06_block_bootstrap", with_roles("daily") + _PAIRED + ", n AS (SELECT symbol, diff, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM z), a AS (SELECT symbol, n, i AS pos, draw, " + _U.format(x="'42:' || symbol || ':' || draw || ':' || i") + " AS u, " + _U.format(x="'43:' || symbol || ':' || draw || ':' || i") + " AS v FROM n, (SELECT unnest(range(0, 100)) AS draw)), b AS (SELECT symbol, n, pos, draw, last_value(CASE WHEN pos = 0 OR u < 1.0 / 21 THEN floor(v * n)::BIGINT - pos END IGNORE NULLS) OVER (PARTITION BY symbol, draw ORDER BY pos) AS shift FROM a), m AS (SELECT b.symbol, b.draw, avg(n.diff) AS mean FROM b JOIN n ON b.symbol = n.symbol AND n.i = ((b.pos + b.shift) % b.n + b.n) % b.n GROUP BY 1, 2) SELECT symbol, count(*) AS draws, round(avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS p_value, round(quantile_cont(mean, 0.05), 6) + 0.0 AS low, round(quantile_cont(mean, 0.95), 6) + 0.0 AS high FROM m GROUP BY 1")
+@query("stat_06_block_bootstrap", with_roles("daily") + _PAIRED + """, n AS (SELECT symbol, diff, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM z), p AS (SELECT symbol, i + 1 AS at, sum(diff) OVER (PARTITION BY symbol ORDER BY i) AS s FROM n UNION ALL SELECT DISTINCT symbol, 0, 0.0 FROM n), c AS (SELECT DISTINCT symbol, n FROM n),
+h AS (SELECT symbol, n, draw, j, 2 * ceil(n / 21.0)::BIGINT + 64 AS most, md5('42:' || symbol || ':' || draw || ':' || j) AS h FROM (SELECT symbol, n, draw, unnest(range(0, 2 * ceil(n / 21.0)::BIGINT + 64)) AS j FROM c, (SELECT unnest(range(0, 10000)) AS draw))),
+l AS (SELECT symbol, n, draw, j, most, 1 + floor(ln((('0x' || substr(h, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496) / ln(1 - 1 / 21.0::DOUBLE))::BIGINT AS len, floor((('0x' || substr(h, 17, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 * n)::BIGINT AS st FROM h),
+e AS (SELECT *, sum(len) OVER (PARTITION BY symbol, draw ORDER BY j)::BIGINT AS fin FROM l), g AS (SELECT symbol, n, draw, st, least(CASE WHEN j = most - 1 THEN greatest(fin, n) ELSE fin END, n) - least(fin - len, n) AS len FROM e),
+q AS (SELECT symbol, n, draw, unnest([least(st + len, n), st, greatest(st + len - n, 0)]) AS at, unnest([1, -1, 1]) AS sg FROM g WHERE len > 0), m AS (SELECT q.symbol, draw, sum(sg * s) / any_value(n) AS mean FROM q JOIN p ON p.symbol = q.symbol AND p.at = q.at GROUP BY 1, 2)
+SELECT symbol, count(*) AS draws, round(avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS p_value, round(quantile_cont(mean, 0.05), 6) + 0.0 AS low, round(quantile_cont(mean, 0.95), 6) + 0.0 AS high FROM m GROUP BY 1""")
 def stat_06(s, d):
-    """The same by geometric blocks of 21 days on average that run on circularly; 100 draws a symbol (a parameter)."""
-    b = T.block_bootstrap_means(paired_with_market(s, d), "symbol", "t", "diff", 100)
+    """The same by geometric blocks of 21 days on average that run on circularly; 10,000 draws a symbol."""
+    b = T.block_bootstrap_means(paired_with_market(s, d), "symbol", "t", "diff", 10_000)
     g = b.groupBy("symbol").agg(F.count("*").alias("draws"), F.avg((C("mean") <= 0).cast("double")).alias("p"), F.percentile("mean", 0.05).alias("low"), F.percentile("mean", 0.95).alias("high"))
     return tidy(g, "symbol", "draws", p_value=C("p"), low=C("low"), high=C("high"))
 
@@ -166,40 +171,81 @@ def ml_01(s, d):
 
 
 def _features(s, d):
+    """Daily features; the label looks one bar ahead and is known at that bar's time (null for the last bar of a symbol)."""
     x = R.bars_1d(s, d).withColumn("r", F.log(C("close") / F.lag("close").over(over())))
-    x = x.withColumns({"f0": C("r"), "f1": F.lag("r").over(over()), "f2": F.lag("r", 2).over(over()), "up": (F.lead("r").over(over()) > 0).cast("int"), "next_r": F.lead("r").over(over()), "month": month_ordinal(C("t"))})
-    return x.select("symbol", "t", "month", "f0", "f1", "f2", "up", "next_r")
+    x = x.withColumns({"f0": C("r"), "f1": F.lag("r").over(over()), "f2": F.lag("r", 2).over(over()), "up": (F.lead("r").over(over()) > 0).cast("int"), "next_r": F.lead("r").over(over()), "known_t": F.lead("t").over(over()), "month": month_ordinal(C("t")), "year": F.floor(month_ordinal(C("t")) / 12).cast("int")})
+    return x.select("symbol", "t", "month", "year", "f0", "f1", "f2", "up", "next_r", "known_t")
 
 
-def _folds(x):
+def _folds(x, train=48, step=12, expanding=False):
     a, b = x.agg(F.min("month"), F.max("month")).first()
-    return [] if a is None else M.folds_to_end(a, b, 48, 12)
+    return [] if a is None else M.folds_to_end(a, b, train, step, expanding=expanding)
+
+
+_MEMBER = f"""{DAILY}, x AS (SELECT symbol, t, lead(t) OVER (PARTITION BY symbol ORDER BY t) AS known, year(make_timestamp(t * 1000)) * 12 + month(make_timestamp(t * 1000)) - 1 AS month FROM daily), s AS (SELECT min(month) AS a, max(month) AS b FROM x),
+f AS (SELECT i AS fold, a, a + 24 + 3 * i AS test_from, least(a + 27 + 3 * i, b + 1) AS test_to FROM s, (SELECT unnest(range(0, 400)) AS i) WHERE a + 24 + 3 * i <= b), g AS (SELECT *, epoch_ms(make_date((test_from // 12)::INT, (test_from % 12 + 1)::INT, 1)) AS start FROM f)
+SELECT fold, count(*) FILTER (known + 86400000 < start) AS n_train, max(known) FILTER (known + 86400000 < start) AS last_known, count(*) FILTER (month >= test_from AND month < test_to AND t >= start + 172800000) AS n_test FROM g, x GROUP BY fold"""
+
+
+@query("ml_02_fold_membership", _MEMBER)
+def ml_02_membership(s, d):
+    """Which rows the quarterly folds of the pooled logit learn from (labels known a day before the quarter) and score (from its third day on)."""
+    from ..operators.pointintime import trained, with_folds
+
+    x = _features(s, d)
+    folds = _folds(x, 24, 3, True)
+    m = with_folds(x, folds, purge_ms=86_400_000, embargo_ms=172_800_000)
+    learn = m.where(trained()).select(F.explode(F.sequence("_first", F.least("_last", F.lit(len(folds) - 1)))).alias("fold"), "known_t", F.lit(1).alias("a"), F.lit(0).alias("b"))
+    score = m.where("_test is not null").select(C("_test").alias("fold"), F.lit(None).cast("long").alias("known_t"), F.lit(0).alias("a"), F.lit(1).alias("b"))
+    return learn.unionByName(score).groupBy(C("fold").cast("long").alias("fold")).agg(F.sum("a").alias("n_train"), F.max("known_t").alias("last_known"), F.sum("b").alias("n_test"))
 
 
 @query("ml_02_walk_forward_logit")
 def ml_02(s, d):
+    """Pooled logit with year effects: learns from all labels known a day before a quarter, scores the quarter from its third day on."""
+    from ..operators.pointintime import fold_logit, scored_by_logit, with_folds
+
     x = _features(s, d)
-    return M.walk_forward(x, ["f0", "f1", "f2"], "up", _folds(x), "logit").groupBy("fold").agg(F.count("*").alias("n"), F.avg((C("prediction") == C("label")).cast("double")).alias("accuracy"))
+    folds = _folds(x, 24, 3, True)
+    m = with_folds(x, folds, purge_ms=86_400_000, embargo_ms=172_800_000)
+    fits = fold_logit(m, ["f0", "f1", "f2"], "up", len(folds), year="year")
+    got = scored_by_logit(m, fits, ["f0", "f1", "f2"], year="year").dropna(subset=["up", "p"])
+    return got.groupBy("fold", "n_train").agg(F.count("*").alias("n"), F.avg(((C("p") > 0.5).cast("int") == C("up")).cast("double")).alias("accuracy"), F.avg("p").alias("mean_p"))
 
 
 @query("ml_03_walk_forward_forest")
 def ml_03(s, d):
     x = _features(s, d)
-    return M.walk_forward(x, ["f0", "f1", "f2"], "up", _folds(x), "forest").groupBy("fold").agg(F.count("*").alias("n"), F.avg((C("prediction") == C("label")).cast("double")).alias("accuracy"))
+    got = M.walk_forward(x, ["f0", "f1", "f2"], "up", _folds(x, 24, 6, True), "forest", purge_ms=86_400_000).dropna(subset=["label"])
+    return got.groupBy("fold").agg(F.count("*").alias("n"), F.avg((C("prediction") == C("label")).cast("double")).alias("accuracy"))
 
 
 @query("ml_04_walk_forward_boosted")
 def ml_04(s, d):
+    """Boosted trees on folds of 12 and 3 months with two days purged; forecasts are divided by the spread of the model's own in-sample forecasts."""
     x = _features(s, d)
-    return M.walk_forward(x, ["f0", "f1", "f2"], "next_r", _folds(x), "boosted").groupBy("fold").agg(F.count("*").alias("n"), F.corr("prediction", "label").alias("ic"))
+    got = M.walk_forward(x, ["f0", "f1", "f2"], "next_r", _folds(x, 12, 3), "boosted", purge_ms=2 * 86_400_000, spread=True).dropna(subset=["label"])
+    z = C("prediction") / F.nullif(C("spread"), F.lit(0.0))
+    return got.groupBy("fold").agg(F.count("*").alias("n"), F.corr("prediction", "label").alias("ic"), F.avg((F.abs(z) >= 1).cast("double")).alias("share_strong"))
+
+
+_H, _REFIT, _FIRST, _LAMBDA = 5, 21, 60, 1.0
 
 
-@query("ml_05_expanding_ridge", DAILY + ", x AS (SELECT symbol, t, ln(close / lag(close) OVER w) AS r FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY t)), p AS (SELECT symbol, t, r, lag(r) OVER (PARTITION BY symbol ORDER BY t) AS f FROM x), g AS (SELECT symbol, t, r, sum(f * r) OVER q AS fy, sum(f * f) OVER q AS ff, count(f) OVER q AS n FROM p WHERE f IS NOT NULL WINDOW q AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT symbol, t, round(CASE WHEN n >= 60 THEN fy / (ff + 1.0) * r END, 6) + 0.0 AS forecast FROM g")
+@query("ml_05_expanding_ridge", DAILY + f""", x AS (SELECT symbol, t, close, row_number() OVER w - 1 AS i, ln(close / lag(close) OVER w) AS f, ln(close / lag(close, {_H}) OVER w) AS y FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY t)), p AS (SELECT *, lag(f, {_H}) OVER (PARTITION BY symbol ORDER BY t) AS u FROM x),
+g AS (SELECT *, count(u) OVER q AS n, sum(u) OVER q AS sx, sum(y) FILTER (u IS NOT NULL) OVER q AS sy, sum(u * u) OVER q AS sxx, sum(u * y) OVER q AS sxy FROM p WINDOW q AS (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, CASE WHEN i >= {_FIRST} AND (i - {_FIRST}) % {_REFIT} = 0 AND n >= 8 THEN (sxy - sx * sy / n) / (sxx - sx * sx / n + {_LAMBDA}) END AS slope FROM g), c AS (SELECT *, last_value(slope IGNORE NULLS) OVER q AS b1, last_value(CASE WHEN slope IS NOT NULL THEN (sy - slope * sx) / n END IGNORE NULLS) OVER q AS b0 FROM b WINDOW q AS (PARTITION BY symbol ORDER BY t))
+SELECT symbol, t, round(b0 + b1 * f, 6) + 0.0 AS forecast FROM c""")
 def ml_05(s, d):
-    x = R.bars_1d(s, d).withColumn("r", F.log(C("close") / F.lag("close").over(over()))).withColumn("f", F.lag("r").over(over())).where("f is not null")
-    q = over().rowsBetween(Window.unboundedPreceding, -1)  # pairs known before the row
-    beta = F.sum(C("f") * C("r")).over(q) / (F.sum(C("f") ** 2).over(q) + 1.0)
-    return tidy(x.withColumn("n", F.count("f").over(q)), "symbol", "t", forecast=F.when(C("n") >= 60, beta * C("r")))
+    """Ridge of the return over the next 5 bars on the last return: refitted every 21 bars from bar 60 on with the labels that have landed (u + 5 <= t), in between the last fit is used."""
+    w, q = over(), over().rowsBetween(Window.unboundedPreceding, 0)
+    x = R.bars_1d(s, d).withColumns({"i": F.row_number().over(w) - 1, "f": F.log(C("close") / F.lag("close").over(w)), "y": F.log(C("close") / F.lag("close", _H).over(w))})
+    x = x.withColumn("u", F.lag("f", _H).over(w)).withColumn("y", F.when(C("u").isNotNull(), C("y")))
+    x = x.withColumns({"n": F.count("u").over(q), "sx": F.sum("u").over(q), "sy": F.sum("y").over(q), "sxx": F.sum(C("u") ** 2).over(q), "sxy": F.sum(C("u") * C("y")).over(q)})
+    anchor = (C("i") >= _FIRST) & ((C("i") - _FIRST) % _REFIT == 0) & (C("n") >= 8)
+    x = x.withColumn("slope", F.when(anchor, (C("sxy") - C("sx") * C("sy") / C("n")) / (C("sxx") - C("sx") ** 2 / C("n") + _LAMBDA)))
+    held = lambda v: F.last(F.when(C("slope").isNotNull(), v), ignorenulls=True).over(q)
+    return tidy(x, "symbol", "t", forecast=held((C("sy") - C("slope") * C("sx")) / C("n")) + held(C("slope")) * C("f"))
 
 
 @query("udf_02_rolling_function", BARS + "SELECT symbol, t, round(CASE WHEN count(*) OVER f = 10 THEN max(close) OVER f - min(close) OVER f END, 6) + 0.0 AS spread FROM bars WINDOW f AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from quantloom.operators import joins as J
+from quantloom.operators import orderstats as O
 from quantloom.operators import portfolio as P
 from quantloom.operators import quality as Q
 from quantloom.operators import rolling as W
@@ -72,7 +73,7 @@ def test_prefix_invariance_of_window_features(spark):
     for make in (
         lambda d: d.withColumn("x", W.sma(F.col("close"), 10)), lambda d: d.withColumn("x", W.trailing_beta(F.col("close"), F.col("open"), 20, 8)),
         lambda d: d.withColumn("x", W.rank_in_rows(F.col("close"), 12)), lambda d: S.ema(d, "close", 0.2, "x"), lambda d: S.rsi(d, 14, "x"),
-        lambda d: W.expanding_rank(d, "close", block=16).withColumnRenamed("expanding_rank", "x"),
+        lambda d: O.expanding_rank(d, "close", block=16).withColumnRenamed("expanding_rank", "x"),
     ):
         assert all(r.n_moved == 0 for r in Q.look_ahead_probe(rows, make, cut).collect())
 
@@ -140,4 +141,5 @@ def test_transfer_reads_every_symbol(spark, sf):
 
     got = registry.queries()["ml_07_cross_symbol_transfer"](spark, sf).collect()
     names = {r.to_symbol for r in got}
+    assert all(r.n > 50 and 0 <= r.rank_ic <= 1 and 0 <= r.hit_rate <= 1 for r in got)
     assert len(names) == 5 and {(r.from_symbol, r.to_symbol) for r in got} == {(a, b) for a in names for b in names if a != b}

@@ -14,6 +14,12 @@ def test_same_rows(spark, sf, name):
     assert differences(spark, registry.queries()[name], registry.oracle_sql()[name], sf) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - {"ml_02_walk_forward_logit", "ml_03_walk_forward_forest", "ml_04_walk_forward_boosted"}))
-def test_runs_without_twin(spark, sf, name):
-    assert registry.queries()[name](spark, sf).count() >= 0
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
+def test_has_rows_of_numbers_without_twin(spark, sf, name):
+    """Fits and hash-made draws: every query gives rows, and no figure is missing or out of range."""
+    rows = registry.queries()[name](spark, sf).collect()
+    assert rows
+    for r in rows:
+        for column, v in r.asDict().items():
+            assert v is not None or column in ("ic", "share_strong"), (name, r)
+            assert column not in ("accuracy", "hit_rate", "auroc", "frequency", "rank_ic", "mean_p") or 0 <= v <= 1, (name, r)
