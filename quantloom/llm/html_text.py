@@ -32,10 +32,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_batches
 
 PATH_DIM, WORD_DIM, EXTRA = 1024, 32, 8
 #: Leaves in a batch of pages, and steps of a stretch of a long page.
@@ -359,14 +359,23 @@ _HOLDERS = ("<article>{}</article>", "<article>{}</article>", "<main>{}</main>",
 _BLOCKS = ("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<h3>{}</h3>", "<blockquote>{}</blockquote>", "<ul><li>{}</li><li>{}</li></ul>", "<p><b>{}</b> {}</p>", '<p>{} <a href="/l">{}</a></p>', "<pre>{}</pre>", "<table><tr><td>{}</td><td>{}</td></tr></table>", "<div>{}</div>", "<ol><li>{}</li></ol>", "<figure><figcaption>{}</figcaption></figure>")
 
 
+_REPLIES = frozenset("comment comments reply replies discussion feedback".split())
+
+
 def wanted_by_markup(path: tuple[Element, ...]) -> bool:
-    """Whether a leaf is inside an article or main element, with no unwanted name below the innermost one."""
-    for _, names in reversed(path):
-        if not WANTED.isdisjoint(names):
-            return True
-        if not UNWANTED.isdisjoint(names):
+    """Whether a leaf is inside an article or main element (tags, not class names), with nothing unwanted from there on inwards.
+
+    An element's unwanted names count before anything else of it, so main-nav or article-comments are unwanted; an article or main element
+    that has one is still the page's article if it is the outermost one and not named after replies (as with-sidebar).
+    """
+    inside = False
+    for _, (tag, *names) in path:
+        unwanted = tag in UNWANTED or not UNWANTED.isdisjoint(names)
+        if tag in WANTED and not (unwanted and inside) and _REPLIES.isdisjoint(names):
+            inside = True
+        elif inside and unwanted:
             return False
-    return False
+    return inside
 
 
 class Rebuilder:
@@ -444,8 +453,9 @@ class Rebuilder:
 
 
 def marked_by_markup(page: list[Leaf]) -> bool:
-    """Whether a page says which of its leaves are wanted: any is inside an article or main element."""
-    return any(not WANTED.isdisjoint(names) for path, _, _ in page for _, names in path)
+    """Whether a page says which of its leaves are wanted: those inside its article or main element hold most of its sentences (leaves of eight words or more, by length)."""
+    sentences = [(wanted_by_markup(path), len(t)) for path, t, _ in page if len(t.split()) >= 8] or [(wanted_by_markup(path), len(t)) for path, t, _ in page]
+    return 2 * sum(n for w, n in sentences if w) > sum(n for _, n in sentences)
 
 
 def examples(pages: list[list[Leaf]], n_rebuilt: int, seed: int = 42) -> list[tuple[list[Leaf], np.ndarray]]:
@@ -459,11 +469,17 @@ def examples(pages: list[list[Leaf]], n_rebuilt: int, seed: int = 42) -> list[tu
     return [(p, y) for p, y in made if p]
 
 
-def train(pages: DataFrame, *, key: str = "page_id", html: str = "html", max_pages: int = 160, n_rebuilt: int = 1200, seed: int = 42) -> BlockLabeller | None:
-    """Trains on at most ``max_pages`` whole pages of any length, and on pages rebuilt from their texts."""
-    filled = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).where("html <> ''")
-    ids = saved(filled.select("key").where("key is not null").orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(max_pages).distinct())
-    sample = [r["html"] for r in filled.join(F.broadcast(ids), "key").groupBy("key").agg(F.min("html").alias("html")).orderBy("key").collect()]
+def train(pages: DataFrame, *, html: str = "html", max_pages: int = 160, max_bytes: int = 64 << 20, n_rebuilt: int = 1200, seed: int = 42) -> BlockLabeller | None:
+    """Trains on at most ``max_pages`` different whole pages of any length, those with the smallest hashes, and on pages rebuilt from their texts.
+
+    Pages beyond ``max_bytes`` together aren't brought to the driver, but for the first.
+    """
+    mark = F.xxhash64(F.lit(seed), F.col(html))
+    ids = pages.where(F.col(html) != "").select(mark.alias("_m"), F.octet_length(html).alias("_n")).groupBy("_m").agg(F.max("_n").alias("_n")).orderBy("_m").limit(max_pages)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over max_pages rows
+    ids = saved(ids.withColumn("_before", before).where((F.col("_before") == 0) | (F.col("_before") + F.col("_n") <= max_bytes)).select("_m"))
+    filled = pages.where(F.col(html) != "").select(mark.alias("_m"), F.col(html).alias("html"))
+    sample = [r["html"] for r in filled.join(F.broadcast(ids), "_m").groupBy("_m").agg(F.min("html").alias("html")).orderBy("_m").collect()]
     made = examples([leaves(p) for p in sample], n_rebuilt, seed)
     return BlockLabeller(seed=seed).fit([vectors(p) for p, _ in made], [y for _, y in made]) if made else None
 
@@ -488,7 +504,8 @@ def main_texts(model: BlockLabeller, pages) -> Iterator[str]:
 
 def extract(pages: DataFrame, *, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",), model: BlockLabeller | None = None, **options) -> DataFrame:
     """(key, keep, text, n_chars) of each whole page."""
-    model = model or train(pages, key=key, html=html, **options)
+    small_batches(pages.sparkSession)
+    model = model or train(pages, html=html, **options)
 
     @F.pandas_udf("string")
     def main_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

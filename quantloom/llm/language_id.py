@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import process_store, saved
+from .common import process_store, saved, small_batches
 
 BASE = 128
 SIZE = BASE + BASE**2 + BASE**3
@@ -39,16 +39,21 @@ def letter_classes() -> np.ndarray:
 
 
 def grams(text: str | None, part: int = 1 << 20) -> np.ndarray:
-    """Codes of the different 1-, 2- and 3-grams of a whole text; words are set apart by one blank."""
-    table, found = letter_classes(), []
-    text = (text or "").lower()
-    for at in range(0, len(text), part):
-        code = table[np.frombuffer(text[at : at + part + 2].encode("utf-32-le", "surrogatepass"), np.uint32)]
-        code = np.concatenate([[0], code, [0]])
-        code = code[(code > 0) | np.concatenate([[True], code[:-1] > 0])]
+    """Codes of the different 1-, 2- and 3-grams of a whole text; words are set apart by one blank.
+
+    The text is read in parts; the last two classes of a part go before the next one, so the parts make no difference.
+    """
+    table, found, text = letter_classes(), [], (text or "").lower()
+    last = np.zeros(1, np.int32)
+    for at in range(0, max(len(text), 1), part):
+        code = table[np.frombuffer(text[at : at + part].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        code = np.concatenate([last, code, np.zeros(int(at + part >= len(text)), np.int32)])
+        new, before = code[len(last) :], code[len(last) - 1 : -1]
+        code = np.concatenate([last, new[(new > 0) | (before > 0)]])
         pair = code[:-1] * BASE + code[1:]
         found.append(np.unique(np.concatenate([code[code > 0], BASE + pair[pair > 0], BASE + BASE**2 + pair[:-1] * BASE + code[2:]])))
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        last = code[-2:]
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
 class Presence:
@@ -93,13 +98,16 @@ class KernelModel:
 
 
 def train(docs: DataFrame, *, key="doc_id", text="text", lang="lang", max_rows=4000, max_landmarks=160, ridge=1e-2, seed=42) -> KernelModel | None:
-    """Fits on at most ``max_rows`` labelled rows that are not held out; landmarks are as many from each language."""
+    """Fits on at most ``max_rows`` labelled rows with text that are not held out, as many of each language as there are (those with the smallest hashes) up to an
+    even share, so a rare language is a class like any other; landmarks are as many from each language."""
     order = [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
-    ids = docs.where(~held_out(key) & F.col(key).isNotNull() & F.col(lang).isNotNull()).select(key, F.col(lang).alias("_lang"))
-    chosen = saved(ids.orderBy(*order).limit(max_rows).groupBy(key).agg(F.min("_lang").alias("_lang")))
+    small_batches(docs.sparkSession)
+    usable = docs.where(~held_out(key) & F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}"))
+    ids = usable.select(key, F.col(lang).alias("_lang"))
+    share = max(1, max_rows // max(1, ids.select("_lang").distinct().count()))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(*order))
-    chosen = chosen.withColumn("_rank", rank)
-    rows = saved(docs.select(key, F.col(text).alias("text")).where(F.col(text).isNotNull()).join(F.broadcast(chosen), key))
+    chosen = saved(ids.withColumn("_rank", rank).where(F.col("_rank") <= share).groupBy(key).agg(F.min(F.struct("_lang", "_rank")).alias("_x")).select(key, "_x.*"))
+    rows = saved(usable.select(key, F.col(text).alias("text"), F.col(lang).alias("_l")).join(F.broadcast(chosen), key).where("_l = _lang").drop("_l"))
     languages = sorted(r[0] for r in rows.select("_lang").distinct().collect())
     if not languages:
         return None
@@ -143,6 +151,7 @@ def train(docs: DataFrame, *, key="doc_id", text="text", lang="lang", max_rows=4
 
 def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
     """(key, held_out, lang_pred, score) of each whole text."""
+    small_batches(docs.sparkSession)
     model = train(docs, key=key, text=text, lang=lang, **options)
     rows = docs.select(F.col(key), held_out(key).alias("held_out"), F.col(text).alias("_text"))
     if model is None:

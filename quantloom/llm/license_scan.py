@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words
+from .common import alnum_words, small_batches
 
 #: Phrases and the label each gives wherever its words stand one after the other.
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -213,6 +213,7 @@ class Scanner:
 
 def license_scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", scanner: Scanner | None = None) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of each whole text."""
+    small_batches(docs.sparkSession)
     scanner = scanner or Scanner()
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,a:int,b:int,share:double>>"
 

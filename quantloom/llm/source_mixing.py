@@ -13,10 +13,10 @@ Columns named copy, rate or shuffle_key in the input are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import computed_once, saved
+from .common import computed_once, row_mark, saved
 
 #: Rows of the table of sources up to which it is broadcast; beyond, rows meet their source in a shuffle join.
 BROADCAST_SOURCES = 10_000
@@ -72,5 +72,14 @@ def replicate(docs: DataFrame, *, key: str = "doc_id", source: str = "source", w
     rest = F.aggregate(F.sequence(F.lit(1), F.col("parts") - 1), F.lit(0), lambda n, j: n + one(at(j)))
     counted = joined.withColumn("_count", computed_once(one(F.col("_u")) + F.when(F.col("parts") > 1, rest).otherwise(F.lit(0))))
     copies = counted.where("_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    order = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("copy").cast("string"), F.lit(str(seed))))
-    return copies.select(*docs.columns, "rate", "copy", order.alias("shuffle_key")).orderBy("shuffle_key", key)
+    return copies.select(*docs.columns, "rate", "copy", shuffle_key(key, seed).alias("shuffle_key")).orderBy("shuffle_key", key)
+
+
+def shuffle_key(key: str, seed: int = 42) -> F.Column:
+    return F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("copy").cast("string"), F.lit(str(seed))))
+
+
+def mixed_order(docs: DataFrame, *, key: str = "doc_id", seed: int = 42, out: str = "shuffle_key") -> DataFrame:
+    """Replicated rows with their shuffle key, made again from the rows alone: equal rows are numbered as copies, so neither files nor cores decide the order."""
+    same = Window.partitionBy(row_mark(*docs.columns), key).orderBy(key)
+    return docs.withColumn("copy", F.row_number().over(same)).withColumn(out, shuffle_key(key, seed)).drop(*({"copy"} - set(docs.columns)))

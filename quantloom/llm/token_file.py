@@ -33,7 +33,7 @@ SELECTORS = ((1, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7
 COUNTS = np.array([n for n, _ in SELECTORS], np.int64)
 BLOCK_IDS = 1 << 16
 #: Strings in a generation that a worker remembers, and ids in it.
-REMEMBERED, REMEMBERED_IDS = 300_000, 4_000_000
+REMEMBERED, REMEMBERED_IDS = 150_000, 2_000_000
 #: Bytes of text that are encoded at once; a longer text is taken whole.
 BATCH_BYTES = 8_000_000
 
@@ -261,8 +261,8 @@ BLOCK_ARROW = pa.schema([
 ])
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = 2, block_ids: int = BLOCK_IDS, in_order: bool = False) -> None:
-    """Writes the ids of all texts, in ascending key order, as blocks under ``path``; with ``in_order`` as the rows come, without a shuffle."""
+def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = 2, block_ids: int = BLOCK_IDS, order: str | None = None) -> None:
+    """Writes the ids of all texts, in ascending key order, or in that of the column ``order``, as blocks under ``path``; rows with equal values stand in order of key and text."""
     small_batches(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = f.read()
@@ -306,9 +306,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, key: str =
         if keys:
             yield close()
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    if not in_order:
-        rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *([F.col(order).alias("order")] if order else []))
+    first = ["order"] if order else []
+    rows = rows.repartitionByRange(*first, "key").sortWithinPartitions(*first, "key", "text").select("key", "text")
     rows.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
@@ -339,8 +339,8 @@ def read_tokens(spark: SparkSession, path: str, *, ids: bool = False, key: str =
     return blocks.mapInPandas(documents, f"`{key}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
-def token_digest(docs: DataFrame, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = 2, path: str | None = None, in_order: bool = False) -> DataFrame:
+def token_digest(docs: DataFrame, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = 2, path: str | None = None, order: str | None = None) -> DataFrame:
     """Writes docs as a token file (in the shared folder unless ``path`` is given) and reads it back."""
     path = path or scratch_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer_file, key=key, text=text, end_id=end_id, in_order=in_order)
+    write_tokens(docs, path, tokenizer_file, key=key, text=text, end_id=end_id, order=order)
     return read_tokens(docs.sparkSession, path, key=key)
