@@ -6,7 +6,8 @@ The order of the stages is given; a later round of any stage can start from the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from quantloom.llm.common import scratch_path, table
 
@@ -39,10 +40,12 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    from quantloom.llm.source_mixing import mixed_order
     from quantloom.llm.token_file import token_digest
 
-    # the rows come in the mixed order, which the file keeps
-    return token_digest(docs, public_tokenizers.path("word_bpe_49k.json"), in_order=True)
+    # the mixed order is made again from the rows: Parquet gives them back as its files and the cores have it
+    tokens = token_digest(mixed_order(docs), public_tokenizers.path("word_bpe_49k.json"), order="shuffle_key")
+    return tokens.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")))
 
 
 STAGES = [
