@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 C = F.col
@@ -14,8 +14,44 @@ def identity(*fields: str) -> Column:
 
 
 def reconcile(episodes: DataFrame, fills: DataFrame, tol: float = 1e-3) -> DataFrame:
-    """By symbol: episodes, those whose fees or fill counts differ from their fills, and fills without an episode."""
+    """By symbol: episodes, those whose fees or fill counts differ from their fills (an episode without fills or with a missing figure differs), those
+    without fills, counts by exit reason, four sums, and fills without an episode, which have no symbol."""
     f = fills.groupBy("episode").agg(F.sum("fee").alias("f_fees"), F.count("*").alias("f_n"))
-    j = episodes.join(f, "episode", "full")
-    differ = (F.abs(C("fees") - C("f_fees")) > tol) | (C("n_fills") != C("f_n"))
-    return j.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(differ).alias("differ"), F.count_if(C("symbol").isNull()).alias("orphans"))
+    j = episodes.withColumn("_there", F.lit(True)).join(f, "episode", "full")
+    there, closed = C("_there").isNotNull(), C("f_n").isNotNull()
+    same = F.coalesce(F.abs(C("fees") - C("f_fees")) <= tol, F.lit(False)) & F.coalesce(C("n_fills") == C("f_n"), F.lit(False))
+    exits = [F.count_if(there & (C("exit_reason") == x)).alias(f"exits_{x.lower()}") for x in "FOP"] if "exit_reason" in episodes.columns else []
+    sums = [F.sum(c).alias(c) for c in ("gross", "fees", "funding") if c in episodes.columns]
+    return j.groupBy("symbol").agg(F.count_if(there).alias("n"), F.count_if(there & ~same).alias("differ"), F.count_if(there & ~closed).alias("no_fills"), F.count_if(~there).alias("orphans"), *exits, *sums)
+
+
+def equity_measures(steps: DataFrame, time: str, step: str, start: float, *, key: str = "symbol", chunk: int = 90) -> DataFrame:
+    """(key, days, max_dd, sharpe) of the equity start + running sum of ``step`` in the order of ``time`` (whole numbers, one row a day).
+
+    Stretches of ``chunk`` days are folded to (sum, peak, low, deepest fall), which compose, so no running window goes over a key: only its
+    few stretches are put in order. Returns need the equity that enters a stretch, the sum of those before it.
+    """
+    runs = steps.groupBy(key, F.floor(C(time) / chunk).alias("_c")).agg(F.array_sort(F.collect_list(F.struct(C(time).alias("t"), C(step).alias("x")))).alias("_xs"))
+    zero, low, high = F.lit(0.0), F.lit(float("inf")), F.lit(float("-inf"))
+    fold = F.aggregate(
+        "_xs", F.struct(zero.alias("sum"), high.alias("peak"), low.alias("low"), zero.alias("fall")),
+        lambda s, e: F.struct((s["sum"] + e["x"]).alias("sum"), F.greatest(s["peak"], s["sum"] + e["x"]).alias("peak"), F.least(s["low"], s["sum"] + e["x"]).alias("low"), F.least(s["fall"], s["sum"] + e["x"] - F.greatest(s["peak"], s["sum"] + e["x"])).alias("fall")),
+    )
+    runs = runs.withColumn("_e", fold)
+    entering = F.sum("_e.sum").over(Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("_in", entering)
+    returns = F.aggregate(
+        "_xs", F.struct((F.lit(start) + C("_in")).alias("eq"), zero.alias("n"), zero.alias("m"), zero.alias("q")),
+        lambda s, e: F.when(s["eq"].isNull(), F.struct((F.lit(start) + e["x"]).alias("eq"), s["n"].alias("n"), s["m"].alias("m"), s["q"].alias("q"))).otherwise(
+            F.struct((s["eq"] + e["x"]).alias("eq"), (s["n"] + 1).alias("n"), (s["m"] + e["x"] / s["eq"]).alias("m"), (s["q"] + (e["x"] / s["eq"]) ** 2).alias("q"))),
+    )
+    runs = runs.withColumn("_r", returns)
+    by = runs.groupBy(key).agg(F.sum(F.size("_xs")).alias("days"), F.array_sort(F.collect_list(F.struct("_c", "_e"))).alias("_es"), F.sum("_r.n").alias("_n"), F.sum("_r.m").alias("_m"), F.sum("_r.q").alias("_q"))
+    whole = F.aggregate(
+        "_es", F.struct(zero.alias("sum"), high.alias("peak"), low.alias("low"), zero.alias("fall")),
+        lambda s, x: F.struct((s["sum"] + x["_e"]["sum"]).alias("sum"), F.greatest(s["peak"], s["sum"] + x["_e"]["peak"]).alias("peak"), F.least(s["low"], s["sum"] + x["_e"]["low"]).alias("low"), F.least(s["fall"], x["_e"]["fall"], s["sum"] + x["_e"]["low"] - s["peak"]).alias("fall")),
+    )
+    mean = C("_m") / C("_n")
+    var = (C("_q") - C("_n") * mean**2) / (C("_n") - 1)
+    sharpe = F.when(C("days") <= 2, 0.0).when(var > 0, mean / F.sqrt(var) * F.sqrt(F.lit(365.0))).otherwise(0.0)
+    return by.select(key, "days", whole["fall"].alias("max_dd"), sharpe.alias("sharpe"))

@@ -246,7 +246,10 @@ def dq_14(s, d):
     return wide.select("cohort", F.when(F.col("traded") > 0, same).alias("no_op"), (F.round(F.col("A") - F.col("N"), 6) + 0.0).alias("a_less_n"), (F.round(F.col("A") - F.col("R"), 6) + 0.0).alias("a_less_r"))
 
 
-@query("dq_15_identity_check", with_roles("fills", "episodes") + "SELECT count(*) FILTER (e.n_fills <> coalesce(f.n, 0)) AS count_differs, count(*) AS n FROM episodes e LEFT JOIN (SELECT episode, count(*) AS n FROM fills GROUP BY 1) f USING (episode)")
+@query("dq_15_identity_check", with_roles("fills", "episodes") + """, f AS (SELECT episode, count(*) AS n, count(DISTINCT level) AS levels, min(level) AS a, max(level) AS b FROM fills GROUP BY 1), o AS (SELECT o_orderkey AS episode FROM orders)
+SELECT count(*) FILTER (o.episode IS NULL) AS fills_without_order, count(*) FILTER (f.episode IS NULL) AS orders_without_fills, count(*) FILTER (f.n <> f.levels) AS repeated_levels, count(*) FILTER (f.a <> 1 OR f.b <> f.levels) AS broken_levels, count(*) AS n FROM o FULL JOIN f ON f.episode = o.episode""")
 def dq_15(s, d):
-    f = R.fills(s, d).groupBy("episode").agg(F.count("*").alias("n"))
-    return R.episodes(s, d).join(f, "episode", "left").agg(F.count_if(F.col("n_fills") != F.coalesce("n", F.lit(0))).alias("count_differs"), F.count("*").alias("n"))
+    """Ids of orders and fills against each other, and each episode's fill levels: none twice, none missing from 1 on."""
+    f = R.fills(s, d).groupBy("episode").agg(F.count("*").alias("k"), F.count_distinct("level").alias("levels"), F.min("level").alias("a"), F.max("level").alias("b"))
+    j = R.read(s, d, "orders").select(F.col("o_orderkey").alias("episode"), F.lit(True).alias("there")).join(f, "episode", "full")
+    return j.agg(F.count_if(F.col("there").isNull()).alias("fills_without_order"), F.count_if(F.col("k").isNull()).alias("orders_without_fills"), F.count_if(F.col("k") != F.col("levels")).alias("repeated_levels"), F.count_if((F.col("a") != 1) | (F.col("b") != F.col("levels"))).alias("broken_levels"), F.count("*").alias("n"))

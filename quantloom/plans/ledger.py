@@ -15,15 +15,19 @@ EP, DAILY, GRID, SL = with_roles("episodes"), with_roles("daily"), with_roles("g
 r4 = lambda c: F.round(c, 4) + 0.0
 
 
-@query("agg_01_ledger_summary", EP + "SELECT symbol, count(*) AS n, round(sum(gross), 4) + 0.0 AS gross, round(sum(fees), 4) + 0.0 AS fees, round(sum(funding), 4) + 0.0 AS funding, round(sum(gross - fees - funding), 4) + 0.0 AS net, sum(n_fills)::BIGINT AS fills, count(*) FILTER (exit_reason = 'F') AS exits_f, count(*) FILTER (exit_reason = 'O') AS exits_o, round(max(amount), 4) + 0.0 AS max_capital, abs(sum(gross) - sum(fees) - sum(funding) - sum(gross - fees - funding)) < 0.001 AS adds_up FROM episodes GROUP BY 1")
+@query("agg_01_ledger_summary", EP + """, k AS (SELECT o_orderpriority AS symbol, sum(amount) AS turnover, sum(amount + fee + funding) AS costs FROM fills JOIN orders ON o_orderkey = episode GROUP BY 1), p AS (SELECT o_orderpriority AS symbol, sum(o_totalprice) AS paid FROM orders SEMI JOIN fills ON o_orderkey = episode GROUP BY 1)
+SELECT e.symbol, count(*) AS n, round(sum(gross), 4) + 0.0 AS gross, round(sum(fees), 4) + 0.0 AS fees, round(sum(e.funding), 4) + 0.0 AS funding, round(sum(gross - fees - e.funding), 4) + 0.0 AS net, sum(n_fills)::BIGINT AS fills, sum(greatest(n_fills - 1, 0))::BIGINT AS adds, round(any_value(turnover), 4) + 0.0 AS turnover, count(*) FILTER (exit_reason = 'F') AS exits_f, count(*) FILTER (exit_reason = 'O') AS exits_o, round(max(amount), 4) + 0.0 AS max_capital, abs(sum(gross - fees - e.funding) - (any_value(paid) - any_value(costs))) < 0.001 AS adds_up FROM episodes e JOIN k ON k.symbol = e.symbol JOIN p ON p.symbol = e.symbol GROUP BY 1""")
 def agg_01(s, d):
+    """Sums of the episode ledger; adds_up compares its net with prices paid less what the fill ledger itself says was spent."""
+    e, f, o = R.episodes(s, d), R.fills(s, d), R.read(s, d, "orders").select(C("o_orderkey").alias("episode"), C("o_orderpriority").alias("symbol"), "o_totalprice")
+    spent = f.groupBy("episode").agg(F.sum("amount").alias("a"), F.sum(C("amount") + C("fee") + C("funding")).alias("c"))
+    own = o.join(spent, "episode").groupBy("symbol").agg(F.sum("a").alias("turnover"), (F.sum("o_totalprice") - F.sum("c")).alias("_net"))
     net = C("gross") - C("fees") - C("funding")
-    g = R.episodes(s, d).groupBy("symbol").agg(
-        F.count("*").alias("n"), r4(F.sum("gross")).alias("gross"), r4(F.sum("fees")).alias("fees"), r4(F.sum("funding")).alias("funding"), r4(F.sum(net)).alias("net"), F.sum("n_fills").alias("fills"),
+    g = e.groupBy("symbol").agg(
+        F.count("*").alias("n"), r4(F.sum("gross")).alias("gross"), r4(F.sum("fees")).alias("fees"), r4(F.sum("funding")).alias("funding"), r4(F.sum(net)).alias("net"), F.sum(net).alias("_sum"), F.sum("n_fills").alias("fills"), F.sum(F.greatest(C("n_fills") - 1, F.lit(0))).alias("adds"),
         F.count_if(C("exit_reason") == "F").alias("exits_f"), F.count_if(C("exit_reason") == "O").alias("exits_o"), r4(F.max("amount")).alias("max_capital"),
-        (F.abs(F.sum("gross") - F.sum("fees") - F.sum("funding") - F.sum(net)) < 0.001).alias("adds_up"),
     )
-    return g
+    return g.join(own, "symbol").withColumns({"turnover": r4(C("turnover")), "adds_up": F.abs(C("_sum") - C("_net")) < 0.001}).drop("_sum", "_net")
 
 
 _RET = ", x AS (SELECT symbol, t, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY t) - 1 AS r FROM daily) "
@@ -187,11 +191,21 @@ def agg_19(s, d):
     return tidy(m.groupBy("symbol", "quarter").agg(F.min("dd").alias("x")), "symbol", "quarter", max_dd=C("x"))
 
 
-@query("ev_01_ledger_reconciliation", EP + "SELECT e.symbol, count(*) AS n, count(*) FILTER (abs(e.fees - f.fees) > 0.001 OR e.n_fills <> f.n) AS differ, 0::BIGINT AS orphans FROM episodes e LEFT JOIN (SELECT episode, sum(fee) AS fees, count(*) AS n FROM fills GROUP BY 1) f USING (episode) GROUP BY 1")
+@query("ev_01_ledger_reconciliation", EP + """, f AS (SELECT episode, sum(fee) AS ff, count(*) AS fn FROM fills GROUP BY 1), j AS (SELECT e.*, ff, fn FROM episodes e FULL JOIN f ON f.episode = e.episode),
+r AS (SELECT symbol, count(episode) AS n, count(*) FILTER (episode IS NOT NULL AND (fn IS NULL OR NOT coalesce(abs(fees - ff) <= 0.001 AND n_fills = fn, false))) AS differ, count(*) FILTER (episode IS NOT NULL AND fn IS NULL) AS no_fills, count(*) FILTER (episode IS NULL) AS orphans, count(*) FILTER (exit_reason = 'F') AS exits_f, count(*) FILTER (exit_reason = 'O') AS exits_o, count(*) FILTER (exit_reason = 'P') AS exits_p, round(sum(gross), 2) + 0.0 AS gross, round(sum(fees), 2) + 0.0 AS fees, round(sum(funding), 2) + 0.0 AS funding FROM j GROUP BY 1),
+d AS (SELECT symbol, t // 86400000 AS day, sum(gross - fees - funding) AS net FROM episodes GROUP BY 1, 2), c AS (SELECT symbol, day, sum(net) OVER w AS c FROM d WINDOW w AS (PARTITION BY symbol ORDER BY day)), p AS (SELECT symbol, c - max(c) OVER w AS dd, (1e12 + c) / (1e12 + lag(c) OVER w) - 1 AS ret FROM c WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+m AS (SELECT symbol, count(*) AS days, round(min(dd), 2) + 0.0 AS max_dd, round(avg(ret) / stddev_samp(ret) * sqrt(365), 4) + 0.0 AS sharpe FROM p GROUP BY 1)
+SELECT r.*, exits_f + exits_o + exits_p = n AS partition_ok, days, max_dd, sharpe FROM r LEFT JOIN m ON m.symbol = r.symbol""")
 def ev_01(s, d):
-    from ..operators.evidence import reconcile
-
-    return reconcile(R.episodes(s, d), R.fills(s, d))
+    """Each symbol's ledger beside its fills: episodes, exit reasons, sums, what differs or is missing, and drawdown and Sharpe recomputed from the daily nets."""
+    from ..operators.evidence import equity_measures, reconcile
+
+    e = R.episodes(s, d)
+    nets = e.groupBy("symbol", day_of(C("t")).alias("day")).agg(F.sum(C("gross") - C("fees") - C("funding")).alias("net"))
+    r, r2 = reconcile(e, R.fills(s, d)), lambda c: F.round(c, 2) + 0.0
+    m = equity_measures(nets, "day", "net", 1e12)
+    got = r.join(m, "symbol", "left").withColumns({c: r2(c) for c in ("gross", "fees", "funding", "max_dd")} | {"sharpe": F.round("sharpe", 4) + 0.0})
+    return got.withColumn("partition_ok", C("exits_f") + C("exits_o") + C("exits_p") == C("n"))
 
 
 @query("ev_02_identity", GRID + ", i AS (SELECT cohort, size, kind, grid, 'sv-' || substr(sha256('{\"cohort\":\"' || cohort || '\",\"grid\":\"' || grid || '\",\"kind\":\"' || kind || '\",\"size\":' || size || '}'), 1, 16) AS id FROM grid) SELECT *, count(*) OVER (PARTITION BY id) > 1 AS refused FROM i")

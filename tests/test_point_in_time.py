@@ -164,3 +164,29 @@ def test_block_bootstrap_equals_direct_sums(spark):
             picked += [vs[(start + i) % len(vs)] for i in range(min(length, len(vs) - len(picked)))]
             j += 1
         assert mean == pytest.approx(sum(picked) / len(vs), abs=1e-9)
+
+
+def test_tampered_ledgers_are_found(spark):
+    from quantloom.operators.evidence import reconcile
+
+    episodes = [(1, "a", 2.0, 2, "F"), (2, "a", 1.0, 1, "O"), (3, "a", 1.0, 1, "F"), (4, "b", None, 1, "P"), (5, "b", 1.0, 1, "X")]
+    fills = [(1, 1.0), (1, 1.0), (2, 1.5), (4, 1.0), (5, 1.0), (9, 1.0)]
+    e = spark.createDataFrame(episodes, "episode long, symbol string, fees double, n_fills long, exit_reason string")
+    got = {r.symbol: r for r in reconcile(e, spark.createDataFrame(fills, "episode long, fee double")).collect()}
+    assert (got["a"].n, got["a"].differ, got["a"].no_fills, got["a"].orphans) == (3, 2, 1, 0)  # wrong fees, and no fills at all
+    assert (got["b"].n, got["b"].differ) == (2, 1) and got["b"].exits_f + got["b"].exits_o + got["b"].exits_p == 1  # an unknown exit reason breaks the partition
+    assert (got[None].n, got[None].orphans) == (0, 1)
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 90])
+def test_drawdown_of_chunks_equals_a_running_peak(spark, chunk):
+    from quantloom.operators.evidence import equity_measures
+
+    rng = random.Random(6)
+    steps = {"a": [rng.gauss(0, 5) for _ in range(200)], "b": [-1.0, -2.0], "c": [3.0]}
+    df = spark.createDataFrame([(k, 100 + 2 * i, x) for k, xs in steps.items() for i, x in enumerate(xs)], "symbol string, day long, net double").repartition(4)
+    for r in equity_measures(df, "day", "net", 1000.0, chunk=chunk).collect():
+        equity = 1000 + np.cumsum(steps[r.symbol])
+        assert r.days == len(equity) and r.max_dd == pytest.approx(float((equity - np.maximum.accumulate(equity)).min()), abs=1e-9)
+        back = np.diff(equity) / equity[:-1]
+        assert r.sharpe == pytest.approx(float(back.mean() / back.std(ddof=1) * math.sqrt(365)) if len(equity) > 2 else 0.0, abs=1e-9)
