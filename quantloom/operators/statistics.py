@@ -150,6 +150,28 @@ def circular_shift(rows: DataFrame, value: str, shift: int, *, key: str = "symbo
     return x.join(moved, [key, "_i"]).drop("_i", "_n")
 
 
+def shuffled(rows: DataFrame, value: str, out: str = "placebo", *, key: str = "symbol", time: str = "t", seed: int = 42) -> DataFrame:
+    """Placebo: each key's values in the order of a hash of key and time, so that every key keeps its values and loses their order.
+
+    Both numberings, by time and by hash, are running sums over ranges, so no key is in one task. Times of a key are different.
+    """
+    x = rows.withColumns({"_one": F.lit(1).cast("long"), "_h": F.md5(F.concat_ws(":", F.lit(seed), C(key).cast("string"), C(time).cast("string")))})
+    x = running_sums(running_sums(x, [key], [time], {"_i": "_one"}), [key], ["_h"], {"_j": "_one"})
+    taken = x.select(C(key).alias("_key"), C("_j").alias("_at"), C(value).alias(out))
+    return x.join(taken, C(key).eqNullSafe(C("_key")) & (C("_i") == C("_at"))).drop("_one", "_h", "_i", "_j", "_key", "_at")
+
+
+def random_walk(rows: DataFrame, value: str, out: str = "placebo", *, key: str = "symbol", time: str = "t", seed: int = 42) -> DataFrame:
+    """Placebo: a walk from each key's first value with normal log steps of the key's own deviation and no drift; normals by Box and Muller from hashes."""
+    whole = Window.partitionBy(key)
+    x = rows.withColumn("_s", F.log(C(value) / F.lag(value).over(over(key, time))))
+    z = F.sqrt(-2 * F.log(uniform(F.lit(seed), C(key), C(time)))) * F.cos(2 * math.pi * uniform(F.lit(seed + 1), C(key), C(time)))
+    x = x.withColumns({"_sd": F.stddev_pop("_s").over(whole), "_first": F.min(F.struct(C(time), C(value))).over(whole)[value]})
+    step = F.when(C("_s").isNotNull(), C("_sd") * z).otherwise(0.0)
+    path = F.sum(step).over(over(key, time).rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn(out, C("_first") * F.exp(path)).drop("_s", "_sd", "_first")
+
+
 def variance_ratio(rows: DataFrame, value: str, q: int, *, key: str = "symbol") -> DataFrame:
     w = over(key).rowsBetween(0, q - 1)
     x = rows.withColumn("_s", F.when(F.count(value).over(w) == q, F.sum(value).over(w)))

@@ -94,3 +94,22 @@ def stat_15_year(s, d):
     areas = p.groupBy("a", "b", "win").agg(F.min("t").alias("t"), F.sum(C("px") * (C("rb") - C("py")) - C("py") * (C("ra") - C("px"))).alias("area"))
     g = areas.groupBy("a", "b", F.year(date_of(C("t"))).cast("long").alias("year")).agg(F.count("area").alias("n"), (F.avg("area") / (F.stddev_samp("area") / F.sqrt(F.count("area")))).alias("tv"))
     return tidy(g.where("n >= 6"), "a", "b", "year", "n", t_value=C("tv"))
+
+
+@query("stat_07_shuffled_values", with_roles("bars") + ", n AS (SELECT symbol, t, close, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i, row_number() OVER (PARTITION BY symbol ORDER BY md5('42:' || symbol || ':' || t)) AS j FROM bars) SELECT a.symbol, a.t, round(b.close, 6) + 0.0 AS placebo FROM n a JOIN n b ON a.symbol = b.symbol AND a.i = b.j")
+def stat_07_shuffled(s, d):
+    """Closes of each symbol in random order."""
+    from ..operators.statistics import shuffled
+
+    return tidy(shuffled(R.bars_1h(s, d).select("symbol", "t", "close"), "close"), "symbol", "t", placebo=F.col("placebo"))
+
+
+_UNIFORM = "(('0x' || substr(md5({x}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496"
+
+
+@query("stat_07_random_walk", with_roles("bars") + ", x AS (SELECT symbol, t, close, ln(close / lag(close) OVER w) AS s, first_value(close) OVER w AS f FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)), z AS (SELECT *, CASE WHEN s IS NULL THEN 0 ELSE stddev_pop(s) OVER (PARTITION BY symbol) * sqrt(-2 * ln(" + _UNIFORM.format(x="'42:' || symbol || ':' || t") + ")) * cos(2 * pi() * " + _UNIFORM.format(x="'43:' || symbol || ':' || t") + ") END AS e FROM x) SELECT symbol, t, round(ln(f * exp(sum(e) OVER (PARTITION BY symbol ORDER BY t))), 6) + 0.0 AS log_placebo FROM z")
+def stat_07_walk(s, d):
+    """Logs of a random walk in place of each symbol's closes."""
+    from ..operators.statistics import random_walk
+
+    return tidy(random_walk(R.bars_1h(s, d).select("symbol", "t", "close"), "close"), "symbol", "t", log_placebo=F.log("placebo"))

@@ -190,3 +190,15 @@ def test_drawdown_of_chunks_equals_a_running_peak(spark, chunk):
         assert r.days == len(equity) and r.max_dd == pytest.approx(float((equity - np.maximum.accumulate(equity)).min()), abs=1e-9)
         back = np.diff(equity) / equity[:-1]
         assert r.sharpe == pytest.approx(float(back.mean() / back.std(ddof=1) * math.sqrt(365)) if len(equity) > 2 else 0.0, abs=1e-9)
+
+
+def test_shuffled_values_stay_with_their_key(spark):
+    rng = random.Random(9)
+    rows = [(k, i, rng.choice([None, 1.0, 2.0, rng.random()])) for k in ("a", "b", None) for i in range(150)]
+    df = spark.createDataFrame(rows, "symbol string, t long, v double").repartition(5)
+    got = S.shuffled(df, "v").collect()
+    assert len(got) == len(rows)
+    for k in ("a", "b", None):
+        before = [v for s, _, v in rows if s == k]
+        after = [r.placebo for r in sorted((r for r in got if r.symbol == k), key=lambda r: r.t)]
+        assert sorted(map(str, before)) == sorted(map(str, after)) and before != after
