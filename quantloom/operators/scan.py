@@ -101,9 +101,28 @@ def rsi(rows: DataFrame, w: int, out: str, *, key: str = "symbol") -> DataFrame:
 
 
 def macd(rows: DataFrame, value: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, *, key: str = "symbol") -> DataFrame:
-    rows = ema(ema(rows, value, 2 / (fast + 1), "_f", key=key), value, 2 / (slow + 1), "_s", key=key)
-    rows = rows.withColumn("macd", C("_f") - C("_s")).drop("_f", "_s")
-    return ema(rows, "macd", 2 / (signal + 1), "macd_signal", key=key)
+    """macd (fast less slow exponential mean) and macd_signal, its own exponential mean, in one scan.
+
+    The state is (fast f, slow s, signal g), and a row maps it by f' = a f + x, s' = b s + y, g' = h g + u f + v s + w; such triangular maps compose.
+    Rows without a value keep the state; rows before the first value are null.
+    """
+    k, m, c = 2 / (fast + 1), 2 / (slow + 1), 2 / (signal + 1)
+    rows = rows.withColumn("_seen", F.count(value).over(frame(-(1 << 63), 0, key)))
+    v, first, none = C(value).cast("double"), C("_seen") == 1, C(value).isNull()
+    of = lambda kept, begins, goes_on: F.when(none, kept).when(first, begins).otherwise(goes_on)
+    element = F.struct(
+        of(1.0, 0.0, 1 - k).alias("a"), of(0.0, v, k * v).alias("x"), of(1.0, 0.0, 1 - m).alias("b"), of(0.0, v, m * v).alias("y"),
+        of(1.0, 0.0, 1 - c).alias("h"), of(0.0, 0.0, c * (1 - k)).alias("u"), of(0.0, 0.0, -c * (1 - m)).alias("v"), of(0.0, 0.0, c * (k - m) * v).alias("w"),
+    )
+    both = lambda p, q: F.struct(
+        (q["a"] * p["a"]).alias("a"), (q["a"] * p["x"] + q["x"]).alias("x"), (q["b"] * p["b"]).alias("b"), (q["b"] * p["y"] + q["y"]).alias("y"), (q["h"] * p["h"]).alias("h"),
+        (q["h"] * p["u"] + q["u"] * p["a"]).alias("u"), (q["h"] * p["v"] + q["v"] * p["b"]).alias("v"), (q["h"] * p["w"] + q["u"] * p["x"] + q["v"] * p["y"] + q["w"]).alias("w"),
+    )
+    step = lambda s, e: F.struct((e["a"] * s["f"] + e["x"]).alias("f"), (e["b"] * s["s"] + e["y"]).alias("s"), (e["h"] * s["g"] + e["u"] * s["f"] + e["v"] * s["s"] + e["w"]).alias("g"))
+    start = F.struct(*[F.lit(0.0).alias(n) for n in "fsg"])
+    got = blocked_scan(rows, element, both, step, start, "_state", key=key)
+    there = C("_seen") > 0
+    return got.withColumns({"macd": F.when(there, C("_state.f") - C("_state.s")), "macd_signal": F.when(there, C("_state.g"))}).drop("_seen", "_state")
 
 
 def bricks(rows: DataFrame, size: float, *, key: str = "symbol") -> DataFrame:

@@ -202,3 +202,19 @@ def test_shuffled_values_stay_with_their_key(spark):
         before = [v for s, _, v in rows if s == k]
         after = [r.placebo for r in sorted((r for r in got if r.symbol == k), key=lambda r: r.t)]
         assert sorted(map(str, before)) == sorted(map(str, after)) and before != after
+
+
+def test_macd_in_one_scan_equals_loops(spark):
+    from quantloom.operators import scan as scans
+
+    rng = random.Random(12)
+    rows = [(k, i, None if i < 3 or rng.random() < 0.1 else 100 + rng.gauss(0, 3)) for k in ("a", "b") for i in range(400)]
+    got = scans.macd(spark.createDataFrame(rows, "symbol string, t long, close double").repartition(3)).collect()
+    for k in ("a", "b"):
+        f = s = g = None
+        for r in sorted((r for r in got if r.symbol == k), key=lambda r: r.t):
+            if r.close is not None:
+                f = r.close if f is None else f + 2 / 13 * (r.close - f)
+                s = r.close if s is None else s + 2 / 27 * (r.close - s)
+                g = f - s if g is None else g + 0.2 * (f - s - g)
+            assert (r.macd, r.macd_signal) == (None, None) if f is None else (abs(r.macd - (f - s)) < 1e-9 and abs(r.macd_signal - g) < 1e-9)
