@@ -6,22 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import over
+from .jumps import chain, first_at_or_after, held_through, numbered
+from .orderstats import saved
 
 C = F.col
 
 
 def no_trade_band(targets: DataFrame, target: str, band: float, *, key: str = "symbol", start: float = 0.0) -> DataFrame:
-    """Held weight that moves to the target only when they are more than ``band`` apart.
+    """(key, t, held): the held weight moves to the target only when they are more than ``band`` apart.
 
-    Folded over a key's array of (weekly) targets: the rule doesn't compose, and a century has about 5,000 weeks.
+    The next move after a move to w is the first later target outside w - band to w + band, so the moves are a chain of jumps.
+    A null target keeps the weight; targets of the same time are taken in the order of their values.
     """
-    path = targets.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", C(target).alias("w")))).alias("ws"))
-    held = lambda s, x: F.when(F.abs(x["w"] - s["h"]) > band, x["w"]).otherwise(s["h"])
-    fold = F.aggregate(
-        "ws", F.struct(F.lit(start).alias("h"), F.array().cast("array<struct<t:bigint,held:double>>").alias("all")),
-        lambda s, x: F.struct(held(s, x).alias("h"), F.concat(s["all"], F.array(F.struct(x["t"].alias("t"), held(s, x).alias("held")))).alias("all")), lambda s: s["all"],
-    )
-    return path.select(key, F.inline(fold))
+    return held_through(targets.select(key, "t", target), target, band, start, "held", key=key, order=["t", target]).select(key, "t", "held")
 
 
 def time_exit_episodes(bars: DataFrame, entries: DataFrame, hold: int, *, key: str = "symbol") -> DataFrame:
@@ -41,15 +38,17 @@ def time_exit_episodes(bars: DataFrame, entries: DataFrame, hold: int, *, key: s
     )
 
 
-def non_overlapping(episodes: DataFrame, *, key: str = "symbol") -> DataFrame:
-    """Drops entries made before the open episode ends; folded over a key's episodes, which are few beside its bars."""
-    path = episodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("entry_t", "exit_t"))).alias("es"))
-    fold = F.aggregate(
-        "es", F.struct(F.lit(-(1 << 62)).cast("long").alias("busy"), F.array().cast("array<struct<entry_t:bigint>>").alias("all")),
-        lambda s, e: F.when(e["entry_t"] >= s["busy"], F.struct(e["exit_t"].alias("busy"), F.concat(s["all"], F.array(F.struct(e["entry_t"].alias("entry_t")))).alias("all"))).otherwise(s),
-        lambda s: s["all"],
-    )
-    return episodes.join(path.select(key, F.inline(fold)), [key, "entry_t"], "left_semi")
+def non_overlapping(episodes: DataFrame, *, key: str = "symbol", exit_at_open: str | None = None) -> DataFrame:
+    """Drops entries made before the open episode ends; an entry at the very time of the exit counts.
+
+    Where a boolean column ``exit_at_open`` is named, an entry at the time of the exit only counts if that exit was made at the open, as
+    after a flip of the sign on one bar. Of equal rows one stays, unless they end where they begin. An episode without exit bars all later ones;
+    rows without entry_t are dropped.
+    """
+    x = numbered(episodes.where("entry_t is not null"), ["entry_t", "exit_t"], key=key)
+    equal = F.lit(True) if exit_at_open is None else F.coalesce(C(exit_at_open), F.lit(False))
+    x = saved(first_at_or_after(x, "entry_t", "exit_t", equal, key=key))
+    return x.join(chain(x, key=key), [key, "_i"], "left_semi").select(*episodes.columns)
 
 
 def reprice(ledger: DataFrame, scenarios: DataFrame) -> DataFrame:
