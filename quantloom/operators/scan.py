@@ -58,6 +58,93 @@ def affine_scan(rows: DataFrame, a: Column, b: Column, out: str, **options) -> D
     )
 
 
+def vector_scan(rows: DataFrame, maps: dict[str, tuple[Column, Column]], **options) -> DataFrame:
+    """Many affine scans y = a * y_prev + b in one: ``maps`` gives (a, b) for each new column; a null a or b keeps the value."""
+    names = list(maps)
+    parts = [(F.when(a.isNull() | b.isNull(), 1.0).otherwise(a).cast("double"), F.when(a.isNull() | b.isNull(), 0.0).otherwise(b).cast("double")) for a, b in maps.values()]
+    element = F.struct(F.array(*[a for a, _ in parts]).alias("a"), F.array(*[b for _, b in parts]).alias("b"))
+    # the slope and the offset of the composition, entry by entry
+    compose = lambda s, e: F.struct(
+        F.zip_with(s["a"], e["a"], lambda x, y: x * y).alias("a"), F.zip_with(F.zip_with(s["b"], e["a"], lambda x, y: x * y), e["b"], lambda x, y: x + y).alias("b")
+    )
+    apply = lambda y, e: F.zip_with(F.zip_with(y, e["a"], lambda u, v: u * v), e["b"], lambda u, v: u + v)
+    got = blocked_scan(rows, element, compose, apply, F.array(*[F.lit(0.0)] * len(names)), "_all", **options)
+    return got.withColumns({n: F.get("_all", F.lit(i)) for i, n in enumerate(names)}).drop("_all")
+
+
+def ema_map(value: Column, alpha: float, seen: Column) -> tuple[Column, Column]:
+    """The map of an exponential mean seeded by the first value; ``seen`` counts the values up to the row."""
+    first = seen == 1
+    return F.when(value.isNotNull(), F.when(first, 0.0).otherwise(1 - alpha)), F.when(value.isNotNull(), F.when(first, value).otherwise(alpha * value))
+
+
+def wilder_map(value: Column, w: int, seen: Column, mean: Column) -> tuple[Column, Column]:
+    """The map of Wilder's mean, which starts with the mean of the first w values; ``mean`` is that of all values up to the row."""
+    there = value.isNotNull() & (seen >= w)
+    return F.when(there, F.when(seen == w, 0.0).otherwise((w - 1) / w)), F.when(there, F.when(seen == w, mean).otherwise(value / w))
+
+
+def emas(rows: DataFrame, values: dict[str, tuple[str, float]], *, key: str = "symbol", time: str = "t") -> DataFrame:
+    """Exponential means {new column: (column, alpha)} in one scan, each seeded by its first value; null before it."""
+    whole = frame(-(1 << 63), 0, key, time)
+    counts = {f"_seen_{c}": F.count(c).over(whole) for c in {c for c, _ in values.values()}}
+    got = vector_scan(rows.withColumns(counts), {n: ema_map(C(c), alpha, C(f"_seen_{c}")) for n, (c, alpha) in values.items()}, key=key, time=time)
+    return got.withColumns({n: F.when(C(f"_seen_{c}") > 0, C(n)) for n, (c, _) in values.items()}).drop(*counts)
+
+
+#: fixed values of the feature matrix: windows in bars, and after how many windows a family's columns are given
+FEATURE_WINDOWS = (3, 6, 12, 24, 48, 72, 168, 336)
+WARM_UP = {"sma": 1, "ema": 3, "rsi": 3, "atr": 3, "macd": 6}
+
+
+def feature_matrix(bars: DataFrame, windows: tuple[int, ...] = FEATURE_WINDOWS, *, volume_mean: int = 24, key: str = "symbol") -> DataFrame:
+    """bars with five columns of the bar (ret1, range_hl, close_open, gap, vol_ratio) and five families for each window, all known at the bar's close.
+
+    sma_w and ema_w are log distances of the close, rsi_w is in -1 to 1, atr_w and macd_w (means of w and 2 w bars) are parts of the close. All recursions
+    are one scan. A column is null in its first rows: w, 3 w (ema, rsi, atr) or 6 w (macd).
+    """
+    w, whole = over(key), frame(-(1 << 63), 0, key)
+    before = F.lag("close").over(w)
+    d = F.coalesce(C("close") - before, F.lit(0.0))
+    x = bars.withColumns({"_i": F.row_number().over(w), "_priced": F.count("close").over(whole), "_up": F.greatest(d, F.lit(0.0)), "_down": F.greatest(-d, F.lit(0.0)), "_tr": true_range(key)})
+    x = x.withColumns({f"_mean{c}": F.avg(c).over(whole) for c in ("_up", "_down", "_tr")})
+    maps = {f"_e{k}": ema_map(C("close"), 2 / (k + 1), C("_priced")) for k in sorted({*windows, *[2 * k for k in windows]})}
+    maps |= {f"{c}{k}": wilder_map(C(c), k, C("_i"), C(f"_mean{c}")) for c in ("_up", "_down", "_tr") for k in windows}
+    x = vector_scan(x, maps, key=key)
+    mean = lambda c, k: F.avg(c).over(frame(-k + 1, 0, key))
+    out = {
+        "ret1": F.log(C("close") / before), "range_hl": F.log(C("high") / C("low")), "close_open": F.log(C("close") / C("open")), "gap": F.log(C("open") / before),
+        "vol_ratio": F.when(C("_i") >= volume_mean, F.log(C("volume") / mean("volume", volume_mean))),
+    }
+    for k in windows:
+        up, down = C(f"_up{k}"), C(f"_down{k}")
+        index = F.when(down > 0, 100 - 100 / (1 + up / down)).when(up > 0, 100.0).otherwise(50.0)
+        columns = {"sma": F.log(C("close") / mean("close", k)), "ema": F.log(C("close") / C(f"_e{k}")), "rsi": (index - 50) / 50, "atr": C(f"_tr{k}") / C("close"), "macd": (C(f"_e{k}") - C(f"_e{2 * k}")) / C("close")}
+        out |= {f"{f}_{k}": F.when(C("_i") > max(WARM_UP[f] * k, k - 1), v) for f, v in columns.items()}
+    return x.select(*bars.columns, *[v.alias(n) for n, v in out.items()])
+
+
+#: fixed values of the oscillators: span of the scaling volatility, speeds, ratio of slow to fast
+OSCILLATOR_SPAN, SPEEDS, SLOWNESS = 22, (1, 2, 3, 4, 5, 6), 4.0
+
+
+def oscillators(bars: DataFrame, value: str = "close", speeds: tuple[int, ...] = SPEEDS, *, key: str = "symbol") -> DataFrame:
+    """bars with ``scaled``, the sum of changes over their exponential deviation, and osc_k for each speed: fast less slow mean of it over its own deviation.
+
+    Deviations are about the same recursion's mean and begin at zero; where one is zero the change counts as zero and the oscillator is null. Four scans, whatever the number of speeds.
+    """
+    a = 2 / (OSCILLATOR_SPAN + 1)
+    x = bars.withColumn("_d", F.coalesce(C(value) - F.lag(value).over(over(key)), F.lit(0.0)))
+    x = emas(x, {"_mu": ("_d", a)}, key=key).withColumn("_sq", (C("_d") - C("_mu")) ** 2)
+    x = emas(x, {"_var": ("_sq", a)}, key=key)
+    x = x.withColumn("scaled", F.sum(F.when(C("_var") > 0, C("_d") / F.sqrt("_var")).otherwise(0.0)).over(over(key).rowsBetween(-(1 << 63), 0)))
+    fast = {k: 1 / (k * 2**0.5) for k in speeds}
+    x = emas(x, {f"_{n}{k}": ("scaled", v / r) for k, v in fast.items() for n, r in (("f", 1), ("s", SLOWNESS))}, key=key)
+    x = x.withColumns({f"_q{k}": (C("scaled") - C(f"_f{k}")) ** 2 for k in speeds})
+    x = emas(x, {f"_v{k}": (f"_q{k}", fast[k]) for k in speeds}, key=key)
+    return x.select(*bars.columns, "scaled", *[F.when(C(f"_v{k}") > 0, (C(f"_f{k}") - C(f"_s{k}")) / F.sqrt(f"_v{k}")).alias(f"osc_{k}") for k in speeds])
+
+
 def ema(rows: DataFrame, value: str, alpha: float, out: str, *, key: str = "symbol", time: str = "t") -> DataFrame:
     """Exponential mean seeded by the first value; nulls are skipped, and rows before the first value are null."""
     seen = F.count(value).over(frame(-(1 << 63), 0, key, time))
