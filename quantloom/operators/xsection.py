@@ -29,6 +29,12 @@ def graph_features(pairs: DataFrame, nodes: DataFrame, threshold: float, *, node
     return got.withColumns({"mean_degree": 2 * C("edges") / C("n"), "density": 2 * C("edges") / F.nullif(C("n") * (C("n") - 1), F.lit(0))})
 
 
+def at_joint_times(bars: DataFrame, *, key: str = "symbol") -> DataFrame:
+    """The bars of times at which every key of the table has one."""
+    n = bars.select(key).distinct().count()
+    return bars.join(bars.groupBy("t").agg(F.count_distinct(key).alias("_n")).where(C("_n") == n).select("t"), "t")
+
+
 def network_momentum(bars: DataFrame, lookback: int = 22, *, beta: float = 0.01, warm_up: int = 188, spread: float = 2**0.5, speeds: tuple[int, ...] = SPEEDS, key: str = "symbol") -> DataFrame:
     """(key, t, score, state, event) of the times at which every key has a bar, after the first ``warm_up`` of them.
 
@@ -38,8 +44,7 @@ def network_momentum(bars: DataFrame, lookback: int = 22, *, beta: float = 0.01,
     A time makes n^2 pairs of n keys, each compared over n entries, as the method asks; times are spread over the tasks.
     """
     n = bars.select(key).distinct().count()
-    joint = bars.groupBy("t").agg(F.count_distinct(key).alias("_n")).where(C("_n") == n).select("t")
-    x = saved(oscillators(bars.join(joint, "t"), speeds=speeds, key=key).withColumn("_i", F.row_number().over(over(key))))
+    x = saved(oscillators(at_joint_times(bars, key=key), speeds=speeds, key=key).withColumn("_i", F.row_number().over(over(key))))
     pairs, w = symbol_pairs(x.select(C(key).alias("symbol"), "t", "scaled"), "scaled"), over(["a", "b"])
     pa, pb = F.lag("ra").over(w), F.lag("rb").over(w)
     area = (C("ra") - pa) * (pb + C("rb")) - (C("rb") - pb) * (pa + C("ra"))

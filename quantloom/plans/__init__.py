@@ -1,3 +1,3 @@
 """Registered queries: each module puts its own into the registry when it is imported."""
 
-from . import bars, joins, ledger, matrices, recursive, research, rolling, signals, statistics, streams, variants  # noqa: F401
+from . import bars, drift, joins, ledger, matrices, recursive, research, rolling, signals, statistics, streams, variants  # noqa: F401
