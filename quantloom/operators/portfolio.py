@@ -38,6 +38,23 @@ def time_exit_episodes(bars: DataFrame, entries: DataFrame, hold: int, *, key: s
     )
 
 
+def stressed_episodes(bars: DataFrame, entries: DataFrame, hold: int, scenarios: dict[str, tuple[int, float]], *, tick_size: float = 0.01, key: str = "symbol") -> DataFrame:
+    """Episodes of ``hold`` bars under execution scenarios {name: (bars of delay, ticks of slippage)}: entry and exit both come later by the delay, and
+    every fill is moved against its side by the ticks. An episode whose late exit is past the last bar has no row in that scenario.
+
+    All scenarios are read from one sort of the bars, as an event's fills lie within hold + delay + 1 rows of it.
+    """
+    w = over(key)
+    marked = bars.join(entries.select(key, "t", "side"), [key, "t"], "left")
+    at = lambda c, k: F.lead(c, k).over(w)
+    fills = {d: F.struct(at("t", 1 + d).alias("entry_t"), at("open", 1 + d).alias("entry"), at("t", 1 + d + hold).alias("exit_t"), at("open", 1 + d + hold).alias("exit")) for d in sorted({d for d, _ in scenarios.values()})}
+    marked = marked.withColumns({f"_f{d}": f for d, f in fills.items()}).where("side is not null")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(float(ticks)).alias("ticks"), C(f"_f{d}").alias("f")) for n, (d, ticks) in scenarios.items()]))
+    x = marked.select(key, "t", "side", each.alias("_s")).select(key, "t", "side", "_s.scenario", "_s.ticks", "_s.f.*").where("exit is not null")
+    paid, got = [price + sign * C("side") * C("ticks") * tick_size for price, sign in ((C("entry"), 1), (C("exit"), -1))]
+    return x.select(key, "t", "side", "scenario", "entry_t", "exit_t", paid.alias("entry"), got.alias("exit"), (C("side") * (got / paid - 1)).alias("gross"))
+
+
 def non_overlapping(episodes: DataFrame, *, key: str = "symbol", exit_at_open: str | None = None) -> DataFrame:
     """Drops entries made before the open episode ends; an entry at the very time of the exit counts.
 

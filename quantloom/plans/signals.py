@@ -344,6 +344,19 @@ def flagship(s, d):
     return tidy(st.withColumn("place", place), "symbol", "episodes", "place", gross=C("total"), sharpe=F.when(C("sd") > 0, C("m") / C("sd")))
 
 
+_STRESS = ", st AS (SELECT symbol, t, fresh" + "".join(f", lead(open, {1 + k}) OVER w AS a{k}, lead(open, {7 + k}) OVER w AS b{k}" for k in (0, 1)) + " FROM c WINDOW w AS (PARTITION BY symbol ORDER BY t)), g AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS scenario, symbol, (b{k} - {ticks} * 0.01) / (a{k} + {ticks} * 0.01) - 1 AS gross FROM st WHERE fresh AND b{k} IS NOT NULL" for n, k, ticks in (("base", 0, 0), ("entry_delay_1_bar", 1, 0), ("slippage_2ticks", 0, 2))
+) + ") "
+
+
+@query("pf_06_execution_stress", BARS + _CROSS + _STRESS + "SELECT scenario, symbol, count(*) AS n, round(sum(gross), 6) + 0.0 AS gross FROM g GROUP BY 1, 2")
+def pf_06_execution(s, d):
+    """Crossing episodes entered a bar later, and with two ticks of slippage on each fill."""
+    bars = R.bars_1h(s, d)
+    x = P.stressed_episodes(bars, crossings(bars).where("fresh").select("symbol", "t", F.lit(1).alias("side")), 6, {"base": (0, 0), "entry_delay_1_bar": (1, 0), "slippage_2ticks": (0, 2)})
+    return tidy(x.groupBy("scenario", "symbol").agg(F.count("*").alias("n"), F.sum("gross").alias("g")), "scenario", "symbol", "n", gross=C("g"))
+
+
 _SCEN = ", sc AS (SELECT * FROM (VALUES ('base', 1.0, 1.0, 0.0), ('fees_x2', 2.0, 1.0, 0.0), ('funding_x3', 1.0, 3.0, 0.0), ('flat_40bps', 1.0, 1.0, 40.0), ('no_funding', 1.0, 0.0, 0.0)) v(scenario, fee_x, funding_x, bps)) "
 
 
