@@ -36,6 +36,70 @@ def gap_sessions(ticks: DataFrame, gap: str, delay: str) -> DataFrame:
     return got.select("symbol", F.unix_micros("session_window.start").alias("first_us"), "n")
 
 
+def _written(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+        return True
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return False
+
+
+def new_keys(events: DataFrame, key: list[str], ttl_ms: int, delay: str) -> DataFrame:
+    """(key, t) of arriving events (key, t in ms, ts) whose key wasn't seen in the ``ttl_ms`` before; every event renews its key.
+
+    A key's state is the last time it was seen, and goes when the watermark has passed that time by ``ttl_ms``. Times of one key in one trigger are held as longs;
+    an event older than one already seen is not new. Events with a null t or ts are left out.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def watch(names: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = pd.concat([some["t"] for some in batches]).sort_values()
+        last = state.get[0] if state.exists else None
+        before = times.shift()
+        if last is not None:
+            before = before.fillna(last).clip(lower=last)
+        found = times[before.isna() | (times - before > ttl_ms)]
+        last = int(times.iloc[-1]) if last is None else max(last, int(times.iloc[-1]))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last + ttl_ms, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({k: [v] * len(found) for k, v in zip(key, names, strict=True)} | {"t": found.astype("int64").to_numpy()})
+
+    types = dict(events.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in key) + ", t long"
+    there = events.where(C("t").isNotNull() & C("ts").isNotNull()).select(*key, "t", "ts")
+    return there.withWatermark("ts", delay).groupBy(*key).applyInPandasWithState(watch, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def poll(feed: DataFrame, store: str, checkpoint: str) -> list:
+    """One poll: all that is available goes through ``feed`` and what it emits is added to ``store``/rows; the first poll only records. Returns its progress.
+
+    The checkpoint is the memory between polls. A first poll that breaks off stays the first; batches replayed after a fault overwrite themselves.
+    """
+    spark, first = feed.sparkSession, not _written(feed.sparkSession, f"{store}/recorded")
+
+    def put(batch: DataFrame, number: int) -> None:
+        if first:
+            batch.write.format("noop").mode("overwrite").save()
+        else:
+            batch.write.mode("overwrite").parquet(f"{store}/rows/batch={number}")
+
+    q = feed.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if first:
+        spark.range(1).write.mode("overwrite").parquet(f"{store}/recorded")
+    return q.recentProgress
+
+
+def late_rows(progress: list) -> int:
+    """Rows of the stateful operators (for aggregates: groups of a trigger) that came behind the watermark and were dropped."""
+    return sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
+
+
 def event_feed(events: DataFrame, key: list[str], delay: str) -> DataFrame:
     """Each key once, however often it arrives within the delay; the checkpoint is the seen set."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key)
@@ -89,6 +153,13 @@ def append_slices(stream: DataFrame, store: str, accept: Callable[[DataFrame, Da
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
 
 
+def append_now(stream: DataFrame, path: str, checkpoint: str) -> list:
+    """Everything available now, appended to a Parquet table; returns the progress of the run."""
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q.recentProgress
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Everything available now, written as Parquet and read back."""
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
