@@ -188,3 +188,14 @@ def signature2(rows: DataFrame, x: str, y: str, w: int, key="symbol") -> DataFra
         "s_x": F.when(enough, C(x) - first_x), "s_y": F.when(enough, C(y) - first_y),
         "s_xy": F.when(enough, F.sum("_p").over(steps) - first_x * F.sum("_dy").over(steps)),
     }).drop("_dy", "_p")
+
+
+def wide_range_spread(key="symbol") -> Column:
+    """High-low spread of a row and the next, where the range of both passes the root of their squared ranges' sum; else zero, and null in the last row."""
+    high, low, w = F.lead("high").over(over(key)), F.lead("low").over(over(key)), over(key)
+    apart = F.log(C("high") / C("low")) ** 2 + F.log(high / low) ** 2
+    joint = F.log(F.greatest(C("high"), high) / F.least(C("low"), low)) ** 2
+    c = 3 - 2 * math.sqrt(2)
+    alpha = (F.sqrt(2 * joint) - F.sqrt(joint)) / c - F.sqrt(apart / c)
+    spread = F.when((joint > apart) & (alpha > 0), 2 * (F.exp(alpha) - 1) / (1 + F.exp(alpha))).otherwise(0.0)
+    return F.when(F.lead("t").over(w).isNotNull(), spread)

@@ -212,6 +212,36 @@ def macd(rows: DataFrame, value: str = "close", fast: int = 12, slow: int = 26,
     return got.withColumns({"macd": F.when(there, C("_state.f") - C("_state.s")), "macd_signal": F.when(there, C("_state.g"))}).drop("_seen", "_state")
 
 
+#: fixed values: the prices whose MACD is compared, the whole one last
+MACD_PRICES = ("standard", "volume", "volatility", "body", "full")
+
+
+def weighted_macd(bars: DataFrame, *, width: int = 10, deviation: int = 10, crossing: float = 1.0, key: str = "symbol") -> DataFrame:
+    """(key, t, variant, price, macd, macd_signal, enter, leave): MACD of five prices, all in one scan, one run of rows for each key and variant.
+
+    The close is weighted with volume, with the deviation of the bar's range over the last ``deviation`` bars as a part of the close, with the body as a part of the
+    range (none where the range is zero), or with all three; this whole price is the weights' sum over that of volumes in the ``width`` bars before the row.
+    enter: macd rises above ``crossing`` times its signal; leave: it falls below the signal. Both need the row before; differences under half a billionth count as
+    none. Prices are null in their warm-up.
+    """
+    span, last, back = C("high") - C("low"), frame(1 - deviation, 0, key), frame(-width, -1, key)
+    x = bars.withColumns({
+        "_sd": F.when(F.count(span).over(last) == deviation, F.stddev_pop(span).over(last)) / C("close"),
+        "_body": F.when(span > 0, F.abs(C("close") - C("open")) / span).otherwise(0.0),
+    }).withColumn("_all", C("close") * C("volume") * C("_sd") * C("_body"))
+    traded = F.sum("volume").over(back)
+    whole = F.when((F.count("_all").over(back) == width) & (traded > 0), F.sum("_all").over(back) / traded)
+    prices = dict(zip(MACD_PRICES, (C("close"), C("close") * C("volume"), C("close") * C("_sd"), C("close") * C("_body"), C("_whole")), strict=True))
+    long = x.withColumn("_whole", whole).select(key, "t", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), p.cast("double").alias("price")) for n, p in prices.items()])).alias("_p"))
+    long = long.select(key, "t", "_p.*").withColumn("_run", F.struct(key, "variant"))
+    got = macd(long, "price", key="_run").withColumns({c: F.when(C("price").isNotNull(), C(c)) for c in ("macd", "macd_signal")})
+    w = over("_run")
+    above = lambda times: F.round(C("macd") - times * C("macd_signal"), 9)
+    got = got.withColumns({"_over": above(crossing), "_past": above(1.0)})
+    enter, leave = (F.lag("_over").over(w) <= 0) & (C("_over") > 0), (F.lag("_past").over(w) >= 0) & (C("_past") < 0)
+    return got.select(key, "t", "variant", "price", "macd", "macd_signal", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in (("enter", enter), ("leave", leave))])
+
+
 def bricks(rows: DataFrame, size: float, *, key: str = "symbol") -> DataFrame:
     """Geometric price bricks: level k clamped to [floor x, ceil x] with x = ln(close / first close) / ln(1 + size); moved is the change."""
     import math
