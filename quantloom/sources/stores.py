@@ -42,6 +42,80 @@ def scan_bars(spark: SparkSession, root: str, symbols: list[str], intervals: lis
     return named.where(F.col("symbol").isin(symbols) & F.col("interval").isin(intervals) & F.col("month").between(month(start_ms), month(end_ms)) & F.col("open_time_ms").between(start_ms, end_ms))
 
 
+def _file_system(root: str):
+    """(file system, folder) of a path or URI, for tasks that write files under names of their own."""
+    from pyarrow import fs
+
+    if root.startswith("file:"):
+        root = "/" + root[5:].lstrip("/")
+    return fs.FileSystem.from_uri(root)
+
+
+def _finish(files, part: str, path: str) -> None:
+    """Puts a whole file in its place; a repeated task puts the same file there again."""
+    files.move(part, path)
+
+
+def write_lines(rows: DataFrame, root: str, *order: str) -> DataFrame:
+    """Rows (path, line, order...) as text files under root, gzip where the name ends so; returns (path, n), one row for each file.
+
+    A file is written by one task, batch by batch in the given order, under a name of its own and then moved, so that half files are never seen and none is held in memory. A null path raises.
+    """
+
+    def put(batches):
+        import pandas as pd
+
+        files, folder = _file_system(root)
+        now, out, n, part = None, None, 0, None
+        for batch in batches:
+            for path, some in batch.groupby("path", sort=False, dropna=False):
+                if path is None or path != path:
+                    raise ValueError("a line without a path")
+                if path != now:
+                    if out:
+                        out.close()
+                        _finish(files, part, f"{folder}/{now}")
+                        yield pd.DataFrame({"path": [now], "n": [n]})
+                    files.create_dir(f"{folder}/{path}".rsplit("/", 1)[0], recursive=True)
+                    now, n, part = path, 0, f"{folder}/{path}.{uuid.uuid4().hex}.part"
+                    out = files.open_output_stream(part, compression="gzip" if path.endswith(".gz") else None)
+                out.write(("\n".join(some["line"]) + "\n").encode())
+                n += len(some)
+        if out:
+            out.close()
+            _finish(files, part, f"{folder}/{now}")
+            yield pd.DataFrame({"path": [now], "n": [n]})
+
+    done = scratch(rows.sparkSession, "files-written")  # tasks run once, whatever is asked of the list
+    rows.repartition("path").sortWithinPartitions("path", *order).mapInPandas(put, "path string, n long").write.parquet(done)
+    return rows.sparkSession.read.parquet(done)
+
+
+def write_month_shards(bars: DataFrame, root: str) -> DataFrame:
+    """Bars (symbol, interval and those of ``BAR``) as ``klines/<symbol>/<interval>/<symbol>-<interval>-YYYY-MM.jsonl.gz``, in the order of time; rows without symbol, interval or time have no shard and raise."""
+    names = [f.split()[0] for f in BAR.split(", ")]
+    month = F.date_format(F.date_from_unix_date(F.floor(F.col("open_time_ms") / 86_400_000).cast("int")), "yyyy-MM")
+    shard = F.concat(F.lit("klines/"), "symbol", F.lit("/"), "interval", F.lit("/"), "symbol", F.lit("-"), "interval", F.lit("-"), month, F.lit(".jsonl.gz"))
+    return write_lines(bars.select(shard.alias("path"), F.to_json(F.struct(*names)).alias("line"), "open_time_ms"), root, "open_time_ms")
+
+
+def write_documents(documents: DataFrame, root: str) -> None:
+    """Each row (path, text) as a file of that name under root."""
+
+    def put(batches):
+        files, folder = _file_system(root)
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                files.create_dir(f"{folder}/{path}".rsplit("/", 1)[0], recursive=True)
+                part = f"{folder}/{path}.{uuid.uuid4().hex}.part"
+                with files.open_output_stream(part) as out:
+                    out.write(text.encode())
+                _finish(files, part, f"{folder}/{path}")
+            yield batch[["path"]].iloc[:0]
+
+    documents.select("path", "text").mapInPandas(put, "path string").write.format("noop").mode("overwrite").save()
+
+
 def write_bar_store(bars: DataFrame, path: str) -> None:
     """The splittable copy of gzip shards: Parquet by interval, symbol and month, sorted by time."""
     bars.repartition("interval", "symbol", "month").sortWithinPartitions("interval", "symbol", "month", "open_time_ms").write.mode("overwrite").partitionBy("interval", "symbol", "month").parquet(path)
@@ -75,17 +149,74 @@ def write_grid(rows: DataFrame, path: str, *, fmt: str = "parquet") -> None:
     rows.write.mode("overwrite").partitionBy("grid").option("header", True).format(fmt).save(path)
 
 
+def _parsed(text, schema: str):
+    """JSON text as a struct of the schema with ``_corrupt_record``, the text where it can't be read; blank text can't be read either."""
+    return F.from_json(F.when(F.trim(text) == "", "{").otherwise(text), f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})  # with options the optimizer leaves all fields in
+
+
 def scan_artefacts(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     """JSON documents ``results/<family>/rounds/<round>/attempts/<run>/<name>`` with keys from their paths; unreadable ones keep their text."""
     path = F.col("_metadata.file_path")
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("recursiveFileLookup", True).option("pathGlobFilter", name).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(f"{root}/results")
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).option("wholetext", True).text(f"{root}/results")
+    rows = texts.select("value", "_metadata").withColumn("_doc", _parsed(F.col("value"), schema))
     part = lambda what: F.regexp_extract(path, rf"/{what}/([^/]+)/", 1)
-    return rows.select(part("results").alias("family"), part("rounds").alias("round"), part("attempts").alias("run"), "*")
+    return rows.select(part("results").alias("family"), part("rounds").alias("round"), part("attempts").alias("run"), "_doc.*")
+
+
+#: fixed values: the documents of an evidence tree, at which level they lie, and their fields
+ARTEFACTS = {
+    "family": ("family", "family.json", "family_id string, created_at_utc string"),
+    "round_spec": ("round", "round-spec.json", "round_id string, expected_total long"),
+    "verdict": ("round", "verdict.json", "round_id string, verdict string"),
+    "state": ("run", "state.json", "run_id string, stage string"),
+    "result": ("run", "result.json", "run_id string, episodes long"),
+    "bundle": ("run", "bundle.json", "run_id string, bundle_identity_sha256 string"),
+}
+_LEVELS = {"family": ["family"], "round": ["family", "round"], "run": ["family", "round", "run"]}
+
+
+def artefact_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The six typed tables of a tree; ``problem`` is unreadable where a document isn't JSON, else null."""
+    tables = {}
+    for kind, (_, file, schema) in ARTEFACTS.items():
+        rows = scan_artefacts(spark, root, file, schema)
+        tables[kind] = rows.withColumn("problem", F.when(F.col("_corrupt_record").isNotNull(), "unreadable")).drop("_corrupt_record")
+    return tables
+
+
+def refused_artefacts(tables: dict[str, DataFrame], required: list[str]) -> DataFrame:
+    """(family, round, run, kind, problem): documents that can't be read, and required ones that are absent where another document of their family, round or run exists. Files of no bytes count as absent."""
+    places = None
+    for kind, rows in tables.items():
+        at = rows.select("family", "round", "run")
+        places = at if places is None else places.unionByName(at)
+    out = None
+    for kind, rows in tables.items():
+        keys = _LEVELS[ARTEFACTS[kind][0]]
+        bad = rows.where("problem is not null").select("family", "round", "run", F.lit(kind).alias("kind"), "problem")
+        out = bad if out is None else out.unionByName(bad)
+        if kind in required:
+            there = places.select(*keys).where(" and ".join(f"{k} <> ''" for k in keys)).distinct()
+            gone = there.join(rows.select(*keys), keys, "left_anti")
+            out = out.unionByName(gone.select(*[F.col(k) if k in keys else F.lit("").alias(k) for k in _LEVELS["run"]], F.lit(kind).alias("kind"), F.lit("absent").alias("problem")))
+    return out
+
+
+def required_inputs(required: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Every required input with what was found of it and a status, present or absent."""
+    return required.join(found, key, "left").withColumn("status", F.when(F.col("n") > 0, "present").otherwise("absent"))
+
+
+def disagreements(declared: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of either side that the other hasn't, once each, with ``only`` telling the side."""
+    a, b = declared.exceptAll(found).distinct(), found.exceptAll(declared).distinct()
+    return a.withColumn("only", F.lit("declared")).unionByName(b.withColumn("only", F.lit("found")))
 
 
 def scan_slice_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(slices, survivors voided by a line that can't be read) of append-only logs, one file for each survivor."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path).select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl", 1).alias("survivor"))
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    rows = lines.select(_parsed(F.col("value"), schema).alias("_doc"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl", 1).alias("survivor")).select("_doc.*", "survivor")
     void = rows.groupBy("survivor").agg(F.bool_or(F.col("_corrupt_record").isNotNull()).alias("void")).where("void").select("survivor")
     return rows.join(void, "survivor", "left_anti").drop("_corrupt_record"), void
 
