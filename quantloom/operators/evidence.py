@@ -1,4 +1,4 @@
-"""Evidence operators: reconciliation of ledgers and deterministic identities."""
+"""Evidence operators: reconciliation of ledgers, deterministic identities, states of families, incidents, progress, verdict inputs, forward slices."""
 
 from __future__ import annotations
 
@@ -55,3 +55,90 @@ def equity_measures(steps: DataFrame, time: str, step: str, start: float, *, key
     var = (C("_q") - C("_n") * mean**2) / (C("_n") - 1)
     sharpe = F.when(C("days") <= 2, 0.0).when(var > 0, mean / F.sqrt(var) * F.sqrt(F.lit(365.0))).otherwise(0.0)
     return by.select(key, "days", whole["fall"].alias("max_dd"), sharpe.alias("sharpe"))
+
+
+def newest(attempts: DataFrame, key: str, *order: str) -> DataFrame:
+    """The attempt of each key that is last in the given order (nulls first)."""
+    names = [c for c in attempts.columns if c != key]
+    last = F.max(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*names).alias("_row")))
+    return attempts.groupBy(key).agg(last.alias("_x")).select(key, "_x._row.*")
+
+
+def family_states(families: DataFrame, attempts: DataFrame, verdicts: DataFrame, now: Column, *, window: int = 90 * 60_000, grace: int = 60 * 60_000) -> DataFrame:
+    """(family, run, status, in_flight) of families (family, created_t, readable), attempts (family, round, run, activity, terminal) and verdicts (family, round).
+
+    The newest generation decides (round, then activity, then run; attempts without activity don't count): stale beyond the window; live without a terminal mark; undecided
+    until its own round has a verdict, then decided. Without attempts a family is closed by any verdict; launching within the grace after its creation, else abandoned. A family that
+    can't be read, or has no creation time, is held in flight (unreadable, unregistered).
+    """
+    last = newest(attempts.where("activity is not null"), "family", "round", "activity", "run")
+    decided = verdicts.select("family", "round").distinct().withColumn("_decided", F.lit(True))
+    closed = verdicts.select("family").distinct().withColumn("_closed", F.lit(True))
+    x = families.join(last, "family", "left").join(decided, ["family", "round"], "left").join(closed, "family", "left")
+    tried, inside = F.col("activity").isNotNull(), now - F.col("activity") <= window
+    status = (
+        F.when(~F.col("readable"), "unreadable").when(tried & ~inside, "stale").when(tried & ~F.col("terminal"), "live").when(tried & F.col("_decided"), "decided").when(tried, "undecided")
+        .when(F.col("_closed"), "closed").when(F.col("created_t").isNull(), "unregistered").when(now - F.col("created_t") <= grace, "launching").otherwise("abandoned")
+    )
+    x = x.select("family", F.when(F.col("readable"), F.col("run")).alias("run"), status.alias("status"))
+    return x.withColumn("in_flight", F.col("status").isin("unreadable", "live", "undecided", "unregistered", "launching"))
+
+
+def open_incidents(lines: DataFrame, verdicts: DataFrame, clean: DataFrame) -> DataFrame:
+    """(line, incident, why) of log lines that nothing has resolved: neither a verdict of their family nor a clean end of their attempt (family, round, run).
+
+    Lines that can't be read, or that name no family, stay open. Blank lines are no incidents; equal lines count each.
+    """
+    doc = F.from_json("line", "incident_id string, family_id string, round_id string, run_id string, _corrupt_record string", {"mode": "PERMISSIVE"})
+    x = lines.where("trim(line) <> ''").select("line", doc.alias("_d")).select("line", "_d.*")
+    done = verdicts.select(F.col("family").alias("family_id")).distinct().withColumn("_verdict", F.lit(True))
+    ended = clean.select(F.col("family").alias("family_id"), F.col("round").alias("round_id"), F.col("run").alias("run_id")).distinct().withColumn("_clean", F.lit(True))
+    x = x.join(done, "family_id", "left").join(ended, ["family_id", "round_id", "run_id"], "left")
+    named = F.coalesce(F.length("family_id"), F.lit(0)) > 0
+    why = F.when(F.col("_corrupt_record").isNotNull(), "unparsable").when(~named, "no family").when(F.col("_verdict").isNull() & F.col("_clean").isNull(), "unresolved")
+    return x.select("line", F.when(F.col("_corrupt_record").isNull(), F.col("incident_id")).alias("incident"), why.alias("why")).where("why is not null")
+
+
+def progress(attempts: DataFrame) -> DataFrame:
+    """(family, run, done, total, pct) of the newest attempt of each family (by creation, nulls first, then round and run).
+
+    Attempts: family, round, run, created, total (null: unknown), rows, steps_done, steps_total, terminal (DONE, another mark or null). DONE is 100 %, another mark 0; else the rows, or the
+    counter of steps scaled to the total and rounded down where that is more and it is well formed.
+    """
+    x = newest(attempts, "family", "created", "round", "run")
+    steps = F.when((F.col("steps_total") > 0) & F.col("steps_done").between(0, F.col("steps_total")), F.least("total", F.floor(F.col("total") * F.col("steps_done") / F.col("steps_total"))))
+    counted = F.greatest("rows", steps)
+    done = F.when(F.col("terminal") == "DONE", F.coalesce("total", F.lit(0))).when(F.col("terminal").isNotNull(), 0).when(F.col("total").isNull(), F.col("rows")).otherwise(counted)
+    pct = F.when(F.col("terminal") == "DONE", 100.0).when(F.col("terminal").isNotNull() | F.col("total").isNull(), 0.0).otherwise(F.least(F.lit(100.0), 100.0 * done / F.col("total")))
+    return x.select("family", "run", done.cast("long").alias("done"), "total", pct.alias("pct"))
+
+
+def missing_grids(cells: DataFrame, key: list[str], grids: list[str]) -> DataFrame:
+    """Cells that lack a grid, with the missing names in order, comma-joined."""
+    has = cells.groupBy(*key).agg(F.collect_set(F.when(F.col("grid").isin(grids), F.col("grid"))).alias("_has"))  # no more than the grids
+    lost = F.array_except(F.array(*[F.lit(g) for g in sorted(grids)]), "_has")
+    return has.select(*key, F.array_join(lost, ",").alias("missing")).where("missing <> ''")
+
+
+def winners_in_grids(cells: DataFrame, cohort: str, key: list[str], canonical: str, grids: list[str]) -> DataFrame:
+    """(cohort, key, hits, net_<grid>) of each cohort's cell with the largest net in the canonical grid (ties: smallest key), with its net in every grid; hits counts its rows."""
+    best = cells.where(F.col("grid") == canonical).groupBy(cohort).agg(F.min(F.struct((-F.col("net_pnl")).alias("_n"), *key)).alias("_x")).select(cohort, *[f"_x.{k}" for k in key])
+    nets = [F.max(F.when(F.col("grid") == g, F.col("net_pnl"))).alias(f"net_{g.lower()}") for g in grids]
+    return best.join(cells.where(F.col("grid").isin(grids)), [cohort, *key]).groupBy(cohort, *key).agg(F.count("*").alias("hits"), *nets)
+
+
+def slice_problems(slices: DataFrame, entries: DataFrame, overlapping: DataFrame) -> DataFrame:
+    """(survivor, slice, problems) of slices that can't be forward evidence; problems in a fixed order, comma-joined.
+
+    entries (survivor, params, bundle, cutoff) are the frozen survivors; overlapping (survivor, slice) are slices that cover times of another. dates: it ends before it starts; survivor:
+    no such entry; params, bundle: not the frozen ones (null: neither); cutoff: none, or the slice starts at or before it.
+    """
+    e = entries.select("survivor", F.col("params").alias("_p"), F.col("bundle").alias("_b"), "cutoff", F.lit(True).alias("_there"))
+    x = slices.join(e, "survivor", "left").join(overlapping.select("survivor", "slice").distinct().withColumn("_o", F.lit(True)), ["survivor", "slice"], "left")
+    there, differ = F.col("_there").isNotNull(), lambda a, b: ~F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    found = {
+        "dates": F.col("start") > F.col("end"), "survivor": ~there, "params": there & differ("params", "_p"), "bundle": there & differ("bundle", "_b"),
+        "cutoff": there & (F.col("cutoff").isNull() | (F.col("start") <= F.col("cutoff"))), "overlap": F.col("_o").isNotNull(),
+    }
+    text = F.concat_ws(",", *[F.when(c, n) for n, c in found.items()])
+    return x.select("survivor", "slice", text.alias("problems")).where("problems <> ''")

@@ -109,3 +109,10 @@ def overlaps(slices: DataFrame, owner: str, name: str, *, max_length: int) -> Da
     b = bins.select(F.col(owner).alias("_o"), F.col(name).alias("_other"), F.col("start").alias("_s2"), F.col("end").alias("_e2"), F.col("bin").alias("_bin2"))
     meet = (F.col(owner) == F.col("_o")) & (F.col("bin") == F.col("_bin2")) & (F.col(name) != F.col("_other")) & (F.col("start") <= F.col("_e2")) & (F.col("_s2") <= F.col("end"))
     return bins.join(b, meet).select(owner, name, "_other").distinct().groupBy(owner, name).agg(F.count("*").alias("overlaps"))
+
+
+def hold_geometry(settled: str, entered: str, left: str, *, bar: int, tolerance: int, hold: int, boundary: int) -> dict:
+    """Conditions that an episode breaks: its settlement lies more than ``tolerance`` after its bar's open, it is left before its entry or after ``hold``, it isn't entered on a boundary."""
+    return {
+        "late_settlements": F.pmod(F.col(settled), F.lit(bar)) > tolerance, "outside_hold": ~F.col(left).between(F.col(entered), F.col(entered) + hold), "off_boundary": F.pmod(F.col(entered), F.lit(boundary)) != 0,
+    }

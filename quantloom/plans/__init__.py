@@ -1,3 +1,3 @@
 """Registered queries: each module puts its own into the registry when it is imported."""
 
-from . import bars, drift, feeds, joins, ledger, matrices, recursive, research, rolling, signals, states, statistics, streams, trees, variants  # noqa: F401
+from . import bars, drift, evidence, feeds, joins, ledger, matrices, recursive, research, rolling, signals, states, statistics, streams, trees, variants  # noqa: F401
