@@ -104,3 +104,23 @@ def legs(rows: DataFrame, score: str, k: int, *, key: str = "symbol") -> DataFra
     take = F.greatest(F.lit(1), F.least(F.lit(k), F.floor(n / 2)))
     x = rows.withColumns({"_top": F.row_number().over(at.orderBy(C(score).desc(), key)), "_low": F.row_number().over(at.orderBy(C(score), key)), "_k": take})
     return x.withColumn("side", F.when(C("_top") <= C("_k"), 1).when(C("_low") <= C("_k"), -1).otherwise(0)).drop("_top", "_low", "_k")
+
+
+def reselect(returns: DataFrame, train: int, test: int, *, key: str = "symbol") -> DataFrame:
+    """(key, step, rule, sharpe, train_pnl, test_pnl): for each step the rule with the best training days, and what it made on the days after them.
+
+    returns (key, day, rule, r) has one row for each rule and day; step k trains on days k * test to k * test + train from the key's first day (train is a multiple of test), and is tested on the next
+    ``test`` days. Rules are ranked by Sharpe (mean over deviation, nine places; none where there is no deviation, which is last), then sum (nine places), then the smaller rule. Steps without test days are left out.
+    """
+    spans = train // test
+    first = returns.groupBy(key).agg(F.min("day").alias("_first"))
+    x = returns.where("r is not null").join(first, key).withColumn("_at", F.floor((F.col("day") - F.col("_first")) / test))
+    low = F.greatest(F.col("_at") - spans, F.lit(0))
+    x = x.select(key, "rule", "r", "_at", F.explode(F.sequence(low, "_at")).alias("step"))
+    tested = F.col("_at") == F.col("step") + spans
+    g = x.groupBy(key, "step", "rule").agg(
+        F.avg(F.when(~tested, F.col("r"))).alias("_m"), F.stddev_samp(F.when(~tested, F.col("r"))).alias("_s"), F.sum(F.when(~tested, F.col("r"))).alias("train_pnl"), F.sum(F.when(tested, F.col("r"))).alias("test_pnl"))
+    g = g.where("train_pnl is not null").withColumn("sharpe", F.when(F.col("_s") > 1e-12, F.round(F.col("_m") / F.col("_s"), 9)))
+    order = F.struct(F.coalesce(-F.col("sharpe"), F.lit(1e18)).alias("a"), (-F.round("train_pnl", 9)).alias("b"), F.col("rule").alias("c"))
+    best = g.groupBy(key, "step").agg(F.min(F.struct(order.alias("o"), F.struct("rule", "sharpe", "train_pnl", "test_pnl").alias("x"))).alias("x"))
+    return best.select(key, "step", "x.x.*").where("test_pnl is not null")

@@ -66,3 +66,16 @@ def network_momentum(bars: DataFrame, lookback: int = 22, *, beta: float = 0.01,
     got = got.withColumn("state", F.coalesce(F.signum(F.round("score", 9)), F.lit(0.0)).cast("long"))
     fresh = (C("state") != F.coalesce(F.lag("state").over(over(key)), F.lit(0))) & (C("state") != 0)
     return got.withColumn("event", F.when(fresh, C("state")).otherwise(0))
+
+
+def ew_correlation(pairs: DataFrame, width: int, half_life: float) -> DataFrame:
+    """(a, b, n, rho) of the last ``width`` rows of each pair (a, b, t, ra, rb), the weight halving every ``half_life`` rows back; zero where a side doesn't vary."""
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.col("t").desc()))
+    x = pairs.withColumn("_n", place).where(F.col("_n") <= width).withColumn("_w", F.pow(F.lit(0.5), (F.col("_n") - 1) / half_life))
+    g = Window.partitionBy("a", "b")
+    mean = lambda c: F.sum(F.col("_w") * F.col(c)).over(g) / F.sum("_w").over(g)
+    x = x.withColumns({"_x": F.col("ra") - mean("ra"), "_y": F.col("rb") - mean("rb")})
+    s = lambda u, v: F.sum(F.col("_w") * F.col(u) * F.col(v))
+    m = x.groupBy("a", "b").agg(F.count("*").alias("n"), s("_x", "_y").alias("_xy"), s("_x", "_x").alias("_xx"), s("_y", "_y").alias("_yy"))
+    rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))))
+    return m.select("a", "b", "n", F.when((F.col("_xx") > 0) & (F.col("_yy") > 0), rho).otherwise(0.0).alias("rho"))

@@ -94,3 +94,44 @@ _C = 3 - 2 * math.sqrt(2)
 @query("win_20_wide_range_spread", with_roles("daily") + f", n AS (SELECT *, lead(high) OVER w AS h2, lead(low) OVER w AS l2 FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY t)), g AS (SELECT *, pow(ln(high / low), 2) + pow(ln(h2 / l2), 2) AS g, pow(ln(greatest(high, h2) / least(low, l2)), 2) AS b FROM n), a AS (SELECT *, (sqrt(2 * b) - sqrt(b)) / {_C} - sqrt(g / {_C}) AS a FROM g) SELECT symbol, t, round(CASE WHEN h2 IS NOT NULL THEN CASE WHEN b > g AND a > 0 THEN 2 * (exp(a) - 1) / (1 + exp(a)) ELSE 0 END END, 6) + 0.0 AS spread FROM a")
 def win_20_wide(s, d):
     return tidy(R.bars_1d(s, d), "symbol", "t", spread=W.wide_range_spread())
+
+
+#: fixed values: spans of the exponential means whose pairs are the rules, numbered in this order
+SPANS = (5, 10, 20, 40)
+_PAIRS = [(f, w) for f in SPANS for w in SPANS if f < w]
+_STEP = ", ".join(f"{2 / (k + 1)!r}::DOUBLE * c.close + {1 - 2 / (k + 1)!r}::DOUBLE * p.e{k}" for k in SPANS)
+_RULES = (
+    f"WITH RECURSIVE {SQL['daily']}, src AS MATERIALIZED (SELECT symbol, t, close, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM daily), "
+    f"s AS (SELECT c.*, {', '.join(f'c.close AS e{k}' for k in SPANS)} FROM src c WHERE i = 1 UNION ALL SELECT c.*, {_STEP} FROM s p JOIN src c ON c.symbol = p.symbol AND c.i = p.i + 1), "
+    "v AS (SELECT *, ln(close / lag(close) OVER w) AS y, (t - min(t) OVER (PARTITION BY symbol)) // 86400000 AS day, " + ", ".join(f"lag(e{k}) OVER w AS p{k}" for k in SPANS) + " FROM s WINDOW w AS (PARTITION BY symbol ORDER BY t)), "
+    "q AS (" + " UNION ALL ".join(f"SELECT symbol, day // 30 AS blk, {i}::BIGINT AS rule, y * sign(p{f} - p{w}) AS r FROM v WHERE y IS NOT NULL" for i, (f, w) in enumerate(_PAIRS)) + "), "
+    "f AS (SELECT *, unnest(range(greatest(blk - 4, 0), blk + 1)) AS step FROM q), "
+    "g AS (SELECT symbol, step, rule, avg(r) FILTER (blk <> step + 4) AS m, stddev_samp(r) FILTER (blk <> step + 4) AS sd, sum(r) FILTER (blk <> step + 4) AS train_pnl, sum(r) FILTER (blk = step + 4) AS test_pnl FROM f GROUP BY 1, 2, 3), "
+    "h AS (SELECT *, CASE WHEN sd > 1e-12 THEN round(m / sd, 9) END AS sharpe FROM g WHERE train_pnl IS NOT NULL) "
+)
+
+
+@query("pf_07_rule_reselection", _RULES + "SELECT symbol, step, rule, round(sharpe, 6) + 0.0 AS sharpe, round(train_pnl, 6) + 0.0 AS train_pnl, round(test_pnl, 6) + 0.0 AS test_pnl FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY symbol, step ORDER BY coalesce(-sharpe, 1e18), round(train_pnl, 9) DESC, rule) = 1) WHERE test_pnl IS NOT NULL")
+def pf_07_rules(s, d):
+    """Six crossings of exponential means, chosen anew every 30 days by the 120 days before; positions are those known at the close before."""
+    from ..operators.portfolio import reselect
+
+    w = over()
+    x = S.emas(R.bars_1d(s, d), {f"e{k}": ("close", 2 / (k + 1)) for k in SPANS})
+    x = x.withColumns({"y": F.log(C("close") / F.lag("close").over(w)), "day": F.floor(C("t") / 86_400_000)} | {f"p{k}": F.lag(f"e{k}").over(w) for k in SPANS})
+    rules = [F.struct(F.lit(i).cast("long").alias("rule"), (C("y") * F.signum(C(f"p{f}") - C(f"p{g}"))).alias("r")) for i, (f, g) in enumerate(_PAIRS)]
+    long = x.select("symbol", "day", F.explode(F.array(*rules)).alias("_r")).select("symbol", "day", "_r.*")
+    return tidy(reselect(long, 120, 30), "symbol", "step", "rule", sharpe=C("sharpe"), train_pnl=C("train_pnl"), test_pnl=C("test_pnl"))
+
+
+_EW = with_roles("daily") + ", x AS (SELECT symbol, t, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY t)) AS r FROM daily), p AS (SELECT a.symbol AS a, b.symbol AS b, a.t, a.r AS x, b.r AS y FROM x a JOIN x b ON a.t = b.t AND a.symbol < b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL), k AS (SELECT *, pow(0.5, (row_number() OVER (PARTITION BY a, b ORDER BY t DESC) - 1) / 30.0::DOUBLE) AS w FROM p QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY t DESC) <= 30), m AS (SELECT *, sum(w * x) OVER g / sum(w) OVER g AS mx, sum(w * y) OVER g / sum(w) OVER g AS my FROM k WINDOW g AS (PARTITION BY a, b)), c AS (SELECT a, b, count(*) AS n, sum(w * (x - mx) * (y - my)) AS xy, sum(w * (x - mx) * (x - mx)) AS xx, sum(w * (y - my) * (y - my)) AS yy FROM m GROUP BY 1, 2)"
+
+
+@query("xs_14_ew_matrix", _EW + " SELECT a, b, n, round(CASE WHEN xx > 0 AND yy > 0 THEN greatest(-1, least(1, xy / sqrt(xx * yy))) ELSE 0 END, 6) + 0.0 AS rho FROM c")
+def xs_14_ew(s, d):
+    """Correlation of the last 30 daily returns that two symbols share, each weighing half of one 30 later; zero where one doesn't vary."""
+    from ..operators.joins import symbol_pairs
+    from ..operators.xsection import ew_correlation
+
+    x = W.with_log_return(R.bars_1d(s, d)).where("r is not null")
+    return tidy(ew_correlation(symbol_pairs(x, "r"), 30, 30.0), "a", "b", "n", rho=C("rho"))
