@@ -142,3 +142,17 @@ def slice_problems(slices: DataFrame, entries: DataFrame, overlapping: DataFrame
     }
     text = F.concat_ws(",", *[F.when(c, n) for n, c in found.items()])
     return x.select("survivor", "slice", text.alias("problems")).where("problems <> ''")
+
+
+def funnel(families: DataFrame, attempts: DataFrame, rows: DataFrame, now: Column, *, span: int = 86_400_000) -> DataFrame:
+    """(family, evaluated, evaluations, lately) of registered families: the evaluations of their attempts, and the rows of the ``span`` up to ``now``, which ``families`` carries.
+
+    attempts (family, run, total) give an authoritative total where there is one, else the rows (family, run, t) that were counted. Attempts without rows or a total count as none.
+    """
+    per = rows.groupBy("family", "run").agg(F.count("*").alias("_n"))
+    counted = attempts.join(per, ["family", "run"], "left").withColumn("_e", F.coalesce("total", "_n", F.lit(0)))
+    sums = counted.groupBy("family").agg(F.sum("_e").alias("_sum"))
+    late = rows.join(families, "family").where((F.col("t") > now - span) & (F.col("t") <= now)).groupBy("family").agg(F.count("*").alias("_late"))
+    x = families.join(sums, "family", "left").join(late, "family", "left")
+    total = F.coalesce("_sum", F.lit(0))
+    return x.select("family", (total > 0).alias("evaluated"), total.alias("evaluations"), F.coalesce("_late", F.lit(0)).alias("lately"))

@@ -89,3 +89,12 @@ def dq_13_hold(s, d):
     x = R.settlements(s, d).join(o, "l_orderkey")
     bad = Q.hold_geometry("st", "entered", "st", bar=8 * HOUR_MS, tolerance=HOUR_MS, hold=90 * DAY_MS, boundary=7 * DAY_MS)
     return x.groupBy("symbol").agg(F.count("*").alias("n"), *[F.count_if(c).alias(n) for n, c in bad.items()])
+
+
+@query("agg_12_funnel_by_family", _ATT + ", e AS (SELECT family, sum(CASE WHEN run % 4 = 0 THEN 500 ELSE n END)::BIGINT AS e FROM a GROUP BY 1), l AS (SELECT run % 30 AS family, count(*) AS k FROM runs, now WHERE t > now - 86400000 GROUP BY 1), f AS (SELECT unnest(range(0, 40)) AS family) SELECT f.family, coalesce(e, 0) > 0 AS evaluated, coalesce(e, 0) AS evaluations, coalesce(k, 0) AS lately FROM f LEFT JOIN e ON e.family = f.family LEFT JOIN l ON l.family = f.family")
+def agg_12_families(s, d):
+    """Forty registered families, thirty with attempts; every fourth attempt publishes a total of 500. lately: rows of the last day before the last event."""
+    a, rows = _attempts(s, d), R.run_events(s, d).select((C("run") % 30).alias("family"), "run", "t")
+    now = rows.agg(F.max("t").alias("now"))  # one row
+    families = s.range(40).select(C("id").alias("family")).crossJoin(F.broadcast(now))
+    return E.funnel(families, a.select("family", "run", F.when(C("run") % 4 == 0, F.lit(500).cast("long")).alias("total")), rows, C("now"))

@@ -52,3 +52,11 @@ def test_problems_of_slices(spark):
     over = spark.createDataFrame([("a", 3), ("a", 3)], "survivor string, slice long")
     got = E.slice_problems(spark.createDataFrame(slices, "survivor string, slice long, start long, end long, params string, bundle string"), entries, over)
     assert {r.slice: r.problems for r in got.collect()} == {2: "dates", 3: "params,bundle,cutoff,overlap", 4: "cutoff", 5: "survivor"}
+
+
+def test_funnel_prefers_published_totals(spark):
+    families = spark.createDataFrame([("a", 100), ("b", 100), ("c", 100)], "family string, now long")
+    attempts = spark.createDataFrame([("a", 1, 7), ("a", 2, None), ("b", 3, None)], "family string, run long, total long")
+    rows = spark.createDataFrame([("a", 1, 95), ("a", 2, 90), ("a", 2, 91), ("a", 2, 101)], "family string, run long, t long")
+    got = E.funnel(families, attempts, rows, F.col("now"), span=10)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", True, 10, 2), ("b", False, 0, 0), ("c", False, 0, 0)]
