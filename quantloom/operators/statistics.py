@@ -86,12 +86,17 @@ def bootstrap_means(rows: DataFrame, key: str, time: str, value: str, draws: int
     return drawn.groupBy(key, "draw").agg((F.sum(weight * C(value)) / F.nullif(F.sum(weight), F.lit(0))).alias("mean"))
 
 
+#: Up to so many prefix sums (some 20 MB) are broadcast to the lookups of a block bootstrap.
+BROADCAST_SUMS = 200_000
+
+
 def block_bootstrap_means(rows: DataFrame, key: str, time: str, value: str, draws: int, mean_block: float = 21.0, seed: int = 42) -> DataFrame:
     """(key, draw, mean) of a stationary bootstrap: blocks of geometric length with that mean start anywhere and run on circularly until a draw has as many rows as the key.
 
     The sum of a block is a difference of two prefix sums, so a draw looks up two or three numbers for each of its n / mean_block blocks
     and touches no row. Block j of a draw takes its length and its start from the two halves of one MD5; 2 n / mean_block + 64 blocks
-    are at hand, and the last of them runs on to the end.
+    are at hand, and the last of them runs on to the end. Lookups go to the prefix sums, which are broadcast up to ``BROADCAST_SUMS`` rows
+    and else hashed by shuffle: the planner takes the draws for the few sizes that they are made from and would broadcast the lookups.
     """
     x = rows.select(C(key).alias("_key"), C(time).alias("_t"), C(value).cast("double").alias("_v"))
     numbered = running_sums(x.withColumn("_one", F.lit(1).cast("long")), ["_key"], ["_t"], {"_i": "_one"})
@@ -140,6 +145,7 @@ def block_bootstrap_means(rows: DataFrame, key: str, time: str, value: str, draw
     # a number of its own, as few small rows make much work and would be put into one task
     spread = spread.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_key", "draw")
     asked = spread.mapInPandas(blocks, f"_key {kind}, draw int, _at long, _sign double")
+    prefix = F.broadcast(prefix) if numbered.count() <= BROADCAST_SUMS else prefix.hint("shuffle_hash")
     return asked.join(prefix, ["_key", "_at"]).groupBy("_key", "draw").agg(F.sum(C("_sign") * C("_sum")).alias("_total")).join(sizes, "_key").select(C("_key").alias(key), "draw", (C("_total") / C("_n")).alias("mean"))
 
 

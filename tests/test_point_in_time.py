@@ -218,3 +218,17 @@ def test_macd_in_one_scan_equals_loops(spark):
                 s = r.close if s is None else s + 2 / 27 * (r.close - s)
                 g = f - s if g is None else g + 0.2 * (f - s - g)
             assert (r.macd, r.macd_signal) == (None, None) if f is None else (abs(r.macd - (f - s)) < 1e-9 and abs(r.macd_signal - g) < 1e-9)
+
+
+def test_lookups_of_a_block_bootstrap_are_never_broadcast(spark, monkeypatch):
+    """The planner takes the draws for as small as the sizes that they are made from; one broadcast of them filled the driver."""
+    df = spark.range(900).selectExpr("'a' AS k", "id AS t", "sin(id) AS v")
+    means = []
+    for most in (S.BROADCAST_SUMS, 0):
+        monkeypatch.setattr(S, "BROADCAST_SUMS", most)
+        got = S.block_bootstrap_means(df, "k", "t", "v", 20)
+        means.append(sorted((r.draw, round(r["mean"], 9)) for r in got.collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        joins = [line for line in plan.splitlines() if "Join" in line and "_at#" in line]
+        assert joins and all(("Broadcast" in line) == (most > 0) and "BuildRight" in line for line in joins)
+    assert means[0] == means[1] and len(means[0]) == 20
