@@ -18,13 +18,18 @@ r4 = lambda c: F.round(c, 4) + 0.0
 @query("agg_01_ledger_summary", EP + """, k AS (SELECT o_orderpriority AS symbol, sum(amount) AS turnover, sum(amount + fee + funding) AS costs FROM fills JOIN orders ON o_orderkey = episode GROUP BY 1), p AS (SELECT o_orderpriority AS symbol, sum(o_totalprice) AS paid FROM orders SEMI JOIN fills ON o_orderkey = episode GROUP BY 1)
 SELECT e.symbol, count(*) AS n, round(sum(gross), 4) + 0.0 AS gross, round(sum(fees), 4) + 0.0 AS fees, round(sum(e.funding), 4) + 0.0 AS funding, round(sum(gross - fees - e.funding), 4) + 0.0 AS net, sum(n_fills)::BIGINT AS fills, sum(greatest(n_fills - 1, 0))::BIGINT AS adds, round(any_value(turnover), 4) + 0.0 AS turnover, count(*) FILTER (exit_reason = 'F') AS exits_f, count(*) FILTER (exit_reason = 'O') AS exits_o, round(max(amount), 4) + 0.0 AS max_capital, abs(sum(gross - fees - e.funding) - (any_value(paid) - any_value(costs))) < 0.001 AS adds_up FROM episodes e JOIN k ON k.symbol = e.symbol JOIN p ON p.symbol = e.symbol GROUP BY 1""")
 def agg_01(s, d):
-    """Sums of the episode ledger; adds_up compares its net with prices paid less what the fill ledger itself says was spent."""
+    """Sums of the episode ledger; adds_up compares its net with prices paid less what the fill ledger itself says was spent.
+
+    Sums of episodes are decimal: those of doubles are off by more than the 0.001 allowed once they pass some 1e11.
+    """
+    exact = lambda c: F.sum((C(c) if isinstance(c, str) else c).cast("decimal(28,10)"))
+    r4 = lambda c: F.round(c, 4).cast("double") + 0.0
     e, f, o = R.episodes(s, d), R.fills(s, d), R.read(s, d, "orders").select(C("o_orderkey").alias("episode"), C("o_orderpriority").alias("symbol"), "o_totalprice")
     spent = f.groupBy("episode").agg(F.sum("amount").alias("a"), F.sum(C("amount") + C("fee") + C("funding")).alias("c"))
-    own = o.join(spent, "episode").groupBy("symbol").agg(F.sum("a").alias("turnover"), (F.sum("o_totalprice") - F.sum("c")).alias("_net"))
+    own = o.join(spent, "episode").groupBy("symbol").agg(exact("a").alias("turnover"), (exact("o_totalprice") - exact("c")).alias("_net"))
     net = C("gross") - C("fees") - C("funding")
     g = e.groupBy("symbol").agg(
-        F.count("*").alias("n"), r4(F.sum("gross")).alias("gross"), r4(F.sum("fees")).alias("fees"), r4(F.sum("funding")).alias("funding"), r4(F.sum(net)).alias("net"), F.sum(net).alias("_sum"), F.sum("n_fills").alias("fills"), F.sum(F.greatest(C("n_fills") - 1, F.lit(0))).alias("adds"),
+        F.count("*").alias("n"), r4(exact("gross")).alias("gross"), r4(exact("fees")).alias("fees"), r4(exact("funding")).alias("funding"), r4(exact(net)).alias("net"), exact(net).alias("_sum"), F.sum("n_fills").alias("fills"), F.sum(F.greatest(C("n_fills") - 1, F.lit(0))).alias("adds"),
         F.count_if(C("exit_reason") == "F").alias("exits_f"), F.count_if(C("exit_reason") == "O").alias("exits_o"), r4(F.max("amount")).alias("max_capital"),
     )
     return g.join(own, "symbol").withColumns({"turnover": r4(C("turnover")), "adds_up": F.abs(C("_sum") - C("_net")) < 0.001}).drop("_sum", "_net")
