@@ -1,8 +1,12 @@
 """Stores in their published layouts: month shards named by symbol and interval, evidence trees, slice logs, declared inputs and grids."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import tidy
+from ..operators.orderstats import saved
 from ..registry import query
 from ..sources import roles as R
 from ..sources import stores as St
@@ -44,6 +48,7 @@ def src_06_names(s, d):
 def _tree(s, d):
     """Runs of families f0 to f2 in rounds r1 and r2. One run in five has no result, one in seven an unreadable one; round r2 has no verdict, and family f2 no document."""
     runs = R.run_events(s, d).groupBy("run").agg(F.count("*").alias("n")).withColumns({"family": F.concat(F.lit("f"), C("run") % 3), "round": F.concat(F.lit("r"), C("run") % 2 + 1)})
+    runs = saved(runs)
     round_at = F.concat(F.lit("results/"), "family", F.lit("/rounds/"), "round", F.lit("/"))
     run_at = F.concat(round_at, F.lit("attempts/"), "run", F.lit("/"))
     doc = lambda rows, at, file, **fields: rows.select(F.concat(at, F.lit(file)).alias("path"), F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("text"))
@@ -56,8 +61,7 @@ def _tree(s, d):
         doc(rounds.where("family <> 'f2'").select("family").distinct(), F.concat(F.lit("results/"), "family", F.lit("/")), "family.json", family_id=C("family")),
     ]
     root = St.scratch(s, "tree")
-    for p in parts:
-        St.write_documents(p, root)
+    St.write_documents(reduce(DataFrame.unionByName, parts), root)
     return St.artefact_tables(s, root)
 
 
@@ -83,8 +87,8 @@ def src_07_refused(s, d):
 
 @query("src_08_survivor_logs", with_roles("slices") + "SELECT survivor::VARCHAR AS survivor, CASE WHEN survivor % 10 <> 3 THEN count(*) END AS n, survivor % 10 = 3 AS void FROM slices GROUP BY survivor")
 def src_08_logs(s, d):
-    """One log for each survivor, a slice a line; a line that can't be read voids the survivor (one in ten here)."""
-    x = R.slices(s, d).select(F.concat("survivor", F.lit(".jsonl")).alias("path"), F.to_json(F.struct("slice", "start", "end")).alias("line"), "slice", "survivor")
+    """One log for each survivor in a thousand folders, a slice a line; a line that can't be read voids the survivor (one in ten here)."""
+    x = R.slices(s, d).select(F.concat(C("survivor") % 1000, F.lit("/"), "survivor", F.lit(".jsonl")).alias("path"), F.to_json(F.struct("slice", "start", "end")).alias("line"), "slice", "survivor")
     broken = x.where("survivor % 10 = 3").select("path").distinct().select("path", F.lit('{"slice": oops').alias("line"), F.lit(-1).cast("long").alias("slice"))
     root = St.scratch(s, "logs")
     St.write_lines(x.drop("survivor").unionByName(broken), root, "slice")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+C = F.col
 BAR = "open_time_ms long, close_time_ms long, open double, high double, low double, close double, volume double"
 SETTLEMENT = "funding_time_ms long, funding_rate double, mark_price double, truth_status string"
 
@@ -56,6 +57,11 @@ def _finish(files, part: str, path: str) -> None:
     files.move(part, path)
 
 
+def _many(spark: SparkSession) -> int:
+    """Into how many tasks files go: fixed, as few bytes in many files would be put into one task."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def write_lines(rows: DataFrame, root: str, *order: str) -> DataFrame:
     """Rows (path, line, order...) as text files under root, gzip where the name ends so; returns (path, n), one row for each file.
 
@@ -63,31 +69,41 @@ def write_lines(rows: DataFrame, root: str, *order: str) -> DataFrame:
     """
 
     def put(batches):
+        import numpy as np
         import pandas as pd
 
         files, folder = _file_system(root)
-        now, out, n, part = None, None, 0, None
+        now, out, n, part, made, done = None, None, 0, None, None, []
         for batch in batches:
-            for path, some in batch.groupby("path", sort=False, dropna=False):
+            paths, lines = batch["path"].to_numpy(), batch["line"].to_numpy()
+            starts = np.flatnonzero(np.append(True, paths[1:] != paths[:-1])) if len(paths) else []
+            for at, end in zip(starts, [*starts[1:], len(paths)], strict=True):
+                path = paths[at]
                 if path is None or path != path:
                     raise ValueError("a line without a path")
                 if path != now:
                     if out:
                         out.close()
                         _finish(files, part, f"{folder}/{now}")
-                        yield pd.DataFrame({"path": [now], "n": [n]})
-                    files.create_dir(f"{folder}/{path}".rsplit("/", 1)[0], recursive=True)
+                        done.append((now, n))
+                    into = f"{folder}/{path}".rsplit("/", 1)[0]
+                    if into != made:
+                        files.create_dir(into, recursive=True)
+                        made = into
                     now, n, part = path, 0, f"{folder}/{path}.{uuid.uuid4().hex}.part"
                     out = files.open_output_stream(part, compression="gzip" if path.endswith(".gz") else None)
-                out.write(("\n".join(some["line"]) + "\n").encode())
-                n += len(some)
+                out.write(("\n".join(lines[at:end]) + "\n").encode())
+                n += int(end - at)
+            if done:
+                yield pd.DataFrame(done, columns=["path", "n"])
+                done = []
         if out:
             out.close()
             _finish(files, part, f"{folder}/{now}")
             yield pd.DataFrame({"path": [now], "n": [n]})
 
     done = scratch(rows.sparkSession, "files-written")  # tasks run once, whatever is asked of the list
-    rows.repartition("path").sortWithinPartitions("path", *order).mapInPandas(put, "path string, n long").write.parquet(done)
+    rows.repartition(_many(rows.sparkSession), "path").sortWithinPartitions("path", *order).mapInPandas(put, "path string, n long").write.parquet(done)
     return rows.sparkSession.read.parquet(done)
 
 
@@ -104,16 +120,100 @@ def write_documents(documents: DataFrame, root: str) -> None:
 
     def put(batches):
         files, folder = _file_system(root)
+        made = None
         for batch in batches:
             for path, text in zip(batch["path"], batch["text"], strict=True):
-                files.create_dir(f"{folder}/{path}".rsplit("/", 1)[0], recursive=True)
+                into = f"{folder}/{path}".rsplit("/", 1)[0]
+                if into != made:
+                    files.create_dir(into, recursive=True)
+                    made = into
                 part = f"{folder}/{path}.{uuid.uuid4().hex}.part"
                 with files.open_output_stream(part) as out:
                     out.write(text.encode())
                 _finish(files, part, f"{folder}/{path}")
             yield batch[["path"]].iloc[:0]
 
-    documents.select("path", "text").mapInPandas(put, "path string").write.format("noop").mode("overwrite").save()
+    folder = F.regexp_extract("path", r"^(.*)/", 1)
+    documents.select("path", "text").repartition(_many(documents.sparkSession), folder).sortWithinPartitions("path").mapInPandas(put, "path string").write.format("noop").mode("overwrite").save()
+
+
+def find_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of all files with bytes under a folder but hidden and half ones, listed by tasks, so that no process holds the names of all.
+
+    A task descends until a folder has more than 64 others; those are spread over the tasks of the next round.
+    """
+
+    def look(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        files, _ = _file_system(root)
+        for batch in batches:
+            found, folders = [], list(batch["path"])
+            while folders:
+                inner = []
+                for x in files.get_file_info(fs.FileSelector(folders.pop(), allow_not_found=True)):
+                    if x.base_name[:1] in ("_", ".") or x.base_name.endswith(".part"):
+                        continue
+                    if x.type == fs.FileType.Directory:
+                        inner.append(x.path)
+                    elif x.size:
+                        found.append((x.path, False))
+                if len(inner) > 64:
+                    found += [(x, True) for x in inner]
+                else:
+                    folders += inner
+                if len(found) > 10_000:
+                    yield pd.DataFrame(found, columns=["path", "folder"])
+                    found = []
+            yield pd.DataFrame(found, columns=["path", "folder"])
+
+    level, out = spark.range(1).select(F.lit(_file_system(root)[1]).alias("path")), None
+    while True:
+        at = scratch(spark, "listed")
+        level.mapInPandas(look, "path string, folder boolean").write.parquet(at)
+        seen = spark.read.parquet(at)
+        here = seen.where("not folder").select("path")
+        out = here if out is None else out.unionByName(here)
+        level = seen.where("folder").select("path")
+        if level.isEmpty():
+            return out
+        level = level.repartition(_many(spark))
+
+
+def read_files(files: DataFrame, root: str, *, lines: bool) -> DataFrame:
+    """(path, value) of the files (path) under root, a row for each line or for each file; unpacked where the name says so."""
+
+    def get(batches):
+        import pandas as pd
+
+        store, _ = _file_system(root)
+        for batch in batches:
+            out, held = [], 0
+            for path in batch["path"]:
+                with store.open_input_stream(path) as f:
+                    left = b""
+                    while True:
+                        some = f.read(4_000_000) if lines else f.read()
+                        if not lines:
+                            out.append((path, some.decode(errors="replace")))
+                            held += len(some)
+                            break
+                        got = (left + some).splitlines(keepends=True)
+                        left = got.pop() if got and some else b""  # its end may come with the next bytes
+                        out += [(path, x.rstrip(b"\r\n").decode(errors="replace")) for x in got]
+                        held += len(some)
+                        if held > 4_000_000:
+                            yield pd.DataFrame(out, columns=["path", "value"])
+                            out, held = [], 0
+                        if not some:
+                            break
+                if held > 4_000_000:
+                    yield pd.DataFrame(out, columns=["path", "value"])
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=["path", "value"])
+
+    return files.repartition(_many(files.sparkSession)).mapInPandas(get, "path string, value string")
 
 
 def write_bar_store(bars: DataFrame, path: str) -> None:
@@ -156,11 +256,13 @@ def _parsed(text, schema: str):
 
 def scan_artefacts(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     """JSON documents ``results/<family>/rounds/<round>/attempts/<run>/<name>`` with keys from their paths; unreadable ones keep their text."""
-    path = F.col("_metadata.file_path")
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).option("wholetext", True).text(f"{root}/results")
-    rows = texts.select("value", "_metadata").withColumn("_doc", _parsed(F.col("value"), schema))
-    part = lambda what: F.regexp_extract(path, rf"/{what}/([^/]+)/", 1)
-    return rows.select(part("results").alias("family"), part("rounds").alias("round"), part("attempts").alias("run"), "_doc.*")
+    found = find_files(spark, f"{root}/results").where(C("path").endswith(f"/{name}"))
+    return _keyed(read_files(found, root, lines=False), schema)
+
+
+def _keyed(texts: DataFrame, schema: str) -> DataFrame:
+    part = lambda what: F.regexp_extract("path", rf"/{what}/([^/]+)/", 1)
+    return texts.withColumn("_doc", _parsed(C("value"), schema)).select(part("results").alias("family"), part("rounds").alias("round"), part("attempts").alias("run"), "_doc.*")
 
 
 #: fixed values: the documents of an evidence tree, at which level they lie, and their fields
@@ -176,10 +278,14 @@ _LEVELS = {"family": ["family"], "round": ["family", "round"], "run": ["family",
 
 
 def artefact_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The six typed tables of a tree; ``problem`` is unreadable where a document isn't JSON, else null."""
-    tables = {}
+    """The six typed tables of a tree; ``problem`` is unreadable where a document isn't JSON, else null. The tree is listed and its files opened once."""
+    names = [file for _, file, _ in ARTEFACTS.values()]
+    found = find_files(spark, f"{root}/results").withColumn("file", F.substring_index("path", "/", -1)).where(C("file").isin(names))
+    at, tables = scratch(spark, "documents"), {}
+    read_files(found, root, lines=False).withColumn("file", F.substring_index("path", "/", -1)).write.partitionBy("file").parquet(at)
+    texts = spark.read.schema("path string, value string, file string").parquet(at)
     for kind, (_, file, schema) in ARTEFACTS.items():
-        rows = scan_artefacts(spark, root, file, schema)
+        rows = _keyed(texts.where(C("file") == file), schema)
         tables[kind] = rows.withColumn("problem", F.when(F.col("_corrupt_record").isNotNull(), "unreadable")).drop("_corrupt_record")
     return tables
 
@@ -190,6 +296,9 @@ def refused_artefacts(tables: dict[str, DataFrame], required: list[str]) -> Data
     for kind, rows in tables.items():
         at = rows.select("family", "round", "run")
         places = at if places is None else places.unionByName(at)
+    kept = scratch(places.sparkSession, "places")
+    places.distinct().write.parquet(kept)
+    places = places.sparkSession.read.parquet(kept)
     out = None
     for kind, rows in tables.items():
         keys = _LEVELS[ARTEFACTS[kind][0]]
@@ -215,8 +324,10 @@ def disagreements(declared: DataFrame, found: DataFrame) -> DataFrame:
 
 def scan_slice_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(slices, survivors voided by a line that can't be read) of append-only logs, one file for each survivor."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    rows = lines.select(_parsed(F.col("value"), schema).alias("_doc"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl", 1).alias("survivor")).select("_doc.*", "survivor")
+    lines = read_files(find_files(spark, path), path, lines=True).where("trim(value) <> ''")
+    at = scratch(spark, "slices")  # both results are made of them, and the files are opened once
+    lines.select(_parsed(F.col("value"), schema).alias("_doc"), F.regexp_extract("path", r"([^/]+)\.jsonl", 1).alias("survivor")).select("_doc.*", "survivor").write.parquet(at)
+    rows = spark.read.parquet(at)
     void = rows.groupBy("survivor").agg(F.bool_or(F.col("_corrupt_record").isNotNull()).alias("void")).where("void").select("survivor")
     return rows.join(void, "survivor", "left_anti").drop("_corrupt_record"), void
 

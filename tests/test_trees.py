@@ -58,3 +58,26 @@ def test_one_bad_line_voids_a_log(spark):
     St.write_documents(spark.createDataFrame([("a.jsonl", '{"slice": 1}\n\n{"slice": 2}\n'), ("b.jsonl", '{"slice": 1}\n{"slice":'), ("c.jsonl", "")], "path string, text string"), root)
     slices, void = St.scan_slice_log(spark, root, "slice long")
     assert sorted((r.survivor, r.slice) for r in slices.collect()) == [("a", 1), ("a", 2)] and [r.survivor for r in void.collect()] == ["b"]
+
+
+def test_a_tree_of_many_runs_is_opened_once(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    run = "concat('results/f/rounds/r/attempts/', id, '/"
+    docs = spark.range(150).selectExpr(f"{run}result.json') AS path", "concat('{\"run_id\": \"', id, '\", \"episodes\": ', id, '}') AS text")
+    St.write_documents(docs.unionByName(spark.range(150).selectExpr(f"{run}state.json') AS path", "'' AS text")), root)
+    with open(f"{root}/results/f/rounds/r/attempts/7/result.json.0.part", "w") as f:
+        f.write("{}")
+    assert St.find_files(spark, root).count() == 150  # more folders than one task lists; half files and files of no bytes are left out
+    tables = St.artefact_tables(spark, root)
+    os.rename(f"{root}/results", f"{root}/gone")
+    refused = St.refused_artefacts(tables, ["state"])
+    assert tables["result"].agg({"episodes": "sum"}).first()[0] == 149 * 75 and refused.where("kind = 'state' and problem = 'absent'").count() == 150
+
+
+def test_lines_of_logs_are_read_in_pieces_and_once(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    with open(f"{root}/a.jsonl", "wb") as f:
+        f.write(b'{"slice": 1}\r\n' + b'{"slice": 2}\n' * 700_000 + b'{"slice": 3}')
+    slices, void = St.scan_slice_log(spark, root, "slice long")
+    os.rename(f"{root}/a.jsonl", f"{root}/gone")
+    assert slices.agg({"slice": "sum"}).first()[0] == 1_400_004 and void.count() == 0
