@@ -52,17 +52,20 @@ def _late(ticks):
     return (C("t") < CUTS[0]) & (C("seq") % 40 == 0)
 
 
-def arriving_late(s, ticks, shape):
-    """(table, rows dropped) of a windowed stream whose watermark trails by a day, fed in three parts, a tick far ahead closing all windows."""
+def arriving_late(s, ticks, shape, gap=None):
+    """(table, rows dropped) of a windowed stream whose watermark trails by a day, fed in three parts, a tick far ahead closing all windows; with a gap, the sessions that the dropped rows of a part would make."""
     path, out, memory = scratch(s, "ticks"), scratch(s, "out"), scratch(s, "state")
     names = ["symbol", "ts", "seq", "price", "qty"]
-    late, dropped = _late(ticks), 0
+    late, dropped, watermark = _late(ticks), 0, "1970-01-01T00:00:00.000Z"
     far = ticks.agg((F.max("ts") + F.expr("interval 400 days")).alias("ts")).select(F.lit("~").alias("symbol"), "ts", F.lit(-1).cast("long").alias("seq"), F.lit(0.0).alias("price"), F.lit(0.0).alias("qty"))
     parts = [_part(ticks, 0).where(~late), _part(ticks, 1), _part(ticks, 2).unionByName(ticks.where(late)), far]
     for part in parts:
         part.select(names).write.mode("append").parquet(path)
         stream = shape(St.read_parts(s, path, ticks.select(names).schema))
-        dropped += St.late_rows(St.append_now(stream, out, memory))
+        progress = St.append_now(stream, out, memory)
+        n = St.late_rows(progress)
+        dropped += St.late_sessions(part.select(names), gap, watermark) if gap and n else n
+        watermark = ([watermark] + [p["eventTime"]["watermark"] for p in progress if "watermark" in p["eventTime"]])[-1]
     return s.read.schema(stream.schema).parquet(out).where("symbol <> '~'"), dropped
 
 
@@ -90,5 +93,5 @@ def _sessions(which):
 @query("st_05_late_sessions", with_roles("ticks") + f", g AS ({_sessions(f'NOT {_LATE}')}), l AS (SELECT coalesce(sum(sessions), 0)::BIGINT AS dropped FROM ({_sessions(_LATE)})) SELECT g.*, dropped FROM g, l")
 def st_05_late(s, d):
     """Sessions of each symbol where some ticks come too late; dropped counts the sessions that the late ticks would make among themselves."""
-    x, dropped = arriving_late(s, _ticks(s, d), lambda t: St.gap_sessions(t, "61 minutes", "1 day"))
+    x, dropped = arriving_late(s, _ticks(s, d), lambda t: St.gap_sessions(t, "61 minutes", "1 day"), "61 minutes")
     return x.groupBy("symbol").agg(F.count("*").alias("sessions"), F.sum("n").alias("ticks")).withColumn("dropped", F.lit(dropped).cast("long"))

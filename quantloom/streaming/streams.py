@@ -100,6 +100,12 @@ def late_rows(progress: list) -> int:
     return sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
 
 
+def late_sessions(ticks: DataFrame, gap: str, watermark: str) -> int:
+    """Sessions made among themselves by the rows of a trigger whose own windows end at or before the watermark. Spark counts what it drops before sessions of different tasks are merged, so its own figure depends on the partitions."""
+    late = ticks.where(C("ts") + F.expr(f"interval {gap}") <= F.lit(watermark).cast("timestamp"))
+    return late.groupBy("symbol", F.session_window("ts", gap)).agg(F.count("*").alias("n")).count()
+
+
 def event_feed(events: DataFrame, key: list[str], delay: str) -> DataFrame:
     """Each key once, however often it arrives within the delay; the checkpoint is the seen set."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key)

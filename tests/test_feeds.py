@@ -48,3 +48,11 @@ def test_late_rows_are_dropped_and_counted(spark, sf):
     bars, dropped = feeds.arriving_late(spark, ticks, lambda t: St.tumbling_bars(t, "1 hour", "1 day"))
     assert dropped == want > 0
     assert bars.agg(F.sum("volume")).first()[0] == ticks.count() - late.count()
+
+
+def test_late_ticks_close_together_are_one_session(spark):
+    rows = [(1, "a", i, 1.0, 1.0, feeds.CUTS[0] - 5 * 24 * HOUR + i * 60_000) for i in range(400)] + [(1, "a", 1000 + i, 1.0, 1.0, cut + HOUR) for i, cut in enumerate(feeds.CUTS)]
+    ticks = spark.createDataFrame(rows, "run long, symbol string, seq long, price double, qty double, t long").withColumn("ts", F.timestamp_millis("t"))
+    x, dropped = feeds.arriving_late(spark, ticks, lambda t: St.gap_sessions(t, "61 minutes", "1 day"), "61 minutes")
+    assert dropped == 1  # ten ticks, 40 minutes apart
+    assert x.agg(F.sum("n")).first()[0] == 392
