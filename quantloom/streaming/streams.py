@@ -112,10 +112,14 @@ def event_feed(events: DataFrame, key: list[str], delay: str) -> DataFrame:
 
 
 def interval_join(bars: DataFrame, settlements: DataFrame, step: str, delay: str) -> DataFrame:
-    """Settlements to the bar that holds them, stream to stream, with both watermarks bounding the state."""
-    b = bars.withWatermark("open_ts", delay)
-    s = settlements.withWatermark("st_ts", delay).withColumnRenamed("symbol", "s_symbol")
-    return b.join(s, F.expr(f"symbol = s_symbol and st_ts >= open_ts and st_ts < open_ts + interval {step}")).drop("s_symbol")
+    """Settlements to the bar that holds them, stream to stream, with both watermarks bounding the state.
+
+    The key is symbol and time bin, a bar standing in its own bin and the next, so a settlement meets two bars' worth of state and not all of its symbol's.
+    """
+    bin_of = lambda ts: F.floor(F.unix_micros(ts) / F.expr(f"unix_micros(timestamp_micros(0) + interval {step})"))
+    b = bars.withWatermark("open_ts", delay).withColumn("_bin", F.explode(F.array(bin_of("open_ts"), bin_of("open_ts") + 1)))
+    s = settlements.withWatermark("st_ts", delay).withColumnRenamed("symbol", "s_symbol").withColumn("_s_bin", bin_of("st_ts"))
+    return b.join(s, F.expr(f"symbol = s_symbol and _bin = _s_bin and st_ts >= open_ts and st_ts < open_ts + interval {step}")).drop("s_symbol", "_bin", "_s_bin")
 
 
 def stalls(events: DataFrame, idle_ms: int, delay: str) -> DataFrame:

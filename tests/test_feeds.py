@@ -56,3 +56,14 @@ def test_late_ticks_close_together_are_one_session(spark):
     x, dropped = feeds.arriving_late(spark, ticks, lambda t: St.gap_sessions(t, "61 minutes", "1 day"), "61 minutes")
     assert dropped == 1  # ten ticks, 40 minutes apart
     assert x.agg(F.sum("n")).first()[0] == 392
+
+
+def test_interval_join_is_keyed_by_time_too(spark):
+    base = tempfile.mkdtemp(prefix="spark-")
+    spark.range(200).selectExpr("'a' AS symbol", "timestamp_millis(id * 3600000 + 1234567) AS open_ts").write.parquet(f"{base}/bars")  # off the full hour
+    spark.range(3000).selectExpr("'a' AS symbol", "timestamp_millis(id * 239987) AS st_ts", "id AS seq").write.parquet(f"{base}/ticks")
+    bars, ticks = St.read_parts(spark, f"{base}/bars", "symbol string, open_ts timestamp"), St.read_parts(spark, f"{base}/ticks", "symbol string, st_ts timestamp, seq long")
+    joined = St.interval_join(bars, ticks, "1 hour", "60 days")
+    got = {(r.seq, r.at) for r in St.run_to_table(joined, f"{base}/out", f"{base}/state").select("seq", F.unix_millis("open_ts").alias("at")).collect()}
+    assert got == {(i, (i * 239_987 - 1_234_567) // HOUR * HOUR + 1_234_567) for i in range(3000) if 1_234_567 <= i * 239_987 < 200 * HOUR + 1_234_567}
+    assert "(_bin#" in joined._jdf.queryExecution().analyzed().toString()  # an equality, so part of the state's key
