@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,16 +59,17 @@ def new_keys(events: DataFrame, key: list[str], ttl_ms: int, delay: str) -> Data
         if state.hasTimedOut:
             state.remove()
             return
-        times = pd.concat([some["t"] for some in batches]).sort_values()
+        times = np.sort(np.concatenate([some["t"].to_numpy(np.int64) for some in batches]))
         last = state.get[0] if state.exists else None
-        before = times.shift()
+        before = np.append(times[0] if last is None else last, times[:-1])
         if last is not None:
-            before = before.fillna(last).clip(lower=last)
-        found = times[before.isna() | (times - before > ttl_ms)]
-        last = int(times.iloc[-1]) if last is None else max(last, int(times.iloc[-1]))
+            before = np.maximum(before, last)
+        found = times[(times - before > ttl_ms) | ((np.arange(len(times)) == 0) & (last is None))]
+        last = int(times[-1]) if last is None else max(last, int(times[-1]))
         state.update((last,))
         state.setTimeoutTimestamp(max(last + ttl_ms, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({k: [v] * len(found) for k, v in zip(key, names, strict=True)} | {"t": found.astype("int64").to_numpy()})
+        if len(found):  # most keys that come again are not new, and an empty frame costs as much as a full one
+            yield pd.DataFrame({k: [v] * len(found) for k, v in zip(key, names, strict=True)} | {"t": found})
 
     types = dict(events.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in key) + ", t long"
