@@ -43,11 +43,22 @@ def contiguous_runs(bars: DataFrame, step_ms: int, min_bars: int, *, key: str =
 
 
 def cadence_report(rows: DataFrame, *, key: str = "symbol") -> DataFrame:
-    step = F.col("st") - F.lag("st").over(Window.partitionBy(key).orderBy("st", "l_orderkey", "l_linenumber"))
-    return rows.withColumn("step", step).groupBy(key).agg(
-        F.count("*").alias("n"), F.count_if(F.col("status") == "official").alias("official"), F.count_if(F.col("status") == "modeled").alias("modeled"),
-        F.min("st").alias("first_t"), F.max("st").alias("last_t"), F.min("step").alias("min_step"), F.max("step").alias("max_step"),
-        F.count_distinct(F.when(F.col("status") == "official", day_of(F.col("st")))).alias("official_days"),
+    """Counts, range, smallest and largest step between neighbouring times, days with official rows.
+
+    Rows are counted by time first (one that comes twice has a step of 0), then steps are taken within days of a key, and
+    between the last and first times of neighbouring days: no task sorts a whole key.
+    """
+    st, n = F.col("st"), F.col("n")
+    at = rows.groupBy(key, "st").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "official").alias("official"), F.count_if(F.col("status") == "modeled").alias("modeled"))
+    at = at.withColumn("day", day_of(st)).withColumns({"step": st - F.lag("st").over(over([key, "day"], "st")), "again": F.when(st.isNotNull() & (n > 1), 0)})
+    days = at.groupBy(key, "day").agg(
+        F.sum("n").alias("n"), F.sum("official").alias("official"), F.sum("modeled").alias("modeled"), F.min("st").alias("first_t"), F.max("st").alias("last_t"),
+        F.min(F.least("step", "again")).alias("low"), F.max(F.greatest("step", "again")).alias("high"),
+    )
+    days = days.withColumn("gap", F.col("first_t") - F.lag("last_t").over(over(key, "day")))  # one row a day
+    return days.groupBy(key).agg(
+        F.sum("n").alias("n"), F.sum("official").alias("official"), F.sum("modeled").alias("modeled"), F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"),
+        F.min(F.least("low", "gap")).alias("min_step"), F.max(F.greatest("high", "gap")).alias("max_step"), F.count_if(F.col("day").isNotNull() & (F.col("official") > 0)).alias("official_days"),
     )
 
 

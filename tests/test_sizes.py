@@ -18,3 +18,43 @@ def test_a_ledger_of_large_sums_still_adds_up(spark):
     (got,) = registry.queries()["agg_01_ledger_summary"](spark, tables(spark, orders=orders, lineitem=lines)).collect()
     paid, spent = (sum(at * 100 + i * step for i in range(6000)) for at, step in ((10**9, 37777), (9 * 10**8, 25513)))  # in cents
     assert got["turnover"] == spent / 100 and got["gross"] == (paid - spent) / 100 and got["adds_up"]
+
+
+def largest_task(spark, group, run):
+    """What ``run`` returns, and the most rows that one task read from a shuffle."""
+    sc, held = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    sc.setJobGroup(group, group)
+    try:
+        for k, v in zip(held, ("false", "-1", "16"), strict=True):
+            spark.conf.set(k, v)
+        got = run()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    track, store, most = sc.statusTracker(), sc._jsc.sc().statusStore(), 0
+    for stage in {i for job in track.getJobIdsForGroup(group) for i in track.getJobInfo(job).stageIds}:
+        if track.getStageInfo(stage) and track.getStageInfo(stage).numCompletedTasks:
+            tasks = store.taskList(stage, 0, 1000)
+            most = max([most, *[tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size())]])
+    return got, most
+
+
+HALF_HOUR = 1_800_000
+
+
+def long_history(spark, n):
+    """One symbol with a settlement each half hour from 1995 on, every tenth of them twice, every third not official; daily bars on even days."""
+    orders = spark.range(n).selectExpr("id AS o_orderkey", "id AS o_custkey", "'F' AS o_orderstatus", "1000.0D AS o_totalprice", "timestamp_millis(788918400000 + 2 * 86400000 * (id div 96)) AS o_orderdate", "'5-LOW' AS o_orderpriority")
+    lines = spark.range(n).selectExpr("id AS l_orderkey", "explode(if(id % 10 = 0, array(0, 0), array(0))) AS l_linenumber", "1.0D AS l_quantity", "100.0D AS l_extendedprice", "0.06D AS l_discount", "0.0D AS l_tax", "if(id % 3 = 0, 'R', 'N') AS l_returnflag", f"timestamp_millis(788918400000 + {HALF_HOUR} * id) AS l_shipdate")
+    return tables(spark, orders=orders, lineitem=lines)
+
+
+def test_a_long_history_of_one_symbol_has_its_cadence_from_many_tasks(spark):
+    n = 6000
+    base = long_history(spark, n)
+    ((got,), most) = largest_task(spark, "cadence", lambda: registry.queries()["dq_04_cadence_report"](spark, base).collect())
+    twice, modeled = n // 10, sum(2 if i % 10 == 0 else 1 for i in range(0, n, 3))
+    want = {"symbol": "5-LOW", "n": n + twice, "official": n + twice - modeled, "modeled": modeled, "first_t": 788918400000, "last_t": 788918400000 + HALF_HOUR * (n - 1), "min_step": 0, "max_step": HALF_HOUR, "official_days": n // 48}
+    assert got.asDict() == want
+    assert most < n / 4  # there is one key, and there are sixteen tasks
