@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.roles import DAY_MS
+from .orderstats import saved
+
 C = F.col
 
 
-def asof(left: DataFrame, right: DataFrame, *, key: str, left_time: str, right_time: str, values: list[str], strict: bool = False, max_age: int | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, *, key: str, left_time: str, right_time: str, values: list[str], strict: bool = False, max_age: int | None = None, block: int = DAY_MS) -> DataFrame:
     """Left rows with the values of the last right row at or before them (strictly before with ``strict``), at most ``max_age`` old.
 
-    Both sides are united and sorted by key and time once; the last right row is carried along, so neither side is
-    multiplied. At equal times right rows come first, or last where the match is strict.
+    Both sides are united, and sorted by time within blocks of ``block`` units of time of a key; the last right row is carried
+    along, so neither side is multiplied. What earlier blocks leave comes first in a block: their last right rows are put in
+    order by key, one row a block. At equal times right rows come first, or last where the match is strict. Both sides are saved once.
     """
     side = 1 if strict else 0
     mine = F.struct(*[C(c) for c in left.columns])
     theirs = F.struct(C(right_time).alias("_at"), *[C(v) for v in values])
     a = left.select(C(key).alias("_k"), C(left_time).alias("_t"), F.lit(1 - side).alias("_side"), mine.alias("_mine"))
-    b = right.select(C(key).alias("_k"), C(right_time).alias("_t"), F.lit(side).alias("_side"), theirs.alias("_theirs"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy("_k").orderBy("_t", "_side", C("_theirs")).rowsBetween(Window.unboundedPreceding, 0)
-    got = both.withColumn("_last", F.last("_theirs", ignorenulls=True).over(w)).where(C("_mine").isNotNull())
+    b = right.where(C(key).isNotNull() & C(right_time).isNotNull()).select(C(key).alias("_k"), C(right_time).alias("_t"), F.lit(side).alias("_side"), theirs.alias("_theirs"))
+    both = saved(a.unionByName(b, allowMissingColumns=True).withColumn("_block", F.floor(C("_t") / block)))
+    before = Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = both.where("_block is not null").groupBy("_k", "_block").agg(F.max("_theirs").alias("_top"))
+    first = blocks.select("_k", "_block", F.last("_top", ignorenulls=True).over(before).alias("_theirs")).where("_theirs is not null")
+    w = Window.partitionBy("_k", "_block").orderBy(C("_t").asc_nulls_first(), "_side", C("_theirs")).rowsBetween(Window.unboundedPreceding, 0)
+    got = both.unionByName(first, allowMissingColumns=True).withColumn("_last", F.last("_theirs", ignorenulls=True).over(w)).where(C("_mine").isNotNull())
     fresh = F.lit(True) if max_age is None else C("_t") - C("_last._at") <= max_age
     return got.select("_mine.*", *[F.when(fresh, C(f"_last.{v}")).alias(v) for v in values], F.when(fresh, C("_last._at")).alias("matched_at"))
 

@@ -20,8 +20,9 @@ def _official(s, d):
 @query("join_01_asof_last_bar", DS + "SELECT b.symbol, b.t, count(*) AS n, round(sum(rate), 6) + 0.0 AS charged FROM settlements s ASOF JOIN daily b ON s.symbol = b.symbol AND s.st > b.t WHERE status = 'official' GROUP BY 1, 2")
 def join_01(s, d):
     bars = R.bars_1d(s, d).select("symbol", "t")
-    got = J.asof(_official(s, d).select("symbol", "st", "rate"), bars, key="symbol", left_time="st", right_time="t", values=[], strict=True)
-    return tidy(got.where("matched_at is not null").groupBy("symbol", C("matched_at").alias("t")).agg(F.count("*").alias("n"), F.sum("rate").alias("c")), "symbol", "t", "n", charged=C("c"))
+    times = _official(s, d).groupBy("symbol", "st").agg(F.count("*").alias("n"), F.sum("rate").alias("rate"))  # settlements of one time go to one bar
+    got = J.asof(times, bars, key="symbol", left_time="st", right_time="t", values=[], strict=True)
+    return tidy(got.where("matched_at is not null").groupBy("symbol", C("matched_at").alias("t")).agg(F.sum("n").alias("n"), F.sum("rate").alias("c")), "symbol", "t", "n", charged=C("c"))
 
 
 @query("join_02_containing_interval", DS + "SELECT b.symbol, b.t, count(*) AS n, round(sum(rate), 6) + 0.0 AS charged FROM settlements s JOIN daily b ON s.symbol = b.symbol AND s.st >= b.t AND s.st < b.t + 86400000 WHERE status = 'official' GROUP BY 1, 2")

@@ -58,3 +58,27 @@ def test_a_long_history_of_one_symbol_has_its_cadence_from_many_tasks(spark):
     want = {"symbol": "5-LOW", "n": n + twice, "official": n + twice - modeled, "modeled": modeled, "first_t": 788918400000, "last_t": 788918400000 + HALF_HOUR * (n - 1), "min_step": 0, "max_step": HALF_HOUR, "official_days": n // 48}
     assert got.asDict() == want
     assert most < n / 4  # there is one key, and there are sixteen tasks
+
+
+def test_a_long_history_of_one_symbol_is_joined_by_many_tasks(spark):
+    n = 6000
+    base = long_history(spark, n)
+    got, most = largest_task(spark, "asof", lambda: registry.queries()["join_01_asof_last_bar"](spark, base).collect())
+    want = {}
+    for i in (i for i in range(1, n) if i % 3):  # strictly after the bar: a settlement at a bar's time goes to the bar before
+        bar = min((i - 1) // 96, (n - 1) // 96)
+        want[bar] = want.get(bar, 0) + (2 if i % 10 == 0 else 1)
+    assert {(r["t"] - 788918400000) // (2 * 86400000): r["n"] for r in got} == want
+    assert most < n / 4
+
+
+def test_asof_carries_over_empty_blocks_and_takes_no_null(spark):
+    from quantloom.operators import joins as J
+
+    right = spark.createDataFrame([("a", 5, 1.0), ("a", 95, 2.0), ("b", 7, 3.0), (None, 1, 4.0), ("b", None, 5.0)], "k string, t long, v double")
+    left = spark.createDataFrame([("a", 4), ("a", 5), ("a", 60), ("a", 94), ("a", 95), ("a", 99), ("a", 500), ("b", 6), ("b", 700), (None, 9), ("b", None)], "k string, e long")
+    at = lambda **more: {(r.k, r.e): r.v for r in J.asof(left, right, key="k", left_time="e", right_time="t", values=["v"], block=10, **more).collect()}
+    want = {("a", 4): None, ("a", 5): 1.0, ("a", 60): 1.0, ("a", 94): 1.0, ("a", 95): 2.0, ("a", 99): 2.0, ("a", 500): 2.0, ("b", 6): None, ("b", 700): 3.0, (None, 9): None, ("b", None): None}
+    assert at() == want
+    assert at(strict=True) == want | {("a", 5): None, ("a", 95): 1.0}
+    assert at(max_age=50) == want | {("a", 60): None, ("a", 94): None, ("a", 500): None, ("b", 700): None}
