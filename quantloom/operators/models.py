@@ -74,27 +74,40 @@ def folds_to_end(first: int, last: int, train: int, step: int, *, expanding: boo
     return [(first if expanding else k, k + train, min(k + train + step, last + 1)) for k in range(first, last - train + 1, step)]
 
 
-def walk_forward(rows: DataFrame, features: list[str], label: str, folds: list[tuple[int, int, int]], name: str, *, known: str = "known_t", month: str = "month", purge_ms: int = 0, embargo_ms: int = 0, seed: int = 42, spread: bool = False, at_once: int = 4) -> DataFrame:
+#: Rows of a partition that trees are fitted on.
+PER_TASK = 50_000
+
+
+def _learnable(ready: DataFrame, n_folds: int) -> list[int]:
+    """Folds whose training rows have more than one label, for all folds in one pass."""
+    from .pointintime import trained
+
+    rows = ready.where(trained() & C("label").isNotNull()).select(F.explode(F.sequence("_first", F.least("_last", F.lit(n_folds - 1)))).alias("fold"), "label")
+    return [r["fold"] for r in rows.groupBy("fold").agg((F.min("label") != F.max("label")).alias("many")).where("many").orderBy("fold").collect()]  # a row a fold
+
+
+def walk_forward(rows: DataFrame, features: list[str], label: str, folds: list[tuple[int, int, int]], name: str, *, known: str = "known_t", month: str = "month", purge_ms: int = 0, embargo_ms: int = 0, seed: int = 42, spread: bool = False, at_once: int = 8) -> DataFrame:
     """Rows of the test months with predictions of models that learned only from labels known before (see :mod:`pointintime`); folds are (from, test_from, test_to).
 
     Trees can't be fitted for several folds in one pass, so the driver asks for one fit a fold, a few at a time; fits and predictions
-    run on the executors. Classifiers give the probability of class 1 as ``score``. With ``spread`` predictions come with
-    ``spread``, the standard deviation of the model's predictions of its own training rows.
+    run on the executors. A fit is some forty short jobs, so the rows are kept in as few partitions as their number asks for
+    (``PER_TASK``), not in those of the last shuffle. Classifiers give the probability of class 1 as ``score``. With ``spread``
+    predictions come with ``spread``, the standard deviation of the model's predictions of its own training rows.
     """
     from multiprocessing.pool import ThreadPool
 
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    from .orderstats import saved
     from .pointintime import trained, with_folds
 
-    whole = with_folds(rows.withColumn("label", C(label).cast("double")), folds, known=known, month=month, purge_ms=purge_ms, embargo_ms=embargo_ms)
-    ready = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(whole).persist()
+    whole = saved(with_folds(rows.withColumn("label", C(label).cast("double")), folds, known=known, month=month, purge_ms=purge_ms, embargo_ms=embargo_ms))
+    few = whole.coalesce(max(1, -(-whole.count() // PER_TASK)))
+    ready = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(few).persist()
 
-    def one(k: int) -> DataFrame | None:
+    def one(k: int) -> DataFrame:
         train, test = ready.where(trained() & (C("_first") <= k) & (k <= C("_last")) & C("label").isNotNull()), ready.where(C("_test") == k)
-        if train.select("label").distinct().limit(2).count() < 2:
-            return None  # a fold with one label only isn't fitted
         model = FITTERS[name](seed).fit(train)
         got = model.transform(test)
         got = got.withColumn("score", vector_to_array("probability")[1] if "probability" in got.columns else C("prediction"))
@@ -105,7 +118,7 @@ def walk_forward(rows: DataFrame, features: list[str], label: str, folds: list[t
         return got
 
     with ThreadPool(at_once) as pool:
-        found = [x for x in pool.map(one, range(len(folds))) if x is not None]
+        found = pool.map(one, _learnable(ready, len(folds)))  # a fold with one label only isn't fitted
     if not found:
         extra = {"prediction": "double", "score": "double", "fold": "long"} | ({"spread": "double"} if spread else {})
         return ready.drop("features").withColumns({n: F.lit(None).cast(t) for n, t in extra.items()}).limit(0)

@@ -82,3 +82,11 @@ def test_asof_carries_over_empty_blocks_and_takes_no_null(spark):
     assert at() == want
     assert at(strict=True) == want | {("a", 5): None, ("a", 95): 1.0}
     assert at(max_age=50) == want | {("a", 60): None, ("a", 94): None, ("a", 500): None, ("b", 700): None}
+
+
+def test_fits_of_few_rows_run_in_few_tasks(spark):
+    from quantloom.operators import models as M
+
+    rows = spark.range(600).selectExpr("id * 86400000L + 946684800000L AS t", "(id + 1) * 86400000L + 946684800000L AS known_t", "24000 + id div 30 AS month", "cast(id % 7 AS double) AS f0", "cast(id % 2 AS int) AS y").repartition(64, "t")
+    got = M.walk_forward(rows, ["f0"], "y", [(24000, 24010, 24012), (24002, 24012, 24014)], "logit")
+    assert {r["fold"] for r in got.select("fold").distinct().collect()} == {0, 1} and got.rdd.getNumPartitions() <= 2  # one for each of two folds at most
