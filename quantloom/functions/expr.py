@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -45,6 +46,16 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def ln(x: Column) -> Column:
+    """The logarithm of the C library; null where x isn't positive.
+
+    Spark's own is at times off by the last bit, and that bit decides the sign of a sum of logarithms that should be zero. Python
+    is called for each row, so this is for rows of bars whose signs are asked for.
+    """
+    c_log = F.udf(lambda v: math.log(v) if v is not None and v > 0 else None, "double")
+    return F.when(x.isNotNull() & ~F.isnan(x), c_log(x.cast("double"))).otherwise(F.log(x))
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(x, F.lit(high)))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import over, rolling, same_time, sigmoid, tidy
+from ..functions.expr import ln, over, rolling, same_time, sigmoid, tidy
 from ..operators import portfolio as P
 from ..operators import rolling as W
 from ..operators.joins import symbol_pairs
@@ -66,7 +66,8 @@ def sig_06(s, d):
 
 @query("sig_07_baselines", BARS + RET + "SELECT symbol, t, sign(sum(r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))::BIGINT AS momentum, -sign(r)::BIGINT AS reversal, sign(sum(r) OVER (PARTITION BY symbol, (t // 3600000) % 24 ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))::BIGINT AS same_hour FROM x")
 def sig_07(s, d):
-    x = with_r(s, d).withColumn("h", F.floor(C("t") / 3_600_000) % 24)
+    """Where a close comes again, the sum of returns is zero but for the last bits of the logarithms, so these are the C library's, as in the SQL."""
+    x = R.bars_1h(s, d).withColumn("r", ln(C("close") / F.lag("close").over(over()))).withColumn("h", F.floor(C("t") / 3_600_000) % 24)
     sg = lambda c: F.signum(c).cast("long")
     return x.select("symbol", "t", sg(F.sum("r").over(over().rowsBetween(-5, 0))).alias("momentum"), (-sg(C("r"))).alias("reversal"), sg(F.sum("r").over(over(["symbol", "h"]).rowsBetween(-5, -1))).alias("same_hour"))
 

@@ -90,3 +90,15 @@ def test_fits_of_few_rows_run_in_few_tasks(spark):
     rows = spark.range(600).selectExpr("id * 86400000L + 946684800000L AS t", "(id + 1) * 86400000L + 946684800000L AS known_t", "24000 + id div 30 AS month", "cast(id % 7 AS double) AS f0", "cast(id % 2 AS int) AS y").repartition(64, "t")
     got = M.walk_forward(rows, ["f0"], "y", [(24000, 24010, 24012), (24002, 24012, 24014)], "logit")
     assert {r["fold"] for r in got.select("fold").distinct().collect()} == {0, 1} and got.rdd.getNumPartitions() <= 2  # one for each of two folds at most
+
+
+def test_signs_of_a_close_that_comes_again_are_those_of_the_sql(spark):
+    import duckdb
+
+    from .oracle import differences
+
+    base = tempfile.mkdtemp(prefix="spark-")
+    values = ", ".join(f"({i}, {v})" for i, v in enumerate((6.0, 217.0, 16.0, 331.0, 74.0, 194.0, 6.0)))
+    events = f"SELECT i::BIGINT AS event_id, make_timestamp(1706216400000000 + i * 3600000000) AS ts, 1::BIGINT AS user_id, 'view' AS event_type, v::DOUBLE AS value, '' AS props FROM (VALUES {values}) AS x(i, v)"
+    duckdb.connect().execute(f"COPY ({events}) TO '{base}/events.parquet' (FORMAT parquet)")
+    assert differences(spark, registry.queries()["sig_07_baselines"], registry.oracle_sql()["sig_07_baselines"], base) is None
